@@ -50,6 +50,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name under the staging root, removed when the session ends."""
+    path = _new_path(spark)
+    _written.append((spark, path))
+    return path
+
+
 @contextmanager
 def staged(df: DataFrame) -> Iterator[DataFrame]:
     """``stage`` for a block of work; the files go when the block ends."""
