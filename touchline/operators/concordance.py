@@ -73,8 +73,8 @@ def concordance_of_cells(cells: DataFrame, small_rows: int | None = None) -> Con
         )
     )
     order = Order.of(steps, "score", ("bit", "head"), small_rows)
-    ladder = order.running(order.assign(steps), {"later_upto": F.col("later"), "early_upto": F.col("early")})
-    ladder = order.totals(ladder, {"later_all": F.col("later"), "early_all": F.col("early")})
+    ladder = order.running(order.assign(steps), {"later_upto": "later", "early_upto": "early"})
+    ladder = order.totals(ladder, {"later_all": "later", "early_all": "early"})
     # a row of the left half meets the right half; it is concordant with lower scores there.
     # a row of the right half meets the events of the left half; it is concordant with higher scores there.
     sides = ladder.select(

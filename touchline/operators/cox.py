@@ -25,7 +25,7 @@ from touchline.operators.logit import NestedTest
 from touchline.operators.newton import Point, climb_all, invert, solve, symmetric, triangle
 from touchline.operators.ordered import Order
 from touchline.operators.staging import stage
-from touchline.operators.terms import Term, cell_table, design, x
+from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
 
 DIRECT_TERMS = 24
 
@@ -89,108 +89,80 @@ class CoxFit:
         return total
 
 
-def _tie_sums(s: Column, e: Column, d: Column) -> list[Column]:
-    """H0, H1, H2 of one time with d tied events, risk sum s and event sum e.
+def _tie_sums() -> dict[str, str]:
+    """SQL for H0, H1, H2 of one time with d tied events, risk sum s and event sum e.
 
     The last DIRECT_TERMS values, near the small end of s - (l/d)e, are added one by one. The rest is an
-    integral with end-point corrections (Euler-Maclaurin), exact to rounding at that distance from zero.
+    integral with end-point corrections (Euler-Maclaurin), exact to rounding at that distance from zero: with
+    the step h = e/d, _a = s/h and _b = s/h - k are its two ends in units of the step, k the number of terms.
     """
-    k = F.greatest(d - DIRECT_TERMS, F.lit(0)).cast("double")
-    h = e / d
-    tail = F.sequence(F.greatest(d - DIRECT_TERMS, F.lit(0)), d - 1)
+    tail = f"sequence(greatest(_d - {DIRECT_TERMS}, 0), _d - 1)"
 
-    def direct(f) -> Column:
-        return F.aggregate(F.transform(tail, lambda i: f(s - i * h)), F.lit(0.0), lambda a, b: a + b)
+    def direct(value: str) -> str:
+        return f"aggregate({tail}, 0D, (t, l) -> t + {value})"
 
-    # values at the two ends of the long part: l = 0 and l = k, in units of the step h
-    a, b = s / h, s / h - k
+    def ends(f: str) -> str:
+        return f"({f.replace('v', '_a')} - {f.replace('v', '_b')})"
 
-    def ends(g) -> Column:
-        return g(a) - g(b)
+    def inverse(power: int) -> str:
+        return ends("1D / (" + " * ".join(["v"] * power) + ")")
 
-    # sum over l = 0..k-1 of f(a - l) = integral from b to a, plus half the end difference, plus derivative terms
     log_part = (
-        k * F.ln(h)
-        + ends(lambda v: v * F.ln(v) - v)
-        + ends(F.ln) / 2
-        + ends(lambda v: 1 / v) / 12
-        - ends(lambda v: 1 / (v * v * v)) / 360
-        + ends(lambda v: 1 / (v * v * v * v * v)) / 1260
+        f"(_d - {DIRECT_TERMS}) * ln(_h) + {ends('v * ln(v)')} - {ends('v')} + {ends('ln(v)')} / 2 + {inverse(1)} / 12"
+        f" - {inverse(3)} / 360 + {inverse(5)} / 1260"
     )
-    inv_part = (
-        ends(F.ln)
-        + ends(lambda v: 1 / v) / 2
-        - ends(lambda v: 1 / (v * v)) / 12
-        + ends(lambda v: 1 / (v * v * v * v)) / 120
-        - ends(lambda v: 1 / (v * v * v * v * v * v)) / 252
-    )
-    sq_part = (
-        -ends(lambda v: 1 / v)
-        + ends(lambda v: 1 / (v * v)) / 2
-        - ends(lambda v: 1 / (v * v * v)) / 6
-        + ends(lambda v: 1 / (v * v * v * v * v)) / 30
-        - ends(lambda v: 1 / (v * v * v * v * v * v * v)) / 42
-    )
-    long = d > DIRECT_TERMS
-    zero = F.lit(0.0)
-    return [
-        F.when(long, log_part).otherwise(zero) + direct(F.ln),
-        F.when(long, inv_part / h).otherwise(zero) + direct(lambda v: 1 / v),
-        F.when(long, sq_part / (h * h)).otherwise(zero) + direct(lambda v: 1 / (v * v)),
-    ]
+    inv_part = f"{ends('ln(v)')} + {inverse(1)} / 2 - {inverse(2)} / 12 + {inverse(4)} / 120 - {inverse(6)} / 252"
+    sq_part = f"-{inverse(1)} + {inverse(2)} / 2 - {inverse(3)} / 6 + {inverse(5)} / 30 - {inverse(7)} / 42"
+    long = f"CASE WHEN _d > {DIRECT_TERMS} THEN {{}} ELSE 0D END"
+    return {
+        "h0": long.format(log_part) + " + " + direct("ln(s - l * _h)"),
+        "h1": long.format(f"({inv_part}) / _h") + " + " + direct("1D / (s - l * _h)"),
+        "h2": long.format(f"({sq_part}) / (_h * _h)") + " + " + direct("1D / ((s - l * _h) * (s - l * _h))"),
+    }
 
 
 def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: np.ndarray, order: Order) -> DataFrame:
     """One row per event time: risk-set sums s, s_j, s_j_k (time at or after), event sums e, e_j, e_j_k, plain
     event sums c_j and l, event count d, and the Efron numbers h0, h1, h2."""
     p = len(labels)
-    named = cells.select(
-        "time", "n", "d", *[(x(c) - F.lit(float(m))).alias(f"x{j}") for j, (c, m) in enumerate(zip(labels, means))]
+    named = cells.selectExpr(
+        "time", "n", "d", *[f"{x_sql(c)} - {number(m)} AS x{j}" for j, (c, m) in enumerate(zip(labels, means))]
     )
-    eta = F.lit(0.0)
+    eta = linear_sql(b, [f"x{j}" for j in range(p)])
+    weighed = named.selectExpr("*", f"{eta} AS _eta").selectExpr("*", "n * exp(_eta) AS _nr", "d * exp(_eta) AS _dr")
+    sums = {"_s": "_nr", "e": "_dr", "d": "d", "_n": "n", "l": "d * _eta"}
     for j in range(p):
-        eta = eta + F.lit(float(b[j])) * F.col(f"x{j}")
-    weighed = named.select("*", eta.alias("_eta")).select("*", F.exp("_eta").alias("_r"))
-    r, n, d = F.col("_r"), F.col("n"), F.col("d")
-    xs = [F.col(f"x{j}") for j in range(p)]
-    aggs = [F.sum(n * r).alias("_s"), F.sum(d * r).alias("e"), F.sum(d).alias("d"), F.sum(n).alias("_n"), F.sum(d * F.col("_eta")).alias("l")]
-    for j in range(p):
-        aggs += [F.sum(n * r * xs[j]).alias(f"_s_{j}"), F.sum(d * r * xs[j]).alias(f"e_{j}"), F.sum(d * xs[j]).alias(f"c_{j}")]
+        sums |= {f"_s_{j}": f"_nr * x{j}", f"e_{j}": f"_dr * x{j}", f"c_{j}": f"d * x{j}"}
     for j, k in triangle(p):
-        aggs += [F.sum(n * r * xs[j] * xs[k]).alias(f"_s_{j}_{k}"), F.sum(d * r * xs[j] * xs[k]).alias(f"e_{j}_{k}")]
-    per_time = order.assign(weighed.groupBy("time").agg(*aggs))
-    risk = {"s": F.col("_s"), "n": F.col("_n")}
-    risk |= {f"s_{j}": F.col(f"_s_{j}") for j in range(p)}
-    risk |= {f"s_{j}_{k}": F.col(f"_s_{j}_{k}") for j, k in triangle(p)}
+        sums |= {f"_s_{j}_{k}": f"_nr * x{j} * x{k}", f"e_{j}_{k}": f"_dr * x{j} * x{k}"}
+    per_time = order.assign(weighed.groupBy("time").agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()]))
+    risk = {"s": "_s", "n": "_n"} | {f"s_{j}": f"_s_{j}" for j in range(p)} | {f"s_{j}_{k}": f"_s_{j}_{k}" for j, k in triangle(p)}
     summed = order.running(per_time, risk, descending=True)
-    h0, h1, h2 = _tie_sums(F.col("s"), F.col("e"), F.col("d").cast("bigint"))
-    return summed.where("d > 0").select(
-        "*", h0.alias("h0"), h1.alias("h1"), h2.alias("h2")
-    )
+    stepped = summed.where("d > 0").selectExpr("*", "bigint(d) AS _d", "e / d AS _h", "s * d / e AS _a")
+    ended = stepped.selectExpr("*", f"_a - (_d - {DIRECT_TERMS}) AS _b")
+    return ended.selectExpr("*", *[f"{e} AS {n}" for n, e in _tie_sums().items()])
 
 
-def _mean_sum(j: int) -> Column:
+def _mean_sum(j: int) -> str:
     """Sum over the tied events of the mean of covariate j in the (reduced) risk set."""
-    m = F.col(f"e_{j}") / F.col("e")
-    return m * F.col("d") + (F.col(f"s_{j}") - m * F.col("s")) * F.col("h1")
+    return f"(e_{j} / e * d + (s_{j} - e_{j} / e * s) * h1)"
 
 
-def _spread_sum(j: int, k: int) -> Column:
+def _spread_sum(j: int, k: int) -> str:
     """Sum over the tied events of the covariance of covariates j and k in the (reduced) risk set."""
-    e, s, d = F.col("e"), F.col("s"), F.col("d")
-    mj, mk, mjk = F.col(f"e_{j}") / e, F.col(f"e_{k}") / e, F.col(f"e_{j}_{k}") / e
-    cj, ck = F.col(f"s_{j}") - mj * s, F.col(f"s_{k}") - mk * s
-    second = mjk * d + (F.col(f"s_{j}_{k}") - mjk * s) * F.col("h1")
-    return second - (mj * mk * d + (mj * ck + mk * cj) * F.col("h1") + cj * ck * F.col("h2"))
+    mj, mk, mjk = f"(e_{j} / e)", f"(e_{k} / e)", f"(e_{j}_{k} / e)"
+    cj, ck = f"(s_{j} - {mj} * s)", f"(s_{k} - {mk} * s)"
+    second = f"{mjk} * d + (s_{j}_{k} - {mjk} * s) * h1"
+    return f"({second} - ({mj} * {mk} * d + ({mj} * {ck} + {mk} * {cj}) * h1 + {cj} * {ck} * h2))"
 
 
 def _evaluate(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: np.ndarray, order: Order) -> Point:
     p = len(labels)
     table = _time_table(cells, labels, means, b, order)
-    row = table.agg(
-        F.sum(F.col("l") - F.col("h0")).alias("l"),
-        *[F.sum(F.col(f"c_{j}") - _mean_sum(j)).alias(f"u{j}") for j in range(p)],
-        *[F.sum(_spread_sum(j, k)).alias(f"i{j}_{k}") for j, k in triangle(p)],
+    row = table.selectExpr(
+        "sum(l - h0) AS l",
+        *[f"sum(c_{j} - {_mean_sum(j)}) AS u{j}" for j in range(p)],
+        *[f"sum({_spread_sum(j, k)}) AS i{j}_{k}" for j, k in triangle(p)],
     ).first()
     return Point(
         float(row["l"]),
@@ -210,8 +182,7 @@ def fit_coxes(
             known, list(models.values()), [("time", F.col(time).cast("double"))], [("n", F.lit(1)), ("d", F.col(event).cast("int"))]
         )
     )
-    times = stage(cells.select("time").distinct())
-    order = Order.of(times, "time", small_rows=small_rows)
+    order = Order.of(cells.select("time").distinct(), "time", small_rows=small_rows)
     labels = [[label for label, _ in design(models[m])] for m in names]
     if any(not cols for cols in labels):
         raise ValueError("a Cox model needs at least one term")
@@ -262,10 +233,9 @@ def nested_cox_test(small: CoxFit, large: CoxFit) -> NestedTest:
 def _with_transform(fit: CoxFit) -> DataFrame:
     """Time table at the fitted coefficients with g = 1 - pooled survival just before the time."""
     table = _time_table(fit.cells, fit.labels, fit.means, fit.coef, fit.order)
-    n, d = F.col("n"), F.col("d")
-    own = F.when(n > d, F.log1p(-d / n))
+    own = "CASE WHEN n > d THEN log1p(-d / n) END"
     logs = fit.order.running(table, {"_log": own})
-    return logs.withColumn("g", 1 - F.exp(F.coalesce(F.col("_log"), F.lit(0.0)) - F.coalesce(own, F.lit(0.0))))
+    return logs.selectExpr("*", f"1D - exp(coalesce(_log, 0D) - coalesce({own}, 0D)) AS g")
 
 
 @dataclass
@@ -283,14 +253,13 @@ def proportional_hazards_test(fit: CoxFit) -> ProportionalTest:
     """Score test of a coefficient that changes with g(time), for each term and for all together."""
     p = len(fit.labels)
     table = _with_transform(fit)
-    g, d = F.col("g"), F.col("d")
-    centre = table.agg(F.sum(g * d) / F.sum(d)).first()[0]
-    c = g - F.lit(float(centre))
-    aggs = [F.sum(c * (F.col(f"c_{j}") - _mean_sum(j))).alias(f"u{j}") for j in range(p)]
+    centre = table.selectExpr("sum(g * d) / sum(d)").first()[0]
+    table = table.selectExpr("*", f"g - {number(centre)} AS _c")
+    sums = [f"sum(_c * (c_{j} - {_mean_sum(j)})) AS u{j}" for j in range(p)]
     for j, k in triangle(p):
         v = _spread_sum(j, k)
-        aggs += [F.sum(v).alias(f"a{j}_{k}"), F.sum(c * v).alias(f"b{j}_{k}"), F.sum(c * c * v).alias(f"c{j}_{k}")]
-    row = table.agg(*aggs).first()
+        sums += [f"sum({v}) AS a{j}_{k}", f"sum(_c * {v}) AS b{j}_{k}", f"sum(_c * _c * {v}) AS c{j}_{k}"]
+    row = table.selectExpr(*sums).first()
     u = np.array([row[f"u{j}"] for j in range(p)], dtype=float)
     xx, xg, gg = (symmetric([row[f"{m}{j}_{k}"] for j, k in triangle(p)], p) for m in "abc")
 
@@ -316,7 +285,7 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     coefficient, scaled residual, and scaled residual plus coefficient (the time-varying coefficient drawn
     against g)."""
     p = len(fit.labels)
-    table = _with_transform(fit).select("time", "g", *[(_mean_sum(j) / F.col("d")).alias(f"_m{j}") for j in range(p)])
+    table = _with_transform(fit).selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)])
     events = fit.cells.where("d > 0").select(
         "time", F.col("d").cast("bigint").alias("rows"), *[(x(c) - F.lit(float(m))).alias(f"_x{j}") for j, (c, m) in enumerate(zip(fit.labels, fit.means))]
     )

@@ -39,7 +39,7 @@ def rank_scores(df: DataFrame, win: Column, score: str, small_rows: int | None =
         raise ValueError("both classes are needed")
     median = {w: exact_quantiles(counts, "score", [0.5], weight=w, small_rows=small_rows)[0] for w in ("pos", "neg")}
     order = Order.of(counts, "score", small_rows=small_rows)
-    table = order.running(order.assign(counts), {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
+    table = order.running(order.assign(counts), {"pos_upto": "pos", "neg_upto": "neg"})
     table = order.following(table, "next_score")
     return RankedScores(table, int(pos), int(neg), median["neg"] <= median["pos"])
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import great_circle_km, not_listed
+from touchline.functions.columns import chord_km, great_circle_km, not_listed, unit_vector
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -117,6 +117,8 @@ def attach_pair(df: DataFrame, pairs: DataFrame, sides: Sequence[str] = ("home",
 def attach_distance(df: DataFrame, venues: DataFrame, sides: tuple[str, str] = ("home", "away")) -> DataFrame:
     """Add ``distance_km`` straight from the two venue lookups: no pair table, no second pass over the rows."""
     a, b = sides
-    placed = attach_sides(df, venues.select("team", "lat", "long"), "team", {a: "_a_", b: "_b_"})
-    km = great_circle_km(F.col("_a_lat"), F.col("_a_long"), F.col("_b_lat"), F.col("_b_long"))
+    axes = ["_x", "_y", "_z"]
+    places = venues.select("team", *[c.alias(n) for n, c in zip(axes, unit_vector(F.col("lat"), F.col("long")))])
+    placed = attach_sides(df, places, "team", {a: "_a", b: "_b"})
+    km = chord_km([F.col("_a" + n) for n in axes], [F.col("_b" + n) for n in axes])
     return placed.select(*df.columns, km.alias("distance_km"))

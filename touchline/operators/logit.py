@@ -15,7 +15,7 @@ from touchline.functions.tails import CHI2_95_1DF, chi_square_upper, normal_two_
 from touchline.operators.newton import Point, batches, climb_all, invert, solve, symmetric, triangle
 from touchline.operators.ordered import quantile_bins
 from touchline.operators.staging import stage, staged
-from touchline.operators.terms import Term, cell_table, design, x
+from touchline.operators.terms import Term, cell_table, design, linear_sql, x, x_sql
 
 INTERCEPT = "(Intercept)"
 
@@ -109,21 +109,19 @@ def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -
     out: list[Point | None] = [None] * len(asked)
     sizes = [1 + len(b) + len(triangle(len(b))) for _, b in asked]
     for group in batches(sizes):
-        etas = {i: linear_predictor(asked[i][1], [F.lit(1.0), *[x(c) for c in asked[i][0]]]) for i in group}
-        with_eta = cells.select("*", *[e.alias(f"_eta{i}") for i, e in etas.items()])
-        with_mu = with_eta.select("*", *[(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_eta{i}")))).alias(f"_mu{i}") for i in group])
-        aggs = []
+        columns = {i: ["1D", *[x_sql(c) for c in asked[i][0]]] for i in group}
+        with_eta = cells.selectExpr("*", *[f"{linear_sql(asked[i][1], columns[i])} AS _eta{i}" for i in group])
+        with_mu = with_eta.selectExpr("*", *[f"1D / (1D + exp(-_eta{i})) AS _mu{i}" for i in group])
+        with_gap = with_mu.selectExpr(
+            "*", *[f"wins - n * _mu{i} AS _g{i}" for i in group], *[f"n * _mu{i} * (1D - _mu{i}) AS _w{i}" for i in group]
+        )
+        sums = []
         for i in group:
-            labels, b = asked[i]
-            cols = [F.lit(1.0), *[x(c) for c in labels]]
-            eta, mu = F.col(f"_eta{i}"), F.col(f"_mu{i}")
-            gap = F.col("wins") - F.col("n") * mu
-            weight = F.col("n") * mu * (1 - mu)
-            softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-            aggs.append(F.sum(F.col("wins") * eta - F.col("n") * softplus).alias(f"l{i}"))
-            aggs += [F.sum(gap * c).alias(f"u{i}_{j}") for j, c in enumerate(cols)]
-            aggs += [F.sum(weight * cols[j] * cols[k]).alias(f"i{i}_{j}_{k}") for j, k in triangle(len(b))]
-        row = with_mu.agg(*aggs).first()
+            softplus = f"(greatest(_eta{i}, 0D) + log1p(exp(-abs(_eta{i}))))"
+            sums.append(f"sum(wins * _eta{i} - n * {softplus}) AS l{i}")
+            sums += [f"sum(_g{i} * {c}) AS u{i}_{j}" for j, c in enumerate(columns[i])]
+            sums += [f"sum(_w{i} * {columns[i][j]} * {columns[i][k]}) AS i{i}_{j}_{k}" for j, k in triangle(len(columns[i]))]
+        row = with_gap.selectExpr(*sums).first()
         for i in group:
             p = len(asked[i][1])
             nan = lambda v: math.nan if v is None else v
@@ -141,14 +139,22 @@ def _outcome_cells(df: DataFrame, win: Column, models: Sequence[Sequence[Term]])
     return cell_table(known, models, [], [("n", F.lit(1)), ("wins", flag)])
 
 
-def fit_logits(df: DataFrame, win: Column, models: Mapping[str, Sequence[Term]]) -> dict[str, LogitFit]:
+def fit_logits(
+    df: DataFrame, win: Column, models: Mapping[str, Sequence[Term]], same_rows: bool = False
+) -> dict[str, LogitFit]:
     """Fit every candidate model; one pass over the compact cell table serves all of them per Newton step.
 
-    ``win`` is the condition for success. Each model uses the rows that are complete in its own columns; rows
-    with an unknown outcome are in none.
+    ``win`` is the condition for success. Each model uses the rows that are complete in its own columns, or,
+    with ``same_rows``, those complete in the columns of all; rows with an unknown outcome are in none.
     """
     with staged(_outcome_cells(df, win, list(models.values()))) as cells:
-        return _fit_cells(cells, models)
+        if not same_rows:
+            return _fit_cells(cells, models)
+        fits = _fit_cells(cells.dropna(), models)
+        total = int(cells.agg(F.sum("n")).first()[0])
+        for fit in fits.values():
+            fit.n_dropped = total - fit.n
+        return fits
 
 
 def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[str, LogitFit]:
@@ -226,17 +232,14 @@ def choose_forward(
     """Walk through rounds of candidates. A candidate replaces the current best when its AIC is lower, all its
     slopes are significant and, where the current best is nested in it, the likelihood-ratio test improves.
 
-    All rounds are fitted together, in shared passes.
+    All rounds are fitted together, in shared passes, on the rows complete in every candidate. The start is the
+    model without terms, named "null".
     """
-    fits = fit_logits(df, win, {name: terms for step in steps for name, terms in step.items()})
-    best: str | None = None
+    fits = fit_logits(df, win, {"null": []} | {name: terms for step in steps for name, terms in step.items()}, same_rows=True)
+    best = "null"
     for step in steps:
         for name in sorted(step, key=lambda m: fits[m].aic):
-            fit = fits[name]
-            if best is None:
-                best = name
-                break
-            held = fits[best]
+            fit, held = fits[name], fits[best]
             nested = set(held.labels) < set(fit.labels)
             better = fit.aic < held.aic and all(p < level for p in fit.p_values[1:])
             if better and (not nested or nested_test(held, fit).p < level):

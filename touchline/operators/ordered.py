@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.staging import stage
@@ -33,7 +33,7 @@ class Order:
 
     @staticmethod
     def of(table: DataFrame, key: str, strata: Sequence[str] = (), small_rows: int | None = None) -> Order:
-        """Choose the layout for a stored table (it is read once for its size, twice when it is large)."""
+        """Choose the layout for a table that is cheap to read: once for its size, twice when it is large."""
         limit = SMALL_ROWS if small_rows is None else small_rows
         rows = table.count()
         if rows <= limit:
@@ -56,64 +56,60 @@ class Order:
     def _groups(self) -> list[str]:
         return [*self.strata] if self.cuts is None else [*self.strata, BUCKET]
 
-    def _per_stratum(self):
-        return Window.partitionBy(*[F.col(c) for c in self.strata]) if self.strata else Window.partitionBy(F.lit(0))
+    @staticmethod
+    def _over(groups: Sequence[str], order: str = "", frame: str = "") -> str:
+        by = "PARTITION BY " + ", ".join(f"`{g}`" for g in groups) if groups else ""
+        return f"OVER ({by} {order} {frame})"
 
-    def _inside(self):
+    def running(self, df: DataFrame, sums: Mapping[str, str], descending: bool = False) -> DataFrame:
+        """Add inclusive running sums of SQL expressions along the key inside each stratum."""
+        way = "DESC" if descending else "ASC"
         groups = self._groups()
-        return Window.partitionBy(*[F.col(c) for c in groups]) if groups else Window.partitionBy(F.lit(0))
-
-    def running(self, df: DataFrame, sums: Mapping[str, Column], descending: bool = False) -> DataFrame:
-        """Add inclusive running sums along the key inside each stratum."""
-        by = F.col(self.key).desc() if descending else F.col(self.key).asc()
-        inside = self._inside().orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = self._over(groups, f"ORDER BY `{self.key}` {way}", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        inner = df.selectExpr("*", *[f"sum({e}) {inside} AS `{n}`" for n, e in sums.items()])
         if self.cuts is None:
-            return df.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
-        groups = self._groups()
-        order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-        before = self._per_stratum().orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            return inner
+        before = self._over(self.strata, f"ORDER BY {BUCKET} {way}", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
         offsets = (
             df.groupBy(*groups)
-            .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-            .select(*groups, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])
+            .agg(*[F.expr(f"sum({e}) AS `_t_{n}`") for n, e in sums.items()])
+            .selectExpr(*self._quoted(groups), *[f"sum(`_t_{n}`) {before} AS `_o_{n}`" for n in sums])
         )
-        kept = [F.col(c) for c in df.columns]
-        inner = df.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()])
-        # coalesce: a bucket whose earlier values are all null starts at nothing, not at null
-        return inner.join(offsets, groups).select(
-            *kept,
-            *[
-                F.when(F.col(n).isNull(), F.col(f"_o_{n}"))
-                .otherwise(F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-                .alias(n)
-                for n in sums
-            ],
+        # a bucket whose own or earlier values are all null adds nothing; null only where both are
+        return inner.join(offsets, groups).selectExpr(
+            *self._quoted(df.columns),
+            *[f"CASE WHEN `{n}` IS NULL THEN `_o_{n}` ELSE `{n}` + coalesce(`_o_{n}`, 0) END AS `{n}`" for n in sums],
         )
 
-    def totals(self, df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
+    @staticmethod
+    def _quoted(names: Sequence[str]) -> list[str]:
+        return [f"`{n}`" for n in names]
+
+    def totals(self, df: DataFrame, sums: Mapping[str, str]) -> DataFrame:
         """Add the sum over the whole stratum to every row."""
+        whole_over = self._over(self.strata)
         if self.cuts is None:
-            return df.select("*", *[F.sum(c).over(self._inside()).alias(n) for n, c in sums.items()])
+            return df.selectExpr("*", *[f"sum({e}) {whole_over} AS `{n}`" for n, e in sums.items()])
         groups = self._groups()
-        per_bucket = df.groupBy(*groups).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-        whole = per_bucket.select(*groups, *[F.sum(f"_t_{n}").over(self._per_stratum()).alias(n) for n in sums])
-        return df.join(whole, groups).select(*[F.col(c) for c in df.columns], *[F.col(n) for n in sums])
+        per_bucket = df.groupBy(*groups).agg(*[F.expr(f"sum({e}) AS `_t_{n}`") for n, e in sums.items()])
+        whole = per_bucket.selectExpr(*self._quoted(groups), *[f"sum(`_t_{n}`) {whole_over} AS `{n}`" for n in sums])
+        return df.join(whole, groups).selectExpr(*self._quoted(df.columns), *self._quoted(list(sums)))
 
     def following(self, df: DataFrame, name: str) -> DataFrame:
         """Add the next key of the stratum, null on its last row."""
-        inside = self._inside().orderBy(F.col(self.key))
-        if self.cuts is None:
-            return df.select("*", F.lead(self.key).over(inside).alias(name))
         groups = self._groups()
+        inner = f"lead(`{self.key}`) {self._over(groups, f'ORDER BY `{self.key}`')}"
+        if self.cuts is None:
+            return df.selectExpr("*", f"{inner} AS `{name}`")
         firsts = (
             df.groupBy(*groups)
             .agg(F.min(self.key).alias("_first"))
-            .select(*groups, F.lead("_first").over(self._per_stratum().orderBy(BUCKET)).alias("_next_first"))
+            .selectExpr(*self._quoted(groups), f"lead(_first) {self._over(self.strata, f'ORDER BY {BUCKET}')} AS _next_first")
         )
         return (
-            df.select("*", F.lead(self.key).over(inside).alias("_lead"))
+            df.selectExpr("*", f"{inner} AS _lead")
             .join(firsts, groups)
-            .select(*[F.col(c) for c in df.columns], F.coalesce("_lead", "_next_first").alias(name))
+            .selectExpr(*self._quoted(df.columns), f"coalesce(_lead, _next_first) AS `{name}`")
         )
 
 
@@ -137,7 +133,7 @@ def exact_quantiles(
     spots = [(total - 1) * p for p in probs]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
     order = Order.of(counts, "v", small_rows=small_rows)
-    ranked = order.running(order.assign(counts), {"upto": F.col("n")})
+    ranked = order.running(order.assign(counts), {"upto": "n"})
     wanted = F.array(*[F.lit(r).cast("bigint") for r in ranks])
     rows = ranked.select(
         "v", F.explode(F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("r")

@@ -53,4 +53,4 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
     """Dense position of each distinct key value (1-based), for tables of any size."""
     keys = stage(df.select(key).distinct())
     order = Order.of(keys, key)
-    return order.running(order.assign(keys), {"position": F.lit(1)}).select(key, "position")
+    return order.running(order.assign(keys), {"position": "1"}).select(key, "position")

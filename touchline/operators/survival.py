@@ -44,7 +44,7 @@ class EventTable:
 def event_table(df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None) -> EventTable:
     counts = stage(time_counts(df, time, event, strata))
     order = Order.of(counts, "time", strata, small_rows)
-    table = order.running(order.assign(counts), {"n_risk": F.col("n_all")}, descending=True)
+    table = order.running(order.assign(counts), {"n_risk": "n_all"}, descending=True)
     return EventTable(table.withColumn("n_censor", F.col("n_all") - F.col("n_event")), order, tuple(strata))
 
 
@@ -52,15 +52,14 @@ CURVE_COLUMNS = ["time", "n_risk", "n_event", "n_censor", "survival", "std_err",
 
 
 def _curve(events: EventTable) -> DataFrame:
-    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
-    left = n - d
+    alive_here = "n_event < n_risk"
     run = events.order.running(
         events.table,
         {
-            "_log": F.when(left > 0, F.log1p(-d / n)),
-            "_ended": F.when(left > 0, 0).otherwise(1),
-            "_green": F.when(left > 0, d / (n * left)),
-            "cum_hazard": d / n,
+            "_log": f"CASE WHEN {alive_here} THEN log1p(-n_event / n_risk) END",
+            "_ended": f"CASE WHEN {alive_here} THEN 0 ELSE 1 END",
+            "_green": f"CASE WHEN {alive_here} THEN n_event / (double(n_risk) * (n_risk - n_event)) END",
+            "cum_hazard": "n_event / n_risk",
         },
     )
     alive = F.col("_ended") == 0
@@ -133,7 +132,7 @@ def curve_summary(
     upto = F.least(F.coalesce(F.col("_next"), stop), stop)
     # area of the step that starts at this time
     stepped = spaced.withColumn("_area", F.when(F.col("time") < stop, F.col("survival") * (upto - F.col("time"))).otherwise(0.0))
-    behind = order.running(stepped, {"_right": F.col("_area")}, descending=True)
+    behind = order.running(stepped, {"_right": "_area"}, descending=True)
     d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
     noise = F.when((n > d) & (F.col("time") <= stop), d / (n * (n - d)) * F.col("_right") * F.col("_right")).otherwise(0.0)
     sums = behind.groupBy(*groups).agg(
@@ -208,26 +207,20 @@ def rank_test(
     )
     table = stage(wide)
     order = Order.of(table, "time", small_rows=small_rows)
-    risk = order.running(
-        order.assign(table), {"n": F.col("n_all"), **{f"n{i}": F.col(f"c{i}") for i in range(k)}}, descending=True
-    )
-    n, d = F.col("n").cast("double"), F.col("d").cast("double")
+    risk = order.running(order.assign(table), {"n": "n_all", **{f"n{i}": f"c{i}" for i in range(k)}}, descending=True)
     if rho:
         # survival just before: the running product up to here without this time's own factor
-        own = F.when(n > d, F.log1p(-d / n))
+        own = "CASE WHEN n > d THEN log1p(-d / n) END"
         logs = order.running(risk, {"_log": own})
-        before = F.coalesce(F.col("_log"), F.lit(0.0)) - F.coalesce(own, F.lit(0.0))
-        risk = logs.withColumn("w", F.exp(F.lit(float(rho)) * before))
+        risk = logs.selectExpr("*", f"exp({float(rho)}D * (coalesce(_log, 0) - coalesce({own}, 0))) AS w")
     else:
-        risk = risk.withColumn("w", F.lit(1.0))
-    w = F.col("w")
-    share = [F.col(f"n{i}") / n for i in range(k)]
-    common = F.when(n > 1, w * w * d * (n - d) / (n - 1)).otherwise(0.0)
-    aggs = [F.sum(f"c{i}").alias(f"N{i}") for i in range(k)]
-    aggs += [F.sum(w * F.col(f"d{i}")).alias(f"O{i}") for i in range(k)]
-    aggs += [F.sum(w * d * share[i]).alias(f"E{i}") for i in range(k)]
-    aggs += [F.sum(common * share[i] * ((1.0 if i == j else 0.0) - share[j])).alias(f"V{i}_{j}") for i, j in triangle(k)]
-    row = risk.agg(*aggs).first()
+        risk = risk.selectExpr("*", "1D AS w")
+    common = "CASE WHEN n > 1 THEN w * w * d * (n - d) / (n - 1) ELSE 0 END"
+    sums = [f"sum(c{i}) AS N{i}" for i in range(k)]
+    sums += [f"sum(w * d{i}) AS O{i}" for i in range(k)]
+    sums += [f"sum(w * d * (n{i} / n)) AS E{i}" for i in range(k)]
+    sums += [f"sum({common} * (n{i} / n) * ({1 if i == j else 0} - n{j} / n)) AS V{i}_{j}" for i, j in triangle(k)]
+    row = risk.selectExpr(*sums).first()
     sizes = np.array([row[f"N{i}"] or 0 for i in range(k)], dtype=float)
     seen = np.array([row[f"O{i}"] or 0.0 for i in range(k)])
     expected = np.array([row[f"E{i}"] or 0.0 for i in range(k)])

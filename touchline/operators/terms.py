@@ -108,3 +108,18 @@ def cell_table(
 
 def x(label: str) -> Column:
     return F.col(f"`{slot(label)}`")
+
+
+def x_sql(label: str) -> str:
+    """The same as SQL text. The sums of a likelihood pass run to hundreds of terms: one parsed text per sum is
+    far cheaper to build than a tree of column objects."""
+    return f"`{slot(label)}`"
+
+
+def number(value: float) -> str:
+    """A double as SQL text, all digits kept."""
+    return f"({float(value)!r}D)"
+
+
+def linear_sql(coef: Sequence[float], columns: Sequence[str]) -> str:
+    return " + ".join(f"{number(b)} * {c}" for b, c in zip(coef, columns)) or "0D"

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.tails import Z95, chi_square_upper, normal_two_sided
-from touchline.operators.logit import INTERCEPT, NestedTest, linear_predictor
+from touchline.operators.logit import INTERCEPT, NestedTest
 from touchline.operators.newton import Point, batches, climb_all, invert, symmetric, triangle
 from touchline.operators.staging import staged
-from touchline.operators.terms import Term, cell_table, design, x
+from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
 
 LOG_SCALE = "Log(scale)"
 
@@ -107,7 +107,6 @@ def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -
     """
     out: list[Point | None] = [None] * len(asked)
     sizes = [3 + len(b) + len(triangle(len(b))) for _, b in asked]
-    log_t = F.ln("time")
     for group in batches(sizes):
         if any(asked[i][1][-1] <= 0 for i in group):
             # outside the parameter space: the loop halves the step
@@ -118,22 +117,20 @@ def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -
             group = [i for i in group if out[i] is None]
             if not group:
                 continue
-        zs = {}
-        for i in group:
-            labels, b = asked[i]
-            zs[i] = F.lit(float(b[-1])) * log_t - linear_predictor(b[:-1], [F.lit(1.0), *[x(c) for c in labels]])
-        with_z = cells.select("*", *[z.alias(f"_z{i}") for i, z in zs.items()])
-        with_a = with_z.select("*", *[(F.col("n") * F.exp(F.col(f"_z{i}"))).alias(f"_a{i}") for i in group])
-        aggs = []
+        columns = {i: ["1D", *[x_sql(c) for c in asked[i][0]]] for i in group}
+        timed = cells.selectExpr("*", "ln(time) AS _lt")
+        with_z = timed.selectExpr(
+            "*", *[f"{number(asked[i][1][-1])} * _lt - ({linear_sql(asked[i][1][:-1], columns[i])}) AS _z{i}" for i in group]
+        )
+        with_a = with_z.selectExpr("*", *[f"n * exp(_z{i}) AS _a{i}" for i in group])
+        sums = []
         for i in group:
-            labels, b = asked[i]
-            z, a, d = F.col(f"_z{i}"), F.col(f"_a{i}"), F.col("d")
-            dirs = [F.lit(-1.0), *[-x(c) for c in labels], log_t]
-            aggs.append(F.sum(d * (z + F.lit(math.log(b[-1])) - log_t) - a).alias(f"l{i}"))
-            aggs.append(F.sum(F.when(z.isNotNull(), d)).alias(f"d{i}"))
-            aggs += [F.sum((d - a) * c).alias(f"u{i}_{j}") for j, c in enumerate(dirs)]
-            aggs += [F.sum(a * dirs[j] * dirs[k]).alias(f"i{i}_{j}_{k}") for j, k in triangle(len(b))]
-        row = with_a.agg(*aggs).first()
+            dirs = [*[f"(-{c})" for c in columns[i]], "_lt"]
+            sums.append(f"sum(d * (_z{i} + {number(math.log(asked[i][1][-1]))} - _lt) - _a{i}) AS l{i}")
+            sums.append(f"sum(CASE WHEN _z{i} IS NOT NULL THEN d END) AS d{i}")
+            sums += [f"sum((d - _a{i}) * {c}) AS u{i}_{j}" for j, c in enumerate(dirs)]
+            sums += [f"sum(_a{i} * {dirs[j]} * {dirs[k]}) AS i{i}_{j}_{k}" for j, k in triangle(len(dirs))]
+        row = with_a.selectExpr(*sums).first()
         for i in group:
             g, p, d = asked[i][1][-1], len(asked[i][1]), row[f"d{i}"]
             score = np.array([row[f"u{i}_{j}"] for j in range(p)], dtype=float)
