@@ -153,6 +153,7 @@ def test_two_sided_match(spark):
 def test_positions_and_grid(spark):
     df = spark.range(20).select((F.lit(100) - F.col("id")).alias("v"))
     assert rows(reshape.pick_positions(df, ["v"], [1, 11]), "v") == [(81, 1), (91, 11)]
+    assert rows(reshape.pick_positions(df, ["v"], [1, 11, 20], top_rows=5), "v") == [(81, 1), (91, 11), (100, 20)]
     assert rows(reshape.first_rows(df, ["v"], 2), "v") == [(81,), (82,)]
     grid = [r[0] for r in reshape.value_grid(16, 98, 0.1, "p", df).orderBy("p").collect()]
     assert len(grid) == 821 and grid[0] == 16.0 and grid[-1] == pytest.approx(98.0, abs=1e-9)

@@ -48,7 +48,7 @@ def concordance(df: DataFrame, time: str, event: str, score: str, small_rows: in
 
 def concordance_of_cells(cells: DataFrame, small_rows: int | None = None) -> Concordance:
     """The same for rows (time, e, score) that stand for ``w`` equal rows each."""
-    ranks = number_rows(cells, "time")
+    ranks = stage(number_rows(cells, "time"))
     placed = stage(
         keyed_join(cells, ranks, ["time"], "inner").select((F.col("position") * 2 + (1 - F.col("e"))).alias("pos"), "e", "score", "w")
     )
@@ -92,7 +92,9 @@ def concordance_of_cells(cells: DataFrame, small_rows: int | None = None) -> Con
             (F.col("early_upto") - F.col("early")).alias("bad"),
         ).alias("as_right"),
     )
-    # only the rows that take part in pairs at this bit look their counts up: events on the left, all on the right
+    # only the rows that take part in pairs at this bit look their counts up: events on the left, all on the right.
+    # `sides` has one row per key; a score shared by many rows makes a hot key on the left only, which the
+    # adaptive skew join splits
     wanted = copies.where(F.col("right") | (F.col("e") == 1)).select("pos", "score", "w", "bit", "head", "right")
     met = F.when(F.col("right"), F.col("as_right")).otherwise(F.col("as_left"))
     per_row = (

@@ -285,7 +285,7 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     coefficient, scaled residual, and scaled residual plus coefficient (the time-varying coefficient drawn
     against g)."""
     p = len(fit.labels)
-    table = _with_transform(fit).selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)])
+    table = stage(_with_transform(fit).selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)]))
     events = fit.cells.where("d > 0").select(
         "time", F.col("d").cast("bigint").alias("rows"), *[(x(c) - F.lit(float(m))).alias(f"_x{j}") for j, (c, m) in enumerate(zip(fit.labels, fit.means))]
     )

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import chord_km, great_circle_km, not_listed, unit_vector
+from touchline.operators.staging import stage
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -78,13 +79,14 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 def keep_keys(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key occurs in the other table."""
-    wanted = other.select(F.col(other_key).alias(key)).distinct()
+    # stored, since the size check and the join both read it
+    wanted = stage(other.select(F.col(other_key).alias(key)).distinct())
     return keyed_join(df, wanted, [key], "left_semi")
 
 
 def drop_keys(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key does not occur in the other table; a null key stays."""
-    unwanted = other.select(F.col(other_key).alias(key)).distinct()
+    unwanted = stage(other.select(F.col(other_key).alias(key)).distinct())
     return keyed_join(df, unwanted, [key], "left_anti")
 
 
@@ -110,7 +112,7 @@ def pair_distances(pairs: DataFrame, venues: DataFrame, sides: tuple[str, str] =
 
 def attach_pair(df: DataFrame, pairs: DataFrame, sides: Sequence[str] = ("home", "away")) -> DataFrame:
     """Left join on the two-column key. Repeated pairs are reduced to one row so that no match multiplies."""
-    out = keyed_join(df, pairs.dropDuplicates(list(sides)), list(sides), "left")
+    out = keyed_join(df, stage(pairs.dropDuplicates(list(sides))), list(sides), "left")
     return out.select(*df.columns, *[c for c in pairs.columns if c not in df.columns])
 
 

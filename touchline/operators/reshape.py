@@ -28,14 +28,31 @@ def two_sided(
     return df.select(*keep, both.alias("_side")).select("_side.*", *keep)
 
 
-def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[int]) -> DataFrame:
-    """Rows at the given 1-based positions of a stated total order, with the position.
+TOP_ROWS = 10_000
 
-    Only one row per position is wanted, so the top of the order is enough: no full sort is stored.
+
+def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[int], top_rows: int = TOP_ROWS) -> DataFrame:
+    """Rows at the given 1-based positions of a stated order, with the position.
+
+    Positions near the start need only the top of the order. Further in, the rows are sorted into ranges, the
+    ranges stored and counted, and each row numbered inside its range.
     """
-    top = df.orderBy(*order_by).limit(max(positions))
-    numbered = top.withColumn("row", F.row_number().over(Window.orderBy(*order_by)))
-    return numbered.where(F.col("row").isin(list(positions)))
+    wanted = F.col("row").isin(list(positions))
+    if max(positions) <= top_rows:
+        top = df.orderBy(*order_by).limit(max(positions))
+        return top.withColumn("row", F.row_number().over(Window.orderBy(*order_by))).where(wanted)
+    # equal rows may part anywhere: the hash and the input partition keep a block of copies from being one range
+    ranged = df.withColumns({"_h": F.xxhash64(*df.columns), "_in": F.spark_partition_id()})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order_by, "_h", "_in"]
+    stored = stage(ranged.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    # one row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = stored.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    placed = numbered.join(starts, "_range").withColumn("row", F.col("_start") + F.col("_at"))
+    return placed.where(wanted).select(*df.columns, "row")
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.tails import Z95, chi_square_upper
@@ -37,6 +37,7 @@ class EventTable:
     """Per stratum and time: n_risk, n_event, n_censor, with the layout used for running sums."""
 
     table: DataFrame
+    counts: DataFrame
     order: Order
     strata: tuple[str, ...]
 
@@ -45,7 +46,7 @@ def event_table(df: DataFrame, time: str, event: str, strata: Sequence[str] = ()
     counts = stage(time_counts(df, time, event, strata))
     order = Order.of(counts, "time", strata, small_rows)
     table = order.running(order.assign(counts), {"n_risk": "n_all"}, descending=True)
-    return EventTable(table.withColumn("n_censor", F.col("n_all") - F.col("n_event")), order, tuple(strata))
+    return EventTable(table.withColumn("n_censor", F.col("n_all") - F.col("n_event")), counts, order, tuple(strata))
 
 
 CURVE_COLUMNS = ["time", "n_risk", "n_event", "n_censor", "survival", "std_err", "lower", "upper", "cum_hazard"]
@@ -90,28 +91,32 @@ def cumulative_hazard(curve: DataFrame, strata: Sequence[str] = ()) -> DataFrame
     )
 
 
-def _medians(curve: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Median time of the curve and of its two limits per stratum: two small aggregates over the curve."""
-    groups = list(strata)
-    kinds = {"median": "survival", "lower_median": "lower", "upper_median": "upper"}
-    below = {k: (F.col(c) < 0.5 + HALF_TOLERANCE) for k, c in kinds.items()}
-    firsts = [
-        F.min_by(F.struct("time", c), F.when(below[k], F.col("time"))).alias(f"_f_{k}") for k, c in kinds.items()
-    ]
-    # the time after a flat step at one half: the first time clearly below it
-    nexts = [F.min(F.when(F.col(c) < 0.5 - HALF_TOLERANCE, F.col("time"))).alias(f"_n_{k}") for k, c in kinds.items()]
-    out = curve.groupBy(*groups).agg(*firsts, *nexts)
+MEDIANS = {"median": "survival", "lower_median": "lower", "upper_median": "upper"}
+
+
+def _median_parts() -> list[Column]:
+    """Aggregates over a curve: its first point at or below one half, and the first time clearly below it."""
+    parts = []
+    for name, c in MEDIANS.items():
+        reached = F.col(c) < 0.5 + HALF_TOLERANCE
+        parts.append(F.min_by(F.struct("time", c), F.when(reached, F.col("time"))).alias(f"_first_{name}"))
+        parts.append(F.min(F.when(F.col(c) < 0.5 - HALF_TOLERANCE, F.col("time"))).alias(f"_below_{name}"))
+    return parts
+
+
+def _median_columns() -> list[Column]:
+    """First time at or below one half; on a flat step at exactly one half, the middle of the step."""
     done = []
-    for k, c in kinds.items():
-        at, value, after = F.col(f"_f_{k}.time"), F.col(f"_f_{k}.{c}"), F.col(f"_n_{k}")
+    for name, c in MEDIANS.items():
+        at, value, after = F.col(f"_first_{name}.time"), F.col(f"_first_{name}.{c}"), F.col(f"_below_{name}")
         on_half = (F.abs(value - 0.5) < HALF_TOLERANCE) & after.isNotNull()
-        done.append(F.when(on_half, (at + after) / 2).otherwise(at).alias(k))
-    return out.select(*groups, *done)
+        done.append(F.when(on_half, (at + after) / 2).otherwise(at).alias(name))
+    return done
 
 
 def median_survival(curve: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
     """Median per stratum with limits read off the limit curves; null where a curve stays above one half."""
-    return _medians(curve, strata)
+    return curve.groupBy(*strata).agg(*_median_parts()).select(*strata, *_median_columns())
 
 
 def curve_summary(
@@ -125,7 +130,7 @@ def curve_summary(
     groups = list(strata)
     curve = _curve(events)
     if end is None:
-        end = events.table.agg(F.max("time")).first()[0]
+        end = events.counts.agg(F.max("time")).first()[0]
     stop = F.lit(float(end) if end is not None else None).cast("double")
     order = events.order
     spaced = order.following(curve, "_next")
@@ -140,23 +145,10 @@ def curve_summary(
         F.sum("n_event").alias("events"),
         (F.least(F.min("time"), stop) + F.sum("_area")).alias("rmean"),
         F.sqrt(F.sum(noise)).alias("se_rmean"),
+        *_median_parts(),
     )
-    medians = _medians(curve, groups)
-    if not groups:
-        # two one-row tables: pair them on a constant
-        joined = sums.withColumn("_k", F.lit(1)).join(medians.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    else:
-        joined = sums.join(medians, groups)
-    return joined.select(
-        *groups,
-        "records",
-        F.col("records").alias("n_start"),
-        "events",
-        "rmean",
-        "se_rmean",
-        "median",
-        "lower_median",
-        "upper_median",
+    return sums.select(
+        *groups, "records", F.col("records").alias("n_start"), "events", "rmean", "se_rmean", *_median_columns()
     )
 
 
