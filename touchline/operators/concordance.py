@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
 from touchline.operators.ordered import Order
 from touchline.operators.reshape import number_rows
@@ -34,15 +35,20 @@ class Concordance:
     std_error: float
 
 
-def concordance(df: DataFrame, time: str, event: str, score: str, small_rows: int | None = None) -> Concordance:
+def concordance(
+    df: DataFrame, time: str, event: str, score: str, small_rows: int | None = None, weight: str | None = None
+) -> Concordance:
     """Share of comparable pairs where the row with the earlier event has the higher score, ties one half.
 
     The error is the infinitesimal jackknife: the root of the summed squares of each row's influence.
     """
     rows = df.select(
-        F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("e"), F.col(score).cast("double").alias("score")
+        F.col(time).cast("double").alias("time"),
+        F.col(event).cast("int").alias("e"),
+        F.col(score).cast("double").alias("score"),
+        rows_of(weight).alias("w"),
     ).dropna()
-    cells = stage(rows.groupBy("time", "e", "score").agg(F.count(F.lit(1)).alias("w")))
+    cells = stage(rows.groupBy("time", "e", "score").agg(F.sum("w").alias("w")))
     return concordance_of_cells(cells, small_rows)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.tails import Z95, chi_square_upper, normal_two_sided
+from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
 from touchline.operators.logit import NestedTest
 from touchline.operators.newton import Point, climb_all, invert, solve, symmetric, triangle
@@ -172,16 +173,19 @@ def _evaluate(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: np.
 
 
 def fit_coxes(
-    df: DataFrame, time: str, event: str, models: Mapping[str, Sequence[Term]], small_rows: int | None = None
+    df: DataFrame,
+    time: str,
+    event: str,
+    models: Mapping[str, Sequence[Term]],
+    small_rows: int | None = None,
+    weight: str | None = None,
 ) -> dict[str, CoxFit]:
     """Fit several Cox models on one grouped table. Each model uses the rows complete in its own columns."""
     names = list(models)
     known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
-    cells = stage(
-        cell_table(
-            known, list(models.values()), [("time", F.col(time).cast("double"))], [("n", F.lit(1)), ("d", F.col(event).cast("int"))]
-        )
-    )
+    n = rows_of(weight)
+    sums = [("n", n), ("d", F.col(event).cast("int") * n)]
+    cells = stage(cell_table(known, list(models.values()), [("time", F.col(time).cast("double"))], sums))
     order = Order.of(cells.select("time").distinct(), "time", small_rows=small_rows)
     labels = [[label for label, _ in design(models[m])] for m in names]
     if any(not cols for cols in labels):
@@ -219,8 +223,10 @@ def fit_coxes(
     return fits
 
 
-def fit_cox(df: DataFrame, time: str, event: str, terms: Sequence[Term], small_rows: int | None = None) -> CoxFit:
-    return fit_coxes(df, time, event, {"model": terms}, small_rows)["model"]
+def fit_cox(
+    df: DataFrame, time: str, event: str, terms: Sequence[Term], small_rows: int | None = None, weight: str | None = None
+) -> CoxFit:
+    return fit_coxes(df, time, event, {"model": terms}, small_rows, weight)["model"]
 
 
 def nested_cox_test(small: CoxFit, large: CoxFit) -> NestedTest:

@@ -9,20 +9,25 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import log_odds, sentinel_fill, NO_GOAL
+from touchline.functions.columns import NO_GOAL, log_odds, sentinel_fill
+from touchline.operators.staging import stage
 
 
-def class_shares(df: DataFrame, col: str) -> DataFrame:
+def rows_of(weight: str | None) -> Column:
+    """How many rows a row stands for: one, or the count column of a grouped frame."""
+    return F.lit(1) if weight is None else F.col(weight)
+
+
+def class_shares(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
     """Count and share of each class. The window runs over the class counts, not over the rows."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(col).agg(F.sum(rows_of(weight)).alias("n"))
     return counts.select(col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def rate_table(df: DataFrame, keys: Sequence[str], win: Column) -> DataFrame:
+def rate_table(df: DataFrame, keys: Sequence[str], win: Column, weight: str | None = None) -> DataFrame:
     """Wins, games, win rate and log odds per key; keys without a win are left out. One aggregate."""
-    table = df.groupBy(*keys).agg(
-        F.count_if(win).alias("wins"), F.count(F.lit(1)).alias("games_played")
-    )
+    n = rows_of(weight)
+    table = df.groupBy(*keys).agg(F.sum(F.when(win, n).otherwise(0)).alias("wins"), F.sum(n).alias("games_played"))
     return table.where("wins > 0").select(
         *keys,
         "wins",
@@ -32,10 +37,10 @@ def rate_table(df: DataFrame, keys: Sequence[str], win: Column) -> DataFrame:
     )
 
 
-def level_counts(df: DataFrame, col: str, levels: Sequence) -> DataFrame:
+def level_counts(df: DataFrame, col: str, levels: Sequence, weight: str | None = None) -> DataFrame:
     """Frequency of every listed level, zero counts included, values off the list left out, with percent."""
     known = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(levels)], f"level_no int, {col} {_kind(df, col)}")
-    counts = df.where(F.col(col).isin(list(levels))).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(col).isin(list(levels))).groupBy(col).agg(F.sum(rows_of(weight)).alias("n"))
     # `known` is the caller's level list: its size is the length of a Python list
     filled = F.broadcast(known).join(counts, col, "left").select(col, "level_no", F.coalesce("n", F.lit(0)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
@@ -114,17 +119,22 @@ def round_breaks(low: float, high: float, bins: int) -> list[float]:
     return [i * width for i in range(first, last + 1)]
 
 
-def histogram(df: DataFrame, col: str, bins: int = 15) -> DataFrame:
-    """Counts on round equal bins, right-closed, the lowest value in the first bin, empty bins shown."""
-    x = F.col(col).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
+def histogram(df: DataFrame, col: str, bins: int = 15, weight: str | None = None) -> DataFrame:
+    """Counts on round equal bins, right-closed, the lowest value in the first bin, empty bins shown.
+
+    The rows are read once, into counts per distinct value; range and bins come from those.
+    """
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    counted = stage(values.agg(F.sum(rows_of(weight)).alias("n")))
+    x = F.col("v")
+    low, high = counted.agg(F.min(x), F.max(x)).first()
     spark = df.sparkSession
     if low is None:
         return spark.createDataFrame([], "bin int, lower double, upper double, n bigint")
     cuts = round_breaks(low, high, bins)
     width = cuts[1] - cuts[0]
     number = F.greatest(F.ceil((x - F.lit(cuts[0])) / F.lit(width) - F.lit(1e-7)), F.lit(1)).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.groupBy(number.alias("bin")).agg(F.sum("n").alias("n"))
     frame = spark.createDataFrame(
         [(i + 1, cuts[i], cuts[i + 1]) for i in range(len(cuts) - 1)], "bin int, lower double, upper double"
     )

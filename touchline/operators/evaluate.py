@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import if_else
 from touchline.functions.tails import binomial_upper, chi_square_upper, exact_binomial_interval
+from touchline.operators.describe import rows_of
 from touchline.operators.ordered import Order, exact_quantiles
 from touchline.operators.staging import stage
 
@@ -24,16 +25,16 @@ class RankedScores:
     higher_wins: bool
 
 
-def rank_scores(df: DataFrame, win: Column, score: str, small_rows: int | None = None) -> RankedScores:
+def rank_scores(
+    df: DataFrame, win: Column, score: str, small_rows: int | None = None, weight: str | None = None
+) -> RankedScores:
     """Count wins and losses per distinct score and accumulate along the scores. Incomplete rows are left out.
 
     Direction: higher scores mean a win unless the median score of the losses is above that of the wins.
     """
-    y = if_else(win, F.lit(1), F.lit(0))
-    rows = df.select(F.col(score).cast("double").alias("score"), y.alias("y")).dropna()
-    counts = stage(
-        rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    )
+    n = rows_of(weight)
+    rows = df.select(F.col(score).cast("double").alias("score"), n.alias("n"), if_else(win, n, F.lit(0)).alias("y")).dropna()
+    counts = stage(rows.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(F.col("n") - F.col("y")).alias("neg")))
     pos, neg = counts.agg(F.sum("pos"), F.sum("neg")).first()
     if not pos or not neg:
         raise ValueError("both classes are needed")
@@ -119,12 +120,12 @@ class Confusion:
         return spark.createDataFrame([(k, float(v)) for k, v in asdict(self).items()], "statistic string, value double")
 
 
-def confusion(df: DataFrame, predicted: Column, actual: Column) -> Confusion:
+def confusion(df: DataFrame, predicted: Column, actual: Column, weight: str | None = None) -> Confusion:
     """Statistics of two Win / Loss-or-Draw columns; Win is the positive class. Four counts leave the executors."""
     p, a = predicted == "Win", actual == "Win"
-    row = df.agg(
-        F.count_if(p & a).alias("tp"), F.count_if(~p & a).alias("fn"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & ~a).alias("tn")
-    ).first()
+    cells = {"tp": p & a, "fn": ~p & a, "fp": p & ~a, "tn": ~p & ~a}
+    n = rows_of(weight)
+    row = df.agg(*[F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(k) for k, c in cells.items()]).first()
     return confusion_statistics(row["tp"], row["fn"], row["fp"], row["tn"])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import if_else
 from touchline.functions.tails import CHI2_95_1DF, chi_square_upper, normal_two_sided
+from touchline.operators.describe import rows_of
 from touchline.operators.newton import Point, batches, climb_all, invert, solve, symmetric, triangle
 from touchline.operators.ordered import quantile_bins
 from touchline.operators.staging import stage, staged
@@ -133,21 +134,23 @@ def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -
     return out
 
 
-def _outcome_cells(df: DataFrame, win: Column, models: Sequence[Sequence[Term]]) -> DataFrame:
-    flag = if_else(win, F.lit(1), F.lit(0))
+def _outcome_cells(df: DataFrame, win: Column, models: Sequence[Sequence[Term]], weight: str | None) -> DataFrame:
+    n = rows_of(weight)
+    flag = if_else(win, n, F.lit(0))
     known = df.where(flag.isNotNull())
-    return cell_table(known, models, [], [("n", F.lit(1)), ("wins", flag)])
+    return cell_table(known, models, [], [("n", n), ("wins", flag)])
 
 
 def fit_logits(
-    df: DataFrame, win: Column, models: Mapping[str, Sequence[Term]], same_rows: bool = False
+    df: DataFrame, win: Column, models: Mapping[str, Sequence[Term]], same_rows: bool = False, weight: str | None = None
 ) -> dict[str, LogitFit]:
     """Fit every candidate model; one pass over the compact cell table serves all of them per Newton step.
 
     ``win`` is the condition for success. Each model uses the rows that are complete in its own columns, or,
     with ``same_rows``, those complete in the columns of all; rows with an unknown outcome are in none.
+    ``weight`` names the count column of a grouped frame.
     """
-    with staged(_outcome_cells(df, win, list(models.values()))) as cells:
+    with staged(_outcome_cells(df, win, list(models.values()), weight)) as cells:
         if not same_rows:
             return _fit_cells(cells, models)
         fits = _fit_cells(cells.dropna(), models)
@@ -196,8 +199,8 @@ def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[s
     return fits
 
 
-def fit_logit(df: DataFrame, win: Column, terms: Sequence[Term]) -> LogitFit:
-    return fit_logits(df, win, {"model": terms})["model"]
+def fit_logit(df: DataFrame, win: Column, terms: Sequence[Term], weight: str | None = None) -> LogitFit:
+    return fit_logits(df, win, {"model": terms}, weight=weight)["model"]
 
 
 def compare_models(fits: Mapping[str, LogitFit], spark: SparkSession, level: float = 0.05) -> DataFrame:
@@ -227,7 +230,11 @@ def nested_test(small: LogitFit, large: LogitFit) -> NestedTest:
 
 
 def choose_forward(
-    df: DataFrame, win: Column, steps: Sequence[Mapping[str, Sequence[Term]]], level: float = 0.05
+    df: DataFrame,
+    win: Column,
+    steps: Sequence[Mapping[str, Sequence[Term]]],
+    level: float = 0.05,
+    weight: str | None = None,
 ) -> tuple[str, dict[str, LogitFit]]:
     """Walk through rounds of candidates. A candidate replaces the current best when its AIC is lower, all its
     slopes are significant and, where the current best is nested in it, the likelihood-ratio test improves.
@@ -235,7 +242,8 @@ def choose_forward(
     All rounds are fitted together, in shared passes, on the rows complete in every candidate. The start is the
     model without terms, named "null".
     """
-    fits = fit_logits(df, win, {"null": []} | {name: terms for step in steps for name, terms in step.items()}, same_rows=True)
+    candidates = {"null": []} | {name: terms for step in steps for name, terms in step.items()}
+    fits = fit_logits(df, win, candidates, same_rows=True, weight=weight)
     best = "null"
     for step in steps:
         for name in sorted(step, key=lambda m: fits[m].aic):
@@ -248,14 +256,16 @@ def choose_forward(
     return best, fits
 
 
-def profile_intervals(df: DataFrame, win: Column, terms: Sequence[Term], max_passes: int = 40) -> tuple[LogitFit, DataFrame]:
+def profile_intervals(
+    df: DataFrame, win: Column, terms: Sequence[Term], max_passes: int = 40, weight: str | None = None
+) -> tuple[LogitFit, DataFrame]:
     """Profile-likelihood 95% limits of every coefficient, with odds ratios.
 
     All 2p limits advance together: each solves "log-likelihood has dropped by half the chi-square point and
     the other coefficients are at their best" by Newton steps, and one pass over the cells evaluates them all.
     """
     spark = df.sparkSession
-    with staged(_outcome_cells(df, win, [terms])) as cells:
+    with staged(_outcome_cells(df, win, [terms], weight)) as cells:
         fit = _fit_cells(cells, {"model": terms})["model"]
         if not fit.converged:
             raise ValueError("no finite maximum: profile limits do not exist")
@@ -347,14 +357,14 @@ def with_residuals(df: DataFrame, win: Column, fit: LogitFit) -> DataFrame:
     )
 
 
-def calibration(df: DataFrame, win: Column, score: str, bins: int = 10) -> DataFrame:
+def calibration(df: DataFrame, win: Column, score: str, bins: int = 10, weight: str | None = None) -> DataFrame:
     """Equal-count score bins with observed win rate and mean predicted score.
 
     Scores are counted per distinct value first: the quantiles and the bin sums read that compact table.
     """
-    y = if_else(win, F.lit(1), F.lit(0))
-    scored = df.select(F.col(score).alias("score"), y.alias("y")).dropna()
-    counts = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("wins"))
+    n = rows_of(weight)
+    scored = df.select(F.col(score).alias("score"), n.alias("n"), if_else(win, n, F.lit(0)).alias("y")).dropna()
+    counts = scored.groupBy("score").agg(F.sum("n").alias("n"), F.sum("y").alias("wins"))
     kept = stage(counts)
     binned, _ = quantile_bins(kept, "score", bins, "bin", weight="n")
     return (
@@ -379,9 +389,11 @@ class GroupedFitTest:
     groups: int
 
 
-def hosmer_lemeshow(df: DataFrame, win: Column, score: str, groups: int = 10) -> GroupedFitTest:
+def hosmer_lemeshow(
+    df: DataFrame, win: Column, score: str, groups: int = 10, weight: str | None = None
+) -> GroupedFitTest:
     """Observed against expected wins and losses over equal-count score groups; equal cuts are merged."""
-    rows = calibration(df, win, score, groups).collect()  # at most `groups` rows
+    rows = calibration(df, win, score, groups, weight).collect()  # at most `groups` rows
     stat = 0.0
     for r in rows:
         lost, expected_lost = r["n"] - r["wins"], r["n"] - r["expected"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.tails import Z95, chi_square_upper
+from touchline.operators.describe import rows_of
 from touchline.operators.newton import solve, symmetric, triangle
 from touchline.operators.ordered import Order
 from touchline.operators.staging import stage
@@ -19,16 +20,17 @@ MAX_GROUPS = 40
 HALF_TOLERANCE = 1.4901161193847656e-08
 
 
-def time_counts(df: DataFrame, time: str, event: str, strata: Sequence[str] = ()) -> DataFrame:
+def time_counts(df: DataFrame, time: str, event: str, strata: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Rows and events per stratum and distinct time. Rows with a null in a used column are left out.
 
     Equal times merge before the shuffle, so a time that holds most rows (full time) is no hot spot.
     """
+    n = rows_of(weight)
     return (
-        df.select(*strata, F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("_e"))
+        df.select(*strata, F.col(time).cast("double").alias("time"), n.alias("_n"), (F.col(event).cast("int") * n).alias("_e"))
         .dropna()
         .groupBy(*strata, "time")
-        .agg(F.count(F.lit(1)).alias("n_all"), F.sum("_e").alias("n_event"))
+        .agg(F.sum("_n").alias("n_all"), F.sum("_e").alias("n_event"))
     )
 
 
@@ -42,8 +44,10 @@ class EventTable:
     strata: tuple[str, ...]
 
 
-def event_table(df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None) -> EventTable:
-    counts = stage(time_counts(df, time, event, strata))
+def event_table(
+    df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None, weight: str | None = None
+) -> EventTable:
+    counts = stage(time_counts(df, time, event, strata, weight))
     order = Order.of(counts, "time", strata, small_rows)
     table = order.running(order.assign(counts), {"n_risk": "n_all"}, descending=True)
     return EventTable(table.withColumn("n_censor", F.col("n_all") - F.col("n_event")), counts, order, tuple(strata))
@@ -75,12 +79,14 @@ def _curve(events: EventTable) -> DataFrame:
     )
 
 
-def kaplan_meier(df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None) -> DataFrame:
+def kaplan_meier(
+    df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None, weight: str | None = None
+) -> DataFrame:
     """Survival curve per stratum at every distinct time, with standard error and log-scale 95% limits.
 
     Where the curve has reached zero its error and limits are undefined (null).
     """
-    return _curve(event_table(df, time, event, strata, small_rows)).select(*strata, *CURVE_COLUMNS)
+    return _curve(event_table(df, time, event, strata, small_rows, weight)).select(*strata, *CURVE_COLUMNS)
 
 
 def cumulative_hazard(curve: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
@@ -120,13 +126,19 @@ def median_survival(curve: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
 
 
 def curve_summary(
-    df: DataFrame, time: str, event: str, strata: Sequence[str] = (), end: float | None = None, small_rows: int | None = None
+    df: DataFrame,
+    time: str,
+    event: str,
+    strata: Sequence[str] = (),
+    end: float | None = None,
+    small_rows: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Records, events, restricted mean with error, median with limits, per stratum.
 
     The mean is the area under the curve up to a common end: ``end`` or the largest time of all strata.
     """
-    events = event_table(df, time, event, strata, small_rows)
+    events = event_table(df, time, event, strata, small_rows, weight)
     groups = list(strata)
     curve = _curve(events)
     if end is None:
@@ -177,7 +189,14 @@ class RankTest:
 
 
 def rank_test(
-    df: DataFrame, time: str, event: str, group: str, levels: Sequence | None = None, rho: float = 0.0, small_rows: int | None = None
+    df: DataFrame,
+    time: str,
+    event: str,
+    group: str,
+    levels: Sequence | None = None,
+    rho: float = 0.0,
+    small_rows: int | None = None,
+    weight: str | None = None,
 ) -> RankTest:
     """Test of equal curves; the weight is the pooled survival just before each time to the power ``rho``.
 
@@ -190,7 +209,7 @@ def rank_test(
     k = len(levels)
     if k > MAX_GROUPS or k < 2:
         raise ValueError(f"needs 2 to {MAX_GROUPS} groups")
-    counts = time_counts(df.where(F.col(group).isin(list(levels))), time, event, [group])
+    counts = time_counts(df.where(F.col(group).isin(list(levels))), time, event, [group], weight)
     wide = counts.groupBy("time").agg(
         F.sum("n_all").alias("n_all"),
         F.sum("n_event").alias("d"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.tails import Z95, chi_square_upper, normal_two_sided
+from touchline.operators.describe import rows_of
 from touchline.operators.logit import INTERCEPT, NestedTest
 from touchline.operators.newton import Point, batches, climb_all, invert, symmetric, triangle
 from touchline.operators.staging import staged
@@ -141,7 +142,9 @@ def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -
     return out
 
 
-def fit_weibulls(df: DataFrame, time: str, event: str, models: Mapping[str, Sequence[Term]]) -> dict[str, WeibullFit]:
+def fit_weibulls(
+    df: DataFrame, time: str, event: str, models: Mapping[str, Sequence[Term]], weight: str | None = None
+) -> dict[str, WeibullFit]:
     """Fit several Weibull models in shared passes. Times must be above zero.
 
     Rows are grouped by design row and time first. The model without covariates is fitted along, on the rows
@@ -149,9 +152,9 @@ def fit_weibulls(df: DataFrame, time: str, event: str, models: Mapping[str, Sequ
     """
     names = list(models)
     known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
-    grouped = cell_table(
-        known, list(models.values()), [("time", F.col(time).cast("double"))], [("n", F.lit(1)), ("d", F.col(event).cast("int"))]
-    )
+    n = rows_of(weight)
+    sums = [("n", n), ("d", F.col(event).cast("int") * n)]
+    grouped = cell_table(known, list(models.values()), [("time", F.col(time).cast("double"))], sums)
     with staged(grouped) as cells:
         labels = [[label for label, _ in design(models[m])] for m in names]
         counted = []
@@ -234,8 +237,8 @@ def fit_weibulls(df: DataFrame, time: str, event: str, models: Mapping[str, Sequ
     return fits
 
 
-def fit_weibull(df: DataFrame, time: str, event: str, terms: Sequence[Term]) -> WeibullFit:
-    return fit_weibulls(df, time, event, {"model": terms})["model"]
+def fit_weibull(df: DataFrame, time: str, event: str, terms: Sequence[Term], weight: str | None = None) -> WeibullFit:
+    return fit_weibulls(df, time, event, {"model": terms}, weight)["model"]
 
 
 def nested_weibull_test(small: WeibullFit, large: WeibullFit) -> NestedTest:

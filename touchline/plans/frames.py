@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions import columns as C
 from touchline.operators.joins import attach_distance, attach_sides, drop_either_side, keep_keys
 from touchline.operators.reshape import two_sided
+from touchline.operators.staging import stage
 from touchline.operators.terms import Cat, Num
 
 # Teams that came up, left out because last season's table does not hold them.
@@ -29,9 +30,14 @@ def outcome_frame(
     cutoff: str = C.CUTOFF_DATE,
     short_km: float = C.SHORT_KM,
     venues_of_home_teams: bool = True,
+    grouped: bool = False,
 ) -> DataFrame:
     """One row per match: result, period, strength of both sides, distance class.
 
+    ``grouped`` counts equal matches (same teams, period, result) first, in column ``n``: every later column
+    follows from those four, so the lookups run on a few thousand rows instead of on every match. The operators
+    take the count as ``weight``.
+
     ``venues_of_home_teams`` keeps only venues of teams that play at home at least once (one more pass over
     the results); it matters only for a team that never does.
     """
@@ -43,7 +49,10 @@ def outcome_frame(
         "away",
         C.outcome_class(F.col("ftr")).alias("result"),
         C.period_flag(F.col("date"), cutoff).alias("period"),
-    ).withColumn("result_bin", C.indicator(F.col("result") == "Win"))
+    )
+    if grouped:
+        cleaned = stage(cleaned.groupBy("home", "away", "result", "period").agg(F.count(F.lit(1)).alias("n")))
+    cleaned = cleaned.withColumn("result_bin", C.indicator(F.col("result") == "Win"))
     strong = attach_sides(cleaned, standings)
     placed = attach_distance(strong, venues)
     return placed.withColumn("distance", C.distance_class(F.col("distance_km"), short_km))
@@ -56,9 +65,12 @@ def duration_frame(
     cutoff: str = C.CUTOFF_DATE,
     horizon: int = C.FULL_TIME,
     top: int = C.TOP_POSITIONS,
+    grouped: bool = False,
 ) -> DataFrame:
     """Two rows per match: minutes to the side's first goal, censored at full time, with both strengths.
 
+    ``grouped`` counts equal side rows first, in column ``n``, and looks the strengths up once per group.
+
     The exclusion of promoted sides looks at both teams, so it runs on the matches, before rows double.
     """
     kept = drop_either_side(goals, promoted).select(
@@ -72,6 +84,8 @@ def duration_frame(
         C.event_flag(F.col("time")).alias("cens"),
         C.censor_fill(F.col("time"), horizon).alias("goaltime"),
     )
+    if grouped:
+        sides = stage(sides.groupBy(*sides.columns).agg(F.count(F.lit(1)).alias("n")))
     strong = attach_sides(sides, standings.select("team", "position", "pts"), sides={"ref": "ref_", "adv": "adv_"})
     return strong.withColumns(
         {

@@ -96,15 +96,32 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+def outcomes(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
     """Outcome frame. Every nation plays at home, so the venue list needs no pass over the matches."""
     return outcome_frame(
-        matches(spark, sf), standings(spark, sf), venues(spark, sf), PROMOTED, CUTOFF, SHORT_KM, venues_of_home_teams=False
+        matches(spark, sf),
+        standings(spark, sf),
+        venues(spark, sf),
+        PROMOTED,
+        CUTOFF,
+        SHORT_KM,
+        venues_of_home_teams=False,
+        grouped=grouped,
     )
 
 
-def durations(spark: SparkSession, sf: str) -> DataFrame:
-    return duration_frame(matches(spark, sf), standings(spark, sf), PROMOTED, CUTOFF, HORIZON)
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The outcome frame as counts of equal matches, in column ``n``."""
+    return outcomes(spark, sf, grouped=True)
+
+
+def durations(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
+    return duration_frame(matches(spark, sf), standings(spark, sf), PROMOTED, CUTOFF, HORIZON, grouped=grouped)
+
+
+def duration_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The duration frame as counts of equal side rows, in column ``n``."""
+    return durations(spark, sf, grouped=True)
 
 
 def purchase_times(spark: SparkSession, sf: str) -> DataFrame:

@@ -215,7 +215,7 @@ def outcome_share(spark, sf):
 
 
 def _rates(spark, sf, keys):
-    t = describe.rate_table(league.outcomes(spark, sf), keys, win())
+    t = describe.rate_table(league.outcome_counts(spark, sf), keys, win(), weight="n")
     return r6(t, ["win_rate", "win_logit"])
 
 
@@ -252,7 +252,7 @@ def rate_by_away_points_distance(spark, sf):
 @query
 def freq_levels(spark, sf):
     """A level that no row has keeps its zero count."""
-    t = describe.level_counts(league.outcomes(spark, sf), "distance", [*C.DISTANCES, "Missing", "Unknown"])
+    t = describe.level_counts(league.outcome_counts(spark, sf), "distance", [*C.DISTANCES, "Missing", "Unknown"], weight="n")
     return r6(t, ["percent"])
 
 
@@ -281,19 +281,19 @@ def strength_corr(spark, sf):
 
 @query
 def rate_trend(spark, sf):
-    t = describe.rate_table(league.outcomes(spark, sf), ["home_pts"], win())
+    t = describe.rate_table(league.outcome_counts(spark, sf), ["home_pts"], win(), weight="n")
     return r6(describe.trend_line(t, "home_pts", "win_rate"), ["slope", "intercept"])
 
 
 @query
 def logit_trend(spark, sf):
-    t = describe.rate_table(league.outcomes(spark, sf), ["away_pts"], win())
+    t = describe.rate_table(league.outcome_counts(spark, sf), ["away_pts"], win(), weight="n")
     return r6(describe.trend_line(t, "away_pts", "win_logit"), ["slope", "intercept"])
 
 
 @query
 def hist_times(spark, sf):
-    return describe.histogram(league.durations(spark, sf), "goaltime", 15)
+    return describe.histogram(league.duration_counts(spark, sf), "goaltime", 15, weight="n")
 
 
 @query
@@ -337,22 +337,22 @@ def logit_distance(spark, sf):
 
 @query
 def logit_period(spark, sf):
-    return _coefs(logit.fit_logit(league.outcomes(spark, sf), win(), [PERIOD]).coef_table(spark))
+    return _coefs(logit.fit_logit(league.outcome_counts(spark, sf), win(), [PERIOD], weight="n").coef_table(spark))
 
 
 @query
 def logit_points(spark, sf):
-    return _coefs(logit.fit_logit(league.outcomes(spark, sf), win(), PTS).coef_table(spark))
+    return _coefs(logit.fit_logit(league.outcome_counts(spark, sf), win(), PTS, weight="n").coef_table(spark))
 
 
 @query
 def logit_final(spark, sf):
-    return _coefs(logit.fit_logit(league.outcomes(spark, sf), win(), FINAL_MODEL).coef_table(spark), ("estimate", "std_error", "odds_ratio"))
+    return _coefs(logit.fit_logit(league.outcome_counts(spark, sf), win(), FINAL_MODEL, weight="n").coef_table(spark), ("estimate", "std_error", "odds_ratio"))
 
 
 @query
 def logit_summary(spark, sf):
-    s = logit.fit_logit(league.outcomes(spark, sf), win(), [Cat("distance", C.DISTANCES), PERIOD, Inter(DISTANCE, PERIOD)]).summary(spark)
+    s = logit.fit_logit(league.outcome_counts(spark, sf), win(), [Cat("distance", C.DISTANCES), PERIOD, Inter(DISTANCE, PERIOD)], weight="n").summary(spark)
     return r6(s, ["null_deviance", "deviance", "aic"])
 
 
@@ -380,7 +380,7 @@ CANDIDATES = {
 @query
 def logit_compare(spark, sf):
     """All candidate models of the selection, fitted together in shared passes."""
-    fits = logit.fit_logits(league.outcomes(spark, sf), win(), CANDIDATES)
+    fits = logit.fit_logits(league.outcome_counts(spark, sf), win(), CANDIDATES, weight="n")
     return r6(logit.compare_models(fits, spark).drop("all_significant"), ["deviance", "aic"])
 
 
@@ -392,27 +392,27 @@ def forward_choice(spark, sf):
         {k: CANDIDATES[k] for k in ("points_period", "points_distance")},
         {k: CANDIDATES[k] for k in ("points_distance_period", "home_x_away", "home_x_distance", "away_x_distance")},
     ]
-    best, fits = logit.choose_forward(league.outcomes(spark, sf), win(), steps)
+    best, fits = logit.choose_forward(league.outcome_counts(spark, sf), win(), steps, weight="n")
     return r6(spark.createDataFrame([(best, fits[best].aic)], "model string, aic double"), ["aic"])
 
 
 @query
 def lrt_nested(spark, sf):
     models = {"small": [DISTANCE], "large": [DISTANCE, PERIOD, Inter(DISTANCE, PERIOD)]}
-    fits = logit.fit_logits(league.outcomes(spark, sf), win(), models)
+    fits = logit.fit_logits(league.outcome_counts(spark, sf), win(), models, weight="n")
     t = logit.nested_test(fits["small"], fits["large"])
     return r6(spark.createDataFrame([(t.chi_square, t.df)], "chi_square double, df int"), ["chi_square"])
 
 
 @query
 def odds_profile_ci(spark, sf):
-    _, t = logit.profile_intervals(league.outcomes(spark, sf), win(), FINAL_MODEL)
+    _, t = logit.profile_intervals(league.outcome_counts(spark, sf), win(), FINAL_MODEL, weight="n")
     return r6(t, ["estimate", "lower", "upper", "odds_ratio", "or_lower", "or_upper"])
 
 
 @query
 def profile_ci_distance(spark, sf):
-    _, t = logit.profile_intervals(league.outcomes(spark, sf), win(), [DISTANCE])
+    _, t = logit.profile_intervals(league.outcome_counts(spark, sf), win(), [DISTANCE], weight="n")
     return r6(t.select("term", "lower", "upper"), ["lower", "upper"])
 
 
@@ -449,20 +449,20 @@ def residuals(spark, sf):
 
 @query
 def calibration(spark, sf):
-    o = league.outcomes(spark, sf).withColumn("score", logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS).score())
-    return r6(logit.calibration(o, win(), "score"), ["expected", "observed_rate", "predicted_rate"])
+    o = league.outcome_counts(spark, sf).withColumn("score", logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS).score())
+    return r6(logit.calibration(o, win(), "score", weight="n"), ["expected", "observed_rate", "predicted_rate"])
 
 
 @query
 def hosmer_lemeshow(spark, sf):
-    o = league.outcomes(spark, sf).withColumn("score", logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS).score())
-    t = logit.hosmer_lemeshow(o, win(), "score")
+    o = league.outcome_counts(spark, sf).withColumn("score", logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS).score())
+    t = logit.hosmer_lemeshow(o, win(), "score", weight="n")
     return r6(spark.createDataFrame([(t.chi_square, t.df, t.groups)], "chi_square double, df int, n_groups int"), ["chi_square"])
 
 
 @query
 def vif(spark, sf):
-    fit = logit.fit_logit(league.outcomes(spark, sf), win(), FINAL_MODEL)
+    fit = logit.fit_logit(league.outcome_counts(spark, sf), win(), FINAL_MODEL, weight="n")
     return r6(spark.createDataFrame(list(logit.variance_inflation(fit).items()), "term string, vif double"), ["vif"])
 
 
@@ -471,12 +471,12 @@ def vif(spark, sf):
 
 def _scored(spark, sf) -> DataFrame:
     fit = logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS)
-    return league.outcomes(spark, sf).select("result", "home_pts", fit.score().alias("score"))
+    return league.outcome_counts(spark, sf).select("result", "home_pts", "n", fit.score().alias("score"))
 
 
 @query
 def roc_table(spark, sf):
-    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score")
+    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score", weight="n")
     return r6(evaluate.roc_table(ranked), ["threshold", "sensitivity", "specificity"])
 
 
@@ -490,19 +490,19 @@ def roc_customer_balance(spark, sf):
 
 @query
 def auc(spark, sf):
-    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score")
+    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score", weight="n")
     return r6(evaluate.area_under_roc(ranked).select("auc"), ["auc"])
 
 
 @query
 def best_threshold(spark, sf):
-    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score")
+    ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score", weight="n")
     return r6(evaluate.best_thresholds(ranked), ["threshold", "sensitivity", "specificity"])
 
 
 def _best_cut(scored: DataFrame) -> float:
     """The lowest of the best thresholds."""
-    best = evaluate.best_thresholds(evaluate.rank_scores(scored, win(), "score"))
+    best = evaluate.best_thresholds(evaluate.rank_scores(scored, win(), "score", weight="n"))
     return best.agg(F.min("threshold")).first()[0]
 
 
@@ -510,13 +510,13 @@ def _best_cut(scored: DataFrame) -> float:
 def classify(spark, sf):
     scored = _scored(spark, sf)
     called = scored.withColumn("predicted", evaluate.classify(F.col("score"), _best_cut(scored)))
-    return called.groupBy("home_pts", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return called.groupBy("home_pts", "predicted").agg(F.sum("n").alias("n"))
 
 
 @query
 def confusion(spark, sf):
     scored = _scored(spark, sf)
-    c = evaluate.confusion(scored, evaluate.classify(F.col("score"), _best_cut(scored)), F.col("result"))
+    c = evaluate.confusion(scored, evaluate.classify(F.col("score"), _best_cut(scored)), F.col("result"), weight="n")
     left_out = ["accuracy_lower", "accuracy_upper", "accuracy_p", "mcnemar_p"]
     return r6(c.table(spark).where(~F.col("statistic").isin(left_out)), ["value"])
 
@@ -529,11 +529,11 @@ CURVE = ["survival", "std_err", "lower", "upper", "cum_hazard"]
 
 @query
 def km_overall(spark, sf):
-    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens"), ["time", *CURVE])
+    return r6(survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", weight="n"), ["time", *CURVE])
 
 
 def _km(spark, sf, by):
-    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", [by]), ["time", *CURVE])
+    return r6(survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", [by], weight="n"), ["time", *CURVE])
 
 
 @query
@@ -543,7 +543,8 @@ def km_by_location(spark, sf):
 
 @query
 def km_by_period(spark, sf):
-    return _km(spark, sf, "period")
+    """On the frame with one row per side, not on counts."""
+    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["period"]), ["time", *CURVE])
 
 
 @query
@@ -563,8 +564,8 @@ def _with_combination(d: DataFrame) -> DataFrame:
 
 @query
 def km_by_combination(spark, sf):
-    d = _with_combination(league.durations(spark, sf))
-    return r6(survival.kaplan_meier(d, "goaltime", "cens", ["combination"]), ["time", *CURVE])
+    d = _with_combination(league.duration_counts(spark, sf))
+    return r6(survival.kaplan_meier(d, "goaltime", "cens", ["combination"], weight="n"), ["time", *CURVE])
 
 
 @query
@@ -574,7 +575,7 @@ def km_first_purchase(spark, sf):
 
 @query
 def km_summary(spark, sf):
-    t = survival.curve_summary(league.durations(spark, sf), "goaltime", "cens", ["adv_ability"])
+    t = survival.curve_summary(league.duration_counts(spark, sf), "goaltime", "cens", ["adv_ability"], weight="n")
     return r6(t, ["rmean", "se_rmean", "median", "lower_median", "upper_median"])
 
 
@@ -586,52 +587,52 @@ def km_summary_first_purchase(spark, sf):
 
 @query
 def km_median(spark, sf):
-    curve = survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["loc"])
+    curve = survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", ["loc"], weight="n")
     return r6(survival.median_survival(curve, ["loc"]), ["median", "lower_median", "upper_median"])
 
 
 @query
 def cumhaz_loglog(spark, sf):
-    curve = survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["loc"])
+    curve = survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", ["loc"], weight="n")
     return r6(survival.cumulative_hazard(curve, ["loc"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
 
 
 @query
 def cumhaz_home_combinations(spark, sf):
     """Log cumulative hazard of the eight combinations, home rows only."""
-    d = _with_combination(league.durations(spark, sf).where(F.col("loc") == "Home"))
-    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"])
+    d = _with_combination(league.duration_counts(spark, sf).where(F.col("loc") == "Home"))
+    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"], weight="n")
     return r6(survival.cumulative_hazard(curve, ["combination"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
 
 
-def _rank(spark, d, group, levels, rho):
-    t = survival.rank_test(d, "goaltime", "cens", group, levels, rho).table(spark)
+def _rank(spark, d, group, levels, rho, weight="n"):
+    t = survival.rank_test(d, "goaltime", "cens", group, levels, rho, weight=weight).table(spark)
     return r6(t.withColumnRenamed(group, "level"), ["observed", "expected", "chi_square"])
 
 
 @query
 def logrank_ref_ability(spark, sf):
-    return _rank(spark, league.durations(spark, sf), "ref_ability", C.ABILITIES, 0)
+    return _rank(spark, league.duration_counts(spark, sf), "ref_ability", C.ABILITIES, 0)
 
 
 @query
 def logrank_combination(spark, sf):
-    return _rank(spark, _with_combination(league.durations(spark, sf)), "combination", C.COMBINATIONS, 0)
+    return _rank(spark, _with_combination(league.duration_counts(spark, sf)), "combination", C.COMBINATIONS, 0)
 
 
 @query
 def weighted_rank_location(spark, sf):
-    return _rank(spark, league.durations(spark, sf), "loc", C.LOCATIONS, 1)
+    return _rank(spark, league.duration_counts(spark, sf), "loc", C.LOCATIONS, 1)
 
 
 @query
 def weighted_rank_period(spark, sf):
-    return _rank(spark, league.durations(spark, sf), "period", C.PERIODS, 1)
+    return _rank(spark, league.durations(spark, sf), "period", C.PERIODS, 1, weight=None)
 
 
 @query
 def weighted_rank_adv_ability(spark, sf):
-    return _rank(spark, league.durations(spark, sf), "adv_ability", C.ABILITIES, 1)
+    return _rank(spark, league.duration_counts(spark, sf), "adv_ability", C.ABILITIES, 1)
 
 
 # ---- Weibull
@@ -645,14 +646,14 @@ def weibull_shape(spark, sf):
 
 @query
 def weibull_fit(spark, sf):
-    fit = weibull.fit_weibull(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = weibull.fit_weibull(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     return _coefs(fit.coef_table(spark))
 
 
 @query
 def weibull_lrt(spark, sf):
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
-    fits = weibull.fit_weibulls(league.durations(spark, sf), "goaltime", "cens", models)
+    fits = weibull.fit_weibulls(league.duration_counts(spark, sf), "goaltime", "cens", models, weight="n")
     t = weibull.nested_weibull_test(fits["small"], fits["large"])
     row = (fits["large"].loglik, fits["large"].loglik_null, fits["large"].model_test.chi_square, t.chi_square, t.df)
     table = spark.createDataFrame([row], "loglik double, loglik_null double, model_chi_square double, chi_square double, df int")
@@ -661,7 +662,7 @@ def weibull_lrt(spark, sf):
 
 @query
 def weibull_ratios(spark, sf):
-    fit = weibull.fit_weibull(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = weibull.fit_weibull(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     t = fit.ratios(spark)
     return r6(t, t.columns[1:])
 
@@ -683,7 +684,7 @@ def cox_location(spark, sf):
 
 @query
 def cox_points(spark, sf):
-    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     return _coefs(fit.coef_table(spark), ("estimate", "std_error"))
 
 
@@ -695,7 +696,7 @@ def cox_first_purchase(spark, sf):
 
 @query
 def cox_tests(spark, sf):
-    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     t = fit.tests_table(spark).select("test", F.round("chi_square", 4).alias("chi_square"), "df")
     return t
 
@@ -704,16 +705,16 @@ def cox_tests(spark, sf):
 def cox_nested(spark, sf):
     """Full model with the period against the model without it."""
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
-    fits = cox.fit_coxes(league.durations(spark, sf), "goaltime", "cens", models)
+    fits = cox.fit_coxes(league.duration_counts(spark, sf), "goaltime", "cens", models, weight="n")
     t = cox.nested_cox_test(fits["small"], fits["large"])
     return spark.createDataFrame([(t.chi_square, t.df)], "chi_square double, df int").select(F.round("chi_square", 4).alias("chi_square"), "df")
 
 
 @query
 def concordance(spark, sf):
-    d = league.durations(spark, sf)
-    fit = cox.fit_cox(d, "goaltime", "cens", SIDE_TERMS)
-    return _concordance_row(spark, concord.concordance(d.withColumn("risk", fit.risk_score()), "goaltime", "cens", "risk"))
+    d = league.duration_counts(spark, sf)
+    fit = cox.fit_cox(d, "goaltime", "cens", SIDE_TERMS, weight="n")
+    return _concordance_row(spark, concord.concordance(d.withColumn("risk", fit.risk_score()), "goaltime", "cens", "risk", weight="n"))
 
 
 def _concordance_row(spark, c: concord.Concordance) -> DataFrame:
@@ -733,7 +734,7 @@ def concordance_opponent(spark, sf):
 
 @query
 def ph_test(spark, sf):
-    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     t = cox.proportional_hazards_test(fit).table(spark)
     return t.select("term", F.round("chi_square", 4).alias("chi_square"), "df")
 
@@ -741,7 +742,7 @@ def ph_test(spark, sf):
 @query
 def schoenfeld(spark, sf):
     """Mean residuals per event time."""
-    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
+    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
     res = cox.schoenfeld_residuals(fit)
     cols = [c for c in res.columns if c not in ("time", "g", "rows")]
     weight = F.col("rows")
