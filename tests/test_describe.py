@@ -62,7 +62,7 @@ def test_exact_quantiles(spark, small):
     values[:300] = 12.5
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     probs = [0, 0.1, 0.25, 0.5, 0.77, 1]
-    assert ordered.exact_quantiles(df, "v", probs, small_rows=small) == pytest.approx(np.quantile(values, probs), rel=1e-12)
+    assert ordered.exact_quantiles(df, "v", probs, small) == pytest.approx(np.quantile(values, probs), rel=1e-12)
     binned, cuts = ordered.quantile_bins(df, "v", 10, "bin", small_rows=small)
     assert len(cuts) == len(set(np.quantile(values, np.arange(11) / 10)))
     assert binned.where("bin IS NULL").count() == 1

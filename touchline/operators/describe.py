@@ -125,7 +125,7 @@ def histogram(df: DataFrame, col: str, bins: int = 15, weight: str | None = None
     The rows are read once, into counts per distinct value; range and bins come from those.
     """
     values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
-    counted = stage(values.agg(F.sum(rows_of(weight)).alias("n")))
+    counted = stage(values.agg(F.sum(rows_of(weight)).alias("n")))  # one row per distinct value
     x = F.col("v")
     low, high = counted.agg(F.min(x), F.max(x)).first()
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from touchline.functions.columns import if_else
 from touchline.functions.tails import CHI2_95_1DF, chi_square_upper, normal_two_sided
 from touchline.operators.describe import rows_of
 from touchline.operators.newton import Point, batches, climb_all, invert, solve, symmetric, triangle
-from touchline.operators.ordered import quantile_bins
+from touchline.operators.ordered import equal_count_cuts, quantiles, with_bins
 from touchline.operators.staging import stage, staged
 from touchline.operators.terms import Term, cell_table, design, linear_sql, x, x_sql
 
@@ -366,7 +366,7 @@ def calibration(df: DataFrame, win: Column, score: str, bins: int = 10, weight:
     scored = df.select(F.col(score).alias("score"), n.alias("n"), if_else(win, n, F.lit(0)).alias("y")).dropna()
     counts = scored.groupBy("score").agg(F.sum("n").alias("n"), F.sum("y").alias("wins"))
     kept = stage(counts)
-    binned, _ = quantile_bins(kept, "score", bins, "bin", weight="n")
+    binned, _ = with_bins(kept, "score", quantiles(kept, equal_count_cuts(bins), "score"), "bin")
     return (
         binned.groupBy("bin")
         .agg(F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.sum(F.col("n") * F.col("score")).alias("expected"))

@@ -113,31 +113,18 @@ class Order:
         )
 
 
-def exact_quantiles(
-    df: DataFrame, col: str, probs: Sequence[float], weight: str | None = None, small_rows: int | None = None
+def quantiles_of_counts(
+    ranked: DataFrame, value: str, n: str, upto: str, total: int, probs: Sequence[float]
 ) -> list[float]:
-    """Quantiles of a column by linear interpolation between order statistics (type 7), nulls left out.
+    """Type-7 quantiles from a table of distinct values with counts and running counts.
 
-    Counts per distinct value, then one running count; only the two rows around each wanted rank come back.
+    Only the rows that hold a wanted rank come back, at most two per probability.
     """
-    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = stage(
-        df.where(F.col(col).isNotNull())
-        .groupBy(F.col(col).cast("double").alias("v"))
-        .agg(amount.cast("bigint").alias("n"))
-        .where("n > 0")
-    )
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
     spots = [(total - 1) * p for p in probs]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    order = Order.of(counts, "v", small_rows=small_rows)
-    ranked = order.running(order.assign(counts), {"upto": "n"})
     wanted = F.array(*[F.lit(r).cast("bigint") for r in ranks])
-    rows = ranked.select(
-        "v", F.explode(F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("r")
-    ).collect()
+    held = F.filter(wanted, lambda r: (r < F.col(upto)) & (r >= F.col(upto) - F.col(n)))
+    rows = ranked.select(F.col(value).alias("v"), F.explode(held).alias("r")).collect()
     at = {row["r"]: row["v"] for row in rows}
     out = []
     for s in spots:
@@ -146,6 +133,27 @@ def exact_quantiles(
     return out
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Stored counts per distinct value: columns v and n. Nulls are left out."""
+    groups = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    return stage(groups.agg(F.count(F.lit(1)).alias("n")))
+
+
+def quantiles(counts: DataFrame, probs: Sequence[float], value: str = "v", n: str = "n", small_rows: int | None = None) -> list[float]:
+    """Type-7 quantiles of a stored table with one row per distinct value and its count; empty without rows."""
+    total = counts.agg(F.sum(n)).first()[0]
+    if not total:
+        return []
+    order = Order.of(counts, value, small_rows=small_rows)
+    ranked = order.running(order.assign(counts), {"_upto": f"`{n}`"})
+    return quantiles_of_counts(ranked, value, n, "_upto", int(total), probs)
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], small_rows: int | None = None) -> list[float]:
+    """Quantiles of a column by linear interpolation between order statistics (type 7), nulls left out."""
+    return quantiles(value_counts(df, col), probs, small_rows=small_rows)
+
+
 def bin_by_cuts(col: Column, cuts: Sequence[float]) -> Column:
     """1-based bin of a value for sorted distinct cuts: right-closed, the lowest value belongs to bin 1."""
     number = F.lit(1)
@@ -154,11 +162,19 @@ def bin_by_cuts(col: Column, cuts: Sequence[float]) -> Column:
     return F.when(col.isNull() | (col < cuts[0]) | (col > cuts[-1]), F.lit(None)).otherwise(number)
 
 
+def equal_count_cuts(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
+def with_bins(df: DataFrame, col: str, found: Sequence[float], name: str) -> tuple[DataFrame, list[float]]:
+    """Bin numbers for quantile cut points; equal cut points are merged. Returns the frame and the cuts used."""
+    cuts = sorted(set(found))
+    number = bin_by_cuts(F.col(col), cuts) if cuts else F.lit(None).cast("int")
+    return df.withColumn(name, number), cuts
+
+
 def quantile_bins(
-    df: DataFrame, col: str, bins: int, name: str, weight: str | None = None, small_rows: int | None = None
+    df: DataFrame, col: str, bins: int, name: str, small_rows: int | None = None
 ) -> tuple[DataFrame, list[float]]:
-    """Equal-count bins; equal cut points are merged. Returns the binned frame and the cuts used."""
-    cuts = sorted(set(exact_quantiles(df, col, [i / bins for i in range(bins + 1)], weight, small_rows)))
-    if not cuts:
-        return df.withColumn(name, F.lit(None).cast("int")), cuts
-    return df.withColumn(name, bin_by_cuts(F.col(col), cuts)), cuts
+    """Equal-count bins of a column."""
+    return with_bins(df, col, exact_quantiles(df, col, equal_count_cuts(bins), small_rows), name)

@@ -57,6 +57,15 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows of an input that comes in fewer pieces than there are cores over all cores.
+
+    A file with one row group is one task however many joins follow. Inputs with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 @contextmanager
 def staged(df: DataFrame) -> Iterator[DataFrame]:
     """``stage`` for a block of work; the files go when the block ends."""

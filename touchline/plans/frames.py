@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from touchline.functions import columns as C
 from touchline.operators.joins import attach_distance, attach_sides, drop_either_side, keep_keys
 from touchline.operators.reshape import two_sided
-from touchline.operators.staging import stage
 from touchline.operators.terms import Cat, Num
 
 # Teams that came up, left out because last season's table does not hold them.
@@ -51,7 +50,7 @@ def outcome_frame(
         C.period_flag(F.col("date"), cutoff).alias("period"),
     )
     if grouped:
-        cleaned = stage(cleaned.groupBy("home", "away", "result", "period").agg(F.count(F.lit(1)).alias("n")))
+        cleaned = cleaned.groupBy("home", "away", "result", "period").agg(F.count(F.lit(1)).alias("n"))
     cleaned = cleaned.withColumn("result_bin", C.indicator(F.col("result") == "Win"))
     strong = attach_sides(cleaned, standings)
     placed = attach_distance(strong, venues)
@@ -69,7 +68,8 @@ def duration_frame(
 ) -> DataFrame:
     """Two rows per match: minutes to the side's first goal, censored at full time, with both strengths.
 
-    ``grouped`` counts equal side rows first, in column ``n``, and looks the strengths up once per group.
+    ``grouped`` counts equal side rows first, in column ``n``, and looks the strengths up once per group. It
+    pays when the frame is stored for several analyses; a single curve or fit groups to fewer rows by itself.
 
     The exclusion of promoted sides looks at both teams, so it runs on the matches, before rows double.
     """
@@ -85,7 +85,7 @@ def duration_frame(
         C.censor_fill(F.col("time"), horizon).alias("goaltime"),
     )
     if grouped:
-        sides = stage(sides.groupBy(*sides.columns).agg(F.count(F.lit(1)).alias("n")))
+        sides = sides.groupBy(*sides.columns).agg(F.count(F.lit(1)).alias("n"))
     strong = attach_sides(sides, standings.select("team", "position", "pts"), sides={"ref": "ref_", "adv": "adv_"})
     return strong.withColumns(
         {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.staging import stage
+from touchline.operators.staging import spread, stage
 from touchline.plans.frames import duration_frame, outcome_frame
 
 # Fixed values of this reading of the tables.
@@ -73,7 +73,7 @@ def venues(spark: SparkSession, sf: str) -> DataFrame:
 def matches(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line item: date, home and away nation, result code and first-goal minutes."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    items = table(spark, sf, "lineitem").join(
+    items = spread(table(spark, sf, "lineitem"), "l_orderkey").join(
         table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     placed = (
@@ -120,8 +120,8 @@ def durations(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
 
 
 def duration_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The duration frame as counts of equal side rows, in column ``n``."""
-    return durations(spark, sf, grouped=True)
+    """The duration frame as counts of equal side rows, in column ``n``, stored for repeated reading."""
+    return stage(durations(spark, sf, grouped=True))
 
 
 def purchase_times(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from touchline.functions import columns as C
 from touchline.operators import concordance as concord
 from touchline.operators import cox, describe, evaluate, joins, logit, reshape, survival, weibull
 from touchline.operators.ordered import quantile_bins
-from touchline.operators.staging import scratch_path
+from touchline.operators.staging import scratch_path, stage
 from touchline.operators.terms import Cat, Inter, Num
 from touchline.plans import league
 from touchline.plans.frames import FINAL_COEFFICIENTS, FINAL_MODEL
@@ -293,7 +293,7 @@ def logit_trend(spark, sf):
 
 @query
 def hist_times(spark, sf):
-    return describe.histogram(league.duration_counts(spark, sf), "goaltime", 15, weight="n")
+    return describe.histogram(league.durations(spark, sf), "goaltime", 15)
 
 
 @query
@@ -508,14 +508,14 @@ def _best_cut(scored: DataFrame) -> float:
 
 @query
 def classify(spark, sf):
-    scored = _scored(spark, sf)
+    scored = stage(_scored(spark, sf))  # read for the threshold and again for the classes
     called = scored.withColumn("predicted", evaluate.classify(F.col("score"), _best_cut(scored)))
     return called.groupBy("home_pts", "predicted").agg(F.sum("n").alias("n"))
 
 
 @query
 def confusion(spark, sf):
-    scored = _scored(spark, sf)
+    scored = stage(_scored(spark, sf))
     c = evaluate.confusion(scored, evaluate.classify(F.col("score"), _best_cut(scored)), F.col("result"), weight="n")
     left_out = ["accuracy_lower", "accuracy_upper", "accuracy_p", "mcnemar_p"]
     return r6(c.table(spark).where(~F.col("statistic").isin(left_out)), ["value"])
@@ -529,11 +529,11 @@ CURVE = ["survival", "std_err", "lower", "upper", "cum_hazard"]
 
 @query
 def km_overall(spark, sf):
-    return r6(survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", weight="n"), ["time", *CURVE])
+    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens"), ["time", *CURVE])
 
 
 def _km(spark, sf, by):
-    return r6(survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", [by], weight="n"), ["time", *CURVE])
+    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", [by]), ["time", *CURVE])
 
 
 @query
@@ -543,8 +543,7 @@ def km_by_location(spark, sf):
 
 @query
 def km_by_period(spark, sf):
-    """On the frame with one row per side, not on counts."""
-    return r6(survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["period"]), ["time", *CURVE])
+    return _km(spark, sf, "period")
 
 
 @query
@@ -564,8 +563,8 @@ def _with_combination(d: DataFrame) -> DataFrame:
 
 @query
 def km_by_combination(spark, sf):
-    d = _with_combination(league.duration_counts(spark, sf))
-    return r6(survival.kaplan_meier(d, "goaltime", "cens", ["combination"], weight="n"), ["time", *CURVE])
+    d = _with_combination(league.durations(spark, sf))
+    return r6(survival.kaplan_meier(d, "goaltime", "cens", ["combination"]), ["time", *CURVE])
 
 
 @query
@@ -575,7 +574,7 @@ def km_first_purchase(spark, sf):
 
 @query
 def km_summary(spark, sf):
-    t = survival.curve_summary(league.duration_counts(spark, sf), "goaltime", "cens", ["adv_ability"], weight="n")
+    t = survival.curve_summary(league.durations(spark, sf), "goaltime", "cens", ["adv_ability"])
     return r6(t, ["rmean", "se_rmean", "median", "lower_median", "upper_median"])
 
 
@@ -587,52 +586,52 @@ def km_summary_first_purchase(spark, sf):
 
 @query
 def km_median(spark, sf):
-    curve = survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", ["loc"], weight="n")
+    curve = survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["loc"])
     return r6(survival.median_survival(curve, ["loc"]), ["median", "lower_median", "upper_median"])
 
 
 @query
 def cumhaz_loglog(spark, sf):
-    curve = survival.kaplan_meier(league.duration_counts(spark, sf), "goaltime", "cens", ["loc"], weight="n")
+    curve = survival.kaplan_meier(league.durations(spark, sf), "goaltime", "cens", ["loc"])
     return r6(survival.cumulative_hazard(curve, ["loc"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
 
 
 @query
 def cumhaz_home_combinations(spark, sf):
     """Log cumulative hazard of the eight combinations, home rows only."""
-    d = _with_combination(league.duration_counts(spark, sf).where(F.col("loc") == "Home"))
-    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"], weight="n")
+    d = _with_combination(league.durations(spark, sf).where(F.col("loc") == "Home"))
+    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"])
     return r6(survival.cumulative_hazard(curve, ["combination"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
 
 
-def _rank(spark, d, group, levels, rho, weight="n"):
-    t = survival.rank_test(d, "goaltime", "cens", group, levels, rho, weight=weight).table(spark)
+def _rank(spark, d, group, levels, rho):
+    t = survival.rank_test(d, "goaltime", "cens", group, levels, rho).table(spark)
     return r6(t.withColumnRenamed(group, "level"), ["observed", "expected", "chi_square"])
 
 
 @query
 def logrank_ref_ability(spark, sf):
-    return _rank(spark, league.duration_counts(spark, sf), "ref_ability", C.ABILITIES, 0)
+    return _rank(spark, league.durations(spark, sf), "ref_ability", C.ABILITIES, 0)
 
 
 @query
 def logrank_combination(spark, sf):
-    return _rank(spark, _with_combination(league.duration_counts(spark, sf)), "combination", C.COMBINATIONS, 0)
+    return _rank(spark, _with_combination(league.durations(spark, sf)), "combination", C.COMBINATIONS, 0)
 
 
 @query
 def weighted_rank_location(spark, sf):
-    return _rank(spark, league.duration_counts(spark, sf), "loc", C.LOCATIONS, 1)
+    return _rank(spark, league.durations(spark, sf), "loc", C.LOCATIONS, 1)
 
 
 @query
 def weighted_rank_period(spark, sf):
-    return _rank(spark, league.durations(spark, sf), "period", C.PERIODS, 1, weight=None)
+    return _rank(spark, league.durations(spark, sf), "period", C.PERIODS, 1)
 
 
 @query
 def weighted_rank_adv_ability(spark, sf):
-    return _rank(spark, league.duration_counts(spark, sf), "adv_ability", C.ABILITIES, 1)
+    return _rank(spark, league.durations(spark, sf), "adv_ability", C.ABILITIES, 1)
 
 
 # ---- Weibull
@@ -646,14 +645,14 @@ def weibull_shape(spark, sf):
 
 @query
 def weibull_fit(spark, sf):
-    fit = weibull.fit_weibull(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = weibull.fit_weibull(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     return _coefs(fit.coef_table(spark))
 
 
 @query
 def weibull_lrt(spark, sf):
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
-    fits = weibull.fit_weibulls(league.duration_counts(spark, sf), "goaltime", "cens", models, weight="n")
+    fits = weibull.fit_weibulls(league.durations(spark, sf), "goaltime", "cens", models)
     t = weibull.nested_weibull_test(fits["small"], fits["large"])
     row = (fits["large"].loglik, fits["large"].loglik_null, fits["large"].model_test.chi_square, t.chi_square, t.df)
     table = spark.createDataFrame([row], "loglik double, loglik_null double, model_chi_square double, chi_square double, df int")
@@ -662,7 +661,7 @@ def weibull_lrt(spark, sf):
 
 @query
 def weibull_ratios(spark, sf):
-    fit = weibull.fit_weibull(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = weibull.fit_weibull(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     t = fit.ratios(spark)
     return r6(t, t.columns[1:])
 
@@ -684,7 +683,7 @@ def cox_location(spark, sf):
 
 @query
 def cox_points(spark, sf):
-    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     return _coefs(fit.coef_table(spark), ("estimate", "std_error"))
 
 
@@ -696,7 +695,7 @@ def cox_first_purchase(spark, sf):
 
 @query
 def cox_tests(spark, sf):
-    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     t = fit.tests_table(spark).select("test", F.round("chi_square", 4).alias("chi_square"), "df")
     return t
 
@@ -705,13 +704,14 @@ def cox_tests(spark, sf):
 def cox_nested(spark, sf):
     """Full model with the period against the model without it."""
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
-    fits = cox.fit_coxes(league.duration_counts(spark, sf), "goaltime", "cens", models, weight="n")
+    fits = cox.fit_coxes(league.durations(spark, sf), "goaltime", "cens", models)
     t = cox.nested_cox_test(fits["small"], fits["large"])
     return spark.createDataFrame([(t.chi_square, t.df)], "chi_square double, df int").select(F.round("chi_square", 4).alias("chi_square"), "df")
 
 
 @query
 def concordance(spark, sf):
+    # read by the fit and again by the pair counts
     d = league.duration_counts(spark, sf)
     fit = cox.fit_cox(d, "goaltime", "cens", SIDE_TERMS, weight="n")
     return _concordance_row(spark, concord.concordance(d.withColumn("risk", fit.risk_score()), "goaltime", "cens", "risk", weight="n"))
@@ -734,7 +734,7 @@ def concordance_opponent(spark, sf):
 
 @query
 def ph_test(spark, sf):
-    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     t = cox.proportional_hazards_test(fit).table(spark)
     return t.select("term", F.round("chi_square", 4).alias("chi_square"), "df")
 
@@ -742,7 +742,7 @@ def ph_test(spark, sf):
 @query
 def schoenfeld(spark, sf):
     """Mean residuals per event time."""
-    fit = cox.fit_cox(league.duration_counts(spark, sf), "goaltime", "cens", SIDE_TERMS, weight="n")
+    fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     res = cox.schoenfeld_residuals(fit)
     cols = [c for c in res.columns if c not in ("time", "g", "rows")]
     weight = F.col("rows")
