@@ -102,6 +102,18 @@ def test_nested_test_and_choice(spark, frame, fits):
     assert best == "final"
 
 
+def test_repeated_columns_get_no_coefficient(spark, frame, fits):
+    twice = frame.withColumns({"copy": F.col("home_pts") * 2, "flat": F.lit(1.0)})
+    fit = logit.fit_logit(twice, is_win(), [Num("home_pts"), Num("copy"), Num("away_pts"), Num("flat"), DIST])
+    assert fit.rank == 4 and math.isnan(fit.coef[2]) and math.isnan(fit.coef[4])
+    assert fit.coef[[0, 1, 3, 5]] == pytest.approx(fits["final"].coef, rel=1e-7)
+    assert fit.aic == pytest.approx(fits["final"].aic)
+    a, b = twice.where("home_pts = 50 AND away_pts = 50").select(fit.score(), fits["final"].score()).first() or (0, 0)
+    assert a == b or a == pytest.approx(b)
+    with pytest.raises(ValueError):
+        logit.variance_inflation(fit)
+
+
 def test_separated_classes_are_flagged(spark):
     df = spark.createDataFrame([(i, "Win" if i >= 10 else "Loss/Draw") for i in range(20)], "v int, result string")
     assert not logit.fit_logit(df, is_win(), [Num("v")]).converged

@@ -165,6 +165,20 @@ def test_cox_against_numpy(sample, cox_fit, frame):
     assert cut.order.cuts and cut.coef == pytest.approx(b, rel=1e-8)
 
 
+def test_repeated_columns(frame, cox_fit):
+    twice = frame.withColumn("copy", F.col("x") * 3)
+    terms = [TERMS[0], Num("copy"), TERMS[1]]
+    fit = cox.fit_cox(twice, "t", "e", terms)
+    assert math.isnan(fit.coef[1]) and fit.coef[[0, 2]] == pytest.approx(cox_fit.coef, rel=1e-7)
+    assert fit.tests()["wald"].df == 2
+    with pytest.raises(ValueError):
+        cox.proportional_hazards_test(fit)
+    both = weibull.fit_weibulls(twice, "t", "e", {"once": TERMS, "twice": terms})
+    assert math.isnan(both["twice"].coef[2]) and both["twice"].rank == both["once"].rank
+    assert both["twice"].coef[[0, 1, 3, 4]] == pytest.approx(both["once"].coef, rel=1e-6)
+    assert both["twice"].std_error[[0, 1, 3, 4]] == pytest.approx(both["once"].std_error, rel=1e-6)
+
+
 def test_tie_sums_for_many_ties(spark):
     """One time with 1000 tied events, risk sum just the events or far above: the closed form against the sum."""
     rows = []

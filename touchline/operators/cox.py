@@ -23,7 +23,7 @@ from touchline.functions.tails import Z95, chi_square_upper, normal_two_sided
 from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
 from touchline.operators.logit import NestedTest
-from touchline.operators.newton import Point, climb_all, invert, solve, symmetric, triangle
+from touchline.operators.newton import Point, climb_all, solve, symmetric, triangle
 from touchline.operators.ordered import Order
 from touchline.operators.staging import stage
 from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
@@ -50,6 +50,11 @@ class CoxFit:
     cells: DataFrame = field(repr=False)
     order: Order = field(repr=False)
 
+    @property
+    def rank(self) -> int:
+        """Coefficients that were estimated; a column that repeats earlier ones has NaN instead."""
+        return int(np.isfinite(self.coef).sum())
+
     @property
     def std_error(self) -> np.ndarray:
         return np.sqrt(np.diag(self.cov))
@@ -69,11 +74,12 @@ class CoxFit:
 
     def tests(self) -> dict[str, NestedTest]:
         """Likelihood-ratio, Wald and score test of all coefficients being zero."""
-        df = len(self.coef)
+        own = np.flatnonzero(np.isfinite(self.coef))
+        df, b, u = len(own), self.coef[own], self.score_null[own]
         stats = {
             "likelihood_ratio": 2 * (self.loglik - self.loglik_null),
-            "wald": float(self.coef @ solve(self.cov, self.coef)),
-            "score": float(self.score_null @ solve(self.info_null, self.score_null)),
+            "wald": float(b @ solve(self.cov[np.ix_(own, own)], b)),
+            "score": float(u @ solve(self.info_null[np.ix_(own, own)], u)),
         }
         return {k: NestedTest(v, df, chi_square_upper(v, df)) for k, v in stats.items()}
 
@@ -85,7 +91,7 @@ class CoxFit:
     def risk_score(self) -> Column:
         """Linear predictor, centred at the covariate means, over rows with the model's columns."""
         total = F.lit(0.0)
-        for b, m, (_, c) in zip(self.coef, self.means, design(self.terms)):
+        for b, m, (_, c) in zip(np.nan_to_num(self.coef), self.means, design(self.terms)):
             total = total + F.lit(float(b)) * (c - F.lit(float(m)))
         return total
 
@@ -216,7 +222,7 @@ def fit_coxes(
     for i, run in enumerate(climb_all(evaluate, [np.zeros(len(c)) for c in labels])):
         n = int(counts[f"n{i}"])
         fits[names[i]] = CoxFit(
-            tuple(models[names[i]]), labels[i], run.params, invert(run.best.info), run.best.loglik, run.first.loglik,
+            tuple(models[names[i]]), labels[i], run.estimates(), run.covariance(), run.best.loglik, run.first.loglik,
             run.first.score, run.first.info, means[i], n, int(counts[f"d{i}"]), int(counts["all"]) - n, run.passes,
             run.converged, usable[i], order,
         )
@@ -232,12 +238,14 @@ def fit_cox(
 def nested_cox_test(small: CoxFit, large: CoxFit) -> NestedTest:
     if small.n != large.n:
         raise ValueError("the two fits use different rows")
-    stat, df = 2 * (large.loglik - small.loglik), len(large.coef) - len(small.coef)
+    stat, df = 2 * (large.loglik - small.loglik), large.rank - small.rank
     return NestedTest(stat, df, chi_square_upper(stat, df))
 
 
 def _with_transform(fit: CoxFit) -> DataFrame:
     """Time table at the fitted coefficients with g = 1 - pooled survival just before the time."""
+    if fit.rank < len(fit.coef):
+        raise ValueError("a column repeats earlier ones: drop its term first")
     table = _time_table(fit.cells, fit.labels, fit.means, fit.coef, fit.order)
     own = "CASE WHEN n > d THEN log1p(-d / n) END"
     logs = fit.order.running(table, {"_log": own})

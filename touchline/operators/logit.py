@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.functions.columns import if_else
 from touchline.functions.tails import CHI2_95_1DF, chi_square_upper, normal_two_sided
 from touchline.operators.describe import rows_of
-from touchline.operators.newton import Point, batches, climb_all, invert, solve, symmetric, triangle
+from touchline.operators.newton import Point, batches, climb_all, solve, symmetric, triangle
 from touchline.operators.ordered import equal_count_cuts, quantiles, with_bins
 from touchline.operators.staging import stage, staged
 from touchline.operators.terms import Term, cell_table, design, linear_sql, x, x_sql
@@ -44,13 +44,18 @@ class LogitFit:
         parts = [k * math.log(q) for k, q in ((self.wins, rate), (self.n - self.wins, 1 - rate)) if k]
         return -2.0 * sum(parts)
 
+    @property
+    def rank(self) -> int:
+        """Coefficients that were estimated; a column that repeats earlier ones has NaN instead."""
+        return int(np.isfinite(self.coef).sum())
+
     @property
     def df_residual(self) -> int:
-        return self.n - len(self.coef)
+        return self.n - self.rank
 
     @property
     def aic(self) -> float:
-        return self.deviance + 2 * len(self.coef)
+        return self.deviance + 2 * self.rank
 
     @property
     def std_error(self) -> np.ndarray:
@@ -78,7 +83,7 @@ class LogitFit:
 
     def linear(self) -> Column:
         """Linear predictor as a column expression over rows that carry the model's columns."""
-        return linear_predictor(self.coef, [F.lit(1.0), *[c for _, c in design(self.terms)]])
+        return linear_predictor(np.nan_to_num(self.coef), [F.lit(1.0), *[c for _, c in design(self.terms)]])
 
     def score(self) -> Column:
         """Win probability; null when a used column is null or off its level list."""
@@ -187,8 +192,8 @@ def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[s
         fits[names[i]] = LogitFit(
             tuple(models[names[i]]),
             [INTERCEPT, *labels[i]],
-            run.params,
-            invert(run.best.info),
+            run.estimates(),
+            run.covariance(),
             run.best.loglik,
             n,
             int(counts[f"w{i}"]),
@@ -206,7 +211,7 @@ def fit_logit(df: DataFrame, win: Column, terms: Sequence[Term], weight: str | N
 def compare_models(fits: Mapping[str, LogitFit], spark: SparkSession, level: float = 0.05) -> DataFrame:
     """Models by AIC, with a flag for all slopes significant."""
     rows = [
-        (name, len(f.coef), f.n, f.deviance, f.aic, all(p < level for p in f.p_values[1:]))
+        (name, f.rank, f.n, f.deviance, f.aic, all(p < level for p in f.p_values[1:]))
         for name, f in sorted(fits.items(), key=lambda kv: kv[1].aic)
     ]
     return spark.createDataFrame(
@@ -225,7 +230,7 @@ def nested_test(small: LogitFit, large: LogitFit) -> NestedTest:
     """Likelihood-ratio test of two nested fits on the same rows."""
     if small.n != large.n:
         raise ValueError("the two fits use different rows")
-    stat, df = small.deviance - large.deviance, len(large.coef) - len(small.coef)
+    stat, df = small.deviance - large.deviance, large.rank - small.rank
     return NestedTest(stat, df, chi_square_upper(stat, df))
 
 
@@ -267,8 +272,8 @@ def profile_intervals(
     spark = df.sparkSession
     with staged(_outcome_cells(df, win, [terms], weight)) as cells:
         fit = _fit_cells(cells, {"model": terms})["model"]
-        if not fit.converged:
-            raise ValueError("no finite maximum: profile limits do not exist")
+        if not fit.converged or fit.rank < len(fit.coef):
+            raise ValueError("no unique finite maximum: profile limits do not exist")
         p, labels = len(fit.coef), fit.labels[1:]
         target = fit.loglik - CHI2_95_1DF / 2
         jobs = [(j, side) for j in range(p) for side in (-1.0, 1.0)]
@@ -340,10 +345,11 @@ def with_residuals(df: DataFrame, win: Column, fit: LogitFit) -> DataFrame:
     p = len(cols)
     named = df.select("*", *[c.alias(f"_x{j}") for j, c in enumerate(cols)], if_else(win, F.lit(1.0), F.lit(0.0)).alias("_y"))
     at = [F.col(f"_x{j}") for j in range(p)]
-    scored = named.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_predictor(fit.coef, at)))).alias("score"))
+    scored = named.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_predictor(np.nan_to_num(fit.coef), at)))).alias("score"))
     spread = None
+    cov = np.nan_to_num(fit.cov)
     for j, k in triangle(p):
-        part = F.lit(float(fit.cov[j, k]) * (1 if j == k else 2)) * at[j] * at[k]
+        part = F.lit(float(cov[j, k]) * (1 if j == k else 2)) * at[j] * at[k]
         spread = part if spread is None else spread + part
     mu = F.col("score")
     out = scored.where(mu.isNotNull() & F.col("_y").isNotNull()).select(
@@ -353,7 +359,7 @@ def with_residuals(df: DataFrame, win: Column, fit: LogitFit) -> DataFrame:
     return out.select(
         "*",
         (F.col("pearson") / F.sqrt(left)).alias("std_pearson"),
-        (F.pow(F.col("pearson") / left, 2) * F.col("leverage") / p).alias("cooks_distance"),
+        (F.pow(F.col("pearson") / left, 2) * F.col("leverage") / fit.rank).alias("cooks_distance"),
     )
 
 
@@ -403,8 +409,8 @@ def hosmer_lemeshow(
 
 def variance_inflation(fit: LogitFit) -> dict[str, float]:
     """Variance inflation per term; for a term of several columns the generalised form."""
-    if len(fit.terms) < 2:
-        raise ValueError("needs at least two terms")
+    if len(fit.terms) < 2 or fit.rank < len(fit.coef):
+        raise ValueError("needs at least two terms and no repeated column")
     cov = fit.cov[1:, 1:]
     scale = np.sqrt(np.diag(cov))
     corr = cov / np.outer(scale, scale)

@@ -33,6 +33,17 @@ class Climb:
     done: bool = False
     converged: bool = False
     step: np.ndarray | None = field(default=None, repr=False)
+    free: np.ndarray | None = None
+
+    def estimates(self) -> np.ndarray:
+        """Parameters with NaN for columns that repeat earlier ones."""
+        return np.where(self.free, self.params, np.nan)
+
+    def covariance(self) -> np.ndarray:
+        out = np.full(self.best.info.shape, np.nan)
+        own = np.flatnonzero(self.free)
+        out[np.ix_(own, own)] = invert(self.best.info[np.ix_(own, own)])
+        return out
 
 
 Evaluate = Callable[[Sequence[tuple[int, np.ndarray]]], Sequence[Point]]
@@ -66,9 +77,14 @@ def _advance(run: Climb, point: Point, max_passes: int) -> None:
         return
     if not usable:
         run.best, run.at, run.done = point, run.params, True
+        run.free = np.ones(len(run.params), dtype=bool)
         return
     run.best, run.at = point, run.params
-    run.step = solve(point.info, point.score)
+    if run.free is None:
+        run.free = independent(point.info)
+    own = np.flatnonzero(run.free)
+    run.step = np.zeros(len(run.params))
+    run.step[own] = solve(point.info[np.ix_(own, own)], point.score[own])
     gain = float(point.score @ run.step)
     run.params = run.at + run.step
     if gain < DECREMENT:
@@ -77,6 +93,27 @@ def _advance(run: Climb, point: Point, max_passes: int) -> None:
         run.done = True
 
 
+REPEATED = 1e-13
+
+
+def independent(info: np.ndarray) -> np.ndarray:
+    """Columns that add something to the ones before them; the rest (constant, repeated) are left out of a fit."""
+    scale = np.sqrt(np.maximum(np.diag(info), 1e-300))
+    scaled = info / np.outer(scale, scale)
+    kept: list[int] = []
+    free = np.zeros(len(info), dtype=bool)
+    for j in range(len(info)):
+        if not info[j, j] > 0:
+            continue
+        left = scaled[j, j]
+        if kept:
+            left -= scaled[j, kept] @ np.linalg.solve(scaled[np.ix_(kept, kept)], scaled[kept, j])
+        if left > REPEATED:
+            kept.append(j)
+            free[j] = True
+    return free
+
+
 def solve(matrix: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     """Symmetric solve, scaled to a unit diagonal; falls back to the least-norm answer when singular."""
     if rhs.size == 0:

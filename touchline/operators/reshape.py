@@ -40,7 +40,7 @@ def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[i
     wanted = F.col("row").isin(list(positions))
     if max(positions) <= top_rows:
         top = df.orderBy(*order_by).limit(max(positions))
-        return top.withColumn("row", F.row_number().over(Window.orderBy(*order_by))).where(wanted)
+        return top.withColumn("row", F.row_number().over(Window.orderBy(*order_by)).cast("bigint")).where(wanted)
     # equal rows may part anywhere: the hash and the input partition keep a block of copies from being one range
     ranged = df.withColumns({"_h": F.xxhash64(*df.columns), "_in": F.spark_partition_id()})
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -57,13 +57,18 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+FEW_PIECES = 4
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows of an input that comes in fewer pieces than there are cores over all cores.
+    """Hash the rows of a small input that comes in a handful of pieces over all cores.
 
-    A file with one row group is one task however many joins follow. Inputs with enough splits are left alone.
+    A file with one row group is one task however many joins follow. An input of more than ``FEW_PIECES`` splits
+    is left as it is: at scale the scan has splits enough, and a shuffle only for width would cost more.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    pieces = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if pieces <= FEW_PIECES and pieces < cores else df
 
 
 @contextmanager

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.functions.tails import Z95, chi_square_upper, normal_two_sided
 from touchline.operators.describe import rows_of
 from touchline.operators.logit import INTERCEPT, NestedTest
-from touchline.operators.newton import Point, batches, climb_all, invert, symmetric, triangle
+from touchline.operators.newton import Point, batches, climb_all, symmetric, triangle
 from touchline.operators.staging import staged
 from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
 
@@ -40,6 +40,11 @@ class WeibullFit:
     def scale(self) -> float:
         return math.exp(self.coef[-1])
 
+    @property
+    def rank(self) -> int:
+        """Parameters that were estimated; a column that repeats earlier ones has NaN instead."""
+        return int(np.isfinite(self.coef).sum())
+
     @property
     def std_error(self) -> np.ndarray:
         return np.sqrt(np.diag(self.cov))
@@ -47,7 +52,7 @@ class WeibullFit:
     @property
     def model_test(self) -> NestedTest:
         """Likelihood-ratio test against the model without covariates."""
-        stat, df = 2 * (self.loglik - self.loglik_null), len(self.coef) - 2
+        stat, df = 2 * (self.loglik - self.loglik_null), self.rank - 2
         return NestedTest(stat, df, chi_square_upper(stat, df) if df else math.nan)
 
     def coef_table(self, spark: SparkSession) -> DataFrame:
@@ -75,10 +80,9 @@ class WeibullFit:
         rows = []
 
         def transformed(value: float, grad: Mapping[int, float]) -> tuple[float, float]:
-            g = np.zeros(p)
-            for i, v in grad.items():
-                g[i] = v
-            return value, math.sqrt(g @ self.cov @ g)
+            own = list(grad)
+            g = np.array([grad[i] for i in own])
+            return value, math.sqrt(g @ self.cov[np.ix_(own, own)] @ g)
 
         mu = self.coef[0]
         lam = math.exp(-mu / s)
@@ -213,19 +217,23 @@ def fit_weibulls(
     null_loglik = {key: runs[len(names) + k].best.loglik for k, key in enumerate(nulls)}
     fits = {}
     for i, m in enumerate(names):
-        theta, g = runs[i].params[:-1], runs[i].params[-1]
+        found = runs[i].estimates()
+        theta, g = found[:-1], found[-1]
         p = len(theta) + 1
         # coefficient = theta / g, log scale = -log g
         jac = np.zeros((p, p))
         jac[:-1, :-1] = np.eye(p - 1) / g
-        jac[:-1, -1] = -theta / g**2
+        jac[:-1, -1] = -np.nan_to_num(theta) / g**2
         jac[-1, -1] = -1 / g
+        covariance = jac @ np.nan_to_num(runs[i].covariance()) @ jac.T
+        repeated = ~np.isfinite(found)
+        covariance[repeated, :] = covariance[:, repeated] = np.nan
         n = int(counts[f"n{i}"])
         fits[m] = WeibullFit(
             tuple(models[m]),
             [INTERCEPT, *labels[i], LOG_SCALE],
             np.array([*(theta / g), -math.log(g)]),
-            jac @ invert(runs[i].best.info) @ jac.T,
+            covariance,
             runs[i].best.loglik,
             null_loglik[tuple(sorted(labels[i]))],
             n,
@@ -244,5 +252,5 @@ def fit_weibull(df: DataFrame, time: str, event: str, terms: Sequence[Term], wei
 def nested_weibull_test(small: WeibullFit, large: WeibullFit) -> NestedTest:
     if small.n != large.n:
         raise ValueError("the two fits use different rows")
-    stat, df = 2 * (large.loglik - small.loglik), len(large.coef) - len(small.coef)
+    stat, df = 2 * (large.loglik - small.loglik), large.rank - small.rank
     return NestedTest(stat, df, chi_square_upper(stat, df))
