@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact_dedup, language_id, mixing, packing, sharding, token_counts, url_rules
+from touchline.llm import exact_dedup, language_id, mixing, neighbours, packing, sharding, token_counts, url_rules
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_rules": url_rules.op2_url_rules,
         "op3_language_id": language_id.op3_language_id,
+        "op5_neighbours": neighbours.op5_neighbours,
         "op6_mixing": mixing.op6_mixing,
         "op7_sharding": sharding.op7_sharding,
         "op8_packing": packing.op8_packing,
