@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact_dedup, language_id, mixing, neighbours, packing, sharding, token_counts, url_rules
+from touchline.llm import exact_dedup, language_id, mixing, near_dedup, neighbours, packing, sharding, token_counts, url_rules
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_url_rules": url_rules.op2_url_rules,
         "op3_language_id": language_id.op3_language_id,
         "op5_neighbours": neighbours.op5_neighbours,
@@ -23,4 +24,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op1_near_dedup": near_dedup.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
