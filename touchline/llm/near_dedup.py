@@ -101,20 +101,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_key (digest of the whole set, null when empty) and signature of each row."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles bigint, set_key string, signature binary")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         s = Shingler(size)
         for batch in batches:
             sizes, keys, signs = [], [], []
-            for text in batch["text"]:
+            for text in batch:
                 own = s.shingles(text)
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
                 signs.append(signature(own).tobytes() if len(own) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_key": keys, "signature": signs})
+            yield pd.DataFrame({"n_shingles": sizes, "set_key": keys, "signature": signs})
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, "doc_id bigint, n_shingles bigint, set_key string, signature binary")
+    return docs.select("doc_id", sketch("text").alias("_s")).select("doc_id", "_s.*")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

@@ -89,29 +89,27 @@ def cut_pieces(docs: DataFrame, tiers: Sequence[int] = TIERS, tokenizer: str = T
     The document's ids end with ``END_ID``; whole windows of the longest tier come first, what is left is one piece.
     """
     window = max(tiers)
-    id_type = dict(docs.dtypes)["doc_id"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint,ids:binary>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoder(tokenizer)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            out = []
+            for text in batch:
                 ids = e.ids(text) + end
                 tokens = len(ids) // 4
-                for start in range(0, tokens, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    rows["doc_id"].append(doc_id)
-                    rows["start"].append(start)
-                    rows["length"].append(len(part) // 4)
-                    rows["ids_crc32"].append(zlib.crc32(part))
-                    rows["doc_tokens"].append(tokens)
-                    rows["ids"].append(part if with_ids else b"")
-            rows["doc_id"] = pd.Series(rows["doc_id"], dtype=batch["doc_id"].dtype)
-            yield pd.DataFrame(rows) if with_ids else pd.DataFrame(rows).drop(columns="ids")
+                parts = [(start, ids[4 * start : 4 * (start + window)]) for start in range(0, tokens, window)]
+                out.append(
+                    [
+                        {"start": start, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "doc_tokens": tokens, "ids": p if with_ids else None}
+                        for start, p in parts
+                    ]
+                )
+            yield pd.Series(out)
 
-    schema = f"doc_id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema + (", ids binary" if with_ids else ""))
+    pieces = docs.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
+    return pieces if with_ids else pieces.drop("ids")
 
 
 def power_of_two(n: int) -> bool:
@@ -166,7 +164,7 @@ def deal_steps(fill: np.ndarray, per_step: int = STEP_SEQUENCES) -> np.ndarray:
 
 def _pack_group(tiers: Sequence[int], per_step: int):
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        part = part.sort_values(["length", "order", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         lengths = part["length"].to_numpy()
         sequence, offset = pack_lengths(lengths, tiers)
         fill = np.bincount(sequence, weights=lengths).astype(np.int64)
@@ -174,7 +172,7 @@ def _pack_group(tiers: Sequence[int], per_step: int):
         base = int(part["group"].iloc[0]) << 32
         ordered = np.sort(tiers)
         whole = np.where((fill & (fill - 1)) == 0, fill, ordered[-1])
-        return part.drop(columns="group").assign(
+        return part.drop(columns=["group", "order"]).assign(
             sequence_id=base + sequence,
             offset=offset,
             tier=ordered[np.searchsorted(ordered, np.minimum(whole[sequence], ordered[-1]))].astype(np.int32),
@@ -204,9 +202,12 @@ def pack_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     pieces = stage(cut_pieces(rows, tiers, tokenizer, with_ids))
     groups = max(1, -(-pieces.count() // pieces_per_group))
-    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("bigint"))
-    schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id bigint, offset bigint, tier int, step bigint"
-    return keyed.groupBy("group").applyInPandas(_pack_group(tiers, per_step), schema)
+    order = F.xxhash64("doc_id", "start", "ids_crc32")
+    keyed = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "order": order, "group": F.pmod(order, F.lit(groups))})
+    kept = [f"{n} {t}" for n, t in keyed.dtypes if n not in ("order", "group")]
+    schema = ", ".join([*kept, "sequence_id bigint", "offset bigint", "tier int", "step bigint"])
+    packed = keyed.groupBy("group").applyInPandas(_pack_group(tiers, per_step), schema)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(dict(pieces.dtypes)["doc_id"]))  # a null id is no number in pandas
 
 
 def sequences(packed: DataFrame) -> DataFrame:

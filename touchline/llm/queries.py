@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact_dedup, language_id, mixing, near_dedup, neighbours, packing, sharding, token_counts, url_rules
+from touchline.llm import exact_dedup, hidden_markov, language_id, mixing, near_dedup, neighbours, packing, sharding, token_counts, url_rules
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_url_rules": url_rules.op2_url_rules,
         "op3_language_id": language_id.op3_language_id,
+        "op4_hidden_markov": hidden_markov.op4_hidden_markov,
         "op5_neighbours": neighbours.op5_neighbours,
         "op6_mixing": mixing.op6_mixing,
         "op7_sharding": sharding.op7_sharding,
