@@ -166,13 +166,13 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int
     Per language, the ``per_language`` rows of smallest checksum; of each its start, its end and places between.
     """
     named = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    chosen = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    data = utf8(F.col("text"))
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
-    cut = chosen.select("lang", data.alias("data"), room.alias("room"), F.explode(F.sequence(F.lit(0), F.lit(crops - 1))).alias("i"))
-    cut = cut.withColumn("start", (F.col("room") * F.col("i") / max(1, crops - 1)).cast("int"))
-    return cut.select("lang", F.expr(f"substring(data, start + 1, {WINDOW})").alias("data"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(crops - 1)), lambda i: (F.col("room") * i / max(1, crops - 1)).cast("int"))
+    cut = named.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("turn"), utf8(F.col("text")).alias("data"), room.alias("room"))
+    parts = cut.select("lang", "doc_id", "turn", F.transform(starts, lambda s: F.substring("data", s + 1, F.lit(WINDOW))).alias("parts"))
+    order = Window.partitionBy("lang").orderBy("turn", "doc_id")  # whole texts stay where they are: only crops are shuffled
+    chosen = parts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    return chosen.select("lang", F.explode("parts").alias("data"))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> ByteNet | None:
