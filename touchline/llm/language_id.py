@@ -29,6 +29,7 @@ DEPTH = 8
 PER_LANGUAGE = 400
 MOST_LANGUAGES = 64
 CROPS = 3
+SPARE = 4
 EPOCHS = 8
 BATCH = 64
 RATE = 0.01
@@ -160,15 +161,20 @@ class ByteNet:
         return out
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int = CROPS) -> DataFrame:
+def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = PER_LANGUAGE, crops: int = CROPS) -> DataFrame:
     """Crops of the sample: lang and data (at most ``WINDOW`` bytes). ``docs`` has doc_id, text, lang.
 
-    Per language, the ``per_language`` rows of smallest checksum; of each its start, its end and places between.
+    Per language of ``counts`` (its rows), the ``per_language`` rows of smallest checksum; of each its start, its end
+    and places between. A first cut by checksum leaves about ``SPARE`` times as many, so what meets in a task does not
+    grow with the input.
     """
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SPARE * per_language / n))])
+    turn = F.xxhash64("doc_id", "text")
+    drawn = turn.cast("double") / 2.0**64 + 0.5 < share[F.col("lang")]
+    named = docs.where(F.col("lang").isin(list(counts)) & F.col("text").rlike(LETTER)).where(drawn)
     room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     starts = F.transform(F.sequence(F.lit(0), F.lit(crops - 1)), lambda i: (F.col("room") * i / max(1, crops - 1)).cast("int"))
-    cut = named.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("turn"), utf8(F.col("text")).alias("data"), room.alias("room"))
+    cut = named.select("lang", "doc_id", turn.alias("turn"), utf8(F.col("text")).alias("data"), room.alias("room"))
     parts = cut.select("lang", "doc_id", "turn", F.transform(starts, lambda s: F.substring("data", s + 1, F.lit(WINDOW))).alias("parts"))
     order = Window.partitionBy("lang").orderBy("turn", "doc_id")  # whole texts stay where they are: only crops are shuffled
     chosen = parts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
@@ -182,11 +188,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     bounds what the driver reads.
     """
     counted = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).groupBy("lang").count()
-    top = [r["lang"] for r in counted.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    top = {r["lang"]: r["count"] for r in counted.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not top:
         return None
     languages = sorted(top)
-    rows = training_rows(docs.where(F.col("lang").isin(languages)), per_language).collect()
+    rows = training_rows(docs, top, per_language).collect()
     rows = sorted(((r["lang"], bytes(r["data"])) for r in rows if r["data"]))
     crops = [(lang, data) for lang, data in rows]
     rng = np.random.default_rng(3)
