@@ -228,11 +228,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat id and text stay together."""
-    groups = exact_groups(docs, id_col=id_col, **options)
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, **options)
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_gone")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("_digest"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
