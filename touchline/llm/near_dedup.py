@@ -1,19 +1,21 @@
 """Near-duplicate documents by an inverted join of MinHash signatures.
 
 Each distinct shingle set has a signature of ``COORDINATES`` minima. A pair counts as a candidate when at least
-``MATCHES`` coordinates agree; a pair of Jaccard similarity 0.8 misses that with a chance below one in a million. The
+``MATCHES`` coordinates agree; a pair of Jaccard similarity 0.8 misses that with a chance of about one in 100,000. The
 signature is a set of (coordinate, value) tokens, posted in an inverted index:
 
 - tokens of one document only are skipped: a document with fewer than ``MATCHES`` shared tokens has no partner;
 - of the n shared tokens, in rising document count, only the first n - MATCHES + 1 are posted (prefix): two documents
   with ``MATCHES`` tokens in common meet in one of these lists, and what a third of all documents share is hardly
   ever in one;
-- lists are merged in two steps that never write all pairs of a list. First every member meets the list's hub, and
-  confirmed links are contracted to components; a group of thousands of near copies collapses here. Then the lists
-  that still hold several components are merged in blocks, members of one component skipping each other, and pairs
-  with enough matches are confirmed.
-
-Candidates are confirmed on the full sets. Equal sets are one node throughout.
+- lists are merged without writing all pairs of a list. In a few rounds every member meets the list's hub, another
+  one each round, and confirmed links are contracted to components: a group of thousands of near copies collapses
+  here. Then the lists that still hold several components are merged in blocks, members of one component skipping
+  each other, and a pair is looked at in the first list it shares only.
+
+Before their full sets are fetched, candidates must agree in ``LEAST`` of ``SKETCH`` one-byte minima, which a pair of
+similarity 0.8 fails once in 100,000 times. Candidates are confirmed on the full sets. Equal sets are one node
+throughout.
 """
 
 from __future__ import annotations
@@ -31,16 +33,19 @@ from touchline.operators.staging import stage
 
 SHINGLE = 2
 PERCENT = 80
-COORDINATES = 48
-MATCHES = 24
+COORDINATES = 96
+MATCHES = 56
+SKETCH = 256
+LEAST = 172
+STARS = 4
 BLOCK = 1_000
 BROADCAST_IDS = 1_000_000
 REMEMBERED = 300_000
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 
 _rng = np.random.default_rng(20)
-FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
+FACTORS = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32)
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -90,30 +95,38 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Upper 32 bits of the least hash under each of the coordinates' hash functions."""
-    best = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    """Least 32-bit hash of a set under each of ``SKETCH`` hash functions; half of them start from either half of a shingle."""
+    best = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
+    half = SKETCH // 2
     for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK, None] * FACTORS + SHIFTS
-        best = np.minimum(best, part.min(axis=0))
-    return (best >> np.uint64(32)).astype(np.uint32)
+        part = shingles[at : at + CHUNK, None]
+        for start, x in ((0, part.astype(np.uint32)), (half, (part >> np.uint64(32)).astype(np.uint32))):
+            own = slice(start, start + half)
+            best[own] = np.minimum(best[own], (x * FACTORS[own] + SHIFTS[own]).min(axis=0))
+    return best
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the whole set, null when empty) and signature of each row."""
+    """doc_id, n_shingles, set_key (digest of the whole set, null when empty), signature and sketch of each row.
+
+    The signature is the first ``COORDINATES`` minima, the sketch one byte of each of the ``SKETCH`` minima.
+    """
 
-    @F.pandas_udf("n_shingles bigint, set_key string, signature binary")
+    @F.pandas_udf("n_shingles bigint, set_key string, signature binary, sketch binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         s = Shingler(size)
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, bytes_ = [], [], [], []
             for text in batch:
                 own = s.shingles(text)
+                least = signature(own) if len(own) else None
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
-                signs.append(signature(own).tobytes() if len(own) else None)
-            yield pd.DataFrame({"n_shingles": sizes, "set_key": keys, "signature": signs})
+                signs.append(None if least is None else least[:: SKETCH // COORDINATES][:COORDINATES].tobytes())
+                bytes_.append(None if least is None else (least >> np.uint32(7)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"n_shingles": sizes, "set_key": keys, "signature": signs, "sketch": bytes_})
 
     return docs.select("doc_id", sketch("text").alias("_s")).select("doc_id", "_s.*")
 
@@ -135,8 +148,11 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 # ---------------------------------------------------------------- postings
 
 
-def postings(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """The prefix of each node in the inverted index: token, node, signature. ``reps`` has node and signature."""
+def prefixes(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """The tokens under which each node is posted: node, prefix. ``reps`` has node and signature.
+
+    Nodes that cannot have a partner have no row.
+    """
 
     @F.pandas_udf("array<bigint>")
     def tokens(signs: pd.Series) -> pd.Series:
@@ -147,42 +163,52 @@ def postings(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
     counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(counts, "token")
     own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # COORDINATES entries at most
-    prefix = own.where(F.size("own") >= matches).select("node", F.explode(F.slice("own", 1, F.size("own") - (matches - 1))).alias("t"))
-    return prefix.select("node", F.col("t.token").alias("token")).join(reps, "node").select("token", "node", "signature")
+    first = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda t: t["token"])
+    return own.where(F.size("own") >= matches).select("node", first.alias("prefix"))
+
 
+def postings(prefix: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Lists that hold more than one component: token, node, component. Without labels, nodes are their own components."""
+    posted = prefix.select("node", F.explode("prefix").alias("token"))
+    if labels is None:
+        return posted.withColumn("component", F.col("node"))
+    named = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = named.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return named.join(spans.where("_low <> _high").select("token"), "token")
 
-def agreeing(one: str, two: str) -> Column:
-    """Coordinates in which two signature columns agree."""
 
-    @F.pandas_udf("int")
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum()) for x, y in zip(a, b)], dtype="int32")
+def hub_pairs(posted: DataFrame, star: int) -> DataFrame:
+    """Each list's members beside its hub, where their components differ: a < b.
+
+    In the first round the hub is the node of least hash, which is the same in many lists; later ones draw a hub per list.
+    """
+    turn = F.xxhash64("node") if star == 0 else F.xxhash64("node", "token", F.lit(star))
+    hubs = posted.groupBy("token").agg(F.min(F.struct(turn.alias("h"), "node", "component")).alias("hub"))
+    beside = posted.join(hubs, "token").where(F.col("component") != F.col("hub.component"))
+    return beside.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
-    return count(one, two)
 
+def alike(pairs: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
+    """Pairs whose sketches agree in at least ``least`` bytes; ``nodes`` has node and sketch."""
+
+    @F.pandas_udf("int")
+    def agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(one, two)], dtype="int32")
 
-def hub_pairs(posted: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Each list's members beside its hub, the node of least hash, where enough coordinates agree: a < b."""
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "signature")).alias("hub")
-    hubs = posted.groupBy("token").agg(first).select("token", F.col("hub.node").alias("_hub"), F.col("hub.signature").alias("_sign"))
-    beside = posted.join(hubs, "token").where("node <> _hub")
-    pairs = beside.select(F.least("node", "_hub").alias("a"), F.greatest("node", "_hub").alias("b"), "signature", "_sign")
-    return pairs.where(agreeing("signature", "_sign") >= matches).select("a", "b").distinct()
+    one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("_x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("_y"))
+    return pairs.join(one, "a").join(two, "b").where(agreeing("_x", "_y") >= least).select("a", "b")
 
 
-def mixed_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the lists that hold more than one component, in blocks: token, block, side, node, component, signature.
+def blocks_of(posted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of mixed lists in blocks: token, low, high, side, node, component, sketch, prefix.
 
     A list longer than ``BLOCK`` is cut into parts, and each pair of parts is a block of its own.
     """
-    named = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spans = named.groupBy("token").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n")
-    ).where("_low <> _high")
-    parts = F.ceil(F.col("_n") / BLOCK).cast("int")
-    held = named.join(spans, "token").withColumns({"_parts": parts, "_part": F.pmod(F.xxhash64("node"), parts).cast("int")})
-    others = F.sequence(F.lit(0), F.col("_parts") - 1)
-    placed = held.select("token", "node", "component", "signature", "_part", F.explode(others).alias("_other"))
+    sizes = posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    held = posted.join(sizes, "token").withColumn("_part", part)
+    placed = held.select("token", "node", "component", "_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
     return placed.select(
         "token",
         F.least("_part", "_other").alias("low"),
@@ -190,17 +216,17 @@ def mixed_lists(posted: DataFrame, labels: DataFrame) -> DataFrame:
         (F.col("_part") > F.col("_other")).cast("int").alias("side"),
         "node",
         "component",
-        "signature",
-    )
+    ).join(nodes.select("node", "sketch", "prefix"), "node")
 
 
-def _merge_blocks(matches: int):
-    """Pairs of different components with enough matches, from rows sorted by block; one block is held at a time."""
+def _merge_blocks(least: int):
+    """Alike pairs of different components, from rows sorted by block; one block is held at a time."""
 
-    def pairs_of(block: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
-        signs = np.frombuffer(b"".join(block["signature"]), dtype=np.uint32).reshape(len(block), -1)
+    def pairs_of(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        same, token = block["low"].iloc[0] == block["high"].iloc[0], block["token"].iloc[0]
+        signs = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), -1)
         nodes, comps = block["node"].to_numpy(), block["component"].to_numpy()
-        sides = block["side"].to_numpy()
+        sides, own = block["side"].to_numpy(), block["prefix"].tolist()
         ones = np.arange(len(block)) if same else np.flatnonzero(sides == 0)
         twos = np.arange(len(block)) if same else np.flatnonzero(sides == 1)
         found: list[tuple[int, int]] = []
@@ -208,8 +234,9 @@ def _merge_blocks(matches: int):
             rest = twos[twos > i] if same else twos
             rest = rest[comps[rest] != comps[i]]
             if len(rest):
-                hit = rest[(signs[rest] == signs[i]).sum(axis=1) >= matches]
-                found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in hit]
+                for j in rest[(signs[rest] == signs[i]).sum(axis=1) >= least]:
+                    if token == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
+                        found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -220,22 +247,19 @@ def _merge_blocks(matches: int):
             keys = held[["token", "low", "high"]]
             starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
             for at, upto in zip(starts, starts[1:]):
-                part = held.iloc[at:upto]
-                yield from pairs_of(part, part["low"].iloc[0] == part["high"].iloc[0])
-            if len(starts):
-                held = held.iloc[starts[-1] :].reset_index(drop=True)
+                yield from pairs_of(held.iloc[at:upto])
+            held = held.iloc[starts[-1] :].reset_index(drop=True)
         if held is not None and len(held):
-            yield from pairs_of(held, held["low"].iloc[0] == held["high"].iloc[0])
+            yield from pairs_of(held)
 
     return merge
 
 
-def cross_pairs(posted: DataFrame, labels: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Candidate pairs between components, from all lists: a < b."""
-    blocks = mixed_lists(posted, labels)
+def cross_pairs(posted: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
+    """Alike pairs between components, from all mixed lists: a < b."""
     keys = ["token", "low", "high"]
-    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInPandas(_merge_blocks(matches), "a bigint, b bigint").distinct()
+    dealt = blocks_of(posted, nodes).repartition(*keys).sortWithinPartitions(*keys, "node")
+    return dealt.mapInPandas(_merge_blocks(least), "a bigint, b bigint").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -258,11 +282,19 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(small * 100 >= large * percent).select("a", "b", "_a", "_b").mapInPandas(check, "a bigint, b bigint")
 
 
+def _all(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def near_groups(
     docs: DataFrame,
     size: int = SHINGLE,
     percent: int = PERCENT,
     matches: int = MATCHES,
+    least: int = LEAST,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -276,15 +308,22 @@ def near_groups(
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = stage(sketches(plain, size))
-    lead = F.min(F.struct(F.col("doc_id"), F.col("signature"))).alias("lead")
+    lead = F.min(F.struct("doc_id", "signature", "sketch")).alias("lead")
     lettered = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    reps = stage(lettered.groupBy("set_key").agg(lead).select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature")))
-    posted = stage(postings(reps.select("node", "signature"), matches))
-    sets = stage(full_sets(plain, posted.select("node").distinct(), size))
-    first = stage(confirm(hub_pairs(posted, matches), sets, percent))
-    labels = stage(components(first))
-    second = stage(confirm(cross_pairs(posted, labels, matches), sets, percent))
-    links = stage(first.unionByName(second))
+    distinct = lettered.groupBy("set_key").agg(lead)
+    reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
+    prefix = prefixes(reps.select("node", "signature"), matches)
+    nodes = stage(prefix.join(reps.select("node", "sketch"), "node"))
+    sets = stage(full_sets(plain, nodes.select("node").distinct(), size))
+    found, labels = [], None
+    for star in range(STARS):
+        pairs = alike(hub_pairs(postings(nodes, labels), star), nodes, least)
+        found.append(stage(confirm(pairs, sets, percent)))
+        if found[-1].isEmpty():
+            break
+        labels = stage(components(_all(found)))
+    found.append(stage(confirm(cross_pairs(postings(nodes, labels), nodes, least), sets, percent)))
+    links = _all(found)
     final = stage(components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = reps.select("set_key", "node").join(final, "node", "left").join(ends, "node", "left")
