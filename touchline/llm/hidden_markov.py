@@ -99,12 +99,12 @@ def learn_vocabulary(counts: DataFrame, texts: int, frequent: int = FREQUENT, ta
 
 
 def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows with ``classes`` (unsigned 16-bit, the end last), ``n_tokens`` and ``tail`` (tail words with their counts)."""
+    """Rows with ``classes`` (unsigned 16-bit, the end last), ``n_tokens`` and ``tail`` (its tail words, a space apart)."""
     if len(vocabulary.counts) > 2**16:
         raise ValueError("frequent words and tail classes must number under 65,536")
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # of fixed size
 
-    @F.pandas_udf("n_tokens bigint, classes binary, tail array<struct<word:string,n:bigint>>")
+    @F.pandas_udf("n_tokens bigint, classes binary, tail string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = shared.value
         known, end = v.frequent.get, v.end
@@ -113,16 +113,13 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for text in batch:
                 words = words_of(text)
                 found = list(map(known, words))
-                tail: Counter = Counter()
-                if None in found:
-                    for i, k in enumerate(found):
-                        if k is None:
-                            tail[words[i]] += 1
-                            found[i] = v.tail_class(words[i])
+                tail = [w for w, k in zip(words, found) if k is None]
+                if tail:
+                    found = [v.tail_class(w) if k is None else k for w, k in zip(words, found)]
                 found.append(end)
                 classes.append(np.array(found, dtype=np.uint16).tobytes())
                 sizes.append(len(found))
-                tails.append([{"word": w, "n": n} for w, n in tail.items()])
+                tails.append(" ".join(tail))
             yield pd.DataFrame({"n_tokens": sizes, "classes": classes, "tail": tails})
 
     keep = [c for c in rows.columns if c != "text"]
@@ -346,11 +343,9 @@ def score_texts(
     numbered = encoded(plain.select("doc_id", is_training.alias("training"), "text"), vocabulary)
     rows = stage(numbered.withColumn("row", F.monotonically_increasing_id()))  # fixed by the written table
     hmm, _ = train(rows.where("training"), vocabulary, states, rounds)
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.n").alias("n"))
+    tail = rows.where("tail <> ''").select("row", F.explode(F.split("tail", " ")).alias("word"))
     c = F.coalesce("c", F.lit(0))
-    sums = tail.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(c + 1)).alias("tail_logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_tail")
-    )
+    sums = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 1)).alias("tail_logs"), F.sum((c > 0).cast("int")).alias("n_tail"))
     scored = score_rows(rows, vocabulary, hmm).join(sums, "row", "left")
     tail_logs = F.coalesce("tail_logs", F.lit(0.0))
     unit = math.log10(vocabulary.tokens + vocabulary.words + 1)
