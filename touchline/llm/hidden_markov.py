@@ -33,7 +33,7 @@ STATES = 8
 ROUNDS = 6
 PRIOR = 20.0
 SEGMENT = 65_536
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 800_000
 TAIL_LETTERS = 3
 
 
@@ -175,51 +175,61 @@ def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def forward_logs(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     """Log10 likelihood of each sequence by the scaled forward recursion; only the current position is held."""
     out = np.zeros(len(sequences))
+    emit, back = np.ascontiguousarray(hmm.emit.T), np.ascontiguousarray(hmm.step.T)
     for part in batches_of(sequences):
         cells, running = padded([sequences[i] for i in part])
         logs = np.zeros(len(part))
-        alpha = np.tile(hmm.start, (len(part), 1))
+        alpha = np.repeat(hmm.start[:, None], len(part), axis=1)  # states by texts
         for t in range(len(cells)):
             n = running[t]
-            now = alpha[:n] @ hmm.step if t else alpha[:n]
-            now = now * hmm.emit[cells[t, :n]]
-            scale = now.sum(axis=1)
+            now = back @ alpha[:, :n] if t else alpha
+            now = now * emit[:, cells[t, :n]]
+            scale = now.sum(axis=0)
             logs[:n] += np.log10(scale)
-            alpha = now / scale[:, None]
+            alpha = now / scale
         out[part] = logs
     return out
 
 
 def expected_counts(hmm: Hmm, sequences: list[np.ndarray], sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Add the expected starts, steps and emissions of the sequences to ``sums``; returns their log10 likelihood."""
+    """Add the expected starts, steps and emissions of the sequences to ``sums``; returns their log10 likelihood.
+
+    Shares of a position are held in single precision, sums in double.
+    """
     starts, steps, emits = sums
     states = len(hmm.start)
+    single = np.float32
+    emit, step = np.ascontiguousarray(hmm.emit.T, dtype=single), hmm.step.astype(single)
+    back, start = np.ascontiguousarray(step.T), hmm.start.astype(single)[:, None]
     total = 0.0
     for part in batches_of(sequences):
         cells, running = padded([sequences[i] for i in part])
         length, width = cells.shape
-        emission = hmm.emit[cells]
-        alpha = np.zeros((length, width, states))
-        scales = np.ones((length, width))
+        alpha = np.zeros((length, states, width), dtype=single)
+        seen = np.zeros((length, states, width), dtype=single)  # emission over scale
+        logs = 0.0
         for t in range(length):
             n = running[t]
-            now = (alpha[t - 1, :n] @ hmm.step if t else np.tile(hmm.start, (n, 1))) * emission[t, :n]
-            scales[t, :n] = now.sum(axis=1)
-            alpha[t, :n] = now / scales[t, :n, None]
-        total += float(np.log10(scales).sum())
-        beta = np.ones((width, states))
+            own = emit[:, cells[t, :n]]
+            now = (back @ alpha[t - 1, :, :n] if t else start) * own
+            scale = now.sum(axis=0)
+            logs += float(np.log10(scale).sum(dtype=np.float64))
+            np.divide(now, scale, out=alpha[t, :, :n])
+            np.divide(own, scale, out=seen[t, :, :n])
+        total += logs
+        beta = np.ones((states, width), dtype=single)
         for t in range(length - 1, -1, -1):
             n = running[t]
             if t + 1 < length and (m := running[t + 1]):
-                ahead = emission[t + 1, :m] * beta[:m] / scales[t + 1, :m, None]
-                steps += (alpha[t, :m].T @ ahead) * hmm.step
-                beta[:m] = ahead @ hmm.step.T
-            alpha[t, :n] *= beta[:n]  # now the state shares of the position
-        starts += alpha[0].sum(axis=0)
+                ahead = seen[t + 1, :, :m] * beta[:, :m]
+                steps += (alpha[t, :, :m] @ ahead.T) * hmm.step
+                beta[:, :m] = step @ ahead
+            alpha[t, :, :n] *= beta[:, :n]  # now the state shares of the position
+        starts += alpha[0].sum(axis=1)
         live = np.arange(width)[None, :] < running[:, None]
         flat = cells[live]
         for k in range(states):
-            emits[:, k] += np.bincount(flat, weights=alpha[:, :, k][live], minlength=len(emits))
+            emits[:, k] += np.bincount(flat, weights=alpha[:, k, :][live], minlength=len(emits))
     return total
 
 
