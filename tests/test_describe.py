@@ -91,3 +91,17 @@ def test_bucketed_running_sums_equal_plain_ones(spark):
             assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-12))
     plan = cut.running(cut.assign(df), {"up": "v"})._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(s" in plan and "_bucket" in plan
+
+
+@pytest.mark.parametrize("small", [0, None])
+def test_nan_has_no_place_in_an_order(spark, small):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,), (2.0,)], "v double")
+    assert ordered.exact_quantiles(df, "v", [0.0, 0.5, 1.0], small) == [1.0, 2.0, 3.0]
+    assert sum(r["n"] for r in describe.histogram(df, "v").collect()) == 3
+
+
+def test_first_event_needs_two_different_times(spark):
+    rows = [(5, 9, "H"), (5, 9, "A"), (None, 9, "A"), (None, None, "D"), (7, 7, "H"), (7, None, "D"), (3, 4, None), (3, 4, "x")]
+    df = spark.createDataFrame(rows, "fhg int, fag int, ftr string")
+    got = {r["outcome"]: r["n"] for r in describe.first_event_outcome(df).collect()}
+    assert got == {"Win": 2, "Loss": 1, "Draw": 1, "": 2}

@@ -113,15 +113,33 @@ def test_distances_both_forms(spark):
     assert again.count() == 4 and again.columns == ["home", "away", "distance_km"]
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_join_equals_broadcast_join(spark):
     # one key holds most rows
     left = spark.range(5000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 13)).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, v int")
     for how in ("left", "inner", "left_semi", "left_anti"):
         a = joins.keyed_join(left, right, ["k"], how)
-        b = joins.keyed_join(left, right, ["k"], how, broadcast_rows=1, salts=5)
+        b = joins.keyed_join(left, right, ["k"], how, broadcast_rows=1)
         assert rows(a, "id") == rows(b, "id")
-    assert "BroadcastHashJoin" in joins.keyed_join(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan_of(joins.keyed_join(left, right, ["k"]))
+    assert "Generate" not in plan_of(joins.keyed_join(left, right, ["k"], broadcast_rows=1))  # the lookup is not copied
+
+
+def test_wide_lookup_is_not_broadcast(spark):
+    left = spark.range(100).select((F.col("id") % 3).cast("string").alias("k"), "id")
+    right = spark.createDataFrame([(str(i), "x" * 5000) for i in range(4)], "k string, v string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan_of(joins.keyed_join(left, right, ["k"]))
+        wide = joins.keyed_join(left, right, ["k"], broadcast_bytes=10_000)
+        assert "BroadcastHashJoin" not in plan_of(wide) and wide.where("length(v) = 5000").count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_attach_sides_and_unmatched(spark):
@@ -195,6 +213,14 @@ def season(spark):
     return frames.outcome_frame(results, standings, venues, frames.PROMOTED_2019)
 
 
+def test_positions_do_not_depend_on_the_others_asked_for(spark):
+    df = spark.createDataFrame([(1, i % 7, i) for i in range(40)], "k int, b int, id int").repartition(5)
+    near = rows(reshape.pick_positions(df, ["k"], [1, 3, 11]), "row")
+    deep = rows(reshape.pick_positions(df, ["k"], [1, 3, 11, 40], top_rows=5), "row")
+    assert deep[:3] == near and [r[2] for r in near] == [0, 14, 29]
+
+
+
 def test_season_frame(season):
     from touchline.operators import describe, logit
 

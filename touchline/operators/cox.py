@@ -65,11 +65,12 @@ class CoxFit:
             rows.append(
                 (label, float(b), float(s), float(b / s), normal_two_sided(b / s))
                 + tuple(math.exp(b + k * s) for k in (0, -Z95, Z95))
+                + (bool(np.isnan(b)), self.converged)
             )
         return spark.createDataFrame(
             rows,
             "term string, estimate double, std_error double, z double, p double, "
-            "hazard_ratio double, hr_lower double, hr_upper double",
+            "hazard_ratio double, hr_lower double, hr_upper double, dropped boolean, converged boolean",
         )
 
     def tests(self) -> dict[str, NestedTest]:

@@ -122,9 +122,9 @@ def round_breaks(low: float, high: float, bins: int) -> list[float]:
 def histogram(df: DataFrame, col: str, bins: int = 15, weight: str | None = None) -> DataFrame:
     """Counts on round equal bins, right-closed, the lowest value in the first bin, empty bins shown.
 
-    The rows are read once, into counts per distinct value; range and bins come from those.
+    The rows are read once, into counts per distinct value; range and bins come from those. Nulls and NaN are in no bin.
     """
-    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).groupBy(F.col(col).cast("double").alias("v"))
     counted = stage(values.agg(F.sum(rows_of(weight)).alias("n")))  # one row per distinct value
     x = F.col("v")
     low, high = counted.agg(F.min(x), F.max(x)).first()
@@ -148,14 +148,10 @@ def first_event_outcome(
     df: DataFrame, home_time: str = "fhg", away_time: str = "fag", result: str = "ftr", sentinel: int = NO_GOAL
 ) -> DataFrame:
     """What became of the side that scored first: Win, Draw or Loss counts. Goalless and same-minute matches go."""
-    h = sentinel_fill(F.col(home_time), sentinel)
-    a = sentinel_fill(F.col(away_time), sentinel)
-    first = F.when(h < a, "H").when(h > a, "A").otherwise("")
-    scored = df.where((h != sentinel) | (a != sentinel)).withColumn("_first", first)
-    outcome = (
-        F.when(F.col("_first") == F.col(result), "Win")
-        .when(F.col(result) == "D", "Draw")
-        .when((F.col("_first") != F.col(result)) & (F.col(result) != "D"), "Loss")
-        .otherwise("")
-    )
-    return scored.where("_first != ''").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    never = sentinel
+    home, away = (F.coalesce(F.col(c), F.lit(never)) for c in (home_time, away_time))
+    leader = F.when(home < away, "H").otherwise("A")
+    ends = F.coalesce(F.col(result), F.lit(""))
+    # what the result says of the leader; anything but the two sides' letters and a draw has no name
+    fate = F.when(ends == leader, "Win").when(ends == "D", "Draw").when(ends.isin("H", "A"), "Loss").otherwise("")
+    return df.where(home != away).groupBy(fate.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,8 @@
 """Lookups by key. Every join is an equi join.
 
-A lookup side is broadcast only after its row count was checked against ``BROADCAST_ROWS``. A larger lookup
-goes through a salted shuffle join: a key that holds a third of the left rows is spread over ``SALTS`` tasks.
-The salt is a hash of the row and of its input partition, so a retried task sends its rows to the same place,
-and identical copies from different partitions still spread.
+A lookup side is broadcast only when both its row count and the bytes that Spark expects of it are under a bound. A
+larger lookup goes through a shuffle join: Spark's adaptive execution splits partitions that a hot key makes too
+large, so only what is hot is copied.
 """
 
 from __future__ import annotations
@@ -17,11 +16,19 @@ from touchline.functions.columns import chord_km, great_circle_km, not_listed, u
 from touchline.operators.staging import stage
 
 BROADCAST_ROWS = 100_000
-SALTS = 32
+BROADCAST_BYTES = 32 << 20
 
 
-def _fits(small: DataFrame, limit: int) -> bool:
-    return small.limit(limit + 1).count() <= limit
+def _fits(small: DataFrame, limit: int, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when a lookup is within both bounds. Bytes are summed over its rows as text, and only if they are few."""
+    if small.limit(limit + 1).count() > limit:
+        return False
+    width = sum((F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in small.columns), F.lit(0))
+    return (small.agg(F.sum(width)).first()[0] or 0) <= most_bytes
+
+
+def _joined(df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str, small: bool) -> DataFrame:
+    return df.join(F.broadcast(lookup) if small else lookup, list(keys), how)
 
 
 def keyed_join(
@@ -30,18 +37,10 @@ def keyed_join(
     keys: Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join on equally named keys; ``how`` is left, inner, left_semi or left_anti."""
-    keys = list(keys)
-    if _fits(lookup, broadcast_rows):
-        return df.join(F.broadcast(lookup), keys, how)
-    salted = df.withColumn(
-        "_salt",
-        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id()), F.lit(salts)).cast("int"),
-    )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return _joined(df, lookup, keys, how, _fits(lookup, broadcast_rows, broadcast_bytes))
 
 
 def attach_sides(
@@ -50,20 +49,20 @@ def attach_sides(
     key: str = "team",
     sides: Mapping[str, str] | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left-join one lookup once per side, its columns prefixed: home -> home_pts, away -> away_pts.
 
-    Lookup keys must be unique and not null; a side without a row gets nulls.
+    Lookup keys must be unique and not null; a side without a row gets nulls. The lookup's size is checked once.
     """
     sides = sides or {"home": "home_", "away": "away_"}
-    small = _fits(lookup, broadcast_rows)
-    limit = broadcast_rows if small else 0
+    small = _fits(lookup, broadcast_rows, broadcast_bytes)
     out = df
     for side, prefix in sides.items():
         named = lookup.select(
             F.col(key).alias(side), *[F.col(c).alias(prefix + c) for c in lookup.columns if c != key]
         )
-        out = out.join(F.broadcast(named), side, "left") if small else keyed_join(out, named, [side], "left", limit)
+        out = _joined(out, named, [side], "left", small)
     return out.select(*df.columns, *[c for c in out.columns if c not in df.columns])
 
 

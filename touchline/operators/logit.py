@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,7 @@ from touchline.operators.describe import rows_of
 from touchline.operators.newton import Point, batches, climb_all, solve, symmetric, triangle
 from touchline.operators.ordered import equal_count_cuts, quantiles, with_bins
 from touchline.operators.staging import stage, staged
-from touchline.operators.terms import Term, cell_table, design, linear_sql, x, x_sql
+from touchline.operators.terms import Scale, Term, back_transform, cell_table, design, linear_sql, read_scales, scale_sums, slot, standardised, transformed, x, x_sql
 
 INTERCEPT = "(Intercept)"
 
@@ -33,6 +33,7 @@ class LogitFit:
     n_dropped: int
     passes: int
     converged: bool
+    scales: Mapping[str, Scale] = field(default_factory=dict, repr=False)
 
     @property
     def deviance(self) -> float:
@@ -66,19 +67,22 @@ class LogitFit:
         return [normal_two_sided(z) for z in self.coef / self.std_error]
 
     def coef_table(self, spark: SparkSession) -> DataFrame:
+        """One row per coefficient; ``dropped`` marks a column that repeats earlier ones and was left out."""
         rows = [
-            (label, float(b), float(s), float(b / s), p, math.exp(b))
+            (label, float(b), float(s), float(b / s), p, math.exp(b), bool(np.isnan(b)), self.converged)
             for label, b, s, p in zip(self.labels, self.coef, self.std_error, self.p_values)
         ]
         return spark.createDataFrame(
-            rows, "term string, estimate double, std_error double, z double, p double, odds_ratio double"
+            rows,
+            "term string, estimate double, std_error double, z double, p double, odds_ratio double, dropped boolean, converged boolean",
         )
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        row = (self.n, self.n_dropped, self.null_deviance, self.n - 1, self.deviance, self.df_residual, self.aic)
+        row = (self.n, self.n_dropped, self.null_deviance, self.n - 1, self.deviance, self.df_residual, self.aic, self.passes, self.converged)
         return spark.createDataFrame(
             [row],
-            "n bigint, n_dropped bigint, null_deviance double, null_df bigint, deviance double, residual_df bigint, aic double",
+            "n bigint, n_dropped bigint, null_deviance double, null_df bigint, deviance double, residual_df bigint, aic double, "
+            "passes int, converged boolean",
         )
 
     def linear(self) -> Column:
@@ -174,13 +178,16 @@ def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[s
         for c in cols:
             complete = complete & x(c).isNotNull()
         counted += [F.sum(F.when(complete, F.col("n"))).alias(f"n{i}"), F.sum(F.when(complete, F.col("wins"))).alias(f"w{i}")]
-    counts = cells.agg(F.sum("n").alias("all"), *counted).first()
+    every = list(dict.fromkeys(c for cols in labels for c in cols))
+    counts = cells.agg(F.sum("n").alias("all"), *counted, *scale_sums(every)).first()
     for i, m in enumerate(names):
         if not counts[f"n{i}"]:
             raise ValueError(f"model {m!r} has no complete row")
+    scales = read_scales(counts, every)
+    even = standardised(cells, scales)
 
     def evaluate(asked):
-        return _evaluate(cells, [(labels[i], b) for i, b in asked])
+        return _evaluate(even, [(labels[i], b) for i, b in asked])
 
     starts = []
     for i in range(len(names)):
@@ -189,17 +196,19 @@ def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[s
     fits = {}
     for i, run in enumerate(climb_all(evaluate, starts)):
         n = int(counts[f"n{i}"])
+        coef, cov = transformed(back_transform(labels[i], scales), run.estimates(), run.covariance())
         fits[names[i]] = LogitFit(
             tuple(models[names[i]]),
             [INTERCEPT, *labels[i]],
-            run.estimates(),
-            run.covariance(),
+            coef,
+            cov,
             run.best.loglik,
             n,
             int(counts[f"w{i}"]),
             int(counts["all"]) - n,
             run.passes,
             run.converged,
+            scales,
         )
     return fits
 
@@ -209,13 +218,13 @@ def fit_logit(df: DataFrame, win: Column, terms: Sequence[Term], weight: str | N
 
 
 def compare_models(fits: Mapping[str, LogitFit], spark: SparkSession, level: float = 0.05) -> DataFrame:
-    """Models by AIC, with a flag for all slopes significant."""
+    """Models by AIC, those whose fit did not converge last, with a flag for all slopes significant."""
     rows = [
-        (name, f.rank, f.n, f.deviance, f.aic, all(p < level for p in f.p_values[1:]))
-        for name, f in sorted(fits.items(), key=lambda kv: kv[1].aic)
+        (name, f.rank, f.n, f.deviance, f.aic, all(p < level for p in f.p_values[1:]), f.converged)
+        for name, f in sorted(fits.items(), key=lambda kv: (not kv[1].converged, kv[1].aic))
     ]
     return spark.createDataFrame(
-        rows, "model string, coefficients int, n bigint, deviance double, aic double, all_significant boolean"
+        rows, "model string, coefficients int, n bigint, deviance double, aic double, all_significant boolean, converged boolean"
     )
 
 
@@ -241,8 +250,8 @@ def choose_forward(
     level: float = 0.05,
     weight: str | None = None,
 ) -> tuple[str, dict[str, LogitFit]]:
-    """Walk through rounds of candidates. A candidate replaces the current best when its AIC is lower, all its
-    slopes are significant and, where the current best is nested in it, the likelihood-ratio test improves.
+    """Walk through rounds of candidates. A candidate replaces the current best when its fit converged, its AIC is
+    lower, all its slopes are significant and, where the current best is nested in it, the likelihood-ratio test improves.
 
     All rounds are fitted together, in shared passes, on the rows complete in every candidate. The start is the
     model without terms, named "null".
@@ -254,7 +263,7 @@ def choose_forward(
         for name in sorted(step, key=lambda m: fits[m].aic):
             fit, held = fits[name], fits[best]
             nested = set(held.labels) < set(fit.labels)
-            better = fit.aic < held.aic and all(p < level for p in fit.p_values[1:])
+            better = fit.converged and fit.aic < held.aic and all(p < level for p in fit.p_values[1:])
             if better and (not nested or nested_test(held, fit).p < level):
                 best = name
                 break
@@ -275,23 +284,40 @@ def profile_intervals(
         if not fit.converged or fit.rank < len(fit.coef):
             raise ValueError("no unique finite maximum: profile limits do not exist")
         p, labels = len(fit.coef), fit.labels[1:]
+        # slopes are profiled on centred columns; the intercept needs the columns' own zero, so it keeps it
+        zero = {c: Scale(0.0, s.spread) for c, s in fit.scales.items()}
+        both = cells.select(
+            "n",
+            "wins",
+            *[((x(c) - F.lit(fit.scales[c].mean)) / F.lit(fit.scales[c].spread)).alias(slot("mid " + c)) for c in labels],
+            *[(x(c) / F.lit(fit.scales[c].spread)).alias(slot("own " + c)) for c in labels],
+        )
+        maps = {False: back_transform(labels, zero), True: back_transform(labels, fit.scales)}
+        names = {False: ["own " + c for c in labels], True: ["mid " + c for c in labels]}
+        best = {c: np.linalg.solve(m, fit.coef) for c, m in maps.items()}
+        spread = {c: np.linalg.inv(m) @ fit.cov @ np.linalg.inv(m).T for c, m in maps.items()}
         target = fit.loglik - CHI2_95_1DF / 2
         jobs = [(j, side) for j in range(p) for side in (-1.0, 1.0)]
         # start: the normal-theory limit, the other coefficients moved along with it
-        at = [fit.coef + side * math.sqrt(CHI2_95_1DF / fit.cov[j, j]) * fit.cov[:, j] for j, side in jobs]
+        at = []
+        for j, side in jobs:
+            b, v = best[j > 0], spread[j > 0]
+            at.append(b + side * math.sqrt(CHI2_95_1DF / v[j, j]) * v[:, j])
         open_jobs = set(range(len(jobs)))
         for _ in range(max_passes):
             order = sorted(open_jobs)
             if not order:
                 break
-            points = _evaluate(cells, [(labels, at[k]) for k in order])
+            points = _evaluate(both, [(names[jobs[k][0] > 0], at[k]) for k in order])
             for k, point in zip(order, points):
                 j, side = jobs[k]
                 move = _profile_step(point, j, side, target)
                 at[k] = at[k] + move
                 if np.all(np.abs(move) <= 1e-10 * (1 + np.abs(at[k]))):
                     open_jobs.discard(k)
-        limit = {(j, s): math.nan if k in open_jobs else float(at[k][j]) for k, (j, s) in enumerate(jobs)}
+        limit = {}
+        for k, (j, side) in enumerate(jobs):
+            limit[j, side] = math.nan if k in open_jobs else float(at[k][j] * maps[j > 0][j, j])
     rows = [
         (fit.labels[j], float(fit.coef[j]), limit[j, -1.0], limit[j, 1.0])
         + tuple(math.exp(v) for v in (fit.coef[j], limit[j, -1.0], limit[j, 1.0]))

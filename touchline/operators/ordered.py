@@ -134,8 +134,9 @@ def quantiles_of_counts(
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Stored counts per distinct value: columns v and n. Nulls are left out."""
-    groups = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    """Stored counts per distinct value: columns v and n. Nulls and NaN have no place in an order and are left out."""
+    value = F.col(col).cast("double")
+    groups = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v"))
     return stage(groups.agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -150,7 +151,7 @@ def quantiles(counts: DataFrame, probs: Sequence[float], value: str = "v", n: st
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], small_rows: int | None = None) -> list[float]:
-    """Quantiles of a column by linear interpolation between order statistics (type 7), nulls left out."""
+    """Quantiles of a column by linear interpolation between order statistics (type 7), nulls and NaN left out."""
     return quantiles(value_counts(df, col), probs, small_rows=small_rows)
 
 

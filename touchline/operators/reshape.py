@@ -29,28 +29,31 @@ def two_sided(
 
 
 TOP_ROWS = 10_000
+RANGE_ROWS = 1_000_000
 
 
 def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[int], top_rows: int = TOP_ROWS) -> DataFrame:
     """Rows at the given 1-based positions of a stated order, with the position.
 
-    Positions near the start need only the top of the order. Further in, the rows are sorted into ranges, the
-    ranges stored and counted, and each row numbered inside its range.
+    Ties in ``order_by`` are settled by the other columns in their order, so a position names the same row whatever
+    other positions are asked for. Positions up to ``top_rows`` need only the top of the order. Further in, the rows
+    are sorted into ranges of about ``RANGE_ROWS``, the ranges stored and counted, and each row numbered inside its own;
+    rows equal in every column may part between ranges, which changes nothing one could tell.
     """
     wanted = F.col("row").isin(list(positions))
+    keys = [*order_by, *[c for c in df.columns if c not in order_by]]
     if max(positions) <= top_rows:
-        top = df.orderBy(*order_by).limit(max(positions))
-        return top.withColumn("row", F.row_number().over(Window.orderBy(*order_by)).cast("bigint")).where(wanted)
-    # equal rows may part anywhere: the hash and the input partition keep a block of copies from being one range
-    ranged = df.withColumns({"_h": F.xxhash64(*df.columns), "_in": F.spark_partition_id()})
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order_by, "_h", "_in"]
-    stored = stage(ranged.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+        top = df.orderBy(*keys).limit(max(positions))
+        return top.withColumn("row", F.row_number().over(Window.orderBy(*keys)).cast("bigint")).where(wanted)
+    stored_rows = stage(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_rows.count() // RANGE_ROWS))
+    ranged = stored_rows.withColumn("_in", F.spark_partition_id())
+    stored = stage(ranged.repartitionByRange(parts, *keys, "_in").withColumn("_range", F.spark_partition_id()))
     # one row per range
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = stored.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    numbered = stored.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*keys, "_in")))
     placed = numbered.join(starts, "_range").withColumn("row", F.col("_start") + F.col("_at"))
     return placed.where(wanted).select(*df.columns, "row")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,3 +124,57 @@ def number(value: float) -> str:
 
 def linear_sql(coef: Sequence[float], columns: Sequence[str]) -> str:
     return " + ".join(f"{number(b)} * {c}" for b, c in zip(coef, columns)) or "0D"
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Centre and spread of a design column over the rows that have it."""
+
+    mean: float
+    spread: float
+
+
+def scale_sums(labels: Sequence[str]) -> list[Column]:
+    """Aggregates over a cell table (count column n) from which ``read_scales`` takes the scales."""
+    out = []
+    for k, label in enumerate(labels):
+        held = F.when(x(label).isNotNull(), F.col("n"))
+        out += [F.sum(held * x(label)).alias(f"_s{k}"), F.sum(held).alias(f"_c{k}"), F.min(x(label)).alias(f"_l{k}"), F.max(x(label)).alias(f"_h{k}")]
+    return out
+
+
+def read_scales(row, labels: Sequence[str]) -> dict[str, Scale]:
+    """Scales from a row of ``scale_sums``: the range is the spread, and a constant column is centred to exact zeros."""
+    out = {}
+    for k, label in enumerate(labels):
+        low, high = row[f"_l{k}"], row[f"_h{k}"]
+        if low is None or not high > low:
+            out[label] = Scale(0.0 if low is None else float(low), 1.0)
+        else:
+            out[label] = Scale(float(row[f"_s{k}"] / row[f"_c{k}"]), float(high - low))
+    return out
+
+
+def standardised(cells: DataFrame, scales: Mapping[str, Scale]) -> DataFrame:
+    """Cells whose design columns are centred and divided by their spread: fits in them don't depend on units."""
+    new = {slot(label): (x(label) - F.lit(s.mean)) / F.lit(s.spread) for label, s in scales.items()}
+    return cells.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in cells.columns])
+
+
+def back_transform(labels: Sequence[str], scales: Mapping[str, Scale]) -> np.ndarray:
+    """Matrix from coefficients on standardised columns (intercept first) to those on the columns as given."""
+    out = np.eye(1 + len(labels))
+    for j, label in enumerate(labels, start=1):
+        out[j, j] = 1 / scales[label].spread
+        out[0, j] = -scales[label].mean / scales[label].spread
+    return out
+
+
+def transformed(matrix: np.ndarray, estimates: np.ndarray, covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and covariance under a linear map; what was left out of the fit (NaN) stays out."""
+    gone = ~np.isfinite(estimates)
+    values = matrix @ np.nan_to_num(estimates)
+    spread = matrix @ np.nan_to_num(covariance) @ matrix.T
+    values[gone] = np.nan
+    spread[gone, :] = spread[:, gone] = np.nan
+    return values, spread

@@ -15,7 +15,7 @@ from touchline.operators.describe import rows_of
 from touchline.operators.logit import INTERCEPT, NestedTest
 from touchline.operators.newton import Point, batches, climb_all, symmetric, triangle
 from touchline.operators.staging import staged
-from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
+from touchline.operators.terms import Term, back_transform, cell_table, design, linear_sql, number, read_scales, scale_sums, standardised, transformed, x, x_sql
 
 LOG_SCALE = "Log(scale)"
 
@@ -56,18 +56,21 @@ class WeibullFit:
         return NestedTest(stat, df, chi_square_upper(stat, df) if df else math.nan)
 
     def coef_table(self, spark: SparkSession) -> DataFrame:
+        """One row per parameter; ``dropped`` marks a column that repeats earlier ones and was left out."""
         rows = [
-            (label, float(b), float(s), float(b / s), normal_two_sided(b / s))
+            (label, float(b), float(s), float(b / s), normal_two_sided(b / s), bool(np.isnan(b)), self.converged)
             for label, b, s in zip(self.labels, self.coef, self.std_error)
         ]
-        return spark.createDataFrame(rows, "term string, estimate double, std_error double, z double, p double")
+        return spark.createDataFrame(
+            rows, "term string, estimate double, std_error double, z double, p double, dropped boolean, converged boolean"
+        )
 
     def summary(self, spark: SparkSession) -> DataFrame:
         t = self.model_test
         return spark.createDataFrame(
-            [(self.n, self.events, self.n_dropped, self.scale, self.loglik, self.loglik_null, t.chi_square, t.df, t.p)],
+            [(self.n, self.events, self.n_dropped, self.scale, self.loglik, self.loglik_null, t.chi_square, t.df, t.p, self.passes, self.converged)],
             "n bigint, events bigint, n_dropped bigint, scale double, loglik double, loglik_null double, "
-            "chi_square double, df int, p double",
+            "chi_square double, df int, p double, passes int, converged boolean",
         )
 
     def ratios(self, spark: SparkSession) -> DataFrame:
@@ -161,6 +164,7 @@ def fit_weibulls(
     grouped = cell_table(known, list(models.values()), [("time", F.col(time).cast("double"))], sums)
     with staged(grouped) as cells:
         labels = [[label for label, _ in design(models[m])] for m in names]
+        every = list(dict.fromkeys(c for cols in labels for c in cols))
         counted = []
         for i, cols in enumerate(labels):
             use = F.lit(True)
@@ -172,7 +176,7 @@ def fit_weibulls(
                 F.sum(F.when(use, F.col("n") * F.col("time"))).alias(f"t{i}"),
             ]
         counts = cells.agg(
-            F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("time") <= 0, F.col("n"))), F.lit(0.0)).alias("bad"), *counted
+            F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("time") <= 0, F.col("n"))), F.lit(0.0)).alias("bad"), *counted, *scale_sums(every)
         ).first()
         if counts["bad"]:
             raise ValueError(f"{int(counts['bad'])} rows with a time at or below zero")
@@ -187,7 +191,8 @@ def fit_weibulls(
             nulls.setdefault(key, i)
         jobs = [(labels[i], None) for i in range(len(names))] + [([], key) for key in nulls]
         flags = {}
-        table = cells
+        scales = read_scales(counts, every)
+        table = standardised(cells, scales)
         for key in nulls:
             use = F.lit(True)
             for c in key:
@@ -217,7 +222,9 @@ def fit_weibulls(
     null_loglik = {key: runs[len(names) + k].best.loglik for k, key in enumerate(nulls)}
     fits = {}
     for i, m in enumerate(names):
-        found = runs[i].estimates()
+        wide = np.eye(len(labels[i]) + 2)
+        wide[:-1, :-1] = back_transform(labels[i], scales)
+        found, spread = transformed(wide, runs[i].estimates(), runs[i].covariance())
         theta, g = found[:-1], found[-1]
         p = len(theta) + 1
         # coefficient = theta / g, log scale = -log g
@@ -225,7 +232,7 @@ def fit_weibulls(
         jac[:-1, :-1] = np.eye(p - 1) / g
         jac[:-1, -1] = -np.nan_to_num(theta) / g**2
         jac[-1, -1] = -1 / g
-        covariance = jac @ np.nan_to_num(runs[i].covariance()) @ jac.T
+        covariance = jac @ np.nan_to_num(spread) @ jac.T
         repeated = ~np.isfinite(found)
         covariance[repeated, :] = covariance[:, repeated] = np.nan
         n = int(counts[f"n{i}"])
