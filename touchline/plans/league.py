@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ HORIZON = 50
 SAFE = 22
 SHORT_KM = 3000.0
 PROMOTED = ["NATION_7", "NATION_8", "NATION_12"]
+PROMOTED_LATER = ["NATION_2", "NATION_9"]  # left out of the season that is scored
 
 
 # The columns used and their types. A declared schema saves a footer read per table and query.
@@ -96,13 +99,13 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def outcomes(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
+def outcomes(spark: SparkSession, sf: str, grouped: bool = False, promoted: Sequence[str] = tuple(PROMOTED)) -> DataFrame:
     """Outcome frame. Every nation plays at home, so the venue list needs no pass over the matches."""
     return outcome_frame(
         matches(spark, sf),
         standings(spark, sf),
         venues(spark, sf),
-        PROMOTED,
+        promoted,
         CUTOFF,
         SHORT_KM,
         venues_of_home_teams=False,

@@ -321,7 +321,8 @@ def score_deciles(spark, sf):
 
 
 def _coefs(table: DataFrame, cols=("estimate", "std_error")) -> DataFrame:
-    return r6(table.select("term", *cols), cols)
+    """Coefficients with z (to four places: it runs into the hundreds) and p."""
+    return r6(table.select("term", *cols, F.round("z", 4).alias("z"), "p"), [*cols, "p"])
 
 
 @query
@@ -352,7 +353,7 @@ def logit_final(spark, sf):
 
 @query
 def logit_summary(spark, sf):
-    s = logit.fit_logit(league.outcome_counts(spark, sf), win(), [Cat("distance", C.DISTANCES), PERIOD, Inter(DISTANCE, PERIOD)], weight="n").summary(spark)
+    s = logit.fit_logit(league.outcome_counts(spark, sf), win(), [Cat("distance", C.DISTANCES), PERIOD, Inter(DISTANCE, PERIOD)], weight="n").summary(spark).drop("passes")
     return r6(s, ["null_deviance", "deviance", "aic"])
 
 
@@ -435,6 +436,16 @@ def effect_grid(spark, sf):
     return r6(logit.effect_grid(logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS), full), ["home_pts", "away_pts", "fitted"])
 
 
+@query
+def effect_grid_away(spark, sf):
+    """Fitted win probability along away points at the mean of home points, for both distances."""
+    o = league.outcomes(spark, sf)
+    low, high, mean = o.agg(F.min("away_pts"), F.max("away_pts"), F.avg("home_pts")).first()
+    grid = reshape.value_grid(low, high, 0.1, "away_pts", o)
+    full = grid.select(F.lit(mean).alias("home_pts"), "away_pts", F.explode(F.array(*[F.lit(v) for v in C.DISTANCES])).alias("distance"))
+    return r6(logit.effect_grid(logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS), full), ["home_pts", "away_pts", "fitted"])
+
+
 @query
 def residuals(spark, sf):
     """Residuals, leverage and Cook's distance of the fitted model, per distinct design row and result."""
@@ -521,6 +532,21 @@ def confusion(spark, sf):
     return r6(c.table(spark).where(~F.col("statistic").isin(left_out)), ["value"])
 
 
+@query
+def heldout_season(spark, sf):
+    """Fit on the matches up to the cut-off, score the later ones without their own list of sides, and judge the calls."""
+    early = league.outcome_counts(spark, sf).where(F.col("period") == "Pre")
+    fit = logit.fit_logit(early, win(), FINAL_MODEL, weight="n")
+    later = league.outcomes(spark, sf, grouped=True, promoted=league.PROMOTED_LATER).where(F.col("period") == "Post")
+    scored = stage(later.select("result", "n", fit.score().alias("score")))
+    area = evaluate.area_under_roc(evaluate.rank_scores(scored, win(), "score", weight="n")).first()["auc"]
+    cut = _best_cut(scored)
+    c = evaluate.confusion(scored, evaluate.classify(F.col("score"), cut), F.col("result"), weight="n")
+    row = (int(early.agg(F.sum("n")).first()[0]), area, cut, c.true_pos, c.false_neg, c.false_pos, c.true_neg)
+    names = "n_train bigint, auc double, threshold double, true_pos bigint, false_neg bigint, false_pos bigint, true_neg bigint"
+    return r6(spark.createDataFrame([row], names), ["auc", "threshold"])
+
+
 # ---- survival
 
 
@@ -596,12 +622,22 @@ def cumhaz_loglog(spark, sf):
     return r6(survival.cumulative_hazard(curve, ["loc"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
 
 
+def _cumhaz_combinations(spark, sf, loc: str) -> DataFrame:
+    d = _with_combination(league.durations(spark, sf).where(F.col("loc") == loc))
+    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"])
+    return r6(survival.cumulative_hazard(curve, ["combination"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
+
+
 @query
 def cumhaz_home_combinations(spark, sf):
     """Log cumulative hazard of the eight combinations, home rows only."""
-    d = _with_combination(league.durations(spark, sf).where(F.col("loc") == "Home"))
-    curve = survival.kaplan_meier(d, "goaltime", "cens", ["combination"])
-    return r6(survival.cumulative_hazard(curve, ["combination"]), ["time", "log_time", "cum_hazard", "log_cum_hazard"])
+    return _cumhaz_combinations(spark, sf, "Home")
+
+
+@query
+def cumhaz_away_combinations(spark, sf):
+    """The same for the away rows."""
+    return _cumhaz_combinations(spark, sf, "Away")
 
 
 def _rank(spark, d, group, levels, rho):
