@@ -26,7 +26,13 @@ def test_results_reader(spark, tmp_path):
         "E0,10/08/19,West Ham,Man City,A,,25\n"
         'E0,14/03/2020,"A, B",Leicester,D,oops,3\n'
     )
-    got = rows(S.read_results(spark, str(path), goals=True), "date")
+    with pytest.raises(Exception, match="FHG is no int: oops"):
+        S.read_results(spark, str(path), goals=True).collect()
+    assert S.read_results(spark, str(path)).count() == 3  # the goal columns aren't read
+    assert S.unreadable_cells(spark, str(path), S.GOAL_COLUMNS).first().asDict() == {
+        "date": 0, "home": 0, "away": 0, "ftr": 0, "fhg": 1, "fag": 0
+    }
+    got = rows(S.read_results(spark, str(path), goals=True, strict=False), "date")
     assert got == [
         (D(2019, 8, 9), "Liverpool", "Norwich", "H", 7, None),
         (D(2019, 8, 10), "West Ham", "Man City", "A", None, 25),

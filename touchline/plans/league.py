@@ -76,17 +76,19 @@ def venues(spark: SparkSession, sf: str) -> DataFrame:
 def matches(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line item: date, home and away nation, result code and first-goal minutes."""
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    items = spread(table(spark, sf, "lineitem"), "l_orderkey").join(
-        table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    placed = (
-        items.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    homes = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home"))
+    aways = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("away"))
+    # both sides get their names before they meet the line items: what a filter on sides leaves out never gets there
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(homes, "c_nationkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    hosted = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "home")
+    guests = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(aways, "s_nationkey").select("s_suppkey", "away")
+    named = (
+        spread(table(spark, sf, "lineitem"), "l_orderkey")
+        .join(hosted, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(guests, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(table(spark, sf, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    named = placed.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("home")), "c_nationkey").join(
-        nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("away")), "s_nationkey"
-    )
     return named.select(
         "l_orderkey",
         "l_linenumber",
