@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.operators.staging import staged
-
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "SPACES", "documents", "held_out", "lower_ascii", "text_or_empty", "utf8", "word_count", "several_staged"]
+__all__ = ["WORD", "documents", "held_out", "text_or_empty", "utf8", "word_count"]
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
@@ -26,11 +20,6 @@ def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z; every other letter stays as it is."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
@@ -43,13 +32,3 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``remainder``; a null id counts as the empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return F.crc32(utf8(text)) % F.lit(modulus) == F.lit(remainder)
-
-
-@contextmanager
-def several_staged(*frames: DataFrame) -> Iterator[list[DataFrame]]:
-    """Written copies of several frames for a block of work; the files go when the block ends."""
-    if not frames:
-        yield []
-        return
-    with staged(frames[0]) as first, several_staged(*frames[1:]) as rest:
-        yield [first, *rest]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, text_or_empty
 from touchline.llm.components import components
-from touchline.operators.staging import stage
+from touchline.operators.staging import stage, staged
 
 SHINGLE = 2
 PERCENT = 80
@@ -313,16 +313,15 @@ def near_groups(
     distinct = lettered.groupBy("set_key").agg(lead)
     reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
     prefix = prefixes(reps.select("node", "signature"), matches)
-    nodes = stage(prefix.join(reps.select("node", "sketch"), "node"))
-    sets = stage(full_sets(plain, nodes.select("node").distinct(), size))
-    found, labels = [], None
-    for star in range(STARS):
-        pairs = alike(hub_pairs(postings(nodes, labels), star), nodes, least)
-        found.append(stage(confirm(pairs, sets, percent)))
-        if found[-1].isEmpty():
-            break
-        labels = stage(components(_all(found)))
-    found.append(stage(confirm(cross_pairs(postings(nodes, labels), nodes, least), sets, percent)))
+    with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes, staged(full_sets(plain, nodes.select("node").distinct(), size)) as sets:
+        found, labels = [], None
+        for star in range(STARS):
+            pairs = alike(hub_pairs(postings(nodes, labels), star), nodes, least)
+            found.append(stage(confirm(pairs, sets, percent)))
+            if found[-1].isEmpty():
+                break
+            labels = stage(components(_all(found)))
+        found.append(stage(confirm(cross_pairs(postings(nodes, labels), nodes, least), sets, percent)))
     links = _all(found)
     final = stage(components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
