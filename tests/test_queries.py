@@ -17,7 +17,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(SQL) == set(E.queries())
+    without = set(E.queries()) - set(SQL)
+    assert set(SQL) <= set(E.queries())
+    assert all(name.startswith("op") or name == "pipeline" for name in without)  # corpus operators that SQL can't express
 
 
 def test_entry(spark):
