@@ -38,6 +38,7 @@ MATCHES = 56
 SKETCH = 256
 LEAST = 172
 STARS = 4
+FEW_LINKS = 50
 BLOCK = 1_000
 BROADCAST_IDS = 1_000_000
 REMEMBERED = 300_000
@@ -314,13 +315,15 @@ def near_groups(
     reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
     prefix = prefixes(reps.select("node", "signature"), matches)
     with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes, staged(full_sets(plain, nodes.select("node").distinct(), size)) as sets:
-        found, labels = [], None
+        found, labels, total = [], None, nodes.count()
         for star in range(STARS):
             pairs = alike(hub_pairs(postings(nodes, labels), star), nodes, least)
             found.append(stage(confirm(pairs, sets, percent)))
-            if found[-1].isEmpty():
-                break
-            labels = stage(components(_all(found)))
+            new = found[-1].count()
+            if new:
+                labels = stage(components(_all(found)))
+            if new * FEW_LINKS < total:
+                break  # hubs find little more; the blocks look at all that is left
         found.append(stage(confirm(cross_pairs(postings(nodes, labels), nodes, least), sets, percent)))
     links = _all(found)
     final = stage(components(links))
