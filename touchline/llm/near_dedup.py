@@ -37,7 +37,8 @@ COORDINATES = 96
 MATCHES = 56
 SKETCH = 256
 LEAST = 172
-STARS = 4
+STARS = 5
+HUB_LISTS = 8
 FEW_LINKS = 50
 BLOCK = 1_000
 BROADCAST_IDS = 1_000_000
@@ -317,7 +318,9 @@ def near_groups(
     with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes, staged(full_sets(plain, nodes.select("node").distinct(), size)) as sets:
         found, labels, total = [], None, nodes.count()
         for star in range(STARS):
-            pairs = alike(hub_pairs(postings(nodes, labels), star), nodes, least)
+            # the longest lists of each node reach most of its group; what they leave is up to the blocks
+            longest = nodes.select("node", F.slice("prefix", F.greatest(F.size("prefix") - HUB_LISTS + 1, F.lit(1)), HUB_LISTS).alias("prefix"))
+            pairs = alike(hub_pairs(postings(longest, labels), star), nodes, least)
             found.append(stage(confirm(pairs, sets, percent)))
             new = found[-1].count()
             if new:
