@@ -48,6 +48,7 @@ class RunEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.small = self.library.get_vocab_size() <= 2**16
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -83,8 +84,17 @@ def encoder(name: str) -> RunEncoder:
     return _encoders[name]
 
 
+def narrow(ids: bytes, small: bool) -> bytes:
+    """Ids in two bytes each where they all fit, for the way to their group."""
+    return np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes() if small else ids
+
+
+def widen(ids: bytes, length: int) -> bytes:
+    return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if len(ids) == 2 * length else ids
+
+
 def cut_pieces(docs: DataFrame, tiers: Sequence[int] = TIERS, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens and, if asked, ids.
+    """Pieces of every document (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens and, if asked, ids (narrow).
 
     The document's ids end with ``END_ID``; whole windows of the longest tier come first, what is left is one piece.
     """
@@ -102,7 +112,7 @@ def cut_pieces(docs: DataFrame, tiers: Sequence[int] = TIERS, tokenizer: str = T
                 parts = [(start, ids[4 * start : 4 * (start + window)]) for start in range(0, tokens, window)]
                 out.append(
                     [
-                        {"start": start, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "doc_tokens": tokens, "ids": p if with_ids else None}
+                        {"start": start, "length": len(p) // 4, "ids_crc32": zlib.crc32(p), "doc_tokens": tokens, "ids": narrow(p, e.small) if with_ids else None}
                         for start, p in parts
                     ]
                 )
@@ -172,6 +182,8 @@ def _pack_group(tiers: Sequence[int], per_step: int):
         base = int(part["group"].iloc[0]) << 32
         ordered = np.sort(tiers)
         whole = np.where((fill & (fill - 1)) == 0, fill, ordered[-1])
+        if "ids" in part:
+            part["ids"] = [widen(ids, n) for ids, n in zip(part["ids"], part["length"])]
         return part.drop(columns=["group", "order"]).assign(
             sequence_id=base + sequence,
             offset=offset,
