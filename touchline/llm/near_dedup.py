@@ -13,8 +13,8 @@ signature is a set of (coordinate, value) tokens, posted in an inverted index:
   here. Then the lists that still hold several components are merged in blocks, members of one component skipping
   each other, and a pair is looked at in the first list it shares only.
 
-Before their full sets are fetched, candidates must agree in ``LEAST`` of ``SKETCH`` one-byte minima, which a pair of
-similarity 0.8 fails once in 100,000 times. Candidates are confirmed on the full sets. Equal sets are one node
+Before their full sets are fetched, candidates must agree in ``LEAST`` of ``SKETCH`` one-byte minima (in the blocks, in
+``FIRST_LEAST`` of the first ``FIRST`` before that), which a pair of similarity 0.8 fails once in 100,000 times. Candidates are confirmed on the full sets. Equal sets are one node
 throughout.
 """
 
@@ -40,7 +40,9 @@ LEAST = 172
 STARS = 5
 HUB_LISTS = 8
 FEW_LINKS = 50
+FIRST, FIRST_LEAST = 64, 30
 BLOCK = 1_000
+BLOCK_KEYS = ["token", "low", "high"]
 BROADCAST_IDS = 1_000_000
 REMEMBERED = 300_000
 CHUNK = 1 << 14
@@ -221,47 +223,87 @@ def blocks_of(posted: DataFrame, nodes: DataFrame) -> DataFrame:
     ).join(nodes.select("node", "sketch", "prefix"), "node")
 
 
-def _merge_blocks(least: int):
-    """Alike pairs of different components, from rows sorted by block; one block is held at a time."""
+def _by_block(work):
+    """Runs ``work`` on each block of rows that are sorted by block; one block is held at a time."""
 
-    def pairs_of(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        same, token = block["low"].iloc[0] == block["high"].iloc[0], block["token"].iloc[0]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = held[BLOCK_KEYS]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            for at, upto in zip(starts, starts[1:]):
+                yield from work(held.iloc[at:upto])
+            held = held.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from work(held)
+
+    return run
+
+
+def _candidates(least: int):
+    """Members of a block that have alike members of other components: node and those partners (in one of the two)."""
+
+    def work(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        token, low, high = (block[c].iloc[0] for c in BLOCK_KEYS)
         signs = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), -1)
+        first = np.ascontiguousarray(signs[:, :FIRST])
         nodes, comps = block["node"].to_numpy(), block["component"].to_numpy()
         sides, own = block["side"].to_numpy(), block["prefix"].tolist()
-        ones = np.arange(len(block)) if same else np.flatnonzero(sides == 0)
-        twos = np.arange(len(block)) if same else np.flatnonzero(sides == 1)
-        found: list[tuple[int, int]] = []
+        ones = np.arange(len(block)) if low == high else np.flatnonzero(sides == 0)
+        twos = np.arange(len(block)) if low == high else np.flatnonzero(sides == 1)
+        partners: dict[int, list[int]] = {}
         for i in ones:
-            rest = twos[twos > i] if same else twos
+            rest = twos[twos > i] if low == high else twos
             rest = rest[comps[rest] != comps[i]]
+            if len(rest):
+                rest = rest[(first[rest] == first[i]).sum(axis=1) >= FIRST_LEAST]
             if len(rest):
                 for j in rest[(signs[rest] == signs[i]).sum(axis=1) >= least]:
                     if token == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
-                        found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        if found:
-            yield pd.DataFrame(found, columns=["a", "b"])
+                        partners.setdefault(int(nodes[i]), []).append(int(nodes[j]))
+                        partners.setdefault(int(nodes[j]), [])
+        if partners:
+            yield pd.DataFrame({"token": token, "low": low, "high": high, "node": list(partners), "partners": list(partners.values())})
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = held[["token", "low", "high"]]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-            for at, upto in zip(starts, starts[1:]):
-                yield from pairs_of(held.iloc[at:upto])
-            held = held.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from pairs_of(held)
+    return _by_block(work)
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, on sorted distinct hashes."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
-    return merge
 
+def _confirmed(percent: int):
+    """Links of a block, from its members' full sets and partners."""
+
+    def work(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        sets = {n: np.frombuffer(x, np.uint64) for n, x in zip(block["node"], block["shingles"])}
+        links = []
+        for n, others in zip(block["node"], block["partners"]):
+            links += [(min(n, m), max(n, m)) for m in others if similar(sets[n], sets[m], percent)]
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    return _by_block(work)
+
+
+def cross_links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
+    """Links between components, from all mixed lists: a < b.
+
+    Candidates stay lists beside their members; the full sets come to the block, so no row is written for a pair that
+    isn't a link.
+    """
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "node")
 
-def cross_pairs(posted: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
-    """Alike pairs between components, from all mixed lists: a < b."""
-    keys = ["token", "low", "high"]
-    dealt = blocks_of(posted, nodes).repartition(*keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInPandas(_merge_blocks(least), "a bigint, b bigint").distinct()
+    schema = "token bigint, low int, high int, node bigint, partners array<bigint>"
+    found = dealt(blocks_of(posted, nodes)).mapInPandas(_candidates(least), schema)
+    return dealt(found.join(sets, "node")).mapInPandas(_confirmed(percent), "a bigint, b bigint").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,11 +316,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["_a"], batch["_b"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["_a"], batch["_b"])]
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     return both.where(small * 100 >= large * percent).select("a", "b", "_a", "_b").mapInPandas(check, "a bigint, b bigint")
@@ -327,7 +365,7 @@ def near_groups(
                 labels = stage(components(_all(found)))
             if new * FEW_LINKS < total:
                 break  # hubs find little more; the blocks look at all that is left
-        found.append(stage(confirm(cross_pairs(postings(nodes, labels), nodes, least), sets, percent)))
+        found.append(stage(cross_links(postings(nodes, labels), nodes, sets, least, percent)))
     links = _all(found)
     final = stage(components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
