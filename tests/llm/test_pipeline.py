@@ -25,7 +25,9 @@ def steps(spark, tmp_path_factory):
     """The rows before and after each stage, the first with awkward documents added."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     odd = [(10_000, None, "en", "src0", 0), (10_001, "", None, "src0", 0), (10_002, "12 34 !!", "en", None, 8)]
-    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    first = str(tmp_path_factory.mktemp("stage") / "documents")
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(first)
+    docs = spark.read.parquet(first)
     out = [[r.asDict() for r in docs.collect()]]
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         path = str(tmp_path_factory.mktemp("stage") / str(i))
