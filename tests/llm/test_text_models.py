@@ -114,6 +114,31 @@ def test_no_labels(spark):
     assert language_id.identify(df.limit(0), None).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + 40 * i) for i in range(80)]  # one script per language
+
+    def text(i):
+        return " ".join("".join(chr(ord(letters[i]) + rng.randrange(4)) for _ in range(4)) for _ in range(12))
+
+    rows = [(100 * i + k, text(i), f"l{i:02}") for i in range(80) for k in range(12 if i < 64 else 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = language_id.train(df, epochs=30)
+    assert net.languages == [f"l{i:02}" for i in range(80)]
+    asked = [(i, text(i)) for i in range(64, 80) for _ in range(3)]
+    got = language_id.identify(spark.createDataFrame(asked, "doc_id bigint, text string"), net).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id']:02}" for r in got]) > 0.8
+
+
+def test_rows_per_language():
+    assert language_id.rows_per_language({"a": 10**9, "b": 7}) == 400
+    counts = {str(i): 10**6 for i in range(100)}
+    assert language_id.rows_per_language(counts) == 256
+    assert language_id.rows_per_language(counts | {f"r{i}": 6 for i in range(100)}) == 250
+    assert language_id.rows_per_language({str(i): 10**6 for i in range(5000)}) == 50
+    assert language_id.rows_per_language(counts, most=20) == 20
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = language_id.ByteNet.fresh(["a", "b", "c"])

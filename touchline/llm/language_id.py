@@ -3,7 +3,8 @@
 Bytes (A-Z folded) are embedded, filters of several widths run over them, each filter's largest response in a
 fixed-length window feeds a softmax over the languages. A text is the byte-weighted mean of its windows' log
 probabilities; all windows of the whole text count. The network is trained in numpy on windows of a bounded sample
-of labelled rows: ``PER_LANGUAGE`` rows per language, chosen by checksum, so a rerun trains on the same rows.
+of labelled rows, chosen by checksum, so a rerun trains on the same rows. Every language that labels a text with a
+letter is learned: ``PER_LANGUAGE`` rows of each, fewer of the frequent ones once that passes ``SAMPLE_ROWS`` in all.
 
 For scoring, embedding and filters are folded into tables of the response to each byte pair and byte, so a window
 costs a few row lookups per byte.
@@ -27,7 +28,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 DEPTH = 8
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 64
+SAMPLE_ROWS = 25_600
+LEAST_PER_LANGUAGE = 50
 CROPS = 3
 SPARE = 4
 EPOCHS = 8
@@ -181,18 +183,32 @@ def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = P
     return chosen.select("lang", F.explode("parts").alias("data"))
 
 
+def rows_per_language(counts: dict[str, int], most: int = PER_LANGUAGE, total: int = SAMPLE_ROWS, least: int = LEAST_PER_LANGUAGE) -> int:
+    """The largest bound up to ``most`` that takes ``total`` rows at most; never below ``least`` (or ``most``, if smaller).
+
+    A language of fewer rows is taken whole, and what it leaves goes to the others.
+    """
+    left = total
+    for done, n in enumerate(sorted(counts.values())):
+        bound = left // (len(counts) - done)
+        if n >= bound:
+            return min(most, max(least, bound))
+        left -= n
+    return most
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> ByteNet | None:
     """Network for the languages of the labelled rows (doc_id, text, lang); None when there are none.
 
-    At most ``MOST_LANGUAGES`` languages, the most frequent ones, are learned: with ``per_language`` rows each, that
-    bounds what the driver reads.
+    Every language with a lettered row is learned. The driver reads one count per language and at most ``per_language``
+    rows of each; ``rows_per_language`` bounds their total.
     """
     counted = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).groupBy("lang").count()
-    top = {r["lang"]: r["count"] for r in counted.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not top:
+    counts = {r["lang"]: r["count"] for r in counted.collect()}
+    if not counts:
         return None
-    languages = sorted(top)
-    rows = training_rows(docs, top, per_language).collect()
+    languages = sorted(counts)
+    rows = training_rows(docs, counts, rows_per_language(counts, per_language)).collect()
     rows = sorted(((r["lang"], bytes(r["data"])) for r in rows if r["data"]))
     crops = [(lang, data) for lang, data in rows]
     rng = np.random.default_rng(3)
@@ -201,7 +217,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
         at = int(rng.integers(0, max(1, len(data) - size)))
         crops.append((lang, data[at : at + size]))
     x = np.concatenate([as_windows(data)[:1] for _, data in crops])
-    y = np.array([languages.index(lang) for lang, _ in crops])
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([place[lang] for lang, _ in crops])
     net = ByteNet.fresh(languages)
     net.fit(x, y, epochs)
     return net
@@ -240,6 +257,7 @@ def predict_column(text: Column, net: ByteNet) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tables = net.tables()
+        most = BATCH_BYTES * 64 // max(64, len(net.languages))  # a window holds one number per language
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
@@ -247,8 +265,8 @@ def predict_column(text: Column, net: ByteNet) -> Column:
             size = 0
             for t in batch:
                 part.append(t or "")
-                size += len(part[-1])
-                if size > BATCH_BYTES:
+                size += max(WINDOW, len(part[-1]))
+                if size > most:
                     a, b = answers(net, part, tables)
                     langs, scores, part, size = langs + a, scores + b, [], 0
             if part:
