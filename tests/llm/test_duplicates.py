@@ -195,6 +195,15 @@ def test_near_nulls_repeats_and_nothing(spark):
     assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in out.collect()) == sorted(["None", "4", "4", "None", "None"])
 
 
+def test_near_links_of_an_id_with_several_texts(spark, monkeypatch):
+    """Blocks confirm the links of both texts, as the hub rounds do."""
+    monkeypatch.setattr(near_dedup, "STARS", 0)
+    one, two = ([f"{c}{k}" for k in range(60)] for c in "pq")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(one[:-1] + ["x"])), (3, " ".join(two[:-1] + ["y"])), (4, "far away from all")]
+    got = near_dedup.near_groups(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_signature_chunks_agree(monkeypatch):
     shingles = np.random.default_rng(1).integers(0, 2**63, 5_000, dtype=np.uint64)
     whole = near_dedup.signature(shingles)

@@ -278,13 +278,16 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(percent: int):
-    """Links of a block, from its members' full sets and partners."""
+    """Links of a block, from its members' full sets and partners. A repeated id has several sets: any of them may link."""
 
     def work(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        sets = {n: np.frombuffer(x, np.uint64) for n, x in zip(block["node"], block["shingles"])}
+        distinct: dict[int, set[bytes]] = {}
+        for n, x in zip(block["node"], block["shingles"]):
+            distinct.setdefault(n, set()).add(x)
+        sets = {n: [np.frombuffer(x, np.uint64) for x in own] for n, own in distinct.items()}
         links = []
-        for n, others in zip(block["node"], block["partners"]):
-            links += [(min(n, m), max(n, m)) for m in others if similar(sets[n], sets[m], percent)]
+        for n, others in dict(zip(block["node"], block["partners"])).items():
+            links += [(min(n, m), max(n, m)) for m in others if any(similar(p, q, percent) for p in sets[n] for q in sets[m])]
         if links:
             yield pd.DataFrame(links, columns=["a", "b"])
 
