@@ -15,7 +15,8 @@ from touchline.operators.staging import scratch_path
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the byte network knows; it learns from the labelled rows of the same table.
 
-    Rejected: null, empty and letterless texts, and texts that no language reaches a probability of 0.4 for.
+    Rejected: null, empty and letterless texts, and texts that no language reaches a probability of 0.4 for. When
+    no text with letters is labelled, the last is not asked.
     """
     net = language_id.train(docs.select("doc_id", "text", "lang"))
     return language_id.keep_identified(docs, net)

@@ -114,6 +114,13 @@ def test_no_labels(spark):
     assert language_id.identify(df.limit(0), None).count() == 0
 
 
+def test_no_labels_keep_what_has_letters(spark):
+    rows = [(1, "abc", None), (2, None, None), (3, "", None), (4, "12 !!", "en"), (5, "漢", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = language_id.keep_identified(df, language_id.train(df))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
 def test_every_language_is_learned(spark):
     rng = random.Random(6)
     letters = [chr(0x4E00 + 40 * i) for i in range(80)]  # one script per language

@@ -291,9 +291,12 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
-    """Rows whose language is known with at least ``least_score``, with all their columns."""
+    """Rows whose language is known with at least ``least_score``, with all their columns.
+
+    Without a network (no labelled row to learn from) no language can be told: the rows whose text has a letter stay.
+    """
     if net is None:
-        return docs.limit(0)
+        return docs.where(F.col(text_col).rlike(LETTER))
     marked = docs.withColumn("_language", predict_column(F.col(text_col), net))
     return marked.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score)).drop("_language")
 
