@@ -163,6 +163,20 @@ def test_one_cell_and_many_give_scores_of_the_original_vectors(spark):
         assert r["score"] == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
 
 
+def test_each_length_is_searched(spark):
+    rows = vector_rows(200) + [(i, v[:4]) for i, v in vector_rows(150) if i is not None and i < 150]
+    rows = [(i if len(v or []) != 4 else 10_000 + i, v) for i, v in rows]
+    df = vectors_frame(spark, rows)
+    whole = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    parts = {}
+    for size in (4, 16):
+        part = neighbours.nearest(df.where(F.size("embedding") == size), F.col("vec_id") % 50 == 0).collect()
+        parts |= {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in part}
+    assert whole == parts
+    assert {q for q, _ in whole if 10_000 <= q} == {10_000, 10_050, 10_100}
+    assert all(q >= 10_000 and v >= 10_000 or q < 10_000 and v < 10_000 for (q, _), (v, _) in whole.items())
+
+
 def test_few_and_no_vectors(spark):
     few = neighbours.nearest(vectors_frame(spark, [(50, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]), F.col("vec_id") % 50 == 0).collect()
     assert [(r["rank"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 2), (2, 1)]

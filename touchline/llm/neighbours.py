@@ -15,6 +15,7 @@ Equal vectors are searched once: a distinct vector carries its k + 1 smallest id
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -194,18 +195,24 @@ def nearest(
 
     ``is_query`` is a condition on the column ``vec_id``. The tree's cells are fitted on ``sample`` vectors at most
     (those of smallest id hash); every vector is indexed. Vectors that are null, empty, zero, or hold a null or
-    non-finite component take no part, nor do rows with a null id and vectors of another length than the most frequent
-    one (the longer of equally frequent ones). Ties go to the smaller id; rows that repeat id and vector count once.
+    non-finite component take no part, nor do rows with a null id. Each length of vectors is searched by itself: a
+    query's candidates are the vectors of its own length, and ``sample`` holds per length. An id that stands on vectors
+    of several lengths gets the answers of each. Ties go to the smaller id; rows that repeat id and vector count once.
     Empty tables give an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"))
     rows = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    sizes = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    if not sizes:
+    size = F.size("embedding")
+    asked = rows.groupBy(size.alias("size")).agg(F.max(F.coalesce(is_query, F.lit(False))).alias("asked")).where("asked").orderBy("size").collect()
+    found = [_of_one_length(rows.where(size == r["size"]).distinct(), r["size"], is_query, k, confidence, dims, sample, cell_rows) for r in asked]
+    if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    size = sizes[0]["size"]
-    rows = rows.where(F.size("embedding") == size).distinct()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _of_one_length(rows: DataFrame, size: int, is_query: Column, k: int, confidence: float, dims: int, sample: int, cell_rows: int) -> DataFrame:
+    """Answers among distinct rows (vec_id, embedding) of one vector length."""
     flat = stage(_projected(distinct_vectors(rows, k), gaussian(size, dims)))
     total = flat.count()
     depth = max(0, min(int(math.log2(MOST_CELLS)), math.ceil(math.log2(max(1, total / cell_rows)))))
