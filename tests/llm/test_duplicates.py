@@ -80,6 +80,16 @@ def test_a_digest_that_lies_is_caught(spark):
     assert got == {3: 2}
 
 
+def test_an_id_with_several_texts(spark):
+    rows = [(i, t) for i in range(40) for t in ("A", "B")] + [(100 + i, f"own {i}") for i in range(10)] + [(i, f"C{i // 2}") for i in range(40)]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    sizes = {hashlib.sha256(t.encode()).hexdigest(): (n, top) for t, n, top in [("A", 40, 39), ("B", 40, 39)] + [(f"C{k}", 2, 2 * k + 1) for k in range(20)]}
+    assert len(got) == len(rows)
+    for r in got:
+        n, top = sizes.get(r["text_sha256"], (1, r["doc_id"]))
+        assert (r["group_size"], r["keep_id"], r["kept"]) == (n, top, r["doc_id"] == top)
+
+
 # ---------------------------------------------------------------- components
 
 

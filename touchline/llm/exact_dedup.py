@@ -168,10 +168,12 @@ def screen(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
 def same_bytes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Digests of the pairs (digest, old_id, new_id) whose two texts are equal byte by byte; ``docs`` has doc_id, text.
 
-    A null id has no text to look up: such a pair rests on its digest.
+    Where an id may stand on several texts, ``docs`` has their digest besides, and only texts of the pair's digest are
+    compared. A null id has no text to look up: such a pair rests on its digest.
     """
+    by = ["doc_id", "digest"] if "digest" in docs.columns else ["doc_id"]
     sides = pairs.select("digest", F.explode(F.array("old_id", "new_id")).alias("doc_id"))
-    texts = sides.join(docs, "doc_id", "left").select("digest", "text")
+    texts = sides.join(docs, by, "left").select("digest", "text")
     spread = texts.groupBy("digest").agg(F.min("text").alias("_a"), F.max("text").alias("_b"))
     return spread.where(F.coalesce(F.col("_a") == F.col("_b"), F.lit(True))).select("digest")
 
@@ -205,7 +207,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Half of the rows (by checksum of the id)
     are the stored snapshot, the other half the incoming batch; every row is in one of them. A null text equals the
     empty one. A null id is smaller than any other; a group of null ids only has a null keep_id and keeps its rows.
-    Rows that repeat id and text are one document: all of them carry the same answer. Other columns are not read; an
+    Rows that repeat id and text are one document: all of them carry the same answer; rows that repeat an id with
+    different texts stay apart. Other columns are not read; an
     empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -215,7 +218,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     old = held_out("doc_id", 2, 0)
     snapshot = take_snapshot(rows.where(old), slots)
     plain = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    groups = stage(merge_batch(rows.where(~old), snapshot, plain))
+    groups = stage(merge_batch(rows.where(~old), snapshot, plain.withColumn("digest", F.sha2("text", 256))))
     joined = rows.join(groups, "digest", "left")
     grouped = F.col("group_size").isNotNull()
     keep = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
