@@ -62,6 +62,25 @@ def test_budget_questions_need_no_encoding(spark, library):
                 assert len(library.encode(longer, add_special_tokens=False).ids) > budget
 
 
+def test_prefixes_inside_runs(library):
+    c = token_counts.PrefixCounter(tokenizer_path("word_bpe_49k.json"))
+    texts = odd_texts(150) + ["漢字仮名交じり文" * 40, "สวัสดีชาวโลก" * 30, "aGVsbG8gd29ybGQ/+=" * 20, "e\u0301e\u0301x" * 9, "it'sn't<|endoftext|>we've"]
+    for text in texts[:150] + texts[-5:]:
+        ends, counts = c.prefixes(text)
+        assert counts == [len(library.encode(text[:e], add_special_tokens=False).ids) for e in ends]
+        assert ends == sorted(set(ends))
+    assert c.prefixes(texts[-5])[0] == list(range(1, len(texts[-5]) + 1))
+
+
+def test_cut_of_a_text_without_blanks(spark, library):
+    texts = ["漢字仮名交じり文" * 500, "aGVsbG8gd29ybGQ" * 300]
+    stored = spark.createDataFrame([(t,) for t in texts], "text string").select("text", token_counts.prefix_column(F.col("text")).alias("p"))
+    for budget in (0, 5, 1000):
+        for r in stored.select("text", token_counts.cut_length(F.col("p"), budget).alias("n")).collect():
+            assert len(library.encode(r["text"][: r["n"]], add_special_tokens=False).ids) <= budget
+            assert all(len(library.encode(r["text"][: r["n"] + k], add_special_tokens=False).ids) > budget for k in range(1, 9))
+
+
 # ---------------------------------------------------------------- language
 
 

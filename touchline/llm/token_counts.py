@@ -5,7 +5,7 @@ the encoding of a prefix of a word ends in the one token that fits the encoding
 is one more than the count of that shorter prefix. The table of counts costs one step per prefix and never runs the
 merges over a whole word; the few merges needed to compare two tokens are remembered.
 
-Per text, the counts are added up along its words: the count at every word end is kept on request, and questions about
+Per text, the counts are added up along its words: the count at every run's end and inside runs of several tokens is kept on request, and questions about
 budgets and truncation are answered from these numbers by SQL, without encoding again.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +24,7 @@ from touchline.llm.common import documents, text_or_empty
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 REMEMBERED = 600_000
+SPACED = 256
 
 #: The tokenizer's word pattern on lower-cased text of U+0000 to U+00FF, classes written out.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -190,14 +190,62 @@ class PrefixCounter:
             total += chunk(c) if n is None else n
         return total
 
+    def _inside(self, piece: str) -> list[tuple[int, int]]:
+        """Characters and token count of the prefixes of a piece without special strings; not those that end in a 's or 've.
+
+        Where the normal form doesn't go character by character, the prefixes are counted one by one, ``SPACED`` at most.
+        """
+        wide = WIDE.search(piece)
+        norm = self.library.normalizer.normalize_str if wide else str.lower
+        each = [norm(c) for c in piece]
+        normal = norm(piece)
+        if "".join(each) != normal or any(len(c) != 1 for c in each):
+            step = -(-len(piece) // SPACED)
+            return [(i, self._plain(piece[:i])) for i in range(step, len(piece), step)]
+        if wide:
+            words = [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        else:
+            words = PLAIN_WORDS.findall(normal)
+        out, at, before = [], 0, 0
+        for w in words:
+            at = normal.index(w, at)
+            table, size = self.table(w.encode().decode("latin-1").translate(self.letters)), 0
+            whole = w[0] == "'" and w[1:].isalpha()
+            for i, c in enumerate(w, 1):
+                size += len(c.encode())
+                if i == len(w) or not whole:
+                    out.append((at + i, before + table[size]))
+            at, before = at + len(w), before + table[-1]
+        return out
+
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """Ends of the runs between blanks, in characters, and the token count of the text up to each of them."""
-        ends, counts, at = [], [], 0
+        """Ends of prefixes, in characters, and the token count of the text up to each: the ends of the runs between
+        blanks and, in runs of several tokens, the characters inside. Counts may fall inside a run, where a merge ends.
+        """
+        ends, counts, at, total = [], [], 0, 0
         for c in self.split(text):
-            at = text.index(c, at) + len(c)
+            start = text.index(c, at)
+            at = start + len(c)
+            n = self.chunk(c)
+            if n > 1:
+                found = [m.span() for m in self.special.finditer(c)] if self.special and "<" in c else []
+                inner, done = 0, 0
+                for a, b in [*found, (len(c), len(c))]:
+                    for i, k in self._inside(c[done:a]):
+                        if done + i < len(c):
+                            ends.append(start + done + i)
+                            counts.append(total + inner + k)
+                    inner += self._plain(c[done:a]) if a > done else 0
+                    if b > a:
+                        inner += 1
+                        if b < len(c):
+                            ends.append(start + b)
+                            counts.append(total + inner)
+                    done = b
+            total += n
             ends.append(at)
-            counts.append(self.chunk(c))
-        return ends, list(accumulate(counts))
+            counts.append(total)
+        return ends, counts
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -229,7 +277,7 @@ def count_column(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
 
 def prefix_column(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Struct of ``ends`` and ``counts``: characters and tokens up to the end of each run between blanks."""
+    """Struct of ``ends`` and ``counts``: characters and tokens of the prefixes that ``PrefixCounter.prefixes`` stores."""
 
     @F.pandas_udf("ends array<int>, counts array<int>")
     def table(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -243,8 +291,8 @@ def prefix_column(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
 def cut_length(prefixes: Column, budget: int) -> Column:
     """Characters of the longest stored prefix within a token budget, from a column of ``prefix_column``."""
-    within = F.size(F.filter(prefixes["counts"], lambda n: n <= budget))
-    return F.when(within > 0, F.try_element_at(prefixes["ends"], within)).otherwise(F.lit(0))
+    fits = F.filter(F.arrays_zip(prefixes["ends"].alias("ends"), prefixes["counts"].alias("counts")), lambda p: p["counts"] <= budget)
+    return F.coalesce(F.array_max(F.transform(fits, lambda p: p["ends"])), F.lit(0))
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
