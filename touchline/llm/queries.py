@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import exact_dedup, hidden_markov, language_id, mixing, near_dedup, neighbours, packing, sharding, token_counts, url_rules
+from touchline.llm import (
+    byte_pairs,
+    exact_dedup,
+    hidden_markov,
+    language_id,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    resampling,
+    sharding,
+    spelling,
+    token_counts,
+    url_rules,
+)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +35,17 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_byte_pairs": byte_pairs.op11_byte_pairs,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op1_near_dedup": near_dedup.OP1_SQL, "op6_mixing": mixing.OP6_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {
+        "op1_near_dedup": near_dedup.OP1_SQL,
+        "op6_mixing": mixing.OP6_SQL,
+        "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op12_resampling": resampling.OP12_SQL,
+        "op13_spelling": spelling.OP13_SQL,
+    }
