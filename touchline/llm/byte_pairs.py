@@ -23,12 +23,14 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from touchline.llm.common import documents, text_or_empty
 
@@ -40,7 +42,9 @@ AHEAD = 2
 #: Runs of more bytes are merged with a queue.
 QUEUED = 128
 #: Pieces that are remembered per task, and the longest of them.
-REMEMBERED, SHORT = 250_000, 24
+REMEMBERED, SHORT = 120_000, 24
+#: Rows that a task hands on together.
+ROWS = 500
 #: Code points that Unicode assigned after version 16. The scanning library knows them as letters or
 #: digits; to the encoder that is to be matched they are still neither.
 LATER = (
@@ -74,9 +78,13 @@ class TreeCoder:
         self.later = re.compile(f"[{LATER}]")
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The token that two neighbouring tokens merge to; decoding does without."""
         rank = self.ranks.get
         splits = ((rank(t[:i]), rank(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t)))
-        self.pairs = {a << 32 | b: r for a, b, r in splits if a is not None and b is not None}
+        return {a << 32 | b: r for a, b, r in splits if a is not None and b is not None}
 
     # ------------------------------------------------------------ one piece
 
@@ -217,28 +225,17 @@ def coder(name: str = RANKS) -> TreeCoder:
     return _coders[name]
 
 
-def encode_column(text: Column, ranks: str = RANKS) -> Column:
-    """Token ids of a text column as an array of ints; null stays null."""
-
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = coder(ranks)
-        for batch in batches:
-            yield pd.Series([None if t is None else np.array(c.encode(t), dtype=np.int32) for t in batch], dtype=object)
-
-    return encoded(text)
-
-
-def decode_column(ids: Column, ranks: str = RANKS) -> Column:
-    """Bytes of a column of token ids; null stays null. An id outside the vocabulary is an error."""
+def _mapped(rows: DataFrame, column: str, name: str, kind: str, make) -> DataFrame:
+    """``rows`` with one more column, made from the values of another in pieces of ``ROWS``."""
 
-    @F.pandas_udf("binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = coder(ranks)
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([None if i is None else c.decode(i.tolist()) for i in batch], dtype=object)
+            for i in range(0, len(batch), ROWS):
+                part = batch.iloc[i : i + ROWS]
+                yield part.assign(**{name: pd.Series([make(v) for v in part[column]], index=part.index, dtype=object)})
 
-    return decoded(ids)
+    fields = StructType([*rows.schema.fields, StructField(name, kind)])
+    return rows.mapInPandas(whole, fields)
 
 
 def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +244,14 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
     One row per input row, repeated rows and null ids included; a null or empty text has no ids. Special strings are
     ordinary text. Other columns are not read; an empty table gives an empty result.
     """
-    return docs.select(F.col(id_col).alias("doc_id"), encode_column(text_or_empty(text_col), ranks).alias("ids"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    coded = _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda t: np.array(coder(ranks).encode(t), dtype=np.int32))
+    return coded.select("doc_id", "ids")
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The bytes again: doc_id, ids and decoded, from the columns of ``encode_documents``."""
-    return encoded.withColumn("decoded", decode_column(F.col("ids"), ranks))
+    """The bytes again: ``encoded`` with a column decoded. An id outside the vocabulary is an error."""
+    return _mapped(encoded, "ids", "decoded", BinaryType(), lambda ids: None if ids is None else coder(ranks).decode(ids.tolist()))
 
 
 def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
