@@ -21,10 +21,10 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from touchline.llm.common import documents, text_or_empty
+from touchline.llm.token_counts import BLANKS, LETTERS, NUMBERS, WIDE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a piece that are merged directly, characters of a text that are scanned directly.
@@ -57,6 +58,11 @@ LATER = (
     "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
+#: The public split pattern, and the same for texts of U+0000 to U+00FF with its classes written out.
+NARROW_OF = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+NARROW = re.compile(
+    f" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:[stmd]|re|ve|ll)| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
 #: What stands for such a code point while a text is scanned: a sign that is no letter, digit or blank.
 SIGN = "\u2042"
 #: Tokens joined to one value in a step of decoding.
@@ -75,6 +81,7 @@ class TreeCoder:
         import regex
 
         self.scan = regex.compile(self.pattern)
+        self.narrow = NARROW if self.pattern == NARROW_OF else self.scan
         self.later = re.compile(f"[{LATER}]")
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
@@ -88,6 +95,11 @@ class TreeCoder:
 
     # ------------------------------------------------------------ one piece
 
+    @cached_property
+    def sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        return keys, np.array([self.pairs[k] for k in keys.tolist()], dtype=np.int64)
+
     def merged(self, ids: list[int]) -> list[int]:
         """Plain merging of a short run of ids of single bytes: least rank first, leftmost of equals."""
         if len(ids) > QUEUED:
@@ -126,6 +138,45 @@ class TreeCoder:
                     heapq.heappush(queue, (r, a))
         return [i for i in ids if i >= 0]
 
+    def _found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids that pairs merge to; where they don't, the number of ids."""
+        key, (keys, merged) = left << 32 | right, self.sorted_pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, merged[at], len(self.ranks))
+
+    def merged_together(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merged`` for many short runs at a time: in each round, every unfinished run merges its next pair."""
+        none, size = len(self.ranks), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), size)
+        score = np.full(len(ids), none, dtype=np.int64)
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        score[inner] = self._found(ids[inner], ids[inner + 1])
+        finished = []
+        while len(ids):
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            size = np.diff(np.append(start, len(owner)))
+            best = np.repeat(np.minimum.reduceat(score, start), size)
+            going = best < none
+            finished.append((owner[~going], ids[~going]))
+            owner, ids, score, best = owner[going], ids[going], score[going], best[going]
+            hit = np.flatnonzero(score == best)
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])[: len(hit)]]  # the leftmost of each run
+            ids[hit] = score[hit]
+            stays = np.ones(len(ids), dtype=bool)
+            stays[hit + 1] = False
+            owner, ids, score = owner[stays], ids[stays], score[stays]
+            at = hit - np.arange(len(hit))  # one id fewer for every run before
+            score[at] = none
+            with_next = at[np.append(owner[1:] == owner[:-1], False)[at]]
+            score[with_next] = self._found(ids[with_next], ids[with_next + 1])
+            with_last = at[np.append(False, owner[1:] == owner[:-1])[at]]
+            score[with_last - 1] = self._found(ids[with_last - 1], ids[with_last])
+        owner, ids = (np.concatenate(a) for a in zip(*finished))
+        ids = ids[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [ids[a:b] for a, b in pairwise([0, *ends])]
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of the bytes of both, from the tokens of each."""
         k = 1
@@ -144,22 +195,9 @@ class TreeCoder:
         half = len(piece) // 2
         return self.joined(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one match of the pattern; a match that is itself a token is that token."""
-        out = self.remembered.get(piece)
-        if out is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            out = [whole] if whole is not None else self.tree(raw)
-            if len(piece) <= SHORT:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[piece] = out
-        return out
-
     # ------------------------------------------------------------ texts
 
-    def bridged(self, left: list[str], right: list[str]) -> list[str]:
+    def bridged(self, left: list[str], right: list[str], scan) -> list[str]:
         """Matches of the text of both, from the matches of each."""
         if not left or not right:
             return left or right
@@ -177,7 +215,7 @@ class TreeCoder:
                 at += len(match)
                 ends[at] = i + 1
             found = []
-            for m in self.scan.finditer(text):
+            for m in scan.finditer(text):
                 if m.end() > limit:
                     break
                 found.append(m.group())
@@ -185,27 +223,54 @@ class TreeCoder:
                     return left[:keep] + found + right[ends[m.end()] :]
             k *= 2
 
-    def matches(self, text: str) -> list[str]:
+    def matches(self, text: str, scan=None) -> list[str]:
         """All matches of the pattern in a text: halves are scanned by themselves and bridged."""
+        if scan is None:
+            scan = self.scan if not text.isascii() and WIDE.search(text) else self.narrow
         if len(text) <= TEXT_LEAF:
-            return self.scan.findall(text)
+            return scan.findall(text)
         half = len(text) // 2
-        return self.bridged(self.matches(text[:half]), self.matches(text[half:]))
+        return self.bridged(self.matches(text[:half], scan), self.matches(text[half:], scan), scan)
 
-    def encode(self, text: str) -> list[int]:
-        known, piece, out = self.remembered.get, self.piece, []
+    def split(self, text: str) -> list[str]:
+        """The text's pieces. Code points of later Unicode are scanned as a sign."""
         signed, odd = (text, 0) if text.isascii() else self.later.subn(SIGN, text)
         found = self.matches(signed)
         if odd:
             ends = [0, *accumulate(map(len, found))]
             found = [text[a:b] for a, b in pairwise(ends)]
-        for m in found:
-            out += known(m) or piece(m)
+        return found
+
+    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
+        """Ids of several texts: of each piece new among them the ids are found, short ones together.
+
+        A piece that is itself a token is that token.
+        """
+        split = [self.split(t) for t in texts]
+        pieces = set().union(*split)
+        new = pieces.difference(self.remembered)
+        if len(new) + len(self.remembered) > REMEMBERED:
+            self.remembered.clear()
+            new = pieces
+        raw = {m: m.encode() for m in new}
+        whole = {m: [i] for m, b in raw.items() if (i := self.ranks.get(b)) is not None}
+        short = [m for m, b in raw.items() if m not in whole and len(b) <= PIECE_LEAF]
+        self.remembered.update(whole)
+        if short:
+            self.remembered.update(zip(short, self.merged_together([raw[m] for m in short])))
+        self.remembered.update({m: self.tree(b) for m, b in raw.items() if m not in self.remembered})
+        out = [[*chain.from_iterable(map(self.remembered.__getitem__, found))] for found in split]
+        for m in new:
+            if len(m) > SHORT:
+                del self.remembered[m]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
+
     def decode(self, ids) -> bytes:
         """Bytes of ids, joined ``FAN`` at a time, group upon group."""
-        parts = [self.bytes_of[i] for i in ids]
+        parts = [*map(self.bytes_of.__getitem__, ids)]
         while len(parts) > 1:
             parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
         return parts[0] if parts else b""
@@ -232,7 +297,7 @@ def _mapped(rows: DataFrame, column: str, name: str, kind: str, make) -> DataFra
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 part = batch.iloc[i : i + ROWS]
-                yield part.assign(**{name: pd.Series([make(v) for v in part[column]], index=part.index, dtype=object)})
+                yield part.assign(**{name: pd.Series(make(part[column]), index=part.index, dtype=object)})
 
     fields = StructType([*rows.schema.fields, StructField(name, kind)])
     return rows.mapInPandas(whole, fields)
@@ -245,13 +310,13 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
     ordinary text. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    coded = _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda t: np.array(coder(ranks).encode(t), dtype=np.int32))
+    coded = _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda texts: [np.array(i, dtype=np.int32) for i in coder(ranks).encode_batch(texts)])
     return coded.select("doc_id", "ids")
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """The bytes again: ``encoded`` with a column decoded. An id outside the vocabulary is an error."""
-    return _mapped(encoded, "ids", "decoded", BinaryType(), lambda ids: None if ids is None else coder(ranks).decode(ids.tolist()))
+    return _mapped(encoded, "ids", "decoded", BinaryType(), lambda ids: [None if i is None else coder(ranks).decode(i.tolist()) for i in ids])
 
 
 def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
