@@ -77,19 +77,17 @@ def test_bucketed_running_sums_equal_plain_ones(spark):
     cut = ordered.Order.of(df, "k", ("s",), small_rows=10)
     assert cut.cuts and len(cut.cuts) >= 7
 
+    up = ordered.Step({"up": "v"}, totals={"whole": "v"}, following="next")
+    down = ordered.Step({"down": "coalesce(up, 0) + coalesce(v, 0)"}, descending=True)
+
     def run(order):
-        t = order.assign(df)
-        t = order.running(t, {"up": "v"})
-        t = order.running(t, {"down": "v"}, descending=True)
-        t = order.totals(t, {"whole": "v"})
-        t = order.following(t, "next")
-        return t.select("s", "k", "up", "down", "whole", "next").orderBy("s", "k").collect()
+        return order.scan(df, up, down).select("s", "k", "up", "down", "whole", "next").orderBy("s", "k").collect()
 
     for a, b in zip(run(plain), run(cut)):
         assert a["next"] == b["next"]
         for c in ("up", "down", "whole"):
             assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-12))
-    plan = cut.running(cut.assign(df), {"up": "v"})._jdf.queryExecution().optimizedPlan().toString()
+    plan = cut.scan(df, up)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(s" in plan and "_bucket" in plan
 
 

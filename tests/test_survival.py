@@ -324,3 +324,41 @@ def test_doubling_the_data_halves_the_variance(frame, cox_fit):
     twice = weibull.fit_weibull(frame.union(frame), "t", "e", TERMS)
     once = weibull.fit_weibull(frame.repartition(7, "x"), "t", "e", TERMS)
     assert twice.coef == pytest.approx(once.coef, rel=1e-7) and twice.cov == pytest.approx(once.cov / 2, rel=1e-6)
+
+
+# ---------------------------------------------------------------- plans
+
+
+def big_reads(df):
+    """Scans of row tables and shuffles by hash in a plan; small tables of bucket totals are broadcast."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sent = plan.count("BroadcastExchange")
+    return plan.count("FileScan parquet") - sent, plan.count("hashpartitioning")
+
+
+def many_times(spark):
+    rng = np.random.default_rng(12)
+    rows = [(float(t), int(e), g) for t, e, g in zip(rng.integers(1, 400, 900), rng.random(900) < 0.6, rng.choice(list("abc"), 900))]
+    return spark.createDataFrame(rows, "t double, e int, g string")
+
+
+def test_curves_read_their_rows_once(spark):
+    df = many_times(spark)
+    assert big_reads(survival.kaplan_meier(df, "t", "e", ["g"], small_rows=0)) == (1, 0)
+    scans, shuffles = big_reads(survival.curve_summary(df, "t", "e", ["g"], small_rows=0))
+    assert scans == 1 and shuffles <= 1
+
+
+def test_bucketed_survival_equals_plain(spark):
+    df = many_times(spark)
+    for made in (
+        lambda n: survival.kaplan_meier(df, "t", "e", ["g"], small_rows=n).orderBy("g", "time"),
+        lambda n: survival.curve_summary(df, "t", "e", ["g"], small_rows=n).orderBy("g"),
+        lambda n: survival.curve_summary(df, "t", "e", ["g"], end=150.5, small_rows=n).orderBy("g"),
+    ):
+        for a, b in zip(made(None).collect(), made(0).collect(), strict=True):
+            assert [x for x in a] == [pytest.approx(y, rel=1e-10) if isinstance(y, float) else y for y in b]
+    for rho in (0.0, 1.0):
+        plain, cut = (survival.rank_test(df, "t", "e", "g", rho=rho, small_rows=n) for n in (None, 0))
+        assert plain.chi_square == pytest.approx(cut.chi_square, rel=1e-10) and plain.p == pytest.approx(cut.p, rel=1e-9)
+        assert {r["p"] for r in plain.table(spark).collect()} == {plain.p}

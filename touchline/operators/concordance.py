@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
-from touchline.operators.ordered import Order
+from touchline.operators.ordered import Order, Step
 from touchline.operators.reshape import number_rows
 from touchline.operators.staging import stage
 
@@ -79,8 +79,8 @@ def concordance_of_cells(cells: DataFrame, small_rows: int | None = None) -> Con
         )
     )
     order = Order.of(steps, "score", ("bit", "head"), small_rows)
-    ladder = order.running(order.assign(steps), {"later_upto": "later", "early_upto": "early"})
-    ladder = order.totals(ladder, {"later_all": "later", "early_all": "early"})
+    both = Step({"later_upto": "later", "early_upto": "early"}, totals={"later_all": "later", "early_all": "early"})
+    ladder = order.scan(steps, both)
     # a row of the left half meets the right half; it is concordant with lower scores there.
     # a row of the right half meets the events of the left half; it is concordant with higher scores there.
     sides = ladder.select(

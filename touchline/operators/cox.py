@@ -24,7 +24,7 @@ from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
 from touchline.operators.logit import NestedTest
 from touchline.operators.newton import Point, climb_all, solve, symmetric, triangle
-from touchline.operators.ordered import Order
+from touchline.operators.ordered import Order, Step
 from touchline.operators.staging import stage
 from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
 
@@ -129,9 +129,9 @@ def _tie_sums() -> dict[str, str]:
     }
 
 
-def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: np.ndarray, order: Order) -> DataFrame:
+def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: np.ndarray, order: Order, *steps: Step) -> DataFrame:
     """One row per event time: risk-set sums s, s_j, s_j_k (time at or after), event sums e, e_j, e_j_k, plain
-    event sums c_j and l, event count d, and the Efron numbers h0, h1, h2."""
+    event sums c_j and l, event count d, and the Efron numbers h0, h1, h2. ``steps`` go along all times after that."""
     p = len(labels)
     named = cells.selectExpr(
         "time", "n", "d", *[f"{x_sql(c)} - {number(m)} AS x{j}" for j, (c, m) in enumerate(zip(labels, means))]
@@ -143,9 +143,9 @@ def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: n
         sums |= {f"_s_{j}": f"_nr * x{j}", f"e_{j}": f"_dr * x{j}", f"c_{j}": f"d * x{j}"}
     for j, k in triangle(p):
         sums |= {f"_s_{j}_{k}": f"_nr * x{j} * x{k}", f"e_{j}_{k}": f"_dr * x{j} * x{k}"}
-    per_time = order.assign(weighed.groupBy("time").agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()]))
+    per_time = weighed.groupBy("time").agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()])
     risk = {"s": "_s", "n": "_n"} | {f"s_{j}": f"_s_{j}" for j in range(p)} | {f"s_{j}_{k}": f"_s_{j}_{k}" for j, k in triangle(p)}
-    summed = order.running(per_time, risk, descending=True)
+    summed = order.scan(per_time, Step(risk, descending=True), *steps)
     stepped = summed.where("d > 0").selectExpr("*", "bigint(d) AS _d", "e / d AS _h", "s * d / e AS _a")
     ended = stepped.selectExpr("*", f"_a - (_d - {DIRECT_TERMS}) AS _b")
     return ended.selectExpr("*", *[f"{e} AS {n}" for n, e in _tie_sums().items()])
@@ -247,9 +247,8 @@ def _with_transform(fit: CoxFit) -> DataFrame:
     """Time table at the fitted coefficients with g = 1 - pooled survival just before the time."""
     if fit.rank < len(fit.coef):
         raise ValueError("a column repeats earlier ones: drop its term first")
-    table = _time_table(fit.cells, fit.labels, fit.means, fit.coef, fit.order)
     own = "CASE WHEN n > d THEN log1p(-d / n) END"
-    logs = fit.order.running(table, {"_log": own})
+    logs = _time_table(fit.cells, fit.labels, fit.means, fit.coef, fit.order, Step({"_log": own}))
     return logs.selectExpr("*", f"1D - exp(coalesce(_log, 0D) - coalesce({own}, 0D)) AS g")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from touchline.functions.columns import if_else
 from touchline.functions.tails import binomial_upper, chi_square_upper, exact_binomial_interval
 from touchline.operators.describe import rows_of
-from touchline.operators.ordered import Order, quantiles_of_counts
+from touchline.operators.ordered import Order, Step, quantiles_of_counts
 from touchline.operators.staging import stage
 
 
@@ -39,12 +39,11 @@ def rank_scores(
     if not pos or not neg:
         raise ValueError("both classes are needed")
     order = Order.of(counts, "score", small_rows=small_rows)
-    table = order.running(order.assign(counts), {"pos_upto": "pos", "neg_upto": "neg"})
+    table = order.scan(counts, Step({"pos_upto": "pos", "neg_upto": "neg"}, following="next_score"))
     median = {
         side: quantiles_of_counts(table, "score", side, f"{side}_upto", int(total), [0.5])[0]
         for side, total in (("pos", pos), ("neg", neg))
     }
-    table = order.following(table, "next_score")
     return RankedScores(table, int(pos), int(neg), median["neg"] <= median["pos"])
 
 

@@ -2,15 +2,20 @@
 
 All functions work on a table that has at most one row per (strata, key): group first. Up to ``SMALL_ROWS``
 rows one ordinary window per stratum does the job. Above, the key range is cut at approximate quantiles into
-buckets, the window runs inside (strata, bucket), and each bucket gets the total of the buckets before it.
+buckets, the windows run inside (strata, bucket), and each bucket gets the total of the buckets before it.
 The cut points are constants, so a recomputed task puts every row into the same bucket again.
+
+Sums that depend on each other (those at risk, then the survival made from them) are steps of one scan. One aggregate
+gives a step's totals per bucket. The next step's windows share the partitioning of the last one's, so a step costs one
+shuffle at most and what comes out reads the rows once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -21,6 +26,19 @@ from touchline.operators.staging import stage
 SMALL_ROWS = 200_000
 ROWS_PER_BUCKET = 500_000
 BUCKET = "_bucket"
+#: Rows of a table of bucket totals that is broadcast.
+FEW_BUCKETS = 20_000
+
+
+@dataclass(frozen=True)
+class Step:
+    """What one step of a scan adds: running sums of SQL expressions up to and with each row, sums over the whole
+    stratum, and the next key of the stratum (null on its last row)."""
+
+    sums: Mapping[str, str]
+    descending: bool = False
+    totals: Mapping[str, str] = field(default_factory=dict)
+    following: str | None = None
 
 
 @dataclass(frozen=True)
@@ -61,56 +79,68 @@ class Order:
         by = "PARTITION BY " + ", ".join(f"`{g}`" for g in groups) if groups else ""
         return f"OVER ({by} {order} {frame})"
 
-    def running(self, df: DataFrame, sums: Mapping[str, str], descending: bool = False) -> DataFrame:
-        """Add inclusive running sums of SQL expressions along the key inside each stratum."""
-        way = "DESC" if descending else "ASC"
-        groups = self._groups()
-        inside = self._over(groups, f"ORDER BY `{self.key}` {way}", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-        inner = df.selectExpr("*", *[f"sum({e}) {inside} AS `{n}`" for n, e in sums.items()])
-        if self.cuts is None:
-            return inner
-        before = self._over(self.strata, f"ORDER BY {BUCKET} {way}", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
-        offsets = (
-            df.groupBy(*groups)
-            .agg(*[F.expr(f"sum({e}) AS `_t_{n}`") for n, e in sums.items()])
-            .selectExpr(*self._quoted(groups), *[f"sum(`_t_{n}`) {before} AS `_o_{n}`" for n in sums])
-        )
-        # a bucket whose own or earlier values are all null adds nothing; null only where both are
-        return inner.join(offsets, groups).selectExpr(
-            *self._quoted(df.columns),
-            *[f"CASE WHEN `{n}` IS NULL THEN `_o_{n}` ELSE `{n}` + coalesce(`_o_{n}`, 0) END AS `{n}`" for n in sums],
-        )
-
     @staticmethod
     def _quoted(names: Sequence[str]) -> list[str]:
         return [f"`{n}`" for n in names]
 
-    def totals(self, df: DataFrame, sums: Mapping[str, str]) -> DataFrame:
-        """Add the sum over the whole stratum to every row."""
-        whole_over = self._over(self.strata)
+    def scan(self, table: DataFrame, *steps: Step) -> DataFrame:
+        """Add the columns of the steps to a stored table, which gets its buckets here.
+
+        In the layout with buckets the small tables of totals are made at once; the result is not computed yet.
+        """
         if self.cuts is None:
-            return df.selectExpr("*", *[f"sum({e}) {whole_over} AS `{n}`" for n, e in sums.items()])
+            return reduce(self._whole, steps, table)
+        source = self.assign(table)
+        rows = self._inside(source, steps[0])
+        for i, step in enumerate(steps):
+            rows = self._onto(rows, self._carried(source, step), step)
+            if i + 1 < len(steps):
+                source = rows = stage(self._inside(rows, steps[i + 1]))
+        return rows
+
+    def _along(self, groups: Sequence[str], key: str, step: Step, frame: str) -> str:
+        return self._over(groups, f"ORDER BY `{key}` {'DESC' if step.descending else 'ASC'}", frame)
+
+    def _whole(self, df: DataFrame, step: Step) -> DataFrame:
+        over = self._along(self.strata, self.key, step, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        new = [f"sum({e}) {over} AS `{n}`" for n, e in step.sums.items()]
+        new += [f"sum({e}) {self._over(self.strata)} AS `{n}`" for n, e in step.totals.items()]
+        if step.following:
+            new.append(f"lead(`{self.key}`) {self._over(self.strata, f'ORDER BY `{self.key}`')} AS `{step.following}`")
+        return df.selectExpr("*", *new)
+
+    def _inside(self, df: DataFrame, step: Step) -> DataFrame:
+        """Sums and next keys inside the buckets."""
         groups = self._groups()
-        per_bucket = df.groupBy(*groups).agg(*[F.expr(f"sum({e}) AS `_t_{n}`") for n, e in sums.items()])
-        whole = per_bucket.selectExpr(*self._quoted(groups), *[f"sum(`_t_{n}`) {whole_over} AS `{n}`" for n in sums])
-        return df.join(whole, groups).selectExpr(*self._quoted(df.columns), *self._quoted(list(sums)))
-
-    def following(self, df: DataFrame, name: str) -> DataFrame:
-        """Add the next key of the stratum, null on its last row."""
+        over = self._along(groups, self.key, step, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+        new = [f"sum({e}) {over} AS `_in_{n}`" for n, e in step.sums.items()]
+        if step.following:
+            new.append(f"lead(`{self.key}`) {self._over(groups, f'ORDER BY `{self.key}`')} AS _lead")
+        return df.selectExpr("*", *new)
+
+    def _carried(self, df: DataFrame, step: Step) -> DataFrame:
+        """Per bucket: the sums of those before it in the stratum, the stratum's totals, the first key of the next."""
         groups = self._groups()
-        inner = f"lead(`{self.key}`) {self._over(groups, f'ORDER BY `{self.key}`')}"
-        if self.cuts is None:
-            return df.selectExpr("*", f"{inner} AS `{name}`")
-        firsts = (
-            df.groupBy(*groups)
-            .agg(F.min(self.key).alias("_first"))
-            .selectExpr(*self._quoted(groups), f"lead(_first) {self._over(self.strata, f'ORDER BY {BUCKET}')} AS _next_first")
-        )
-        return (
-            df.selectExpr("*", f"{inner} AS _lead")
-            .join(firsts, groups)
-            .selectExpr(*self._quoted(df.columns), f"coalesce(_lead, _next_first) AS `{name}`")
-        )
+        sums = [F.expr(f"sum({e}) AS `_t_{n}`") for n, e in step.sums.items()]
+        sums += [F.expr(f"sum({e}) AS `_t_{n}`") for n, e in step.totals.items()]
+        per_bucket = df.groupBy(*groups).agg(F.min(self.key).alias("_first"), *sums)
+        before = self._along(self.strata, BUCKET, step, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+        new = [f"sum(`_t_{n}`) {before} AS `_o_{n}`" for n in step.sums]
+        new += [f"sum(`_t_{n}`) {self._over(self.strata)} AS `{n}`" for n in step.totals]
+        if step.following:
+            new.append(f"lead(_first) {self._over(self.strata, f'ORDER BY {BUCKET}')} AS _next_first")
+        carried = stage(per_bucket.selectExpr(*self._quoted(groups), *new))
+        return F.broadcast(carried) if carried.count() <= FEW_BUCKETS else carried
+
+    def _onto(self, df: DataFrame, carried: DataFrame, step: Step) -> DataFrame:
+        made = [*(f"_in_{n}" for n in step.sums), *(["_lead"] if step.following else [])]
+        kept = [c for c in df.columns if c not in made]
+        # a bucket whose own or earlier values are all null adds nothing; null only where both are
+        new = [f"CASE WHEN `_in_{n}` IS NULL THEN `_o_{n}` ELSE `_in_{n}` + coalesce(`_o_{n}`, 0) END AS `{n}`" for n in step.sums]
+        new += self._quoted([*step.totals])
+        if step.following:
+            new.append(f"coalesce(_lead, _next_first) AS `{step.following}`")
+        return df.join(carried, self._groups()).selectExpr(*self._quoted(kept), *new)
 
 
 def quantiles_of_counts(
@@ -146,7 +176,7 @@ def quantiles(counts: DataFrame, probs: Sequence[float], value: str = "v", n: st
     if not total:
         return []
     order = Order.of(counts, value, small_rows=small_rows)
-    ranked = order.running(order.assign(counts), {"_upto": f"`{n}`"})
+    ranked = order.scan(counts, Step({"_upto": f"`{n}`"}))
     return quantiles_of_counts(ranked, value, n, "_upto", int(total), probs)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import Order
+from touchline.operators.ordered import Order, Step
 from touchline.operators.staging import stage
 
 
@@ -73,4 +73,4 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
     """Dense position of each distinct key value (1-based), for tables of any size."""
     keys = stage(df.select(key).distinct())
     order = Order.of(keys, key)
-    return order.running(order.assign(keys), {"position": "1"}).select(key, "position")
+    return order.scan(keys, Step({"position": "1"})).select(key, "position")

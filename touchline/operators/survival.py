@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions.tails import Z95, chi_square_upper
 from touchline.operators.describe import rows_of
 from touchline.operators.newton import solve, symmetric, triangle
-from touchline.operators.ordered import Order
+from touchline.operators.ordered import Order, Step
 from touchline.operators.staging import stage
 
 MAX_GROUPS = 40
@@ -36,42 +36,40 @@ def time_counts(df: DataFrame, time: str, event: str, strata: Sequence[str] = ()
 
 @dataclass(frozen=True)
 class EventTable:
-    """Per stratum and time: n_risk, n_event, n_censor, with the layout used for running sums."""
+    """Rows and events per stratum and time, stored, with the layout used for running sums."""
 
-    table: DataFrame
     counts: DataFrame
     order: Order
-    strata: tuple[str, ...]
 
 
 def event_table(
     df: DataFrame, time: str, event: str, strata: Sequence[str] = (), small_rows: int | None = None, weight: str | None = None
 ) -> EventTable:
     counts = stage(time_counts(df, time, event, strata, weight))
-    order = Order.of(counts, "time", strata, small_rows)
-    table = order.running(order.assign(counts), {"n_risk": "n_all"}, descending=True)
-    return EventTable(table.withColumn("n_censor", F.col("n_all") - F.col("n_event")), counts, order, tuple(strata))
+    return EventTable(counts, Order.of(counts, "time", strata, small_rows))
 
 
 CURVE_COLUMNS = ["time", "n_risk", "n_event", "n_censor", "survival", "std_err", "lower", "upper", "cum_hazard"]
-
-
-def _curve(events: EventTable) -> DataFrame:
-    alive_here = "n_event < n_risk"
-    run = events.order.running(
-        events.table,
-        {
-            "_log": f"CASE WHEN {alive_here} THEN log1p(-n_event / n_risk) END",
-            "_ended": f"CASE WHEN {alive_here} THEN 0 ELSE 1 END",
-            "_green": f"CASE WHEN {alive_here} THEN n_event / (double(n_risk) * (n_risk - n_event)) END",
-            "cum_hazard": "n_event / n_risk",
-        },
-    )
+AT_RISK = Step({"n_risk": "n_all"}, descending=True)
+_ALIVE = "n_event < n_risk"
+#: Sums along the times, from those at risk. After the step, log and Greenwood sums of ended curves are not used.
+HAZARD = {
+    "_log": f"CASE WHEN {_ALIVE} THEN log1p(-n_event / n_risk) END",
+    "_ended": f"CASE WHEN {_ALIVE} THEN 0 ELSE 1 END",
+    "_green": f"CASE WHEN {_ALIVE} THEN n_event / (double(n_risk) * (n_risk - n_event)) END",
+    "cum_hazard": "n_event / n_risk",
+}
+_SURVIVAL = "CASE WHEN _ended = 0 THEN exp(_log) ELSE 0D END"
+
+
+def _curve(run: DataFrame) -> DataFrame:
+    """Survival, error and limits from the sums of the steps."""
     alive = F.col("_ended") == 0
-    s = F.when(alive, F.exp("_log")).otherwise(0.0)
+    s = F.expr(_SURVIVAL)
     spread = F.when(alive, F.sqrt("_green"))
     return run.select(
         "*",
+        (F.col("n_all") - F.col("n_event")).alias("n_censor"),
         s.alias("survival"),
         (s * spread).alias("std_err"),
         F.when(alive, F.exp(F.col("_log") - Z95 * spread)).alias("lower"),
@@ -86,7 +84,8 @@ def kaplan_meier(
 
     Where the curve has reached zero its error and limits are undefined (null).
     """
-    return _curve(event_table(df, time, event, strata, small_rows, weight)).select(*strata, *CURVE_COLUMNS)
+    events = event_table(df, time, event, strata, small_rows, weight)
+    return _curve(events.order.scan(events.counts, AT_RISK, Step(HAZARD))).select(*strata, *CURVE_COLUMNS)
 
 
 def cumulative_hazard(curve: DataFrame, strata: Sequence[str] = ()) -> DataFrame:
@@ -140,16 +139,14 @@ def curve_summary(
     """
     events = event_table(df, time, event, strata, small_rows, weight)
     groups = list(strata)
-    curve = _curve(events)
     if end is None:
         end = events.counts.agg(F.max("time")).first()[0]
     stop = F.lit(float(end) if end is not None else None).cast("double")
-    order = events.order
-    spaced = order.following(curve, "_next")
-    upto = F.least(F.coalesce(F.col("_next"), stop), stop)
-    # area of the step that starts at this time
-    stepped = spaced.withColumn("_area", F.when(F.col("time") < stop, F.col("survival") * (upto - F.col("time"))).otherwise(0.0))
-    behind = order.running(stepped, {"_right": "_area"}, descending=True)
+    until = f"double('{float(end)!r}')" if end is not None else "double(NULL)"
+    # area of the step that starts at a time, and its sum over the times from there on
+    area = f"CASE WHEN time < {until} THEN ({_SURVIVAL}) * (least(coalesce(_next, {until}), {until}) - time) ELSE 0D END"
+    steps = [AT_RISK, Step(HAZARD, following="_next"), Step({"_right": area}, descending=True)]
+    behind = _curve(events.order.scan(events.counts, *steps)).withColumn("_area", F.expr(area))
     d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
     noise = F.when((n > d) & (F.col("time") <= stop), d / (n * (n - d)) * F.col("_right") * F.col("_right")).otherwise(0.0)
     sums = behind.groupBy(*groups).agg(
@@ -180,11 +177,11 @@ class RankTest:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [
-            (str(level), int(n), float(o), float(e), self.chi_square, self.df)
+            (str(level), int(n), float(o), float(e), self.chi_square, self.df, self.p)
             for level, n, o, e in zip(self.levels, self.n, self.observed, self.expected)
         ]
         return spark.createDataFrame(
-            rows, f"{self.group} string, n bigint, observed double, expected double, chi_square double, df int"
+            rows, f"{self.group} string, n bigint, observed double, expected double, chi_square double, df int, p double"
         )
 
 
@@ -218,14 +215,14 @@ def rank_test(
     )
     table = stage(wide)
     order = Order.of(table, "time", small_rows=small_rows)
-    risk = order.running(order.assign(table), {"n": "n_all", **{f"n{i}": f"c{i}" for i in range(k)}}, descending=True)
+    at_risk = Step({"n": "n_all", **{f"n{i}": f"c{i}" for i in range(k)}}, descending=True)
     if rho:
         # survival just before: the running product up to here without this time's own factor
         own = "CASE WHEN n > d THEN log1p(-d / n) END"
-        logs = order.running(risk, {"_log": own})
-        risk = logs.selectExpr("*", f"exp({float(rho)}D * (coalesce(_log, 0) - coalesce({own}, 0))) AS w")
+        risk = order.scan(table, at_risk, Step({"_log": own}))
+        risk = risk.selectExpr("*", f"exp({float(rho)}D * (coalesce(_log, 0) - coalesce({own}, 0))) AS w")
     else:
-        risk = risk.selectExpr("*", "1D AS w")
+        risk = order.scan(table, at_risk).selectExpr("*", "1D AS w")
     common = "CASE WHEN n > 1 THEN w * w * d * (n - d) / (n - 1) ELSE 0 END"
     sums = [f"sum(c{i}) AS N{i}" for i in range(k)]
     sums += [f"sum(w * d{i}) AS O{i}" for i in range(k)]
