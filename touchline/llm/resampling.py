@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import LOWER, UPPER, documents, text_or_empty, utf8
-from touchline.operators.ordered import Order
+from touchline.operators.ordered import Order, Step
 from touchline.operators.staging import stage
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 42, 5, 20
@@ -210,7 +210,7 @@ def drawn(scored: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WO
     quota = (fit.agg(F.sum("_m")).first()[0] or 0) * percent // 100
     per_score = stage(fit.groupBy((-F.col("score")).alias("below")).agg(F.sum("_m").alias("n")))
     order = Order.of(per_score, "below", small_rows=small_rows)
-    upto = order.running(order.assign(per_score), {"upto": "n"})
+    upto = order.scan(per_score, Step({"upto": "n"}))
     reached = upto.select((-F.col("below")).alias("score"), (F.col("upto") - F.col("n")).alias("_ahead")).where(F.col("_ahead") < quota)
     least = reached.agg(F.min("score")).first()[0]
     taken = (F.col("n_words") >= least_words) & (F.col("score") >= F.lit(least)) if least is not None else F.lit(False)
