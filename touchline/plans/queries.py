@@ -382,7 +382,8 @@ CANDIDATES = {
 def logit_compare(spark, sf):
     """All candidate models of the selection, fitted together in shared passes."""
     fits = logit.fit_logits(league.outcome_counts(spark, sf), win(), CANDIDATES, weight="n")
-    return r6(logit.compare_models(fits, spark).drop("all_significant"), ["deviance", "aic"])
+    t = logit.compare_models(fits, spark)
+    return r6(t.withColumn("all_significant", F.col("all_significant").cast("int")), ["deviance", "aic"])
 
 
 @query
@@ -402,7 +403,7 @@ def lrt_nested(spark, sf):
     models = {"small": [DISTANCE], "large": [DISTANCE, PERIOD, Inter(DISTANCE, PERIOD)]}
     fits = logit.fit_logits(league.outcome_counts(spark, sf), win(), models, weight="n")
     t = logit.nested_test(fits["small"], fits["large"])
-    return r6(spark.createDataFrame([(t.chi_square, t.df)], "chi_square double, df int"), ["chi_square"])
+    return r6(spark.createDataFrame([(t.chi_square, t.df, t.p)], "chi_square double, df int, p double"), ["chi_square", "p"])
 
 
 @query
@@ -468,7 +469,8 @@ def calibration(spark, sf):
 def hosmer_lemeshow(spark, sf):
     o = league.outcome_counts(spark, sf).withColumn("score", logit.fixed_logit(FINAL_MODEL, FINAL_COEFFICIENTS).score())
     t = logit.hosmer_lemeshow(o, win(), "score", weight="n")
-    return r6(spark.createDataFrame([(t.chi_square, t.df, t.groups)], "chi_square double, df int, n_groups int"), ["chi_square"])
+    row = (t.chi_square, t.df, t.groups, t.p)
+    return r6(spark.createDataFrame([row], "chi_square double, df int, n_groups int, p double"), ["chi_square", "p"])
 
 
 @query
@@ -502,7 +504,7 @@ def roc_customer_balance(spark, sf):
 @query
 def auc(spark, sf):
     ranked = evaluate.rank_scores(_scored(spark, sf), win(), "score", weight="n")
-    return r6(evaluate.area_under_roc(ranked).select("auc"), ["auc"])
+    return r6(evaluate.area_under_roc(ranked).withColumn("higher_score_wins", F.col("higher_score_wins").cast("int")), ["auc"])
 
 
 @query
@@ -528,8 +530,7 @@ def classify(spark, sf):
 def confusion(spark, sf):
     scored = stage(_scored(spark, sf))
     c = evaluate.confusion(scored, evaluate.classify(F.col("score"), _best_cut(scored)), F.col("result"), weight="n")
-    left_out = ["accuracy_lower", "accuracy_upper", "accuracy_p", "mcnemar_p"]
-    return r6(c.table(spark).where(~F.col("statistic").isin(left_out)), ["value"])
+    return r6(c.table(spark), ["value"])
 
 
 @query
@@ -642,7 +643,7 @@ def cumhaz_away_combinations(spark, sf):
 
 def _rank(spark, d, group, levels, rho):
     t = survival.rank_test(d, "goaltime", "cens", group, levels, rho).table(spark)
-    return r6(t.withColumnRenamed(group, "level"), ["observed", "expected", "chi_square"])
+    return r6(t.withColumnRenamed(group, "level"), ["observed", "expected", "chi_square", "p"])
 
 
 @query
@@ -690,9 +691,10 @@ def weibull_lrt(spark, sf):
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
     fits = weibull.fit_weibulls(league.durations(spark, sf), "goaltime", "cens", models)
     t = weibull.nested_weibull_test(fits["small"], fits["large"])
-    row = (fits["large"].loglik, fits["large"].loglik_null, fits["large"].model_test.chi_square, t.chi_square, t.df)
-    table = spark.createDataFrame([row], "loglik double, loglik_null double, model_chi_square double, chi_square double, df int")
-    return table.select(*[F.round(c, 4).alias(c) for c in table.columns[:4]], "df")
+    whole = fits["large"].model_test
+    row = (fits["large"].loglik, fits["large"].loglik_null, whole.chi_square, whole.p, t.chi_square, t.p, t.df)
+    values = ["loglik", "loglik_null", "model_chi_square", "model_p", "chi_square", "p"]
+    return r6(spark.createDataFrame([row], ", ".join(f"{v} double" for v in values) + ", df int"), values)
 
 
 @query
@@ -732,8 +734,7 @@ def cox_first_purchase(spark, sf):
 @query
 def cox_tests(spark, sf):
     fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
-    t = fit.tests_table(spark).select("test", F.round("chi_square", 4).alias("chi_square"), "df")
-    return t
+    return r6(fit.tests_table(spark), ["chi_square", "p"])
 
 
 @query
@@ -742,7 +743,7 @@ def cox_nested(spark, sf):
     models = {"small": SIDE_TERMS, "large": [*SIDE_TERMS, PERIOD]}
     fits = cox.fit_coxes(league.durations(spark, sf), "goaltime", "cens", models)
     t = cox.nested_cox_test(fits["small"], fits["large"])
-    return spark.createDataFrame([(t.chi_square, t.df)], "chi_square double, df int").select(F.round("chi_square", 4).alias("chi_square"), "df")
+    return r6(spark.createDataFrame([(t.chi_square, t.df, t.p)], "chi_square double, df int, p double"), ["chi_square", "p"])
 
 
 @query
@@ -772,7 +773,7 @@ def concordance_opponent(spark, sf):
 def ph_test(spark, sf):
     fit = cox.fit_cox(league.durations(spark, sf), "goaltime", "cens", SIDE_TERMS)
     t = cox.proportional_hazards_test(fit).table(spark)
-    return t.select("term", F.round("chi_square", 4).alias("chi_square"), "df")
+    return r6(t, ["chi_square", "p"])
 
 
 @query
