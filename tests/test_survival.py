@@ -362,3 +362,37 @@ def test_bucketed_survival_equals_plain(spark):
         plain, cut = (survival.rank_test(df, "t", "e", "g", rho=rho, small_rows=n) for n in (None, 0))
         assert plain.chi_square == pytest.approx(cut.chi_square, rel=1e-10) and plain.p == pytest.approx(cut.p, rel=1e-9)
         assert {r["p"] for r in plain.table(spark).collect()} == {plain.p}
+
+
+def test_cox_passes_do_not_shuffle(spark, frame, cox_fit):
+    cut = cox.fit_cox(frame, "t", "e", TERMS, small_rows=3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = cox._time_table(cut.cells, cut.labels, cut.means, cut.coef, cut.order)
+        assert big_reads(table) == (1, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    plain, ranged = (cox.proportional_hazards_test(f).tests for f in (cox_fit, cut))
+    for term, test in plain.items():
+        assert ranged[term].chi_square == pytest.approx(test.chi_square, rel=1e-8)
+    a, b = (cox.schoenfeld_residuals(f).orderBy("time", "rows", "residual_x").collect() for f in (cox_fit, cut))
+    assert len(a) == len(b)
+    for p, q in zip(a, b):
+        assert [x for x in p] == pytest.approx([x for x in q], rel=1e-7, abs=1e-9)
+
+
+@pytest.mark.parametrize("small", [0, None])
+def test_nan_is_left_out_like_null(spark, small):
+    rng = np.random.default_rng(3)
+    rows = [(float(t), int(e), float(v), float(v > 0.2)) for t, e, v in zip(rng.integers(1, 60, 300), rng.random(300) < 0.7, rng.normal(size=300))]
+    odd = [(math.nan, 1, 0.5, 1.0), (5.0, 1, math.nan, 0.0), (6.0, 0, math.nan, 1.0)]
+    clean, dirty = (spark.createDataFrame(r, "t double, e int, v double, w double") for r in (rows, rows + odd))
+    a, b = (cox.fit_cox(d, "t", "e", [Num("v")], small_rows=small) for d in (clean, dirty))
+    assert b.coef == pytest.approx(a.coef, rel=1e-9) and (a.n, a.n_dropped, b.n, b.n_dropped) == (300, 0, 300, 2)
+    a, b = (weibull.fit_weibull(d, "t", "e", [Num("v")]) for d in (clean, dirty))
+    assert b.coef == pytest.approx(a.coef, rel=1e-9) and b.n == 300
+    from touchline.operators import logit
+
+    timed_rows = (d.where(~F.isnan("t")) for d in (clean, dirty))
+    a, b = (logit.fit_logit(d, F.col("e") == 1, [Num("v")]) for d in timed_rows)
+    assert b.coef == pytest.approx(a.coef, rel=1e-9) and b.converged and b.n_dropped == 2

@@ -1,7 +1,8 @@
 """Cox regression with Efron's treatment of tied times, its tests and its residuals.
 
-Rows that agree in design row and time are grouped once. Each pass groups the cells to one row per distinct
-time, accumulates the risk-set sums from the latest time backwards, and reduces to one row of sums.
+Rows that agree in design row and time are grouped once and stored by range of times. Each pass reads them twice in
+place: for the totals of the ranges, which carry the later times' risk-set sums into each range, and for one row per
+distinct time, whose sums are accumulated from the latest time backwards and reduced to one row. Neither shuffles.
 
 Efron's correction needs, for d tied events, sums over l = 0..d-1 of functions of S - (l/d) E. Since
 S1 - uE1 = (S1 - m S) + m (S - uE) with m = E1/E, every vector and matrix in them reduces to three numbers per
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,11 +26,13 @@ from touchline.operators.describe import rows_of
 from touchline.operators.joins import keyed_join
 from touchline.operators.logit import NestedTest
 from touchline.operators.newton import Point, climb_all, solve, symmetric, triangle
-from touchline.operators.ordered import Order, Step
-from touchline.operators.staging import stage
-from touchline.operators.terms import Term, cell_table, design, linear_sql, number, x, x_sql
+from touchline.operators.ordered import BUCKET, Order, Step
+from touchline.operators.staging import stage, stage_by
+from touchline.operators.terms import Term, cell_table, design, linear_sql, number, present, x, x_sql
 
 DIRECT_TERMS = 24
+#: Cells that one task can hold: without ranges of times they are read together.
+FEW_CELLS = 100_000
 
 
 @dataclass
@@ -89,6 +93,16 @@ class CoxFit:
             [(k, float(t.chi_square), t.df, t.p) for k, t in self.tests().items()], "test string, chi_square double, df int, p double"
         )
 
+    @cached_property
+    def at_fit(self) -> DataFrame:
+        """Time table at the fitted coefficients with g = 1 - pooled survival just before the time, stored once for the
+        test and the residuals."""
+        if self.rank < len(self.coef):
+            raise ValueError("a column repeats earlier ones: drop its term first")
+        own = "CASE WHEN n > d THEN log1p(-d / n) END"
+        logs = _time_table(self.cells, self.labels, self.means, self.coef, self.order, Step({"_log": own}))
+        return stage(logs.selectExpr("*", f"1D - exp(coalesce(_log, 0D) - coalesce({own}, 0D)) AS g"))
+
     def risk_score(self) -> Column:
         """Linear predictor, centred at the covariate means, over rows with the model's columns."""
         total = F.lit(0.0)
@@ -133,8 +147,9 @@ def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: n
     """One row per event time: risk-set sums s, s_j, s_j_k (time at or after), event sums e, e_j, e_j_k, plain
     event sums c_j and l, event count d, and the Efron numbers h0, h1, h2. ``steps`` go along all times after that."""
     p = len(labels)
+    groups = ["time"] if order.cuts is None else [BUCKET, "time"]
     named = cells.selectExpr(
-        "time", "n", "d", *[f"{x_sql(c)} - {number(m)} AS x{j}" for j, (c, m) in enumerate(zip(labels, means))]
+        *groups, "n", "d", *[f"{x_sql(c)} - {number(m)} AS x{j}" for j, (c, m) in enumerate(zip(labels, means))]
     )
     eta = linear_sql(b, [f"x{j}" for j in range(p)])
     weighed = named.selectExpr("*", f"{eta} AS _eta").selectExpr("*", "n * exp(_eta) AS _nr", "d * exp(_eta) AS _dr")
@@ -143,7 +158,7 @@ def _time_table(cells: DataFrame, labels: Sequence[str], means: np.ndarray, b: n
         sums |= {f"_s_{j}": f"_nr * x{j}", f"e_{j}": f"_dr * x{j}", f"c_{j}": f"d * x{j}"}
     for j, k in triangle(p):
         sums |= {f"_s_{j}_{k}": f"_nr * x{j} * x{k}", f"e_{j}_{k}": f"_dr * x{j} * x{k}"}
-    per_time = weighed.groupBy("time").agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()])
+    per_time = weighed.groupBy(*groups).agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()])
     risk = {"s": "_s", "n": "_n"} | {f"s_{j}": f"_s_{j}" for j in range(p)} | {f"s_{j}_{k}": f"_s_{j}_{k}" for j, k in triangle(p)}
     summed = order.scan(per_time, Step(risk, descending=True), *steps)
     stepped = summed.where("d > 0").selectExpr("*", "bigint(d) AS _d", "e / d AS _h", "s * d / e AS _a")
@@ -189,11 +204,15 @@ def fit_coxes(
 ) -> dict[str, CoxFit]:
     """Fit several Cox models on one grouped table. Each model uses the rows complete in its own columns."""
     names = list(models)
-    known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
+    known = df.where(present(F.col(time)) & present(F.col(event)))
     n = rows_of(weight)
     sums = [("n", n), ("d", F.col(event).cast("int") * n)]
     cells = stage(cell_table(known, list(models.values()), [("time", F.col(time).cast("double"))], sums))
     order = Order.of(cells.select("time").distinct(), "time", small_rows=small_rows)
+    if order.cuts is not None:
+        cells = stage_by(order.assign(cells), BUCKET, len(order.cuts) + 1)
+    elif cells.count() <= FEW_CELLS:
+        cells = cells.coalesce(1)
     labels = [[label for label, _ in design(models[m])] for m in names]
     if any(not cols for cols in labels):
         raise ValueError("a Cox model needs at least one term")
@@ -243,15 +262,6 @@ def nested_cox_test(small: CoxFit, large: CoxFit) -> NestedTest:
     return NestedTest(stat, df, chi_square_upper(stat, df))
 
 
-def _with_transform(fit: CoxFit) -> DataFrame:
-    """Time table at the fitted coefficients with g = 1 - pooled survival just before the time."""
-    if fit.rank < len(fit.coef):
-        raise ValueError("a column repeats earlier ones: drop its term first")
-    own = "CASE WHEN n > d THEN log1p(-d / n) END"
-    logs = _time_table(fit.cells, fit.labels, fit.means, fit.coef, fit.order, Step({"_log": own}))
-    return logs.selectExpr("*", f"1D - exp(coalesce(_log, 0D) - coalesce({own}, 0D)) AS g")
-
-
 @dataclass
 class ProportionalTest:
     labels: list[str]
@@ -266,7 +276,7 @@ class ProportionalTest:
 def proportional_hazards_test(fit: CoxFit) -> ProportionalTest:
     """Score test of a coefficient that changes with g(time), for each term and for all together."""
     p = len(fit.labels)
-    table = _with_transform(fit)
+    table = fit.at_fit
     centre = table.selectExpr("sum(g * d) / sum(d)").first()[0]
     table = table.selectExpr("*", f"g - {number(centre)} AS _c")
     sums = [f"sum(_c * (c_{j} - {_mean_sum(j)})) AS u{j}" for j in range(p)]
@@ -299,7 +309,7 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     coefficient, scaled residual, and scaled residual plus coefficient (the time-varying coefficient drawn
     against g)."""
     p = len(fit.labels)
-    table = stage(_with_transform(fit).selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)]))
+    table = fit.at_fit.selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)])
     events = fit.cells.where("d > 0").select(
         "time", F.col("d").cast("bigint").alias("rows"), *[(x(c) - F.lit(float(m))).alias(f"_x{j}") for j, (c, m) in enumerate(zip(fit.labels, fit.means))]
     )

@@ -63,13 +63,14 @@ class Order:
         return Order(key, tuple(strata), tuple(sorted(set(found))))
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the bucket column when the layout has one."""
-        if self.cuts is None:
+        """Add the bucket column when the layout has one and the table does not have it yet."""
+        if self.cuts is None or BUCKET in df.columns:
             return df
         cutter = Bucketizer(
             splits=[-math.inf, *self.cuts, math.inf], inputCol="_bucket_key", outputCol=BUCKET, handleInvalid="error"
         )
-        return cutter.transform(df.withColumn("_bucket_key", F.col(self.key).cast("double"))).drop("_bucket_key")
+        placed = cutter.transform(df.withColumn("_bucket_key", F.col(self.key).cast("double"))).drop("_bucket_key")
+        return placed.withColumn(BUCKET, F.col(BUCKET).cast("int"))
 
     def _groups(self) -> list[str]:
         return [*self.strata] if self.cuts is None else [*self.strata, BUCKET]
@@ -84,7 +85,7 @@ class Order:
         return [f"`{n}`" for n in names]
 
     def scan(self, table: DataFrame, *steps: Step) -> DataFrame:
-        """Add the columns of the steps to a stored table, which gets its buckets here.
+        """Add the columns of the steps to a stored table, or one that is cheap to make from such.
 
         In the layout with buckets the small tables of totals are made at once; the result is not computed yet.
         """

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -50,6 +51,16 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """``stage`` as a table bucketed by a column: grouping and windows by it need no shuffle when it is read."""
+    spark = df.sparkSession
+    path, name = _new_path(spark), f"staged_{uuid.uuid4().hex}"
+    df.repartition(parts, column).write.bucketBy(parts, column).option("path", path).saveAsTable(name)
+    _written.append((spark, path))
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name under the staging root, removed when the session ends."""
     path = _new_path(spark)
@@ -85,6 +96,12 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
 
 def purge() -> None:
     """Remove the tables staged in this process. DataFrames that read them stop working."""
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session is already gone, and its catalogue with it
+            pass
     while _written:
         spark, path = _written.pop()
         try:

@@ -76,6 +76,11 @@ def base_terms(terms: Sequence[Term]) -> list[Term]:
     return list(seen)
 
 
+def present(c: Column) -> Column:
+    """Neither null nor NaN."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
 def slot(label: str) -> str:
     """Column name of a design column inside a cell table."""
     return "x_" + label
@@ -87,11 +92,12 @@ def cell_table(
     """Group rows that look alike to every model: one row per distinct design row (and extra keys).
 
     Exact: the likelihoods need only these counts. The partial aggregate merges equal rows before the one
-    shuffle, so a hot cell costs one row per task. Interaction columns follow from their parts afterwards.
+    shuffle, so a hot cell costs one row per task. Interaction columns follow from their parts afterwards. NaN counts
+    as missing, like null: a fit leaves such rows out and counts them.
     """
     parts = {label: c for m in models for t in base_terms(m) for label, c in term_columns(t)}
     flat = df.select(
-        *[c.alias(slot(label)) for label, c in parts.items()],
+        *[F.when(present(c), c).alias(slot(label)) for label, c in parts.items()],
         *[c.alias(n) for n, c in keys],
         *[c.alias("_s_" + n) for n, c in sums],
     )

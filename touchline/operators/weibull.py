@@ -15,7 +15,7 @@ from touchline.operators.describe import rows_of
 from touchline.operators.logit import INTERCEPT, NestedTest
 from touchline.operators.newton import Point, batches, climb_all, symmetric, triangle
 from touchline.operators.staging import staged
-from touchline.operators.terms import Term, back_transform, cell_table, design, linear_sql, number, read_scales, scale_sums, standardised, transformed, x, x_sql
+from touchline.operators.terms import Term, back_transform, cell_table, design, linear_sql, number, present, read_scales, scale_sums, standardised, transformed, x, x_sql
 
 LOG_SCALE = "Log(scale)"
 
@@ -158,7 +158,7 @@ def fit_weibulls(
     of each model, for the overall test.
     """
     names = list(models)
-    known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
+    known = df.where(present(F.col(time)) & present(F.col(event)))
     n = rows_of(weight)
     sums = [("n", n), ("d", F.col(event).cast("int") * n)]
     grouped = cell_table(known, list(models.values()), [("time", F.col(time).cast("double"))], sums)
