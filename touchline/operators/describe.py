@@ -19,9 +19,10 @@ def rows_of(weight: str | None) -> Column:
 
 
 def class_shares(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
-    """Count and share of each class. The window runs over the class counts, not over the rows."""
-    counts = df.groupBy(col).agg(F.sum(rows_of(weight)).alias("n"))
-    return counts.select(col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    """Count and share of each class. Classes are counted once and stored; their total is one number."""
+    counts = stage(df.groupBy(col).agg(F.sum(rows_of(weight)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.select(col, "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def rate_table(df: DataFrame, keys: Sequence[str], win: Column, weight: str | None = None) -> DataFrame:

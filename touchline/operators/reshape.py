@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[i
 
     Ties in ``order_by`` are settled by the other columns in their order, so a position names the same row whatever
     other positions are asked for. Positions up to ``top_rows`` need only the top of the order. Further in, the rows
-    are sorted into ranges of about ``RANGE_ROWS``, the ranges stored and counted, and each row numbered inside its own;
-    rows equal in every column may part between ranges, which changes nothing one could tell.
+    are stored by range of the order, about ``RANGE_ROWS`` each, and the ranges counted. Only those that hold a wanted
+    position are read again and numbered; rows equal in every column may part between ranges, which changes nothing one
+    could tell.
     """
     wanted = F.col("row").isin(list(positions))
     keys = [*order_by, *[c for c in df.columns if c not in order_by]]
@@ -52,10 +55,16 @@ def pick_positions(df: DataFrame, order_by: Sequence[str], positions: Sequence[i
     # one row per range
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = stored.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*keys, "_in")))
-    placed = numbered.join(starts, "_range").withColumn("row", F.col("_start") + F.col("_at"))
-    return placed.where(wanted).select(*df.columns, "row")
+    starts = sizes.select("_range", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = [(F.col("_start") < p) & (F.col("_start") + F.col("_n") >= p) for p in positions]
+    # at most one range for each position asked for
+    held = starts.where(reduce(or_, inside)).select("_range", "_start").collect()
+    if not held:
+        return stored.where(F.lit(False)).select(*df.columns, F.lit(0).cast("bigint").alias("row"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*keys, "_in"))
+    start = F.create_map(*[F.lit(v) for r in held for v in (r["_range"], r["_start"])])[F.col("_range")]
+    numbered = stored.where(F.col("_range").isin([r["_range"] for r in held])).withColumn("row", start + at)
+    return numbered.where(wanted).select(*df.columns, "row")
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:

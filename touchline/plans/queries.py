@@ -195,6 +195,13 @@ def first_matches(spark, sf):
     return reshape.pick_positions(m, order, [1, 3, 11]).select("row", "l_orderkey", "date", "home")
 
 
+@query
+def deep_positions(spark, sf):
+    """The line items at three places in order of quantity, two of them beyond the top that is sorted as a whole."""
+    order = ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey"]
+    return reshape.pick_positions(league.table(spark, sf, "lineitem").select(order), order, [2, 10_001, 33_333])
+
+
 @query
 def drop_columns(spark, sf):
     m = league.matches(spark, sf).drop("l_orderkey", "l_linenumber", "fhg", "fag", "date")
