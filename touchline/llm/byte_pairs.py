@@ -43,9 +43,9 @@ AHEAD = 2
 #: Runs of more bytes are merged with a queue.
 QUEUED = 128
 #: Pieces that are remembered per task, and the longest of them.
-REMEMBERED, SHORT = 120_000, 24
+REMEMBERED, SHORT = 400_000, 24
 #: Rows that a task hands on together.
-ROWS = 500
+ROWS = 1_000
 #: Code points that Unicode assigned after version 16. The scanning library knows them as letters or
 #: digits; to the encoder that is to be matched they are still neither.
 LATER = (
@@ -144,7 +144,7 @@ class TreeCoder:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, merged[at], len(self.ranks))
 
-    def merged_together(self, pieces: list[bytes]) -> list[list[int]]:
+    def merged_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """``merged`` for many short runs at a time: in each round, every unfinished run merges its next pair."""
         none, size = len(self.ranks), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
@@ -175,7 +175,7 @@ class TreeCoder:
         owner, ids = (np.concatenate(a) for a in zip(*finished))
         ids = ids[np.argsort(owner, kind="stable")].tolist()
         ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
-        return [ids[a:b] for a, b in pairwise([0, *ends])]
+        return [tuple(ids[a:b]) for a, b in pairwise([0, *ends])]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of the bytes of both, from the tokens of each."""
@@ -253,12 +253,12 @@ class TreeCoder:
             self.remembered.clear()
             new = pieces
         raw = {m: m.encode() for m in new}
-        whole = {m: [i] for m, b in raw.items() if (i := self.ranks.get(b)) is not None}
+        whole = {m: (i,) for m, b in raw.items() if (i := self.ranks.get(b)) is not None}
         short = [m for m, b in raw.items() if m not in whole and len(b) <= PIECE_LEAF]
         self.remembered.update(whole)
         if short:
             self.remembered.update(zip(short, self.merged_together([raw[m] for m in short])))
-        self.remembered.update({m: self.tree(b) for m, b in raw.items() if m not in self.remembered})
+        self.remembered.update({m: tuple(self.tree(b)) for m, b in raw.items() if m not in self.remembered})
         out = [[*chain.from_iterable(map(self.remembered.__getitem__, found))] for found in split]
         for m in new:
             if len(m) > SHORT:
