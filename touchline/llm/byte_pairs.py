@@ -43,9 +43,9 @@ AHEAD = 2
 #: Runs of more bytes are merged with a queue.
 QUEUED = 128
 #: Pieces that are remembered per task, and the longest of them.
-REMEMBERED, SHORT = 400_000, 24
+REMEMBERED, SHORT = 200_000, 24
 #: Rows that a task hands on together.
-ROWS = 1_000
+ROWS = 500
 #: Code points that Unicode assigned after version 16. The scanning library knows them as letters or
 #: digits; to the encoder that is to be matched they are still neither.
 LATER = (
@@ -291,16 +291,17 @@ def coder(name: str = RANKS) -> TreeCoder:
 
 
 def _mapped(rows: DataFrame, column: str, name: str, kind: str, make) -> DataFrame:
-    """``rows`` with one more column, made from the values of another in pieces of ``ROWS``."""
+    """``rows`` with one column in place of another, made from its values in pieces of ``ROWS``."""
+    others = [f for f in rows.schema.fields if f.name != column]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), ROWS):
                 part = batch.iloc[i : i + ROWS]
-                yield part.assign(**{name: pd.Series(make(part[column]), index=part.index, dtype=object)})
+                made = pd.Series(make(part[column]), index=part.index, dtype=object)
+                yield part.drop(columns=column).assign(**{name: made})
 
-    fields = StructType([*rows.schema.fields, StructField(name, kind)])
-    return rows.mapInPandas(whole, fields)
+    return rows.mapInPandas(whole, StructType([*others, StructField(name, kind)]))
 
 
 def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,20 +311,15 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
     ordinary text. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    coded = _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda texts: [np.array(i, dtype=np.int32) for i in coder(ranks).encode_batch(texts)])
-    return coded.select("doc_id", "ids")
+    return _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda texts: [np.array(i, dtype=np.int32) for i in coder(ranks).encode_batch(texts)])
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """The bytes again: ``encoded`` with a column decoded. An id outside the vocabulary is an error."""
+    """The bytes again: ``encoded`` with a column decoded in place of ids. An id outside the vocabulary is an error."""
     return _mapped(encoded, "ids", "decoded", BinaryType(), lambda ids: [None if i is None else coder(ranks).decode(i.tolist()) for i in ids])
 
 
 def op11_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    coded = decode_documents(encode_documents(documents(spark, folder)))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")
+    coded = encode_documents(documents(spark, folder)).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest, "ids")
+    return decode_documents(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
