@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from touchline.llm import exact_dedup, language_id, mixing, near_dedup
 from touchline.llm.token_counts import tokenizer_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -106,5 +107,16 @@ def test_run_is_the_stages_in_a_row(spark, steps):
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-    assert {"op1_near_dedup", "op6_mixing", "op10_exact_dedup"} <= set(entry.oracle_sql())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+    assert {"op1_near_dedup", "op6_mixing", "op10_exact_dedup", "op12_resampling", "op13_spelling"} <= set(entry.oracle_sql())
+
+
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    names = ["_gone", "_digest", "_mix_id", "_mix_times", "_mix_round", "_language"]
+    rows = [(i, f"word{i % 3} " * 30 + f"end{i % 3}", "en", "s", *[f"{n}{i}" for n in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    net = language_id.train(docs.select("doc_id", "text", "lang"))
+    for out in (language_id.keep_identified(docs, net), exact_dedup.drop_copies(docs), near_dedup.drop_near_copies(docs), mixing.mix_documents(docs)):
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names)

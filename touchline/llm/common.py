@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "documents", "held_out", "text_or_empty", "utf8", "word_count"]
+__all__ = ["WORD", "documents", "free_name", "held_out", "text_or_empty", "utf8", "word_count"]
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A name for a helper column that no column of ``docs`` has, letter case aside."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

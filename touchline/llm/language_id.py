@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, held_out, text_or_empty, utf8
+from touchline.llm.common import documents, free_name, held_out, text_or_empty, utf8
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -297,8 +297,9 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0
     """
     if net is None:
         return docs.where(F.col(text_col).rlike(LETTER))
-    marked = docs.withColumn("_language", predict_column(F.col(text_col), net))
-    return marked.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score)).drop("_language")
+    name = free_name(docs, "_language")
+    marked = docs.withColumn(name, predict_column(F.col(text_col), net))
+    return marked.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least_score)).drop(name)
 
 
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:

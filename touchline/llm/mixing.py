@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, word_count
+from touchline.llm.common import documents, free_name, word_count
 from touchline.operators.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -174,10 +174,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     Rows that share an id are repeated as often as the most taken of them.
     """
     plan = plan_mix(docs, id_col=id_col, **options).where("times > 0")
-    counts = plan.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("times").alias("_mix_times"))
-    joined = docs.join(counts, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_times"))).alias("_mix_round"))
-    return repeated.drop("_mix_round")
+    who, times, round_ = (free_name(docs, n) for n in ("_mix_id", "_mix_times", "_mix_round"))
+    counts = plan.groupBy(F.col("doc_id").alias(who)).agg(F.max("times").alias(times))
+    joined = docs.join(counts, docs[id_col].eqNullSafe(F.col(who)))
+    repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(round_))
+    return repeated.drop(round_)
 
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, text_or_empty
+from touchline.llm.common import documents, free_name, text_or_empty
 from touchline.llm.components import components
 from touchline.operators.staging import stage, staged
 
@@ -388,8 +388,9 @@ def near_groups(
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group, with all columns: the one of smallest id. Rows without an id stay."""
     groups = near_groups(docs, size, percent, id_col=id_col, **options)
-    gone = groups.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    who = free_name(docs, "_gone")
+    gone = groups.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(who)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(who), "left_anti")
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
