@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "documents", "free_name", "held_out", "text_or_empty", "utf8", "word_count"]
+#: Bytes of an Arrow batch on its way to a Python worker. A batch by rows alone may hold a whole split of texts.
+ARROW_BYTES = 4 << 20
+
+__all__ = ["WORD", "documents", "free_name", "held_out", "small_batches", "text_or_empty", "utf8", "word_count"]
 
 
 def documents(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
@@ -24,6 +27,13 @@ def free_name(docs: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``ARROW_BYTES`` in this session, where no bound is set."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(ARROW_BYTES))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, free_name, held_out, text_or_empty, utf8
+from touchline.llm.common import documents, free_name, held_out, small_batches, text_or_empty, utf8
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -284,6 +284,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     One row per input row: equal texts get equal answers; null, empty and letterless texts are ``und``. Other columns
     are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -297,6 +298,7 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float = 0
     """
     if net is None:
         return docs.where(F.col(text_col).rlike(LETTER))
+    small_batches(docs.sparkSession)
     name = free_name(docs, "_language")
     marked = docs.withColumn(name, predict_column(F.col(text_col), net))
     return marked.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least_score)).drop(name)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, text_or_empty
+from touchline.llm.common import documents, small_batches, text_or_empty
 from touchline.llm.token_counts import BLANKS, LETTERS, NUMBERS, ODD, WIDE, tokenizer_path
 from touchline.operators.staging import stage
 
@@ -211,6 +211,7 @@ def pack_documents(
     are packed each; a null id is kept. Other columns are not read; an empty table gives an empty result. Pieces and
     groups depend on the rows alone, so a rerun packs alike.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     pieces = stage(cut_pieces(rows, tiers, tokenizer, with_ids))
     groups = max(1, -(-pieces.count() // pieces_per_group))
