@@ -13,9 +13,10 @@ signature is a set of (coordinate, value) tokens, posted in an inverted index:
   here. Then the lists that still hold several components are merged in blocks, members of one component skipping
   each other, and a pair is looked at in the first list it shares only.
 
-Before their full sets are fetched, candidates must agree in ``LEAST`` of ``SKETCH`` one-byte minima (in the blocks, in
-``FIRST_LEAST`` of the first ``FIRST`` before that), which a pair of similarity 0.8 fails once in 100,000 times. Candidates are confirmed on the full sets. Equal sets are one node
-throughout.
+Before full sets are made, the equal coordinates of a candidate are counted on one byte of each, and pairs below
+``MATCHES`` go. They must agree in ``LEAST`` of ``SKETCH`` one-byte minima besides (in the blocks, in ``FIRST_LEAST`` of
+the first ``FIRST`` before that), which a pair of similarity 0.8 fails once in 100,000 times. What is left is confirmed
+on the full sets, which are made for the documents of such pairs only. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, free_name, text_or_empty
+from touchline.llm.common import documents, free_name, small_batches, text_or_empty
 from touchline.llm.components import components
 from touchline.operators.staging import stage, staged
 
@@ -37,6 +38,7 @@ COORDINATES = 96
 MATCHES = 56
 SKETCH = 256
 LEAST = 172
+COUNTED = slice(0, SKETCH // COORDINATES * COORDINATES, SKETCH // COORDINATES)  # the coordinates among the sketch bytes
 STARS = 5
 HUB_LISTS = 8
 FEW_LINKS = 50
@@ -192,16 +194,22 @@ def hub_pairs(posted: DataFrame, star: int) -> DataFrame:
     return beside.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pairs whose sketches agree in at least ``least`` bytes; ``nodes`` has node and sketch."""
+def retained(same: np.ndarray, matches: int, least: int) -> np.ndarray:
+    """Which rows of equal sketch bytes have ``matches`` equal coordinates and ``least`` equal bytes at all."""
+    return (same[:, COUNTED].sum(axis=1) >= matches) & (same.sum(axis=1) >= least)
 
-    @F.pandas_udf("int")
+
+def alike(pairs: DataFrame, nodes: DataFrame, matches: int = MATCHES, least: int = LEAST) -> DataFrame:
+    """Pairs with at least ``matches`` equal coordinates and ``least`` equal sketch bytes; ``nodes`` has node and sketch."""
+
+    @F.pandas_udf("boolean")
     def agreeing(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(one, two)], dtype="int32")
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SKETCH) for s in (one, two))
+        return pd.Series(retained(x == y, matches, least), dtype=bool)
 
     one = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("_x"))
     two = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("_y"))
-    return pairs.join(one, "a").join(two, "b").where(agreeing("_x", "_y") >= least).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(agreeing("_x", "_y")).select("a", "b")
 
 
 def blocks_of(posted: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -241,7 +249,7 @@ def _by_block(work):
     return run
 
 
-def _candidates(least: int):
+def _candidates(matches: int, least: int):
     """Members of a block that have alike members of other components: node and those partners (in one of the two)."""
 
     def work(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -259,7 +267,7 @@ def _candidates(least: int):
             if len(rest):
                 rest = rest[(first[rest] == first[i]).sum(axis=1) >= FIRST_LEAST]
             if len(rest):
-                for j in rest[(signs[rest] == signs[i]).sum(axis=1) >= least]:
+                for j in rest[retained(signs[rest] == signs[i], matches, least)]:
                     if token == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
                         partners.setdefault(int(nodes[i]), []).append(int(nodes[j]))
                         partners.setdefault(int(nodes[j]), [])
@@ -294,8 +302,10 @@ def _confirmed(percent: int):
     return _by_block(work)
 
 
-def cross_links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, least: int = LEAST, percent: int = PERCENT) -> DataFrame:
-    """Links between components, from all mixed lists: a < b.
+def cross_links(
+    posted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, matches: int = MATCHES, least: int = LEAST, percent: int = PERCENT
+) -> DataFrame:
+    """Links between components, from all mixed lists, written: a < b.
 
     Candidates stay lists beside their members; the full sets come to the block, so no row is written for a pair that
     isn't a link.
@@ -305,8 +315,9 @@ def cross_links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, least: int
         return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "node")
 
     schema = "token bigint, low int, high int, node bigint, partners array<bigint>"
-    found = dealt(blocks_of(posted, nodes)).mapInPandas(_candidates(least), schema)
-    return dealt(found.join(sets, "node")).mapInPandas(_confirmed(percent), "a bigint, b bigint").distinct()
+    with staged(dealt(blocks_of(posted, nodes)).mapInPandas(_candidates(matches, least), schema)) as found:
+        sets = full_sets(docs, found.select("node").distinct(), size)
+        return stage(dealt(found.join(sets, "node")).mapInPandas(_confirmed(percent), "a bigint, b bigint").distinct())
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -349,6 +360,7 @@ def near_groups(
     are one shingle. A null id takes part only through other rows of an equal set. Rows that repeat an id with
     different texts are one node with the links of all. Other columns are not read; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = stage(sketches(plain, size))
     lead = F.min(F.struct("doc_id", "signature", "sketch")).alias("lead")
@@ -356,19 +368,21 @@ def near_groups(
     distinct = lettered.groupBy("set_key").agg(lead)
     reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
     prefix = prefixes(reps.select("node", "signature"), matches)
-    with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes, staged(full_sets(plain, nodes.select("node").distinct(), size)) as sets:
+    with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes:
         found, labels, total = [], None, nodes.count()
         for star in range(STARS):
             # the longest lists of each node reach most of its group; what they leave is up to the blocks
             longest = nodes.select("node", F.slice("prefix", F.greatest(F.size("prefix") - HUB_LISTS + 1, F.lit(1)), HUB_LISTS).alias("prefix"))
-            pairs = alike(hub_pairs(postings(longest, labels), star), nodes, least)
-            found.append(stage(confirm(pairs, sets, percent)))
+            with staged(alike(hub_pairs(postings(longest, labels), star), nodes, matches, least)) as pairs:
+                ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                with staged(full_sets(plain, ends, size)) as sets:
+                    found.append(stage(confirm(pairs, sets, percent)))
             new = found[-1].count()
             if new:
                 labels = stage(components(_all(found)))
             if new * FEW_LINKS < total:
                 break  # hubs find little more; the blocks look at all that is left
-        found.append(stage(cross_links(postings(nodes, labels), nodes, sets, least, percent)))
+        found.append(cross_links(postings(nodes, labels), nodes, plain, size, matches, least, percent))
     links = _all(found)
     final = stage(components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
