@@ -26,6 +26,7 @@ BUDGET_SHARE = 1.5
 MOST_REPEATS = 2
 RANGES = 4096
 ORDER_BITS = 60
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -171,12 +172,16 @@ def plan_mix(
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixture itself: every taken row of ``docs`` as often as the mix takes it, with all its columns.
 
-    Rows that share an id are repeated as often as the most taken of them.
+    Rows that share an id are repeated as often as the most taken of them. Texts are read once and stay where they are
+    while the counts are at most ``BROADCAST_ROWS`` ids and ``BROADCAST_BYTES``; more of them meet the rows in a shuffle.
     """
     plan = plan_mix(docs, id_col=id_col, **options).where("times > 0")
     who, times, round_ = (free_name(docs, n) for n in ("_mix_id", "_mix_times", "_mix_round"))
-    counts = plan.groupBy(F.col("doc_id").alias(who)).agg(F.max("times").alias(times))
-    joined = docs.join(counts, docs[id_col].eqNullSafe(F.col(who)))
+    counts = stage(plan.groupBy(F.col("doc_id").alias(who)).agg(F.max("times").alias(times)))
+    held = F.sum(F.lit(16) + F.coalesce(F.octet_length(F.col(who).cast("string")), F.lit(0)))
+    rows, size = counts.agg(F.count(F.lit(1)), held).first()
+    few = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    joined = docs.join(F.broadcast(counts) if few else counts, docs[id_col].eqNullSafe(F.col(who)))
     repeated = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(round_))
     return repeated.drop(round_)
 
