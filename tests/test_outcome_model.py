@@ -177,6 +177,7 @@ def test_design_guards():
         design([Num("a"), Num("a")])
     with pytest.raises(ValueError):
         design([Cat("c", [str(i) for i in range(60)])])
+    assert len(design([Cat("c", [str(i) for i in range(60)])], 300)) == 59
 
 
 def scored(spark, pos, neg):
@@ -229,3 +230,23 @@ def test_confusion_by_hand(spark):
 def test_classify_is_strict(spark):
     df = spark.createDataFrame([(0.5,), (0.6,), (None,)], "s double")
     assert [r[0] for r in df.select(evaluate.classify(F.col("s"), 0.5)).collect()] == ["Loss/Draw", "Win", None]
+
+
+def test_wide_factor_beside_numpy(spark):
+    rng = np.random.default_rng(6)
+    c, v = rng.integers(0, 60, 6000), rng.normal(size=6000)
+    y = rng.random(6000) < 1 / (1 + np.exp(-(0.3 * v + 0.02 * c - 0.5)))
+    rows = [(f"c{a:02d}", float(b), bool(w)) for a, b, w in zip(c, v, y)]
+    df = spark.createDataFrame([*rows, (None, 1.0, True), ("c01", float("nan"), False)], "c string, v double, y boolean")
+    fit = logit.fit_logit(df, F.col("y"), [Cat("c", [f"c{i:02d}" for i in range(60)]), Num("v")])
+    x = np.column_stack([np.ones(6000), *[(c == i).astype(float) for i in range(1, 60)], v])
+    b = np.zeros(61)
+    for _ in range(20):
+        mu = 1 / (1 + np.exp(-x @ b))
+        info = (x * (mu * (1 - mu))[:, None]).T @ x
+        b += np.linalg.solve(info, x.T @ (y - mu))
+    np.testing.assert_allclose(fit.coef, b, atol=1e-7)
+    np.testing.assert_allclose(fit.std_error, np.sqrt(np.diag(np.linalg.inv(info))), atol=1e-7)
+    assert fit.n == 6000 and fit.n_dropped == 2 and fit.converged
+    lever = logit.with_residuals(df, F.col("y"), fit).agg(F.sum("leverage")).first()[0]
+    assert lever == pytest.approx(61, rel=1e-6)

@@ -396,3 +396,35 @@ def test_nan_is_left_out_like_null(spark, small):
     timed_rows = (d.where(~F.isnan("t")) for d in (clean, dirty))
     a, b = (logit.fit_logit(d, F.col("e") == 1, [Num("v")]) for d in timed_rows)
     assert b.coef == pytest.approx(a.coef, rel=1e-9) and b.converged and b.n_dropped == 2
+
+
+@pytest.mark.parametrize("rho", [0.0, 1.0])
+@pytest.mark.parametrize("small", [None, 0])
+def test_many_groups_equal_few(spark, monkeypatch, rho, small):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(1, 300)), int(rng.random() < 0.6), f"g{rng.integers(0, 30):02d}") for _ in range(3000)]
+    df = spark.createDataFrame([*rows, (None, 1, "g00"), (5.0, 1, None), (float("nan"), 1, "g01")], "t double, e int, g string")
+    one = survival.rank_test(df, "t", "e", "g", rho=rho)
+    monkeypatch.setattr(survival, "WIDE_GROUPS", 1)
+    two = survival.rank_test(df, "t", "e", "g", rho=rho, small_rows=small)
+    for name in ("n", "observed", "expected", "variance"):
+        np.testing.assert_allclose(getattr(two, name), getattr(one, name), rtol=1e-9, atol=1e-9)
+    assert two.chi_square == pytest.approx(one.chi_square, rel=1e-9) and two.df == one.df == 29
+
+
+def test_hundred_groups(spark):
+    rng = np.random.default_rng(5)
+    t, e, g = rng.integers(1, 50, 4000), rng.random(4000) < 0.7, rng.integers(0, 100, 4000)
+    df = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(t, e, g)], "t double, e int, g int")
+    got = survival.rank_test(df, "t", "e", "g", levels=[*range(100), 777])
+    gap, var = np.zeros(100), np.zeros((100, 100))
+    for u in np.unique(t):
+        risk, dead = np.bincount(g[t >= u], minlength=100), np.bincount(g[(t == u) & e], minlength=100)
+        n, d = risk.sum(), dead.sum()
+        gap += dead - d * risk / n
+        if n > 1:
+            var += d * (n - d) / (n - 1) * (np.diag(risk / n) - np.outer(risk, risk) / n**2)
+    assert got.chi_square == pytest.approx(gap[1:] @ np.linalg.solve(var[1:, 1:], gap[1:]), rel=1e-8)
+    assert got.df == 99 and got.n[100] == 0 and 0 < got.p < 1
+    table = got.group_table(spark).where("g = '777'").first()
+    assert table["std_error"] == 0 and table["z"] is None

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from touchline.operators.describe import rows_of
 from touchline.operators.newton import Point, batches, climb_all, solve, symmetric, triangle
 from touchline.operators.ordered import equal_count_cuts, quantiles, with_bins
 from touchline.operators.staging import stage, staged
-from touchline.operators.terms import Scale, Term, back_transform, cell_table, design, linear_sql, read_scales, scale_sums, slot, standardised, transformed, x, x_sql
+from touchline.operators.terms import MAX_COEFFICIENTS, MAX_WIDE, Scale, Term, back_transform, cell_table, design, linear_sql, present, read_scales, scale_sums, slot, standardised, transformed, x, x_sql
 
 INTERCEPT = "(Intercept)"
 
@@ -87,7 +88,7 @@ class LogitFit:
 
     def linear(self) -> Column:
         """Linear predictor as a column expression over rows that carry the model's columns."""
-        return linear_predictor(np.nan_to_num(self.coef), [F.lit(1.0), *[c for _, c in design(self.terms)]])
+        return linear_predictor(np.nan_to_num(self.coef), [F.lit(1.0), *[c for _, c in design(self.terms, MAX_WIDE)]])
 
     def score(self) -> Column:
         """Win probability; null when a used column is null or off its level list."""
@@ -97,7 +98,7 @@ class LogitFit:
 def fixed_logit(terms: Sequence[Term], coef: Sequence[float], cov: np.ndarray | None = None) -> LogitFit:
     """A model with given coefficients, for scoring (published coefficients, a model fitted elsewhere)."""
     p = len(coef)
-    labels = [INTERCEPT, *[label for label, _ in design(terms)]]
+    labels = [INTERCEPT, *[label for label, _ in design(terms, MAX_WIDE)]]
     if len(labels) != p:
         raise ValueError(f"{p} coefficients for {labels}")
     cov = np.full((p, p), np.nan) if cov is None else cov
@@ -111,14 +112,48 @@ def linear_predictor(coef: Sequence[float], columns: Sequence[Column]) -> Column
     return total
 
 
+def _block_sums(b: np.ndarray):
+    """Per task: likelihood, score and upper triangle of the information of its cells, as rows (spot, value)."""
+    low, high = np.triu_indices(len(b))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loglik, score, info = 0.0, np.zeros(len(b)), np.zeros((len(b), len(b)))
+        for batch in batches:
+            if len(batch):
+                x = np.column_stack([np.ones(len(batch)), np.vstack(batch["x"].to_list())])
+                n, wins = batch["n"].to_numpy(), batch["wins"].to_numpy()
+                eta = x @ b
+                mu = np.exp(-np.logaddexp(0, -eta))
+                loglik += float(wins @ eta - n @ np.logaddexp(0, eta))
+                score += x.T @ (wins - n * mu)
+                info += (x * (n * mu * (1 - mu))[:, None]).T @ x
+        values = np.concatenate([[loglik], score, info[low, high]])
+        yield pd.DataFrame({"spot": np.arange(len(values)), "value": values})
+
+    return work
+
+
+def _evaluate_wide(cells: DataFrame, labels: Sequence[str], b: np.ndarray) -> Point:
+    """One coefficient vector of many entries: tasks add up matrices, which are summed entry by entry."""
+    p = len(b)
+    known = cells.select("n", "wins", F.array(*[x(c) for c in labels]).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    sums = known.mapInPandas(_block_sums(b), "spot int, value double").groupBy("spot").agg(F.sum("value").alias("value"))
+    values = np.zeros(1 + p + len(triangle(p)))
+    for spot, value in sums.collect():
+        values[spot] = value
+    return Point(float(values[0]), values[1 : 1 + p], symmetric(values[1 + p :], p))
+
+
 def _evaluate(cells: DataFrame, asked: Sequence[tuple[list[str], np.ndarray]]) -> list[Point]:
     """Likelihood, score and information of several coefficient vectors, as few passes over the cells as fit.
 
     A cell with a null in a model's columns gives null terms there, which the sums skip.
     """
-    out: list[Point | None] = [None] * len(asked)
-    sizes = [1 + len(b) + len(triangle(len(b))) for _, b in asked]
-    for group in batches(sizes):
+    wide = [len(b) > MAX_COEFFICIENTS + 1 for _, b in asked]
+    out: list[Point | None] = [_evaluate_wide(cells, names, b) if w else None for w, (names, b) in zip(wide, asked)]
+    narrow = [i for i, w in enumerate(wide) if not w]
+    sizes = [1 + len(b) + len(triangle(len(b))) for b in (asked[i][1] for i in narrow)]
+    for group in ([narrow[i] for i in found] for found in batches(sizes)):
         columns = {i: ["1D", *[x_sql(c) for c in asked[i][0]]] for i in group}
         with_eta = cells.selectExpr("*", *[f"{linear_sql(asked[i][1], columns[i])} AS _eta{i}" for i in group])
         with_mu = with_eta.selectExpr("*", *[f"1D / (1D + exp(-_eta{i})) AS _mu{i}" for i in group])
@@ -171,7 +206,7 @@ def fit_logits(
 
 def _fit_cells(cells: DataFrame, models: Mapping[str, Sequence[Term]]) -> dict[str, LogitFit]:
     names = list(models)
-    labels = [[label for label, _ in design(models[m])] for m in names]
+    labels = [[label for label, _ in design(models[m], MAX_WIDE)] for m in names]
     counted = []
     for i, cols in enumerate(labels):
         complete = F.lit(True)
@@ -367,18 +402,17 @@ def with_residuals(df: DataFrame, win: Column, fit: LogitFit) -> DataFrame:
 
     The covariance enters as literals: a pure projection, no join and no shuffle.
     """
-    cols = [F.lit(1.0), *[c for _, c in design(fit.terms)]]
+    cols = [F.lit(1.0), *[c for _, c in design(fit.terms, MAX_WIDE)]]
     p = len(cols)
     named = df.select("*", *[c.alias(f"_x{j}") for j, c in enumerate(cols)], if_else(win, F.lit(1.0), F.lit(0.0)).alias("_y"))
     at = [F.col(f"_x{j}") for j in range(p)]
     scored = named.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_predictor(np.nan_to_num(fit.coef), at)))).alias("score"))
-    spread = None
     cov = np.nan_to_num(fit.cov)
-    for j, k in triangle(p):
-        part = F.lit(float(cov[j, k]) * (1 if j == k else 2)) * at[j] * at[k]
-        spread = part if spread is None else spread + part
+    # one sum per row of the matrix: a flat sum of all entries would be too deep a tree in a wide model
+    rows = [([cov[j, k] * (1 if j == k else 2) for k in range(j, p)], [f"_x{k}" for k in range(j, p)]) for j in range(p)]
+    spread = F.expr(" + ".join(f"_x{j} * ({linear_sql(*row)})" for j, row in enumerate(rows)))
     mu = F.col("score")
-    out = scored.where(mu.isNotNull() & F.col("_y").isNotNull()).select(
+    out = scored.where(present(mu) & F.col("_y").isNotNull()).select(
         *df.columns, "score", ((F.col("_y") - mu) / F.sqrt(mu * (1 - mu))).alias("pearson"), (mu * (1 - mu) * spread).alias("leverage")
     )
     left = 1 - F.col("leverage")
@@ -442,7 +476,7 @@ def variance_inflation(fit: LogitFit) -> dict[str, float]:
     corr = cov / np.outer(scale, scale)
     whole, out, start = np.linalg.det(corr), {}, 0
     for term in fit.terms:
-        labels = [label for label, _ in design([term])]
+        labels = [label for label, _ in design([term], MAX_WIDE)]
         own = list(range(start, start + len(labels)))
         rest = [k for k in range(len(corr)) if k not in own]
         out[labels[0] if len(labels) == 1 else getattr(term, "name", ":".join(labels))] = float(

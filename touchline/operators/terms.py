@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_COEFFICIENTS = 40
+#: Logistic models may be wider: past ``MAX_COEFFICIENTS`` their sums are matrices of blocks instead of one column an entry.
+MAX_WIDE = 300
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,10 @@ def term_columns(term: Term) -> list[tuple[str, Column]]:
     ]
 
 
-def design(terms: Sequence[Term]) -> list[tuple[str, Column]]:
+def design(terms: Sequence[Term], limit: int = MAX_COEFFICIENTS) -> list[tuple[str, Column]]:
     out = [pair for t in terms for pair in term_columns(t)]
-    if len(out) > MAX_COEFFICIENTS:
-        raise ValueError(f"{len(out)} coefficients; the limit is {MAX_COEFFICIENTS}")
+    if len(out) > limit:
+        raise ValueError(f"{len(out)} coefficients; the limit is {limit}")
     labels = [label for label, _ in out]
     if len(set(labels)) != len(labels):
         raise ValueError(f"repeated design columns in {labels}")

@@ -332,6 +332,14 @@ def _coefs(table: DataFrame, cols=("estimate", "std_error")) -> DataFrame:
     return r6(table.select("term", *cols, F.round("z", 4).alias("z"), "p"), [*cols, "p"])
 
 
+@query
+def logit_week(spark, sf):
+    """Home wins by week of the year: a factor of 53 levels."""
+    weeks = [f"{w:02d}" for w in range(1, 54)]
+    rows = league.matches(spark, sf).select(F.lpad(F.weekofyear("date"), 2, "0").alias("week"), (F.col("ftr") == "H").alias("won"))
+    return _coefs(logit.fit_logit(rows, F.col("won"), [Cat("week", weeks)]).coef_table(spark))
+
+
 @query
 def logit_null(spark, sf):
     fit = logit.fit_logit(league.outcomes(spark, sf), win(), [])
@@ -663,6 +671,14 @@ def logrank_combination(spark, sf):
     return _rank(spark, _with_combination(league.durations(spark, sf)), "combination", C.COMBINATIONS, 0)
 
 
+@query
+def logrank_side_location(spark, sf):
+    """Every side at home and away, more groups than stand side by side in one row."""
+    d = league.durations(spark, sf).withColumn("side", F.concat_ws(" ", "ref", "loc"))
+    t = survival.rank_test(d, "goaltime", "cens", "side").group_table(spark)
+    return r6(t, ["observed", "expected", "std_error", "z"])
+
+
 @query
 def weighted_rank_location(spark, sf):
     return _rank(spark, league.durations(spark, sf), "loc", C.LOCATIONS, 1)
