@@ -167,6 +167,45 @@ def test_packing_round_trip(spark):
     assert sum(len(r["ids"]) // 4 for r in whole) == sum(r["length"] for r in got)
 
 
+def test_every_tier_is_packed_full():
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 1025, 4000), rng.integers(20, 200, 8192), np.array([1024, 512, 300, 7]), np.array([5]), np.array([], dtype=int)):
+        parts = packing.pack_lengths(np.sort(lengths)[::-1])
+        piece, start, length, sequence, offset, tier = parts.T
+        seen = defaultdict(list)
+        for p, s, n in zip(piece, start, length):
+            seen[p].append((s, n))
+        assert sorted(seen) == list(range(len(lengths)))
+        for p, own in seen.items():  # each piece's parts lie end to end
+            at = 0
+            for s, n in sorted(own):
+                assert s == at and n > 0
+                at += n
+            assert at == np.sort(lengths)[::-1][p]
+        if not len(lengths):
+            continue
+        fill = np.bincount(sequence, weights=length)
+        window = np.zeros(len(fill))
+        window[sequence] = tier
+        assert (fill[:-1] == window[:-1]).all() and fill[-1] <= window[-1]
+    assert set(packing.pack_lengths(np.sort(rng.integers(1, 1025, 4000))[::-1])[:, 5]) == set(packing.TIERS)
+
+
+def test_steps_hold_one_tier(spark):
+    rows = [(i, words(3 + i * i % 900, i), "s") for i in range(300)]
+    got = packing.pack_documents(frame(spark, rows), per_step=4).collect()
+    assert len({r["tier"] for r in got}) > 2
+    tiers, sums, fills = defaultdict(set), Counter(), Counter()
+    for r in got:
+        tiers[r["step"]].add(r["tier"])
+        sums[r["tier"], r["step"]] += r["length"]
+        fills[r["sequence_id"]] += r["length"]
+    assert all(len(t) == 1 for t in tiers.values())
+    padding = sum(0 if packing.power_of_two(n) else 1024 - n for n in fills.values())
+    assert padding < 0.01 * sum(fills.values())
+    assert max(sums.values()) <= 4 * 1024
+
+
 def test_packing_reruns_agree(spark):
     df = frame(spark, pack_rows())
     one = sorted(map(str, packing.pack_documents(df).collect()))

@@ -1,10 +1,12 @@
 """Packing documents into training sequences of several lengths.
 
 A document's ids are cut where they are made: whole windows of the longest context become sequences of their own, the
-rest is one piece, routed to the shortest context that holds it. Pieces (a few numbers each) are dealt to groups of
-bounded size; each group packs its tiers from the longest down, puts the pieces of shorter tiers into the gaps of
-longer windows, tightest gap first, and deals its sequences to steps so that steps hold about as many ids.
-Sequences that end at a power of two need no padding.
+rest is one piece, routed to the shortest context that holds it. Pieces are dealt to groups of bounded size. A group
+packs its tiers from the longest down: the longest piece left opens a window of its tier, a piece of a shorter tier
+that nearly fills the gap goes into it whole, and what is then open is closed by cutting the longest piece left, whose
+rest goes back to the tier of its new length. So windows of every tier end full, a full window of a power of two needs
+no padding, and only the last window of a group can stay open. Sequences of one tier are dealt to steps of about as
+many ids each.
 """
 
 from __future__ import annotations
@@ -126,41 +128,57 @@ def power_of_two(n: int) -> bool:
     return n > 0 and n & (n - 1) == 0
 
 
-def pack_lengths(lengths: np.ndarray, tiers: Sequence[int] = TIERS) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece of one group.
+class Pool:
+    """Pieces that wait, by length. Bit n of ``held`` is set while some piece has n ids."""
 
-    Tier by tier from the longest, pieces in falling length: a piece goes into the tightest gap that holds it, and
-    opens a window when there is none. A piece that fills a tier exactly stands alone.
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.held = 0
+        self.at: dict[int, list[tuple[int, int]]] = {}
+        for i in range(len(lengths) - 1, -1, -1):  # the first of equal length comes out first
+            self.put(int(lengths[i]), i, 0)
+
+    def put(self, length: int, piece: int, start: int) -> None:
+        self.at.setdefault(length, []).append((piece, start))
+        self.held |= 1 << length
+
+    def longest(self, limit: int | None = None) -> int:
+        """The greatest length that waits, of those up to ``limit``; 0 when there is none."""
+        held = self.held if limit is None else self.held & ((1 << (limit + 1)) - 1)
+        return held.bit_length() - 1 if held else 0
+
+    def take(self, length: int) -> tuple[int, int]:
+        found = self.at[length].pop()
+        if not self.at[length]:
+            self.held &= ~(1 << length)
+        return found
+
+
+def pack_lengths(lengths: np.ndarray, tiers: Sequence[int] = TIERS) -> np.ndarray:
+    """Parts of the pieces of one group as rows: piece, start in it, length, sequence, offset, tier of the window.
+
+    Every window ends full but the last: while a window has room, some piece is put in whole or cut to its end.
     """
-    window = max(tiers)
-    sequence = np.zeros(len(lengths), dtype=np.int64)
-    offset = np.zeros(len(lengths), dtype=np.int64)
-    gaps: list[list[int]] = [[] for _ in range(window + 1)]  # windows by what they still hold
-    open_gaps = 0  # bit g is set while some window has a gap of g
-    windows = 0
-    tier_of = np.searchsorted(np.sort(tiers), lengths)
-    for tier in range(len(tiers) - 1, -1, -1):
-        mine = np.flatnonzero(tier_of == tier)
-        for i in mine[np.argsort(-lengths[mine], kind="stable")]:
-            size = int(lengths[i])
-            if size == sorted(tiers)[tier] and power_of_two(size):
-                sequence[i] = windows
-                windows += 1
-                continue
-            fitting = open_gaps >> size
-            if fitting:
-                gap = size + (fitting & -fitting).bit_length() - 1
-                w = gaps[gap].pop()
-                if not gaps[gap]:
-                    open_gaps &= ~(1 << gap)
-            else:
-                gap, w = window, windows
-                windows += 1
-            sequence[i], offset[i] = w, window - gap
-            if left := gap - size:
-                gaps[left].append(w)
-                open_gaps |= 1 << left
-    return sequence, offset
+    parts: list[tuple[int, int, int, int, int, int]] = []
+    pool, sequence = Pool(lengths), 0
+    ordered = sorted(tiers)
+    for window, below in reversed(list(zip(ordered, [0, *ordered]))):
+        while pool.longest() > below:
+            room = window
+            size = pool.longest()
+            while size:
+                piece, start = pool.take(size)
+                used = min(size, room)
+                if used < size:
+                    pool.put(size - used, piece, start + used)
+                parts.append((piece, start, used, sequence, window - room, window))
+                room -= used
+                if not room:
+                    break
+                size = pool.longest(room)  # a shorter tier's, if it leaves an eighth of the gap at most
+                if 8 * size < 7 * room:
+                    size = pool.longest()
+            sequence += 1
+    return np.array(parts, dtype=np.int64).reshape(-1, 6)
 
 
 def deal_steps(fill: np.ndarray, per_step: int = STEP_SEQUENCES) -> np.ndarray:
@@ -172,22 +190,49 @@ def deal_steps(fill: np.ndarray, per_step: int = STEP_SEQUENCES) -> np.ndarray:
     return np.where(turn % 2 == 0, spot, steps - 1 - spot)
 
 
-def _pack_group(tiers: Sequence[int], per_step: int):
+def _pack_group(tiers: Sequence[int], per_step: int, with_ids: bool):
+    longest = max(tiers)
+
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "order", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         lengths = part["length"].to_numpy()
-        sequence, offset = pack_lengths(lengths, tiers)
-        fill = np.bincount(sequence, weights=lengths).astype(np.int64)
-        step = deal_steps(fill, per_step)
+        piece, start, length, sequence, offset, tier = pack_lengths(lengths, tiers).T
+        fill = np.bincount(sequence, weights=length).astype(np.int64)
+        window = np.zeros(len(fill), dtype=np.int64)
+        window[sequence] = tier
+        # an open window is padded to the longest, unless its fill happens to be a power of two
+        short = (fill < window) & ((fill & (fill - 1)) != 0)
+        window[short] = longest
         base = int(part["group"].iloc[0]) << 32
-        ordered = np.sort(tiers)
-        whole = np.where((fill & (fill - 1)) == 0, fill, ordered[-1])
-        if "ids" in part:
-            part["ids"] = [widen(ids, n) for ids, n in zip(part["ids"], part["length"])]
-        return part.drop(columns=["group", "order"]).assign(
+        step, steps = np.zeros(len(fill), dtype=np.int64), 0
+        for t in sorted(tiers):
+            mine = np.flatnonzero(window == t)
+            if len(mine):
+                step[mine] = steps + deal_steps(fill[mine], per_step * longest // t)
+                steps = step[mine].max() + 1
+        out = part.iloc[piece].drop(columns=["group", "order"])
+        cut = length < lengths[piece]
+        ids, crcs = part["ids"].to_list(), part["ids_crc32"].to_numpy()[piece]
+        if with_ids or cut.any():
+            whole: dict[int, bytes] = {}
+            own = []
+            for i, (p, at, n, c) in enumerate(zip(piece, start, length, cut)):
+                if with_ids or c:
+                    if p not in whole:
+                        whole[p] = widen(ids[p], int(lengths[p]))
+                    own.append(whole[p][4 * at : 4 * (at + n)])
+                    crcs[i] = zlib.crc32(own[-1])
+            if with_ids:
+                out["ids"] = own
+        if not with_ids:
+            out = out.drop(columns="ids")
+        return out.assign(
+            start=out["start"].to_numpy() + start,
+            length=length,
+            ids_crc32=crcs,
             sequence_id=base + sequence,
             offset=offset,
-            tier=ordered[np.searchsorted(ordered, np.minimum(whole[sequence], ordered[-1]))].astype(np.int32),
+            tier=window[sequence].astype(np.int32),
             step=base + step[sequence],
         )
 
@@ -206,19 +251,21 @@ def pack_documents(
 ) -> DataFrame:
     """Pack all documents: one row per piece with doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tier`` is the context length the sequence belongs to, ``step`` the balanced step it is dealt to, and
-    ``with_ids`` adds the piece's ids. A null or empty text is one piece that holds the end id. Rows that repeat an id
+    ``tier`` is the context length the sequence belongs to, ``step`` the balanced step of that tier it is dealt to
+    (``per_step`` of the longest tier hold as many ids as a step of a shorter one), and ``with_ids`` adds the piece's ids. A null or empty text is one piece that holds the end id. Rows that repeat an id
     are packed each; a null id is kept. Other columns are not read; an empty table gives an empty result. Pieces and
     groups depend on the rows alone, so a rerun packs alike.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    pieces = stage(cut_pieces(rows, tiers, tokenizer, with_ids))
+    # a group needs the ids of what it may cut; a whole window travels without them unless they are wanted
+    made = cut_pieces(rows, tiers, tokenizer, with_ids=True)
+    pieces = stage(made if with_ids else made.withColumn("ids", F.when(F.col("length") < max(tiers), F.col("ids"))))
     groups = max(1, -(-pieces.count() // pieces_per_group))
     order = F.xxhash64("doc_id", "start", "ids_crc32")
     keyed = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "order": order, "group": F.pmod(order, F.lit(groups))})
-    kept = [f"{n} {t}" for n, t in keyed.dtypes if n not in ("order", "group")]
+    kept = [f"{n} {t}" for n, t in keyed.dtypes if n not in ("order", "group", *([] if with_ids else ["ids"]))]
     schema = ", ".join([*kept, "sequence_id bigint", "offset bigint", "tier int", "step bigint"])
-    packed = keyed.groupBy("group").applyInPandas(_pack_group(tiers, per_step), schema)
+    packed = keyed.groupBy("group").applyInPandas(_pack_group(tiers, per_step, with_ids), schema)
     return packed.withColumn("doc_id", F.col("doc_id").cast(dict(pieces.dtypes)["doc_id"]))  # a null id is no number in pandas
 
 
