@@ -103,6 +103,21 @@ def test_mined_verdicts(spark):
     assert all(r["mined"] for r in got if r["page_id"] % 4 == 0)
 
 
+@pytest.mark.parametrize("n", [200, 20_000])
+def test_one_support_at_every_size(spark, n):
+    rows = [(f"http://{'trap' if i % 50 == 0 else 'fine'}.net/p/{i}", i % 50 == 0) for i in range(n)]
+    pages = pages_frame(spark, ["http://trap.net/p/x", "http://fine.net/p/x", "http://com/de/", "http://trap.net/a path:p", None])
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_few_mixed_rows_make_no_rule(spark):
+    rows = [("http://a.net/x", True)] * 3 + [("http://b.net/x", i < 6) for i in range(10)] + [("http://c.net/y", False)] * 30
+    tokens = spark.createDataFrame(rows, "url string, bad boolean").select(url_rules.url_tokens(F.col("url")).alias("tokens"), "bad")
+    blocked = [r["tokens"] for r in url_rules.mine_rules(tokens).where("verdict = 'block'").collect()]
+    assert not any("host:a" in t or "host:b" in t for t in blocked)  # 3 of 3 and 6 of 10 are no evidence
+
+
 def test_no_pages(spark):
     assert url_rules.judge_urls(pages_frame(spark, ["x"]).limit(0), no_labels(spark)).count() == 0
 

@@ -43,8 +43,11 @@ RULES = (
 
 BAD, GOOD = "label:block", "label:allow"
 MIN_SUPPORT = 0.005
-MIN_ROWS = 30
 MIN_CONFIDENCE = 0.5
+#: Fixed value: two-sided 95% of a normal.
+CERTAIN = 1.959963984540054
+#: With fewer rows even a combination that always goes with a label has a lower bound of less than one half.
+MIN_ROWS = 4
 BROADCAST_RULES = 100_000
 
 
@@ -78,25 +81,35 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(scheme, host, path, keys)))
 
 
+def least_share(share: Column, n: Column) -> Column:
+    """Lower end of Wilson's 95% interval of a share seen in n rows."""
+    z2 = CERTAIN**2
+    spread = F.sqrt(share * (1 - share) / n + F.lit(z2 / 4) / (n * n))
+    return (share + F.lit(z2 / 2) / n - F.lit(CERTAIN) * spread) / (1 + F.lit(z2) / n)
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Mined rules: rule, tokens, verdict, confidence, support, rarest (the token they are posted under).
 
-    ``labelled`` has ``tokens`` and the boolean ``bad``. A rule needs ``min_support`` of the rows and ``MIN_ROWS`` of them,
-    so that a small table doesn't turn single pages into rules. A rule must beat the share of its label in all labelled rows.
-    Of two rules with one verdict, the longer is dropped unless it is more confident than the shorter one inside it.
+    ``labelled`` has ``tokens`` and the boolean ``bad``. A rule needs ``min_support`` of the rows at every size and
+    ``min_confidence``, and must beat the share of its label in all labelled rows. So that few rows don't make a rule by
+    chance, the lower end of the 95% interval of its confidence (Wilson's) must reach one half: the fewer rows, the
+    purer they have to be, and less than ``MIN_ROWS`` never do. Of two rules with one verdict, the longer is dropped
+    unless it is more confident than the shorter one inside it.
     """
     spark = labelled.sparkSession
     empty = "rule string, tokens array<string>, verdict string, confidence double, support double, rarest string"
     baskets = stage(labelled.select(F.concat("tokens", F.array(F.when(F.col("bad"), BAD).otherwise(GOOD))).alias("items")))
     total = baskets.count()
-    if total < MIN_ROWS:
+    if not total:
         return spark.createDataFrame([], empty)
-    support = max(min_support, MIN_ROWS / total)
+    support = max(min_support, (MIN_ROWS - 0.5) / total)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(
         F.arrays_overlap("consequent", F.array(F.lit(BAD), F.lit(GOOD)))
         & ~F.arrays_overlap("antecedent", F.array(F.lit(BAD), F.lit(GOOD)))
         & (F.col("lift") > 1)
+        & (least_share(F.col("confidence"), F.col("support") * F.lit(total) / F.col("confidence")) >= 0.5)
     )
     rules = found.select(
         F.array_sort("antecedent").alias("tokens"),
@@ -157,15 +170,15 @@ def judge_urls(
     )
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = parts.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
-    rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules)).withColumn("key", F.array_join("tokens", " "))
-    open_sets = rows.where("fixed IS NULL").select("key", "tokens").distinct()  # pages of one kind share their tokens
+    rows = rows.withColumn("fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    unfixed = rows.where("fixed IS NULL").withColumnRenamed("tokens", "key")
+    open_sets = unfixed.select("key", F.col("key").alias("tokens")).distinct()  # pages of one kind share their tokens
     answers = match_rules(open_sets, mined)
-    decided = F.coalesce("fixed.verdict", "mined_verdict", F.lit("allow"))
-    unfixed = F.when(F.col("fixed").isNull(), F.col("key"))
-    return (
-        rows.withColumn("key", unfixed)
-        .join(answers, "key", "left")
-        .select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), decided.alias("verdict"), "mined")
+    # what a fixed rule decides takes no part in the join
+    ruled = rows.where("fixed IS NOT NULL").select("page_id", "host", "path", "fixed.rule", "fixed.verdict", F.lit(None).cast("string").alias("mined"))
+    met = unfixed.join(answers, "key", "left")
+    return ruled.unionByName(
+        met.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("mined_verdict", F.lit("allow")).alias("verdict"), "mined")
     )
 
 
