@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, free_name, held_out, text_or_empty
+from touchline.llm.common import documents, free_name, held_out, once, text_or_empty
 from touchline.operators.staging import stage
 
 ROWS_PER_SLOT = 250_000
@@ -232,12 +232,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that repeat id and text stay together."""
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, **options)
+    """The rows of ``docs`` that stay, with all their columns: one of each text, also where rows repeat id and text."""
+    groups = stage(exact_groups(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_sha256", "kept"))
     who, what = free_name(docs, "_gone"), free_name(docs, "_digest")
     gone = groups.where("NOT kept").select(F.col("doc_id").alias(who), F.col("text_sha256").alias(what)).distinct()
     same = docs[id_col].eqNullSafe(F.col(who)) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col(what))
-    return docs.join(gone, same, "left_anti")
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("who"), F.col("text_sha256").alias("what")).count()
+    return once(docs.join(gone, same, "left_anti"), kept.where("count > 1"), id_col, text_col)
 
 
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

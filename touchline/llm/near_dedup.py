@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, free_name, text_or_empty
+from touchline.llm.common import documents, free_name, once, text_or_empty
 from touchline.llm.components import components
 from touchline.operators.staging import stage, staged
 
@@ -398,12 +398,18 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, with all columns: the one of smallest id. Rows without an id stay."""
-    groups = near_groups(docs, size, percent, id_col=id_col, **options)
+def drop_near_copies(
+    docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """One document of each group, with all columns: the one of smallest id, once where rows repeat id and text.
+
+    Rows without an id stay, one of each text.
+    """
+    groups = near_groups(docs, size, percent, id_col=id_col, text_col=text_col, **options)
     who = free_name(docs, "_gone")
     gone = groups.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(who)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(who), "left_anti")
+    keys = docs.groupBy(F.col(id_col).alias("who"), F.sha2(text_or_empty(text_col), 256).alias("what")).count().where("count > 1")
+    return once(docs.join(gone, docs[id_col] == F.col(who), "left_anti"), stage(keys), id_col, text_col)
 
 
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
