@@ -103,3 +103,11 @@ def test_first_event_needs_two_different_times(spark):
     df = spark.createDataFrame(rows, "fhg int, fag int, ftr string")
     got = {r["outcome"]: r["n"] for r in describe.first_event_outcome(df).collect()}
     assert got == {"Win": 2, "Loss": 1, "Draw": 1, "": 2}
+
+
+def test_correlation_of_a_constant_column_is_nan(spark):
+    df = spark.createDataFrame([(1, 45, 2.0, None), (2, 45, 3.0, 1), (4, 45, 1.0, 2)], "a int, flat int, b double, part int")
+    got = {(r.row, r.col): r.value for r in describe.correlation_matrix(df, ["a", "flat", "b", "part"]).collect()}
+    assert got["a", "b"] == got["b", "a"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 3, 1])[0, 1])
+    assert all(math.isnan(got[pair]) for pair in (("a", "flat"), ("flat", "a"), ("flat", "b")))
+    assert got["flat", "flat"] == 1.0 and got["a", "part"] is None and got["flat", "part"] is None

@@ -71,10 +71,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlations as (row, col, value), all pairs in one aggregate. A null anywhere makes it null.
 
     Rows with a null in any column are not dropped silently: as in a plain matrix correlation, the pairs that
-    touch such a column have no value.
+    touch such a column have no value. A constant column has no spread to divide by: its pairs are NaN.
     """
     pairs = list(combinations(cols, 2))
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    aggs += [F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
     nulls = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]
     at = {c: i for i, c in enumerate(cols)}
     cells = []
@@ -84,9 +85,11 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 value = F.lit(1.0)
             else:
                 i = pairs.index((a, b)) if (a, b) in pairs else pairs.index((b, a))
-                value = F.when((F.col(f"n{at[a]}") == 0) & (F.col(f"n{at[b]}") == 0), F.col(f"r{i}"))
+                spread = F.col(f"s{at[a]}") * F.col(f"s{at[b]}")
+                r = F.when(spread != 0, F.col(f"c{i}") / spread).when(F.col("_rows") > 1, F.lit(math.nan))
+                value = F.when((F.col(f"n{at[a]}") == 0) & (F.col(f"n{at[b]}") == 0), r)
             cells.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), value.alias("value")))
-    return df.agg(*aggs, *nulls).select(F.inline(F.array(*cells)))
+    return df.agg(*aggs, *nulls, F.count(F.lit(1)).alias("_rows")).select(F.inline(F.array(*cells)))
 
 
 def trend_line(table: DataFrame, x: str, y: str) -> DataFrame:
