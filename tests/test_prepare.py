@@ -282,3 +282,19 @@ def test_duration_frame(spark):
         ("B", "A", "Away", "Pre", 0, 90, 50, 90, "Not Top 6", "Top 6"),
         ("C", "A", "Home", "Post", 0, 90, None, 90, None, "Top 6"),
     ]
+
+
+def test_cells_group_by_one_value_a_term(spark):
+    import re
+
+    from touchline.operators.terms import Cat, Inter, Num, cell_table
+
+    c, v = Cat("c", [f"c{i:02d}" for i in range(60)]), Num("v")
+    rows = [("c00", 1.0), ("c00", 1.0), ("c07", 2.0), ("off", 2.0), (None, 2.0), ("c07", float("nan"))]
+    df = spark.createDataFrame(rows, "c string, v double").withColumn("part", F.col("v") + 1)
+    cells = cell_table(df, [[c, v, Inter(v, c)], [Num("part")]], [], [("n", F.lit(1))])
+    # a column a level would make the rows' keys as wide as the factor
+    keys = re.search(r"Aggregate \[([^\]]*)\]", cells._jdf.queryExecution().optimizedPlan().toString()).group(1)
+    assert len(keys.split(",")) == 3
+    got = {tuple(r[x] for x in ("x_cc01", "x_cc07", "x_v", "x_v:cc07", "x_part")): r["n"] for r in cells.collect()}
+    assert got == {(0.0, 0.0, 1.0, 0.0, 2.0): 2.0, (0.0, 1.0, 2.0, 2.0, 3.0): 1.0, (None, None, 2.0, None, 3.0): 2.0, (0.0, 1.0, None, None, None): 1.0}

@@ -59,6 +59,21 @@ def term_columns(term: Term) -> list[tuple[str, Column]]:
     ]
 
 
+def _term_value(term: Num | Cat) -> Column:
+    """What all design columns of a term follow from: its number or its level; null where the row cannot be used."""
+    if isinstance(term, Num):
+        value = F.col(term.name).cast("double")
+        return F.when(present(value), value)
+    return F.when(F.col(term.name).isin(list(term.levels)), F.col(term.name))
+
+
+def _value_columns(term: Num | Cat, value: Column) -> list[tuple[str, Column]]:
+    """``term_columns`` of a term from its ``_term_value``."""
+    if isinstance(term, Num):
+        return [(term.name, value)]
+    return [(term.name + level, F.when(value.isNotNull(), (value == level).cast("double"))) for level in term.levels[1:]]
+
+
 def design(terms: Sequence[Term], limit: int = MAX_COEFFICIENTS) -> list[tuple[str, Column]]:
     out = [pair for t in terms for pair in term_columns(t)]
     if len(out) > limit:
@@ -94,17 +109,20 @@ def cell_table(
     """Group rows that look alike to every model: one row per distinct design row (and extra keys).
 
     Exact: the likelihoods need only these counts. The partial aggregate merges equal rows before the one
-    shuffle, so a hot cell costs one row per task. Interaction columns follow from their parts afterwards. NaN counts
-    as missing, like null: a fit leaves such rows out and counts them.
+    shuffle, so a hot cell costs one row per task. Rows are grouped by one value a term; the design columns of a class
+    and the interactions follow from those values afterwards, once per cell. NaN counts as missing, like null: a fit
+    leaves such rows out and counts them.
     """
-    parts = {label: c for m in models for t in base_terms(m) for label, c in term_columns(t)}
+    terms = [t for t in dict.fromkeys(t for m in models for t in base_terms(m)) if term_columns(t)]
     flat = df.select(
-        *[F.when(present(c), c).alias(slot(label)) for label, c in parts.items()],
+        *[_term_value(t).alias(f"_t_{i}") for i, t in enumerate(terms)],
         *[c.alias(n) for n, c in keys],
         *[c.alias("_s_" + n) for n, c in sums],
     )
-    groups = [slot(label) for label in parts] + [n for n, _ in keys]
-    cells = flat.groupBy(*groups).agg(*[F.sum("_s_" + n).cast("double").alias(n) for n, _ in sums])
+    groups = [f"_t_{i}" for i in range(len(terms))] + [n for n, _ in keys]
+    counted = flat.groupBy(*groups).agg(*[F.sum("_s_" + n).cast("double").alias(n) for n, _ in sums])
+    parts = {label: c for i, t in enumerate(terms) for label, c in _value_columns(t, F.col(f"_t_{i}"))}
+    cells = counted.select(*[c.alias(slot(label)) for label, c in parts.items()], *[n for n, _ in keys], *[n for n, _ in sums])
     products = {}
     for m in models:
         for t in m:
