@@ -250,3 +250,16 @@ def test_wide_factor_beside_numpy(spark):
     assert fit.n == 6000 and fit.n_dropped == 2 and fit.converged
     lever = logit.with_residuals(df, F.col("y"), fit).agg(F.sum("leverage")).first()[0]
     assert lever == pytest.approx(61, rel=1e-6)
+
+
+def test_profile_limits_beside_a_constant_column(spark, frame):
+    flat = frame.withColumn("flat", F.when(F.col("home_pts") < 90, 45))
+    terms = [Num("flat"), *TERMS]
+    with pytest.raises(ValueError):
+        logit.profile_intervals(flat, is_win(), terms)
+    _, got = logit.profile_intervals(flat, is_win(), terms, allow_dropped=True)
+    got = {r.term: tuple(r)[1:] for r in got.collect()}
+    assert all(math.isnan(v) for v in got.pop("flat"))
+    # the constant column's nulls still take their rows out
+    _, want = logit.profile_intervals(flat.where("home_pts < 90"), is_win(), TERMS)
+    assert got == {r.term: pytest.approx(tuple(r)[1:], rel=1e-7) for r in want.collect()}

@@ -306,22 +306,29 @@ def choose_forward(
 
 
 def profile_intervals(
-    df: DataFrame, win: Column, terms: Sequence[Term], max_passes: int = 40, weight: str | None = None
+    df: DataFrame, win: Column, terms: Sequence[Term], max_passes: int = 40, weight: str | None = None, allow_dropped: bool = False
 ) -> tuple[LogitFit, DataFrame]:
     """Profile-likelihood 95% limits of every coefficient, with odds ratios.
 
     All 2p limits advance together: each solves "log-likelihood has dropped by half the chi-square point and
     the other coefficients are at their best" by Newton steps, and one pass over the cells evaluates them all.
+    With ``allow_dropped`` a column that repeats earlier ones has NaN throughout, and the limits are those of the model
+    without it on the same rows; else it is an error.
     """
     spark = df.sparkSession
     with staged(_outcome_cells(df, win, [terms], weight)) as cells:
         fit = _fit_cells(cells, {"model": terms})["model"]
-        if not fit.converged or fit.rank < len(fit.coef):
+        if not fit.converged or (fit.rank < len(fit.coef) and not allow_dropped):
             raise ValueError("no unique finite maximum: profile limits do not exist")
-        p, labels = len(fit.coef), fit.labels[1:]
+        own = np.flatnonzero(np.isfinite(fit.coef))
+        coef, cov = fit.coef[own], fit.cov[np.ix_(own, own)]
+        p, labels = len(own), [fit.labels[j] for j in own[1:]]
+        used = F.lit(True)
+        for c in fit.labels[1:]:
+            used = used & x(c).isNotNull()
         # slopes are profiled on centred columns; the intercept needs the columns' own zero, so it keeps it
         zero = {c: Scale(0.0, s.spread) for c, s in fit.scales.items()}
-        both = cells.select(
+        both = cells.where(used).select(
             "n",
             "wins",
             *[((x(c) - F.lit(fit.scales[c].mean)) / F.lit(fit.scales[c].spread)).alias(slot("mid " + c)) for c in labels],
@@ -329,8 +336,8 @@ def profile_intervals(
         )
         maps = {False: back_transform(labels, zero), True: back_transform(labels, fit.scales)}
         names = {False: ["own " + c for c in labels], True: ["mid " + c for c in labels]}
-        best = {c: np.linalg.solve(m, fit.coef) for c, m in maps.items()}
-        spread = {c: np.linalg.inv(m) @ fit.cov @ np.linalg.inv(m).T for c, m in maps.items()}
+        best = {c: np.linalg.solve(m, coef) for c, m in maps.items()}
+        spread = {c: np.linalg.inv(m) @ cov @ np.linalg.inv(m).T for c, m in maps.items()}
         target = fit.loglik - CHI2_95_1DF / 2
         jobs = [(j, side) for j in range(p) for side in (-1.0, 1.0)]
         # start: the normal-theory limit, the other coefficients moved along with it
@@ -350,13 +357,14 @@ def profile_intervals(
                 at[k] = at[k] + move
                 if np.all(np.abs(move) <= 1e-10 * (1 + np.abs(at[k]))):
                     open_jobs.discard(k)
-        limit = {}
+        limit = {(j, side): math.nan for j in range(len(fit.coef)) for side in (-1.0, 1.0)}
         for k, (j, side) in enumerate(jobs):
-            limit[j, side] = math.nan if k in open_jobs else float(at[k][j] * maps[j > 0][j, j])
+            if k not in open_jobs:
+                limit[int(own[j]), side] = float(at[k][j] * maps[j > 0][j, j])
     rows = [
         (fit.labels[j], float(fit.coef[j]), limit[j, -1.0], limit[j, 1.0])
         + tuple(math.exp(v) for v in (fit.coef[j], limit[j, -1.0], limit[j, 1.0]))
-        for j in range(p)
+        for j in range(len(fit.coef))
     ]
     return fit, spark.createDataFrame(
         rows,
