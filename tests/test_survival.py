@@ -428,3 +428,14 @@ def test_hundred_groups(spark):
     assert got.df == 99 and got.n[100] == 0 and 0 < got.p < 1
     table = got.group_table(spark).where("g = '777'").first()
     assert table["std_error"] == 0 and table["z"] is None
+
+
+@pytest.mark.parametrize("flat", [45.0, 0.1])
+def test_proportional_hazards_beside_repeated_columns(frame, cox_fit, flat):
+    twice = frame.withColumns({"copy": F.col("x") * 3, "flat": F.lit(flat)})
+    fit = cox.fit_cox(twice, "t", "e", [Num("flat"), TERMS[0], Num("copy"), TERMS[1]])
+    got = cox.proportional_hazards_test(fit, allow_dropped=True).tests
+    want = cox.proportional_hazards_test(cox_fit).tests
+    assert all(math.isnan(got[c].chi_square) and got[c].df == 0 and math.isnan(got[c].p) for c in ("flat", "copy"))
+    for c in ("x", "locHome", "GLOBAL"):
+        assert got[c].chi_square == pytest.approx(want[c].chi_square, rel=1e-6) and got[c].df == want[c].df

@@ -96,11 +96,9 @@ class CoxFit:
     @cached_property
     def at_fit(self) -> DataFrame:
         """Time table at the fitted coefficients with g = 1 - pooled survival just before the time, stored once for the
-        test and the residuals."""
-        if self.rank < len(self.coef):
-            raise ValueError("a column repeats earlier ones: drop its term first")
+        test and the residuals. A column that repeats earlier ones adds nothing to the risk."""
         own = "CASE WHEN n > d THEN log1p(-d / n) END"
-        logs = _time_table(self.cells, self.labels, self.means, self.coef, self.order, Step({"_log": own}))
+        logs = _time_table(self.cells, self.labels, self.means, np.nan_to_num(self.coef), self.order, Step({"_log": own}))
         return stage(logs.selectExpr("*", f"1D - exp(coalesce(_log, 0D) - coalesce({own}, 0D)) AS g"))
 
     def risk_score(self) -> Column:
@@ -273,9 +271,19 @@ class ProportionalTest:
         )
 
 
-def proportional_hazards_test(fit: CoxFit) -> ProportionalTest:
-    """Score test of a coefficient that changes with g(time), for each term and for all together."""
-    p = len(fit.labels)
+def _whole_model(fit: CoxFit, allow_dropped: bool) -> None:
+    if fit.rank < len(fit.coef) and not allow_dropped:
+        raise ValueError("a column repeats earlier ones: drop its term first")
+
+
+def proportional_hazards_test(fit: CoxFit, allow_dropped: bool = False) -> ProportionalTest:
+    """Score test of a coefficient that changes with g(time), for each term and for all together.
+
+    With ``allow_dropped`` columns that repeat earlier ones are not tested, and a term without any other has NaN on no
+    degrees of freedom; else they are an error.
+    """
+    _whole_model(fit, allow_dropped)
+    p, kept = len(fit.labels), np.flatnonzero(np.isfinite(fit.coef))
     table = fit.at_fit
     centre = table.selectExpr("sum(g * d) / sum(d)").first()[0]
     table = table.selectExpr("*", f"g - {number(centre)} AS _c")
@@ -287,20 +295,21 @@ def proportional_hazards_test(fit: CoxFit) -> ProportionalTest:
     u = np.array([row[f"u{j}"] for j in range(p)], dtype=float)
     xx, xg, gg = (symmetric([row[f"{m}{j}_{k}"] for j, k in triangle(p)], p) for m in "abc")
 
-    def statistic(own: list[int]) -> float:
-        reduced = gg[np.ix_(own, own)] - xg[own] @ solve(xx, xg[:, own])
-        return float(u[own] @ solve(reduced, u[own]))
+    def test(own: list[int]) -> NestedTest:
+        if not own:
+            return NestedTest(math.nan, 0, math.nan)
+        reduced = gg[np.ix_(own, own)] - xg[np.ix_(own, kept)] @ solve(xx[np.ix_(kept, kept)], xg[np.ix_(kept, own)])
+        stat = float(u[own] @ solve(reduced, u[own]))
+        return NestedTest(stat, len(own), chi_square_upper(stat, len(own)))
 
     tests, start = {}, 0
     for term in fit.terms:
         width = len(design([term]))
         own = list(range(start, start + width))
         name = fit.labels[start] if width == 1 else getattr(term, "name", ":".join(fit.labels[i] for i in own))
-        stat = statistic(own)
-        tests[name] = NestedTest(stat, width, chi_square_upper(stat, width))
+        tests[name] = test([j for j in own if j in kept])
         start += width
-    stat = statistic(list(range(p)))
-    tests["GLOBAL"] = NestedTest(stat, p, chi_square_upper(stat, p))
+    tests["GLOBAL"] = test(kept.tolist())
     return ProportionalTest(fit.labels, tests)
 
 
