@@ -439,3 +439,16 @@ def test_proportional_hazards_beside_repeated_columns(frame, cox_fit, flat):
     assert all(math.isnan(got[c].chi_square) and got[c].df == 0 and math.isnan(got[c].p) for c in ("flat", "copy"))
     for c in ("x", "locHome", "GLOBAL"):
         assert got[c].chi_square == pytest.approx(want[c].chi_square, rel=1e-6) and got[c].df == want[c].df
+
+
+@pytest.mark.parametrize("flat", [45.0, 0.1])
+def test_schoenfeld_residuals_beside_a_constant_column(frame, cox_fit, flat):
+    fit = cox.fit_cox(frame.withColumn("flat", F.lit(flat)), "t", "e", [Num("flat"), *TERMS])
+    with pytest.raises(ValueError):
+        cox.schoenfeld_residuals(fit)
+    order = ["time", "rows", "residual_x", "residual_locHome"]
+    got, want = (cox.schoenfeld_residuals(f, allow_dropped=True).orderBy(*order).collect() for f in (fit, cox_fit))
+    assert len(got) == len(want) and all(r["residual_flat"] == pytest.approx(0.0, abs=1e-9) for r in got)
+    assert all(math.isnan(r["scaled_flat"]) and math.isnan(r["beta_flat"]) for r in got)
+    for a, b in zip(got, want):
+        assert [a[c] for c in b.asDict()] == pytest.approx(list(b), rel=1e-6, abs=1e-9)

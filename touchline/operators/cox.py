@@ -313,10 +313,12 @@ def proportional_hazards_test(fit: CoxFit, allow_dropped: bool = False) -> Propo
     return ProportionalTest(fit.labels, tests)
 
 
-def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
+def schoenfeld_residuals(fit: CoxFit, allow_dropped: bool = False) -> DataFrame:
     """Per group of equal events (same time and covariates; ``rows`` of them): transformed time, residual per
     coefficient, scaled residual, and scaled residual plus coefficient (the time-varying coefficient drawn
-    against g)."""
+    against g). With ``allow_dropped`` a column that repeats earlier ones has plain residuals and NaN as the others;
+    else it is an error."""
+    _whole_model(fit, allow_dropped)
     p = len(fit.labels)
     table = fit.at_fit.selectExpr("time", "g", *[f"{_mean_sum(j)} / d AS _m{j}" for j in range(p)])
     events = fit.cells.where("d > 0").select(
@@ -324,11 +326,11 @@ def schoenfeld_residuals(fit: CoxFit) -> DataFrame:
     )
     both = keyed_join(events, table, ["time"], "inner")
     raw = both.select("time", "g", "rows", *[(F.col(f"_x{j}") - F.col(f"_m{j}")).alias(f"residual_{c}") for j, c in enumerate(fit.labels)])
-    scale = fit.cov * fit.events
+    scale, kept = fit.cov * fit.events, np.flatnonzero(np.isfinite(fit.coef))
     scaled = []
     for j, c in enumerate(fit.labels):
-        value = F.lit(0.0)
-        for k, other in enumerate(fit.labels):
-            value = value + F.lit(float(scale[j, k])) * F.col(f"`residual_{other}`")
+        value = F.lit(0.0) if j in kept else F.lit(math.nan)
+        for k in kept:
+            value = value + F.lit(float(scale[j, k])) * F.col(f"`residual_{fit.labels[k]}`")
         scaled += [value.alias(f"scaled_{c}"), (value + F.lit(float(fit.coef[j]))).alias(f"beta_{c}")]
     return raw.select("*", *scaled)
