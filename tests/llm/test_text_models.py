@@ -280,3 +280,22 @@ def test_long_text_trains_in_segments():
     whole = np.arange(200_000) % 5
     parts = hidden_markov.segments(whole.astype(np.uint16).tobytes())
     assert len(parts) == 4 and np.array_equal(np.concatenate(parts), whole)
+
+
+def test_recursions_hold_no_padding_and_any_block_size(monkeypatch):
+    hmm, rng = small_hmm(), np.random.default_rng(8)
+    seqs = [rng.integers(0, 4, n) for n in (1, 40, 3, 3, 17, 1, 200)]
+    cells, running, starts = hidden_markov.by_position(sorted(seqs, key=len, reverse=True))
+    assert len(cells) == starts[-1] == sum(map(len, seqs)) and running.tolist()[:4] == [7, 5, 5, 3]
+
+    def run():
+        sums = (np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3)))
+        return hidden_markov.forward_logs(hmm, seqs), hidden_markov.expected_counts(hmm, seqs, sums), *sums
+
+    whole = run()
+    assert whole[0].sum() == pytest.approx(whole[1], rel=1e-5)
+    assert whole[3].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-5)
+    for name, size in (("BATCH_TOKENS", 50), ("BLOCK_TOKENS", 7)):
+        monkeypatch.setattr(hidden_markov, name, size)
+        for a, b in zip(run(), whole):
+            np.testing.assert_allclose(a, b, rtol=1e-5)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,12 +35,13 @@ ROUNDS = 6
 PRIOR = 20.0
 SEGMENT = 65_536
 BATCH_TOKENS = 800_000
+BLOCK_TOKENS = 65_536
 TAIL_LETTERS = 3
 
 
-def words_of(text: str) -> list[str]:
-    """Words with A-Z lower-cased, cut at the six blanks of the word rule."""
-    return [w.decode() for w in text.encode().lower().split()]
+def words_of(text: str) -> list[bytes]:
+    """Words (UTF-8) with A-Z lower-cased, cut at the six blanks of the word rule."""
+    return text.encode().lower().split()
 
 
 # ---------------------------------------------------------------- word counts and classes
@@ -52,7 +54,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch["text"]:
-                seen.update(text.encode().lower().split())
+                seen.update(words_of(text))
             yield pd.DataFrame({"word": [w.decode() for w in seen], "c": list(seen.values())})
 
     return docs.select("text").mapInPandas(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -98,6 +100,18 @@ def learn_vocabulary(counts: DataFrame, texts: int, frequent: int = FREQUENT, ta
     return Vocabulary(words, sizes, types, tail_classes, texts, (total["n"] or 0) + texts, total["v"] + (1 if texts else 0))
 
 
+class _Classes(dict):
+    """Class of every word (UTF-8): the frequent ones are held, the others are noted in ``tail`` as they are asked for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__((w.encode(), k) for w, k in vocabulary.frequent.items())
+        self.vocabulary, self.tail = vocabulary, []
+
+    def __missing__(self, word: bytes) -> int:
+        self.tail.append(word)
+        return self.vocabulary.tail_class(word.decode())
+
+
 def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Rows with ``classes`` (unsigned 16-bit, the end last), ``n_tokens`` and ``tail`` (its tail words, a space apart)."""
     if len(vocabulary.counts) > 2**16:
@@ -107,19 +121,16 @@ def encoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     @F.pandas_udf("n_tokens bigint, classes binary, tail string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v = shared.value
-        known, end = v.frequent.get, v.end
+        known = _Classes(v)
         for batch in batches:
             classes, sizes, tails = [], [], []
             for text in batch:
-                words = words_of(text)
-                found = list(map(known, words))
-                tail = [w for w, k in zip(words, found) if k is None]
-                if tail:
-                    found = [v.tail_class(w) if k is None else k for w, k in zip(words, found)]
-                found.append(end)
-                classes.append(np.array(found, dtype=np.uint16).tobytes())
+                known.tail = []
+                found = array("H", map(known.__getitem__, words_of(text)))
+                found.append(v.end)
+                classes.append(found.tobytes())
                 sizes.append(len(found))
-                tails.append(" ".join(tail))
+                tails.append(b" ".join(known.tail).decode())
             yield pd.DataFrame({"n_tokens": sizes, "classes": classes, "tail": tails})
 
     keep = [c for c in rows.columns if c != "text"]
@@ -162,31 +173,52 @@ def batches_of(sequences: list[np.ndarray]) -> Iterator[list[int]]:
         at += width
 
 
-def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of falling length as columns, and how many are still running at each position."""
+def by_position(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of falling length as one array, position after position without padding.
+
+    Returns the array, how many sequences are still running at each position, and where each position starts in it.
+    """
     lengths = np.array([len(s) for s in sequences])
-    out = np.zeros((lengths.max(), len(sequences)), dtype=np.int64)
+    running = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    starts = np.concatenate([[0], np.cumsum(running)])
+    out = np.empty(starts[-1], dtype=np.int64)
     for i, s in enumerate(sequences):
-        out[: len(s), i] = s
-    running = np.searchsorted(-lengths, -np.arange(len(out)), side="left")
-    return out, running
+        out[starts[: len(s)] + i] = s
+    return out, running, starts
+
+
+def picked(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The columns ``cells`` of a table of states by something; none is off the table, so none is checked."""
+    out = np.empty((len(table), len(cells)), dtype=table.dtype)
+    for state, row in enumerate(table):
+        np.take(row, cells, out=out[state], mode="clip")
+    return out
 
 
 def forward_logs(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
-    """Log10 likelihood of each sequence by the scaled forward recursion; only the current position is held."""
+    """Log10 likelihood of each sequence by the scaled forward recursion; a block of positions is held at a time."""
     out = np.zeros(len(sequences))
     emit, back = np.ascontiguousarray(hmm.emit.T), np.ascontiguousarray(hmm.step.T)
     for part in batches_of(sequences):
-        cells, running = padded([sequences[i] for i in part])
+        cells, running, starts = by_position([sequences[i] for i in part])
         logs = np.zeros(len(part))
         alpha = np.repeat(hmm.start[:, None], len(part), axis=1)  # states by texts
-        for t in range(len(cells)):
-            n = running[t]
-            now = back @ alpha[:, :n] if t else alpha
-            now = now * emit[:, cells[t, :n]]
-            scale = now.sum(axis=0)
-            logs[:n] += np.log10(scale)
-            alpha = now / scale
+        first = 0
+        while first < len(running):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK_TOKENS, side="right")) - 1)
+            base = starts[first]
+            own = picked(emit, cells[base : starts[last]])
+            scale = np.empty(own.shape[1])
+            at = (starts[first : last + 1] - base).tolist()
+            for t, lo, hi in zip(range(first, last), at, at[1:]):
+                now = back @ alpha[:, : hi - lo] if t else alpha
+                now *= own[:, lo:hi]
+                total = now.sum(axis=0, out=scale[lo:hi])
+                now /= total
+                alpha = now
+            text = np.arange(own.shape[1]) - np.repeat(starts[first:last] - base, running[first:last])
+            logs += np.bincount(text, weights=np.log10(scale), minlength=len(part))
+            first = last
         out[part] = logs
     return out
 
@@ -197,39 +229,40 @@ def expected_counts(hmm: Hmm, sequences: list[np.ndarray], sums: tuple[np.ndarra
     Shares of a position are held in single precision, sums in double.
     """
     starts, steps, emits = sums
-    states = len(hmm.start)
     single = np.float32
     emit, step = np.ascontiguousarray(hmm.emit.T, dtype=single), hmm.step.astype(single)
     back, start = np.ascontiguousarray(step.T), hmm.start.astype(single)[:, None]
     total = 0.0
     for part in batches_of(sequences):
-        cells, running = padded([sequences[i] for i in part])
-        length, width = cells.shape
-        alpha = np.zeros((length, states, width), dtype=single)
-        seen = np.zeros((length, states, width), dtype=single)  # emission over scale
-        logs = 0.0
-        for t in range(length):
-            n = running[t]
-            own = emit[:, cells[t, :n]]
-            now = (back @ alpha[t - 1, :, :n] if t else start) * own
-            scale = now.sum(axis=0)
-            logs += float(np.log10(scale).sum(dtype=np.float64))
-            np.divide(now, scale, out=alpha[t, :, :n])
-            np.divide(own, scale, out=seen[t, :, :n])
-        total += logs
-        beta = np.ones((states, width), dtype=single)
-        for t in range(length - 1, -1, -1):
-            n = running[t]
-            if t + 1 < length and (m := running[t + 1]):
-                ahead = seen[t + 1, :, :m] * beta[:, :m]
-                steps += (alpha[t, :, :m] @ ahead.T) * hmm.step
-                beta[:, :m] = step @ ahead
-            alpha[t, :, :n] *= beta[:, :n]  # now the state shares of the position
-        starts += alpha[0].sum(axis=1)
-        live = np.arange(width)[None, :] < running[:, None]
-        flat = cells[live]
-        for k in range(states):
-            emits[:, k] += np.bincount(flat, weights=alpha[:, k, :][live], minlength=len(emits))
+        cells, running, begins = by_position([sequences[i] for i in part])
+        width, at = len(part), begins.tolist()
+        seen = picked(emit, cells)  # emissions, later over scale, later times beta
+        alpha = np.empty_like(seen)  # states by tokens
+        scale = np.empty(len(cells), dtype=single)
+        np.multiply(start, seen[:, :width], out=alpha[:, :width])
+        for t in range(len(running)):
+            lo, hi = at[t], at[t + 1]
+            now = alpha[:, lo:hi]
+            if t:
+                np.matmul(back, alpha[:, at[t - 1] : at[t - 1] + hi - lo], out=now)
+                now *= seen[:, lo:hi]
+            now /= now.sum(axis=0, out=scale[lo:hi])
+        total += float(np.log10(scale).sum(dtype=np.float64))
+        seen /= scale
+        beta, pairs = np.empty_like(seen), np.zeros_like(steps)
+        beta[:, begins[[len(sequences[i]) - 1 for i in part]] + np.arange(width)] = 1  # where a text ends
+        for t in range(len(running) - 2, -1, -1):
+            lo, hi = at[t + 1], at[t + 2]
+            ahead = seen[:, lo:hi]
+            ahead *= beta[:, lo:hi]
+            here = slice(at[t], at[t] + hi - lo)  # the tokens that another follows
+            pairs += alpha[:, here] @ ahead.T
+            np.matmul(step, ahead, out=beta[:, here])
+        steps += pairs * hmm.step
+        alpha *= beta  # now the state shares of the positions
+        starts += alpha[:, :width].sum(axis=1)
+        for k, shares in enumerate(alpha):
+            emits[:, k] += np.bincount(cells, weights=shares, minlength=len(emits))
     return total
 
 
