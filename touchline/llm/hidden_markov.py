@@ -239,13 +239,14 @@ def expected_counts(hmm: Hmm, sequences: list[np.ndarray], sums: tuple[np.ndarra
         seen = picked(emit, cells)  # emissions, later over scale, later times beta
         alpha = np.empty_like(seen)  # states by tokens
         scale = np.empty(len(cells), dtype=single)
-        np.multiply(start, seen[:, :width], out=alpha[:, :width])
-        for t in range(len(running)):
+        # a text's states side by side: their sum rounds as it always did, and the rounds of training amplify rounding
+        first = np.multiply(start, seen[:, :width], order="F")
+        np.divide(first, first.sum(axis=0, out=scale[:width]), out=alpha[:, :width])
+        for t in range(1, len(running)):
             lo, hi = at[t], at[t + 1]
             now = alpha[:, lo:hi]
-            if t:
-                np.matmul(back, alpha[:, at[t - 1] : at[t - 1] + hi - lo], out=now)
-                now *= seen[:, lo:hi]
+            np.matmul(back, alpha[:, at[t - 1] : at[t - 1] + hi - lo], out=now)
+            now *= seen[:, lo:hi]
             now /= now.sum(axis=0, out=scale[lo:hi])
         total += float(np.log10(scale).sum(dtype=np.float64))
         seen /= scale
