@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, text_or_empty
-from touchline.llm.token_counts import BLANKS, LETTERS, NUMBERS, ODD, WIDE, tokenizer_path
+from touchline.llm.token_counts import BLANKS, LETTERS, NUMBERS, ODD, WIDE, byte_letters, tokenizer_path
 from touchline.operators.staging import stage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,7 +32,12 @@ END_ID = 0
 TIERS = (128, 256, 512, 1024)
 PIECES_PER_GROUP = 8192
 STEP_SEQUENCES = 64
-REMEMBERED = 600_000
+#: Bytes of words, and runs of other texts, that are remembered per task.
+REMEMBERED, REMEMBERED_RUNS = 24 << 20, 100_000
+#: Texts and characters that are encoded together; words that go to the library together.
+TOGETHER, CHARACTERS, LINES = 2_048, 1 << 22, 1 << 14
+#: The tokenizer's letter for a space.
+SPACE = byte_letters()[32]
 
 #: The tokenizer's word pattern for texts of U+0000 to U+00FF, classes written out.
 FINE = re.compile(
@@ -37,42 +45,149 @@ FINE = re.compile(
 )
 #: For other texts, runs that the tokenizer never merges across: a word with at most one space before it, or blanks.
 COARSE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: In a text of U+0000 to U+00FF without these, and no space at either end, each space stands between two words.
+UNEVEN = ("  ", " \n", "\n ", "\t", "\r", "\v", "\f", "\x85", "\xa0")
+
+
+def gathered(flat: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``which`` of ``flat`` one after another, and where each ends; stretch i is bounds[i] to bounds[i + 1]."""
+    own = np.diff(bounds)[which]
+    ends = np.cumsum(own)
+    at = np.repeat(bounds[:-1][which] - (ends - own), own)
+    at += np.arange(len(at))
+    return flat[at], ends
 
 
 class RunEncoder:
-    """Ids of whole texts by the library, run by run; runs met before are remembered, ``REMEMBERED`` of them at most."""
+    """Ids of whole texts by the library; words and runs met before are remembered within ``REMEMBERED`` bytes and runs.
+
+    Where each space of a text stands between two words, it is cut at the spaces: the distinct words of a batch are
+    looked up once, and the new ones go to the library in one text, each with a space before it; words of letters, which
+    the tokenizer does not cut, go to its model. Other texts are cut into runs as the tokenizer cuts them.
+    """
 
     def __init__(self, path: str) -> None:
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.specials = [t["content"] for t in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        self.specials = [t["content"] for t in spec["added_tokens"]]
         self.small = self.library.get_vocab_size() <= 2**16
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        before = spec["pre_tokenizer"] or {}
+        # words are cut out as this tokenizer does, and no special string has a blank
+        self.by_bytes = not spec["normalizer"] and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        self.by_bytes = self.by_bytes and not any(re.search(r"\s", x) for x in self.specials)
+        self.letters = dict(enumerate(byte_letters())) | {10: "\n"}
+        self.model = Tokenizer(self.library.model)  # for words in byte letters, one a line
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. Texts with special strings go to the library whole."""
-        wide = WIDE.search(text) is not None
-        if (wide and ODD.search(text)) or any(s in text for s in self.specials):
-            return self._whole(text)
-        runs, known = (COARSE if wide else FINE).findall(text), self.known
+        self._remember(pa.array([], pa.string()), np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64))
+
+    def _remember(self, words: pa.Array, flat: np.ndarray, bounds: np.ndarray) -> None:
+        self.words, self.flat, self.bounds = words, flat, bounds
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _lettered(self, text: str) -> np.ndarray:
+        """Ids of words of letters, each with a space before it, one a line."""
+        own = text.encode().decode("latin-1").translate(self.letters)
+        return np.array(self.model.encode_batch_fast([own], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _new(self, words: pa.Array, between: str, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each, and their sizes: a word's first token is the one with a space."""
+        flat, sizes = [self.flat[:0]], [self.bounds[:0]]
+        for a in range(0, len(words), LINES):
+            part = words.slice(a, LINES)
+            ids = encode(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), f"{between} ")[0].as_py())
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part) and starts[0] == 0:
+                flat.append(ids)
+                sizes.append(np.diff(np.append(starts, len(ids))))
+            else:
+                alone = [self._encoded(f" {w}") for w in part.to_pylist()]
+                flat.extend(alone)
+                sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _of_runs(self, runs: list[str]) -> bytes:
+        known = self.known
         out = list(map(known.get, runs))
         if None in out:
             missing = list({r for r, ids in zip(runs, out) if ids is None})
             found = self.library.encode_batch_fast(missing, add_special_tokens=False)
             new = {r: np.array(e.ids, dtype="<u4").tobytes() for r, e in zip(missing, found)}
             out = [new[r] if ids is None else ids for r, ids in zip(runs, out)]
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + len(new) > REMEMBERED_RUNS:
                 known.clear()
             known.update((r, ids) for r, ids in new.items() if len(r) <= 64)
         return b"".join(out)
 
+    def _even(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in which every space stands between two words."""
+        heads, rests = zip(*((head, rest or None) for head, _, rest in (t.partition(" ") for t in texts)))
+        cut = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        named = cut.flatten().dictionary_encode()
+        place = pc.index_in(named.dictionary, value_set=self.words)
+        which = place.fill_null(-1).to_numpy().astype(np.int64)
+        plain = pc.utf8_is_alpha(named.dictionary).to_numpy(zero_copy_only=False)
+        lettered, others = np.flatnonzero((which < 0) & plain), np.flatnonzero((which < 0) & ~plain)
+        words = named.dictionary.take(pa.array(lettered)), named.dictionary.take(pa.array(others))
+        made = self._new(words[0], "\n", self._lettered), self._new(words[1], "", self._encoded)
+        flat = np.concatenate([self.flat, *(ids for ids, _ in made)])
+        bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([sizes for _, sizes in made])))
+        which[np.append(lettered, others)] = np.arange(len(self.words), len(bounds) - 1)
+        ids, ends = gathered(flat, bounds, which[named.indices.to_numpy()])
+        kept = pa.concat_arrays([self.words, *words])
+        if kept.nbytes + flat.nbytes + bounds.nbytes > REMEMBERED:
+            own, own_ends = gathered(flat, bounds, which)  # the words of this batch stay
+            self._remember(named.dictionary, own, np.append(0, own_ends))
+            if named.dictionary.nbytes + own.nbytes + own_ends.nbytes > REMEMBERED:
+                self._remember(kept[:0], own[:0], self.bounds[:1])
+        else:
+            self._remember(kept, flat, bounds)
+        raw, at = ids.tobytes(), (4 * np.append(0, ends)[cut.offsets.to_numpy()]).tolist()
+        return [self._of_runs(FINE.findall(head)) + raw[a:b] for head, a, b in zip(heads, at, at[1:])]
+
+    def batch(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Texts with special strings go to the library whole."""
+        out: list[bytes] = [b""] * len(texts)
+        even = []
+        for i, text in enumerate(texts):
+            wide = not text.isascii() and WIDE.search(text) is not None
+            if (wide and ODD.search(text)) or any(s in text for s in self.specials):
+                out[i] = self._encoded(text).tobytes()
+            elif wide or not self.by_bytes or text[:1] == " " or text[-1:] == " " or any(b in text for b in UNEVEN):
+                out[i] = self._of_runs((COARSE if wide else FINE).findall(text))
+            elif text:
+                even.append(i)
+        if even:
+            for i, ids in zip(even, self._even([texts[i] for i in even])):
+                out[i] = ids
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return self.batch([text])[0]
+
+
+def together(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in lists of at most ``TOGETHER``, closed once they pass ``CHARACTERS``."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if len(held) == TOGETHER or size > CHARACTERS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
 
 _encoders: dict[str, RunEncoder] = {}
 
@@ -108,8 +223,8 @@ def cut_pieces(docs: DataFrame, tiers: Sequence[int] = TIERS, tokenizer: str = T
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             out = []
-            for text in batch:
-                ids = e.ids(text) + end
+            for ids in chain.from_iterable(map(e.batch, together(batch))):
+                ids += end
                 tokens = len(ids) // 4
                 parts = [(start, ids[4 * start : 4 * (start + window)]) for start in range(0, tokens, window)]
                 out.append(
