@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, free_name, once, text_or_empty
 from touchline.llm.components import components
-from touchline.operators.staging import stage, staged
+from touchline.operators.staging import arrow_rows, stage, staged
 
 SHINGLE = 2
 PERCENT = 80
@@ -46,8 +46,9 @@ FIRST, FIRST_LEAST = 64, 30
 BLOCK = 1_000
 BLOCK_KEYS = ["token", "low", "high"]
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 300_000
-CHUNK = 1 << 14
+REMEMBERED = 100_000
+CHUNK = 1 << 12
+ROWS = 1_000  # texts or full sets that a task takes in at a time
 
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -360,28 +361,29 @@ def near_groups(
     are one shingle. A null id takes part only through other rows of an equal set. Rows that repeat an id with
     different texts are one node with the links of all. Other columns are not read; an empty table gives an empty result.
     """
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = stage(sketches(plain, size))
-    lead = F.min(F.struct("doc_id", "signature", "sketch")).alias("lead")
-    lettered = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    distinct = lettered.groupBy("set_key").agg(lead)
-    reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
-    prefix = prefixes(reps.select("node", "signature"), matches)
-    with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes:
-        found, labels, total = [], None, nodes.count()
-        for star in range(STARS):
-            # the longest lists of each node reach most of its group; what they leave is up to the blocks
-            longest = nodes.select("node", F.slice("prefix", F.greatest(F.size("prefix") - HUB_LISTS + 1, F.lit(1)), HUB_LISTS).alias("prefix"))
-            with staged(alike(hub_pairs(postings(longest, labels), star), nodes, matches, least)) as pairs:
-                ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                with staged(full_sets(plain, ends, size)) as sets:
-                    found.append(stage(confirm(pairs, sets, percent)))
-            new = found[-1].count()
-            if new:
-                labels = stage(components(_all(found)))
-            if new * FEW_LINKS < total:
-                break  # hubs find little more; the blocks look at all that is left
-        found.append(cross_links(postings(nodes, labels), nodes, plain, size, matches, least, percent))
+    with arrow_rows(docs.sparkSession, ROWS):
+        plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        rows = stage(sketches(plain, size))
+        lead = F.min(F.struct("doc_id", "signature", "sketch")).alias("lead")
+        lettered = rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+        distinct = lettered.groupBy("set_key").agg(lead)
+        reps = stage(distinct.select("set_key", F.col("lead.doc_id").alias("node"), F.col("lead.signature").alias("signature"), F.col("lead.sketch").alias("sketch")))
+        prefix = prefixes(reps.select("node", "signature"), matches)
+        with staged(prefix.join(reps.select("node", "sketch"), "node")) as nodes:
+            found, labels, total = [], None, nodes.count()
+            for star in range(STARS):
+                # the longest lists of each node reach most of its group; what they leave is up to the blocks
+                longest = nodes.select("node", F.slice("prefix", F.greatest(F.size("prefix") - HUB_LISTS + 1, F.lit(1)), HUB_LISTS).alias("prefix"))
+                with staged(alike(hub_pairs(postings(longest, labels), star), nodes, matches, least)) as pairs:
+                    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                    with staged(full_sets(plain, ends, size)) as sets:
+                        found.append(stage(confirm(pairs, sets, percent)))
+                new = found[-1].count()
+                if new:
+                    labels = stage(components(_all(found)))
+                if new * FEW_LINKS < total:
+                    break  # hubs find little more; the blocks look at all that is left
+            found.append(cross_links(postings(nodes, labels), nodes, plain, size, matches, least, percent))
     links = _all(found)
     final = stage(components(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

@@ -25,17 +25,19 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, text_or_empty
 from touchline.llm.token_counts import BLANKS, LETTERS, NUMBERS, ODD, WIDE, byte_letters, tokenizer_path
-from touchline.operators.staging import stage
+from touchline.operators.staging import arrow_rows, stage
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 TIERS = (128, 256, 512, 1024)
 PIECES_PER_GROUP = 8192
 STEP_SEQUENCES = 64
+#: Texts that a task takes in at a time.
+ROWS = 1_000
 #: Bytes of words, and runs of other texts, that are remembered per task.
 REMEMBERED, REMEMBERED_RUNS = 24 << 20, 100_000
 #: Texts and characters that are encoded together; words that go to the library together.
-TOGETHER, CHARACTERS, LINES = 2_048, 1 << 22, 1 << 14
+TOGETHER, CHARACTERS, LINES = ROWS, 1 << 22, 1 << 14
 #: The tokenizer's letter for a space.
 SPACE = byte_letters()[32]
 
@@ -374,7 +376,8 @@ def pack_documents(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # a group needs the ids of what it may cut; a whole window travels without them unless they are wanted
     made = cut_pieces(rows, tiers, tokenizer, with_ids=True)
-    pieces = stage(made if with_ids else made.withColumn("ids", F.when(F.col("length") < max(tiers), F.col("ids"))))
+    with arrow_rows(docs.sparkSession, ROWS):
+        pieces = stage(made if with_ids else made.withColumn("ids", F.when(F.col("length") < max(tiers), F.col("ids"))))
     groups = max(1, -(-pieces.count() // pieces_per_group))
     order = F.xxhash64("doc_id", "start", "ids_crc32")
     keyed = pieces.withColumns({"doc_id": F.col("doc_id").cast("string"), "order": order, "group": F.pmod(order, F.lit(groups))})

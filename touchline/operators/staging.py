@@ -94,6 +94,20 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
         _delete(spark, path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tables staged in the block hand ``most`` rows at a time to Python at most, for rows that hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) > 0:
+        most = min(most, int(before))
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def purge() -> None:
     """Remove the tables staged in this process. DataFrames that read them stop working."""
     while _tables:
