@@ -21,10 +21,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -144,8 +145,8 @@ class TreeCoder:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return np.where(keys[at] == key, merged[at], len(self.ranks))
 
-    def merged_together(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """``merged`` for many short runs at a time: in each round, every unfinished run merges its next pair."""
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """``merged`` for many short runs at a time, as 32-bit ids: in each round, every unfinished run merges its next pair."""
         none, size = len(self.ranks), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ids = np.array(self.single, dtype=np.int64)[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), size)
@@ -173,9 +174,9 @@ class TreeCoder:
             with_last = at[np.append(False, owner[1:] == owner[:-1])[at]]
             score[with_last - 1] = self._found(ids[with_last - 1], ids[with_last])
         owner, ids = (np.concatenate(a) for a in zip(*finished))
-        ids = ids[np.argsort(owner, kind="stable")].tolist()
-        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
-        return [tuple(ids[a:b]) for a, b in pairwise([0, *ends])]
+        raw = ids[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [raw[a:b] for a, b in pairwise([0, *ends])]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """Tokens of the bytes of both, from the tokens of each."""
@@ -241,10 +242,10 @@ class TreeCoder:
             found = [text[a:b] for a, b in pairwise(ends)]
         return found
 
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        """Ids of several texts: of each piece new among them the ids are found, short ones together.
+    def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """Ids (32 bits) of several texts: of each piece new among them the ids are found, short ones together.
 
-        A piece that is itself a token is that token.
+        A piece that is itself a token is that token. Ids are remembered as bytes, so a text costs a step per piece only.
         """
         split = [self.split(t) for t in texts]
         pieces = set().union(*split)
@@ -253,20 +254,20 @@ class TreeCoder:
             self.remembered.clear()
             new = pieces
         raw = {m: m.encode() for m in new}
-        whole = {m: (i,) for m, b in raw.items() if (i := self.ranks.get(b)) is not None}
+        whole = {m: i.to_bytes(4, sys.byteorder) for m, b in raw.items() if (i := self.ranks.get(b)) is not None}
         short = [m for m, b in raw.items() if m not in whole and len(b) <= PIECE_LEAF]
         self.remembered.update(whole)
         if short:
             self.remembered.update(zip(short, self.merged_together([raw[m] for m in short])))
-        self.remembered.update({m: tuple(self.tree(b)) for m, b in raw.items() if m not in self.remembered})
-        out = [[*chain.from_iterable(map(self.remembered.__getitem__, found))] for found in split]
+        self.remembered.update({m: np.array(self.tree(b), dtype=np.int32).tobytes() for m, b in raw.items() if m not in self.remembered})
+        out = [np.frombuffer(b"".join(map(self.remembered.__getitem__, found)), dtype=np.int32) for found in split]
         for m in new:
             if len(m) > SHORT:
                 del self.remembered[m]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         """Bytes of ids, joined ``FAN`` at a time, group upon group."""
@@ -311,7 +312,7 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id"
     ordinary text. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda texts: [np.array(i, dtype=np.int32) for i in coder(ranks).encode_batch(texts)])
+    return _mapped(rows, "text", "ids", ArrayType(IntegerType()), lambda texts: coder(ranks).encode_batch(texts))
 
 
 def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
