@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,64 @@ def test_near_lists_in_small_blocks(spark, monkeypatch):
     assert sorted(brute(rows, 2)) == sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
 
 
+def test_chance_coordinates_are_not_posted(spark):
+    """Texts that agree with others in many single coordinates, each with another one, have no lists; partners meet."""
+    rng = np.random.default_rng(4)
+    signs = rng.integers(0, 200, (202, near_dedup.COORDINATES), dtype=np.uint32)
+    signs[200:] = rng.integers(1000, 2**32, (2, near_dedup.COORDINATES), dtype=np.uint32)
+    signs[201, 1::2] = signs[200, 1::2]
+    signs[201, : 2 * (near_dedup.MATCHES - near_dedup.COORDINATES // 2)] = signs[200, : 2 * (near_dedup.MATCHES - near_dedup.COORDINATES // 2)]
+    assert (signs[200] == signs[201]).sum() == near_dedup.MATCHES  # and the 40 others in a token of their own each
+    assert np.mean([sum((signs[:, c] == v).sum() > 1 for c, v in enumerate(row)) >= near_dedup.MATCHES for row in signs]) > 0.5
+    reps = spark.createDataFrame([(i, bytearray(row.tobytes())) for i, row in enumerate(signs)], "node bigint, signature binary")
+    posted = {r["node"]: set(r["prefix"]) for r in near_dedup.prefixes(reps).collect()}
+    assert set(posted) == {200, 201} and posted[200] & posted[201]
+    assert near_dedup.needed(near_dedup.MATCHES) == (2, 8) and near_dedup.needed(48) == (1, 48)
+    single = {r["node"]: set(r["prefix"]) for r in near_dedup.prefixes(reps, 48).collect()}
+    assert single[200] & single[201] and len(single) > 100
+
+
+def test_lists_are_merged_as_by_hand(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 7)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 10)
+    rng = np.random.default_rng(6)
+    bases, rows = rng.integers(0, 256, (2, near_dedup.SKETCH), dtype=np.uint8), []
+    for token in range(12):
+        for low, high in [(0, 0)] if token % 3 else [(0, 0), (0, 1), (1, 1)]:
+            for node in sorted(rng.choice(60, rng.integers(2, 16), replace=False).tolist()):
+                sketch = bases[node % 2].copy()
+                sketch[: 4 * (node // 6)] = node
+                own = [token] if node % 5 > 1 else [token - 1, token]
+                rows.append((token, low, high, int(low != high and node % 4 > 1), node, node // 3, sketch.tobytes(), own))
+    columns = ["token", "low", "high", "side", "node", "component", "sketch", "prefix"]
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[:3] == b[:3] and a[4] < b[4] and a[5] != b[5] and (a[1] == a[2] or a[3] != b[3]):
+                same = np.frombuffer(a[6], np.uint8) == np.frombuffer(b[6], np.uint8)
+                if near_dedup.retained(same[None], 56, 172)[0] and a[0] == min(set(a[7]) & set(b[7])) and same[: near_dedup.FIRST].sum() >= near_dedup.FIRST_LEAST:
+                    want.add((*a[:3], a[4], b[4]))
+    table = pd.DataFrame(rows, columns=columns)
+    got = []
+    for found in near_dedup._candidates(56, 172)(table.iloc[i : i + 4] for i in range(0, len(table), 4)):
+        for token, low, high, node, partners in found.itertuples(index=False):
+            got += [(token, low, high, min(node, m), max(node, m)) for m in partners]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_shingles_of_texts_together(monkeypatch):
+    """Sets are those of each text alone: long words, odd blanks, bytes of zero, letters beyond ASCII and short texts."""
+    texts = ["", " \t\n", "one", "One\x0btwo", "a" * 8, "a" * 9, "a" * 17 + " b", "b" * 17 + " a", "a\0 a", "a a\0", "É é e", "A a A a A", "x " * 500, "one two three"]
+    for size in (1, 2, 5):
+        alone = [next(near_dedup.shingle_sets([t], size)) for t in texts]
+        monkeypatch.setattr(near_dedup, "TEXT_BYTES", 10)
+        for got in (list(near_dedup.shingle_sets(texts, size)), list(near_dedup._sets_together([t.encode() for t in texts], size))):
+            assert len(got) == len(texts) and all(np.array_equal(x, y) for x, y in zip(alone, got))
+        assert [len(x) for x in alone] == [len(plain_shingles(t, size)) for t in texts]
+        keys = {x.tobytes() for x in alone if len(x)}
+        assert len(keys) == len({frozenset(plain_shingles(t, size)) for t in texts} - {frozenset()})
+
+
 def test_near_nulls_repeats_and_nothing(spark):
     rows = [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, "A B C D E"), (None, "alone here"), (None, None)]
     got = near_dedup.near_groups(frame(spark, rows)).collect()

@@ -2,12 +2,14 @@
 
 Each distinct shingle set has a signature of ``COORDINATES`` minima. A pair counts as a candidate when at least
 ``MATCHES`` coordinates agree; a pair of Jaccard similarity 0.8 misses that with a chance of about one in 100,000. The
-signature is a set of (coordinate, value) tokens, posted in an inverted index:
-
-- tokens of one document only are skipped: a document with fewer than ``MATCHES`` shared tokens has no partner;
-- of the n shared tokens, in rising document count, only the first n - MATCHES + 1 are posted (prefix): two documents
-  with ``MATCHES`` tokens in common meet in one of these lists, and what a third of all documents share is hardly
-  ever in one;
+signature is a set of tokens, posted in an inverted index. A token is two neighbouring coordinates and their values: of
+the 48, 40 unequal coordinates spoil 40 at most, so two documents with ``MATCHES`` coordinates in common have 8 tokens in
+common (``needed``). Documents that share nothing but everyday words agree in many single coordinates when the table is
+large, and hardly ever in two at once:
+
+- tokens of one document only are skipped: a document with fewer than 8 shared tokens has no partner;
+- of the n shared tokens, in rising document count, only the first n - 7 are posted (prefix): two documents with 8
+  tokens in common meet in one of these lists, and what a third of all documents share is hardly ever in one;
 - lists are merged without writing all pairs of a list. In a few rounds every member meets the list's hub, another
   one each round, and confirmed links are contracted to components: a group of thousands of near copies collapses
   here. Then the lists that still hold several components are merged in blocks, members of one component skipping
@@ -21,7 +23,7 @@ on the full sets, which are made for the documents of such pairs only. Equal set
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,9 +48,11 @@ FIRST, FIRST_LEAST = 64, 30
 BLOCK = 1_000
 BLOCK_KEYS = ["token", "low", "high"]
 BROADCAST_IDS = 1_000_000
-REMEMBERED = 100_000
-CHUNK = 1 << 12
+CHUNK = 1 << 9
 ROWS = 1_000  # texts or full sets that a task takes in at a time
+TEXT_BYTES = 160_000  # texts that are cut into words together, so that these arrays stay in a core's cache
+BLOCK_ROWS = 8_000  # rows of lists that are merged together
+PAIRS = 1 << 14
 
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -66,39 +70,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word shingles; word hashes are remembered within a bound."""
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+STEP = np.uint64(0x100000001B3)
 
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.known: dict[bytes, int] = {}
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of ``blob`` and where it starts; ``blob`` begins with one blank and ends with eight.
 
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = xxhash.xxh3_64_intdigest(words[i])
-                    if len(words[i]) <= 64:
-                        known[words[i]] = out[i]
-        return np.array(out, dtype=np.uint64)
-
-    def shingles(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # bytes: A-Z only, and blanks are those of the word rule
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        h = self._hashes(words)
-        size = min(self.size, len(words))
-        n = len(h) - size + 1
-        out = np.full(n, size, dtype=np.uint64)
-        for k in range(size):
-            out = mixed(out * np.uint64(0x100000001B3) + h[k : k + n])
-        return np.unique(out)
+    A hash takes in the word's length and its bytes, eight at a time.
+    """
+    blank = BLANK[np.frombuffer(blob, dtype=np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(blob) - 7,), dtype="<u8", buffer=blob, strides=(1,))
+    out = mixed(mixed(sizes.astype(np.uint64)) * STEP + (eight[starts] & LOW_BYTES[np.minimum(sizes, 8)]))
+    at, longer = 8, np.flatnonzero(sizes > 8)
+    while len(longer):
+        left = sizes[longer] - at
+        out[longer] = mixed(out[longer] * STEP + (eight[starts[longer] + at] & LOW_BYTES[np.minimum(left, 8)]))
+        at, longer = at + 8, longer[left > 8]
+    return out, starts
+
+
+def folded(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    n = max(len(hashes) - size + 1, 0)
+    out = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        out = mixed(out * STEP + hashes[k : k + n])
+    return out
+
+
+def _sets_together(raw: list[bytes], size: int) -> Iterator[np.ndarray]:
+    blob = b" " + b" ".join(raw).lower() + b" " * 8  # bytes: A-Z only, and blanks are those of the word rule
+    words, starts = word_hashes(blob)
+    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    bounds = [*np.searchsorted(starts, np.cumsum(lengths + 1) - lengths).tolist(), len(words)]
+    runs = folded(words, size)  # those that reach into the next text are passed over
+    for at, upto in zip(bounds, bounds[1:]):
+        own = runs[at : upto - size + 1] if upto - at >= size else folded(words[at:upto], max(upto - at, 1))
+        own = np.sort(own)
+        yield own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own
+
+
+def shingle_sets(texts: Iterable[str], size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text; a text of fewer words than ``size`` is one shingle."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text.encode())
+        total += len(held[-1])
+        if total >= TEXT_BYTES:
+            yield from _sets_together(held, size)
+            held, total = [], 0
+    if held:
+        yield from _sets_together(held, size)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -123,11 +149,9 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        s = Shingler(size)
         for batch in batches:
             sizes, keys, signs, bytes_ = [], [], [], []
-            for text in batch:
-                own = s.shingles(text)
+            for own in shingle_sets(batch, size):
                 least = signature(own) if len(own) else None
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()) if len(own) else None)
@@ -145,9 +169,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Shingler(size)
         for batch in batches:
-            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [s.shingles(t).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["doc_id"], "shingles": [own.tobytes() for own in shingle_sets(batch["text"], size)]})
 
     return chosen.select("doc_id", "text").mapInPandas(make, "node bigint, shingles binary")
 
@@ -155,23 +178,34 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 # ---------------------------------------------------------------- postings
 
 
+def needed(matches: int) -> tuple[int, int]:
+    """Coordinates a token has, and tokens that two signatures with ``matches`` equal coordinates have in common at least.
+
+    Each unequal coordinate spoils one token. Where that could spoil all tokens of two, a token is one coordinate.
+    """
+    left = COORDINATES // 2 - (COORDINATES - matches)
+    return (2, left) if left > 0 else (1, matches)
+
+
 def prefixes(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
     """The tokens under which each node is posted: node, prefix. ``reps`` has node and signature.
 
     Nodes that cannot have a partner have no row.
     """
+    wide, least = needed(matches)
 
     @F.pandas_udf("array<bigint>")
     def tokens(signs: pd.Series) -> pd.Series:
-        high = np.arange(COORDINATES, dtype=np.int64) << 32
-        return pd.Series([high | np.frombuffer(s, dtype=np.uint32).astype(np.int64) for s in signs])
+        values = np.frombuffer(b"".join(signs), dtype=np.dtype("<u8" if wide == 2 else "<u4")).reshape(len(signs), COORDINATES // wide)
+        place = np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return pd.Series(list(mixed(values + place).view(np.int64)))
 
     posted = reps.select("node", F.explode(tokens("signature")).alias("token"))
     counts = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = posted.join(counts, "token")
-    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # COORDINATES entries at most
-    first = F.transform(F.slice("own", 1, F.size("own") - (matches - 1)), lambda t: t["token"])
-    return own.where(F.size("own") >= matches).select("node", first.alias("prefix"))
+    own = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))  # a signature's tokens at most
+    first = F.transform(F.slice("own", 1, F.size("own") - (least - 1)), lambda t: t["token"])
+    return own.where(F.size("own") >= least).select("node", first.alias("prefix"))
 
 
 def postings(prefix: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -250,32 +284,87 @@ def _by_block(work):
     return run
 
 
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block, about ``BLOCK_ROWS`` at a time, without cutting a block."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= BLOCK_ROWS:
+            rows = pd.concat(held, ignore_index=True)
+            last = int((rows[BLOCK_KEYS] == rows[BLOCK_KEYS].iloc[-1]).all(axis=1).to_numpy().argmax())
+            if last:
+                yield rows.iloc[:last]
+            held = [rows.iloc[last:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _beside(first: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row i beside each of the rows from first[i] to before upto[i], for all i: about ``PAIRS`` pairs at a time."""
+    counts = np.maximum(upto - first, 0)
+    total = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        before = total[at] - counts[at]
+        end = max(int(np.searchsorted(total, before + PAIRS, side="right")), at + 1)
+        own = counts[at:end]
+        one = np.repeat(np.arange(at, end), own)
+        yield one, np.arange(len(one)) + np.repeat(first[at:end] - (total[at:end] - own - before), own)
+        at = end
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """For each row, the end of the run of rows with equal columns that it is in."""
+    n = len(columns[0])
+    change = np.zeros(n, dtype=bool)
+    change[-1:] = True
+    for c in columns:
+        change[:-1] |= c[1:] != c[:-1]
+    ends = np.flatnonzero(change) + 1
+    return np.repeat(ends, np.diff(ends, prepend=0))
+
+
+def candidate_rows(token, low, high, side, component, signs: np.ndarray, matches: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike rows of one block and different components; rows are sorted by block, side and component.
+
+    Members of one component are one run, and a row meets what stands behind its run. In a block of two parts the
+    rows of one side meet those of the other.
+    """
+    block = _runs(token, low, high)
+    apart = _runs(token, low, high, side)
+    same = _runs(token, low, high, side, component)
+    first = np.ascontiguousarray(signs[:, :FIRST])
+    for one, two in _beside(np.where(low == high, same, apart), block):
+        other = component[one] != component[two]
+        one, two = one[other], two[other]
+        # eight comparisons to a word, whose sum has the count of each byte's place
+        equal = (first[one] == first[two]).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101) >> np.uint64(56)
+        near = equal >= FIRST_LEAST
+        one, two = one[near], two[near]
+        keep = retained(signs[one] == signs[two], matches, least)
+        yield one[keep], two[keep]
+
+
 def _candidates(matches: int, least: int):
     """Members of a block that have alike members of other components: node and those partners (in one of the two)."""
 
-    def work(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, low, high = (block[c].iloc[0] for c in BLOCK_KEYS)
-        signs = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), -1)
-        first = np.ascontiguousarray(signs[:, :FIRST])
-        nodes, comps = block["node"].to_numpy(), block["component"].to_numpy()
-        sides, own = block["side"].to_numpy(), block["prefix"].tolist()
-        ones = np.arange(len(block)) if low == high else np.flatnonzero(sides == 0)
-        twos = np.arange(len(block)) if low == high else np.flatnonzero(sides == 1)
-        partners: dict[int, list[int]] = {}
-        for i in ones:
-            rest = twos[twos > i] if low == high else twos
-            rest = rest[comps[rest] != comps[i]]
-            if len(rest):
-                rest = rest[(first[rest] == first[i]).sum(axis=1) >= FIRST_LEAST]
-            if len(rest):
-                for j in rest[retained(signs[rest] == signs[i], matches, least)]:
-                    if token == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
-                        partners.setdefault(int(nodes[i]), []).append(int(nodes[j]))
-                        partners.setdefault(int(nodes[j]), [])
-        if partners:
-            yield pd.DataFrame({"token": token, "low": low, "high": high, "node": list(partners), "partners": list(partners.values())})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_blocks(batches):
+            rows = rows.sort_values([*BLOCK_KEYS, "side", "component"], kind="stable")
+            signs = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), SKETCH)
+            token, low, high, side, component, nodes = (rows[c].to_numpy() for c in (*BLOCK_KEYS, "side", "component", "node"))
+            own = rows["prefix"].to_numpy()
+            partners: dict[tuple[int, int, int, int], list[int]] = {}
+            for ones, twos in candidate_rows(token, low, high, side, component, signs, matches, least):
+                for i, j in zip(ones.tolist(), twos.tolist()):
+                    if token[i] == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
+                        block = (int(token[i]), int(low[i]), int(high[i]))
+                        partners.setdefault((*block, int(nodes[i])), []).append(int(nodes[j]))
+                        partners.setdefault((*block, int(nodes[j])), [])
+            if partners:
+                yield pd.DataFrame([(*key, others) for key, others in partners.items()], columns=[*BLOCK_KEYS, "node", "partners"])
 
-    return _by_block(work)
+    return run
 
 
 def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
