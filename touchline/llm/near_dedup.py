@@ -353,11 +353,20 @@ def _candidates(matches: int, least: int):
             rows = rows.sort_values([*BLOCK_KEYS, "side", "component"], kind="stable")
             signs = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), SKETCH)
             token, low, high, side, component, nodes = (rows[c].to_numpy() for c in (*BLOCK_KEYS, "side", "component", "node"))
-            own = rows["prefix"].to_numpy()
+            own, known = rows["prefix"].to_numpy(), {}
+
+            def earlier(i: int) -> frozenset[int] | None:
+                """Lists before this one that row i is in as well; None when the row's tokens don't have this one."""
+                if i not in known:
+                    x = np.asarray(own[i])
+                    known[i] = frozenset(x[x < token[i]].tolist()) if (x == token[i]).any() else None
+                return known[i]
+
             partners: dict[tuple[int, int, int, int], list[int]] = {}
             for ones, twos in candidate_rows(token, low, high, side, component, signs, matches, least):
                 for i, j in zip(ones.tolist(), twos.tolist()):
-                    if token[i] == min(set(own[i]) & set(own[j]), default=None):  # the first list that both are in
+                    a, b = earlier(i), earlier(j)
+                    if a is not None and b is not None and a.isdisjoint(b):  # the first list that both are in
                         block = (int(token[i]), int(low[i]), int(high[i]))
                         partners.setdefault((*block, int(nodes[i])), []).append(int(nodes[j]))
                         partners.setdefault((*block, int(nodes[j])), [])
